@@ -2,15 +2,22 @@
 
 from storyloom.llm.bpe import op9_bpe_roundtrip
 from storyloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from storyloom.llm.language_id import op2_language_id
 from storyloom.llm.line_dedup import OP10_SQL, op10_line_dedup
+from storyloom.llm.packing import op7_packing
+from storyloom.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op5_substring_dedup": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
 }
