@@ -2,13 +2,19 @@
 
 from storyloom.llm.bpe import op9_bpe_roundtrip
 from storyloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from storyloom.llm.fingerprints import op3_fingerprints
 from storyloom.llm.language_id import op2_language_id
+from storyloom.llm.licenses import OP4_SQL, op4_license_scan
 from storyloom.llm.line_dedup import OP10_SQL, op10_line_dedup
+from storyloom.llm.minhash import op1_near_duplicates
 from storyloom.llm.packing import op7_packing
 from storyloom.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_language_id": op2_language_id,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_license_scan": op4_license_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
@@ -17,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_license_scan": OP4_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
