@@ -3,6 +3,7 @@
 from storyloom.llm.bpe import op9_bpe_roundtrip
 from storyloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from storyloom.llm.fingerprints import op3_fingerprints
+from storyloom.llm.html_extract import op6_html_extract
 from storyloom.llm.language_id import op2_language_id
 from storyloom.llm.licenses import OP4_SQL, op4_license_scan
 from storyloom.llm.line_dedup import OP10_SQL, op10_line_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_license_scan": op4_license_scan,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_html_extract": op6_html_extract,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
