@@ -1,0 +1,71 @@
+"""Book summaries, pools and percentiles, diversity, calibration, correlation, audits."""
+
+from storyloom.plans.registry import register
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+BOOKS = "SELECT book, CAST(count(*) AS BIGINT) AS n, avg(pleasure_intensity) AS inten, avg(conflict_density) AS conf, avg(hook_density) AS hook, avg(readability) AS read_, avg(pos_density) AS pos FROM metrics GROUP BY book"
+SCORED = "SELECT m.*, l.quality, l.toxic FROM metrics m JOIN labels l ON m.doc_id = l.doc_id"
+
+register(
+    QUERIES,
+    ORACLES,
+    book_summary=lambda d: """
+        SELECT book, CAST(count(*) AS BIGINT) AS n_chapters, CAST(sum(wc) AS BIGINT) AS total_wc, round(avg(pleasure_intensity), 3) AS avg_intensity, round(avg(hook_density), 3) AS avg_hook, round(avg(CASE WHEN conflict_level <> 'none' THEN 1e0 ELSE 0e0 END), 3) AS conflict_rate,
+               CAST(sum(CASE WHEN pleasure_type = 'climax' THEN 1 ELSE 0 END) AS BIGINT) AS n_climax, CAST(sum(CASE WHEN pace = 'fast' THEN 1 ELSE 0 END) AS BIGINT) AS n_fast, CAST(sum(CASE WHEN hook_type = 'none' THEN 1 ELSE 0 END) AS BIGINT) AS n_hookless
+        FROM metrics GROUP BY book""",
+    book_distributions=lambda d: "SELECT book, kind, label, CAST(count(*) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT book, '{c}' AS kind, {c} AS label FROM metrics" for c in ("pace", "emotion", "conflict_level", "pleasure_type", "dominant_sub")) + ") a GROUP BY book, kind, label",
+    pool_percentiles=lambda d: "SELECT " + ", ".join(f"round({d.percentile(c, p)}, 4) AS {c}_p{int(100 * p)}" for c in ("inten", "conf", "hook") for p in (0.1, 0.25, 0.5, 0.75, 0.9)) + f", round(stddev_samp(inten), 4) AS inten_sd FROM ({BOOKS}) b WHERE n >= 5",
+    nearest_rank=lambda d: "SELECT book, " + ", ".join(f"max(CASE WHEN k = least(floor(n * {p}e0), n - 1) + 1 THEN pleasure_intensity END) AS p{int(100 * p)}" for p in (0.25, 0.5, 0.75)) + " FROM (SELECT book, pleasure_intensity, row_number() OVER (PARTITION BY book ORDER BY pleasure_intensity, ch_num) AS k, count(*) OVER (PARTITION BY book) AS n FROM metrics) a GROUP BY book",
+    opening_features=lambda d: """
+        SELECT book, round(avg(CASE WHEN ch_num <= 3 THEN hook_density END), 4) AS hook_3, round(avg(CASE WHEN ch_num <= 30 THEN hook_density END), 4) AS hook_30, round(avg(hook_density), 4) AS hook_all, round(avg(CASE WHEN ch_num <= 3 THEN pleasure_intensity END), 4) AS inten_3
+        FROM metrics GROUP BY book HAVING count(*) >= 10""",
+    percentile_score=lambda d: f"""
+        SELECT a.book, CAST(CASE WHEN count(*) < 3 THEN 50 WHEN count(*) < 30 THEN round(50 + ((sum(CASE WHEN b.v <= a.v THEN 1e0 ELSE 0e0 END) - 0.5e0) / count(*) * 100 - 50) * count(*) / 30, 3) ELSE round((sum(CASE WHEN b.v <= a.v THEN 1e0 ELSE 0e0 END) - 0.5e0) / count(*) * 100, 3) END AS DOUBLE) AS score
+        FROM (SELECT book, round(inten, 6) AS v FROM ({BOOKS}) x) a JOIN (SELECT book, round(inten, 6) AS v FROM ({BOOKS}) y) b ON a.book <> b.book GROUP BY a.book""",
+    signing_probability=lambda d: f"""
+        SELECT book, round(100 * (0.4e0 * s_inten + 0.35e0 * s_hook + 0.25e0 * s_conf), 2) AS signing FROM (
+          SELECT book, CASE WHEN inten >= p.i75 THEN 1e0 WHEN inten >= p.i25 THEN 0.5e0 ELSE 0e0 END AS s_inten, CASE WHEN hook >= p.h75 THEN 1e0 WHEN hook >= p.h25 THEN 0.5e0 ELSE 0e0 END AS s_hook, CASE WHEN conf >= p.c75 THEN 1e0 WHEN conf >= p.c25 THEN 0.5e0 ELSE 0e0 END AS s_conf
+          FROM (SELECT book, round(inten, 6) AS inten, round(hook, 6) AS hook, round(conf, 6) AS conf FROM ({BOOKS}) r) b CROSS JOIN (SELECT {", ".join(f"{d.percentile(f'round({c}, 6)', q)} AS {n}{int(100 * q)}" for c, n in (("inten", "i"), ("hook", "h"), ("conf", "c")) for q in (0.25, 0.75))} FROM ({BOOKS}) q) p) z""",
+    shannon_diversity=lambda d: """
+        SELECT book, CAST(count(*) AS BIGINT) AS k, CASE WHEN count(*) > 1 THEN round(-sum(p * ln(p)) / ln(count(*)), 3) ELSE 0e0 END AS diversity
+        FROM (SELECT book, dominant_sub, count(*) / CAST(sum(count(*)) OVER (PARTITION BY book) AS DOUBLE) AS p FROM metrics GROUP BY book, dominant_sub) a GROUP BY book""",
+    kl_uniform=lambda d: """
+        SELECT book, round(sum(greatest(p, 0.001e0) * ln(greatest(p, 0.001e0) * k)), 4) AS kl FROM (
+          SELECT book, n / CAST(sum(n) OVER (PARTITION BY book) AS DOUBLE) AS p, CAST(count(*) OVER (PARTITION BY book) AS DOUBLE) AS k FROM (SELECT book, emotion, count(*) AS n FROM metrics GROUP BY book, emotion) a) b GROUP BY book""",
+    position_buckets=lambda d: """
+        SELECT bucket, round(avg(v), 4) AS intensity FROM (
+          SELECT book, bucket, round(avg(pleasure_intensity), 6) AS v FROM (
+            SELECT book, pleasure_intensity, CAST(floor((ch_num - 1) / floor(n / 10)) AS BIGINT) AS bucket FROM (SELECT book, ch_num, pleasure_intensity, count(*) OVER (PARTITION BY book) AS n FROM metrics) a WHERE n >= 10) b
+          WHERE bucket < 10 GROUP BY book, bucket) c GROUP BY bucket""",
+    five_segments=lambda d: """
+        SELECT book, segment, CAST(count(*) AS BIGINT) AS n, round(avg(pleasure_intensity), 3) AS intensity, round(min(hook_density), 3) AS min_hook, round(max(hook_density), 3) AS max_hook FROM (
+          SELECT book, pleasure_intensity, hook_density, CASE WHEN ch_num <= q THEN 'opening' WHEN ch_num <= 3 * q THEN 'rise' WHEN ch_num <= 4 * q THEN 'middle' WHEN ch_num <= 5 * q THEN 'late' ELSE 'ending' END AS segment
+          FROM (SELECT book, ch_num, pleasure_intensity, hook_density, floor(count(*) OVER (PARTITION BY book) / 5) AS q FROM metrics) a) b GROUP BY book, segment""",
+    segment_retention=lambda d: """
+        SELECT book, third, round(avg(CASE WHEN hook_density = 0 THEN 1e0 ELSE 0e0 END), 3) AS zero_hook, CASE WHEN avg(CASE WHEN hook_density = 0 THEN 1e0 ELSE 0e0 END) > 0.3 THEN 'high' WHEN avg(CASE WHEN hook_density = 0 THEN 1e0 ELSE 0e0 END) > 0.15 THEN 'medium' ELSE 'low' END AS risk
+        FROM (SELECT book, hook_density, CAST(floor(3 * (ch_num - 1) / count(*) OVER (PARTITION BY book)) AS BIGINT) AS third FROM metrics) a GROUP BY book, third""",
+    zone_weighted=lambda d: """
+        SELECT book, round(sum(w * pleasure_intensity) / sum(w), 4) AS weighted FROM (SELECT book, pleasure_intensity, CASE WHEN ch_num <= 10 THEN 2e0 WHEN ch_num >= 0.85e0 * count(*) OVER (PARTITION BY book) THEN 1.5e0 ELSE 1e0 END AS w FROM metrics) a GROUP BY book""",
+    commercial_score=lambda d: f"""
+        SELECT book, round(overall, 2) AS overall, CASE WHEN overall >= 80 THEN 'A' WHEN overall >= 70 THEN 'B' WHEN overall >= 60 THEN 'C' WHEN overall >= 50 THEN 'D' ELSE 'E' END AS grade, CASE WHEN overall >= 75 THEN 'sign' WHEN overall >= 60 THEN 'revise' WHEN overall >= 40 THEN 'watch' ELSE 'reject' END AS decision
+        FROM (SELECT book, round(0.5e0 * (35 * p_inten + 30 * p_hook + 10 * p_conf + 25 * p_pos) + 0.5e0 * (40 * p_hook + 25 * p_inten + 20 * p_read + 15 * p_conf), 4) AS overall FROM (
+          SELECT book, cume_dist() OVER (ORDER BY round(inten, 6)) AS p_inten, cume_dist() OVER (ORDER BY round(hook, 6)) AS p_hook, cume_dist() OVER (ORDER BY round(conf, 6)) AS p_conf, cume_dist() OVER (ORDER BY round(pos, 6)) AS p_pos, cume_dist() OVER (ORDER BY round(read_, 6) DESC) AS p_read FROM ({BOOKS}) b) c) e""",
+    ols_calibration=lambda d: f"SELECT round(regr_slope(CAST(quality AS DOUBLE), pleasure_intensity), 4) AS slope, round(regr_intercept(CAST(quality AS DOUBLE), pleasure_intensity), 4) AS intercept, CAST(count(*) AS BIGINT) AS n FROM ({SCORED}) s",
+    feature_importance=lambda d: " UNION ALL ".join(f"SELECT '{c}' AS feature, round(coalesce(corr(CAST({c} AS DOUBLE), CAST(quality AS DOUBLE)), 0), 3) AS r FROM ({SCORED}) s" for c in ("wc", "pos_density", "conflict_density", "hook_density", "readability", "vocab_diversity", "pleasure_intensity")),
+    label_bias=lambda d: f"SELECT dominant_sub, CAST(count(*) AS BIGINT) AS n, round(avg(10 * quality - pleasure_intensity), 3) AS bias FROM ({SCORED}) s GROUP BY dominant_sub HAVING count(*) >= 5",
+    spearman=lambda d: f"""
+        SELECT round(1 - 6 * sum((ra - rb) * (ra - rb)) / (count(*) * (count(*) * count(*) - 1e0)), 3) AS rho FROM (
+          SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2e0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2e0 AS rb FROM (SELECT round(inten, 6) AS a, round(hook, 6) AS b FROM ({BOOKS}) x) y) z""",
+    label_f1=lambda d: f"""
+        SELECT tp, fp, fn, round(2e0 * tp / greatest(2 * tp + fp + fn, 1), 4) AS f1 FROM (SELECT CAST(sum(CASE WHEN quality = 1 AND hit THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN quality = 0 AND hit THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN quality = 1 AND NOT hit THEN 1 ELSE 0 END) AS BIGINT) AS fn
+        FROM (SELECT quality, pleasure_intensity >= 4 AS hit FROM ({SCORED}) s) a) b""",
+    weight_sensitivity=lambda d: f"""
+        SELECT g.w, CAST(count(DISTINCT s.book) AS BIGINT) AS n_books, round(avg(g.w * s.inten + (1 - g.w) * s.hook), 3) AS mean_score FROM ({BOOKS}) s CROSS JOIN (SELECT {d.explode_numbers("1", "9")} AS i) e JOIN (SELECT i AS j, i / 10e0 AS w FROM (SELECT {d.explode_numbers("1", "9")} AS i) q) g ON g.j = e.i WHERE g.w >= 0.2 GROUP BY g.w""",
+    genre_stats=lambda d: "SELECT " + ", ".join(f"round(avg({c}), 4) AS {c}_mean, round(stddev_samp({c}), 4) AS {c}_sd" for c in ("pleasure_intensity", "hook_density", "conflict_density", "readability")) + " FROM metrics",
+    pleasure_distribution=lambda d: "SELECT pleasure_type, CAST(count(*) AS BIGINT) AS n, round(avg(pleasure_intensity), 2) AS mean_intensity, round(100e0 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM metrics GROUP BY pleasure_type",
+    active_users=lambda d: "SELECT user_id, CAST(count(*) AS BIGINT) AS n, max(event_id) AS last_event, CAST(count(DISTINCT event_type) AS BIGINT) AS kinds, round(sum(value), 2) AS total FROM events GROUP BY user_id",
+    event_stats=lambda d: "SELECT event_type, CAST(count(*) AS BIGINT) AS n, min(event_id) AS first_event, max(event_id) AS last_event, round(avg(value), 4) AS mean_value FROM events GROUP BY event_type",
+    null_audit=lambda d: "SELECT " + ", ".join(f"CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS {c}_nulls" for c in ("doc_id", "text", "lang", "source")) + ", CAST(count(*) AS BIGINT) AS n, CAST(min(n_chars) AS BIGINT) AS min_chars, CAST(max(n_chars) AS BIGINT) AS max_chars FROM documents",
+)

@@ -1,0 +1,35 @@
+"""The chapter projection and text segmentation."""
+
+from storyloom.plans.registry import register
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+register(
+    QUERIES,
+    ORACLES,
+    chapter_metrics=lambda d: "SELECT * FROM metrics",
+    hash_changes=lambda d: f"""
+        SELECT m.book, m.ch_num, m.ch_hash, substr({d.sha("lower(coalesce(x.text, ''))")}, 1, 16) AS new_hash
+        FROM metrics m JOIN documents x ON m.doc_id = x.doc_id
+        WHERE m.ch_hash <> substr({d.sha("lower(coalesce(x.text, ''))")}, 1, 16)""",
+    paragraphs=lambda d: f"""
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n_paragraphs, CAST(max(length(p)) AS BIGINT) AS longest, CAST(sum(CASE WHEN length(p) < 50 THEN 1 ELSE 0 END) AS BIGINT) AS n_short
+        FROM (SELECT doc_id, trim(p) AS p FROM (SELECT doc_id, {d.explode_lines("coalesce(text, '')")} AS p FROM documents) a) b
+        WHERE length(p) > 0 GROUP BY doc_id""",
+    vocabulary=lambda d: f"""
+        SELECT word, n, n_docs, CAST(row_number() OVER (ORDER BY n DESC, word) AS BIGINT) AS place FROM (
+          SELECT word, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs
+          FROM (SELECT doc_id, {d.explode_words("lower(coalesce(text, ''))")} AS word FROM documents) a
+          WHERE length(word) > 1 GROUP BY word ORDER BY n DESC, word LIMIT 500) b""",
+    char_bigrams=lambda d: f"""
+        SELECT gram, n FROM (
+          SELECT gram, CAST(count(*) AS BIGINT) AS n FROM (
+            SELECT {d.explode_bigrams("text")} AS gram FROM (SELECT lower(text) AS text FROM documents WHERE length(text) > 1) a) c
+          GROUP BY gram) e
+        ORDER BY n DESC, gram LIMIT 200""",
+    chapter_chunks=lambda d: """
+        SELECT book, CAST(floor((ch_num - 1) / 8) AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n_chapters, CAST(min(ch_num) AS BIGINT) AS first_ch, CAST(max(ch_num) AS BIGINT) AS last_ch, CAST(sum(wc) AS BIGINT) AS wc
+        FROM metrics GROUP BY book, floor((ch_num - 1) / 8)""",
+    text_thirds=lambda d: "SELECT doc_id, " + ", ".join(f"CAST({d.rx(f'substr(lower(text), CAST({k} * floor(length(text) / 3) + 1 AS INT), CAST(floor(length(text) / 3) AS INT))', '[.!?]')} AS BIGINT) AS marks_{k}" for k in range(3)) + " FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) a",
+)

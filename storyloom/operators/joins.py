@@ -1,0 +1,42 @@
+"""Joins between chapters, labels, events and reference tables."""
+
+from storyloom.plans.registry import register
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+VALUES = "SELECT book, round(avg(pleasure_intensity), 6) AS v FROM metrics GROUP BY book"
+
+register(
+    QUERIES,
+    ORACLES,
+    label_join=lambda d: "SELECT m.book, m.ch_num, m.pleasure_intensity, l.quality, l.toxic FROM metrics m LEFT JOIN labels l ON m.doc_id = l.doc_id",
+    quality_pool=lambda d: f"SELECT round(avg(v), 4) AS pool_mean, CAST(count(*) AS BIGINT) AS n FROM ({VALUES}) a LEFT SEMI JOIN (SELECT c.source AS book FROM documents c JOIN labels l ON c.doc_id = l.doc_id GROUP BY c.source HAVING avg(l.quality) >= 0.5) g ON a.book = g.book" if d.spark else f"SELECT round(avg(v), 4) AS pool_mean, count(*) AS n FROM ({VALUES}) a WHERE book IN (SELECT c.source FROM documents c JOIN labels l ON c.doc_id = l.doc_id GROUP BY c.source HAVING avg(l.quality) >= 0.5)",
+    leave_one_out=lambda d: f"SELECT a.book, a.v, round(avg(b.v), 4) AS others, round(a.v - avg(b.v), 4) AS gap FROM ({VALUES}) a JOIN ({VALUES}) b ON a.book <> b.book GROUP BY a.book, a.v",
+    latest_state=lambda d: "SELECT user_id, event_id, event_type, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) a WHERE k = 1",
+    local_context=lambda d: """
+        SELECT a.event_id, CAST(count(DISTINCT b.event_id) AS BIGINT) AS n_near FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(a.event_id - b.event_id) <= 500
+        WHERE a.event_type = 'purchase' GROUP BY a.event_id""",
+    foreshadow_status=lambda d: """
+        SELECT h.event_id, h.user_id, min(r.event_id) AS resolved_by, CASE WHEN min(r.event_id) IS NULL THEN 'open' ELSE 'resolved' END AS state
+        FROM events h LEFT JOIN events r ON h.user_id = r.user_id AND r.ts > h.ts AND r.event_type = 'purchase' WHERE h.event_type = 'click' GROUP BY h.event_id, h.user_id""",
+    lifecycle_violations=lambda d: """
+        SELECT s.user_id, s.event_id, s.before_type, s.event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_type FROM events) s
+        LEFT JOIN (SELECT 'view' AS a, 'click' AS b UNION ALL SELECT 'click', 'purchase' UNION ALL SELECT 'view', 'view' UNION ALL SELECT 'click', 'click') t ON s.before_type = t.a AND s.event_type = t.b
+        WHERE s.before_type IS NOT NULL AND t.a IS NULL""",
+    type_cooccurrence=lambda d: """
+        SELECT a.event_type AS type_a, b.event_type AS type_b, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) a JOIN (SELECT DISTINCT user_id, event_type FROM events) b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY a.event_type, b.event_type""",
+    speaker_matrix=lambda d: "SELECT conv_id, " + ", ".join(f"CAST(sum(CASE WHEN role = '{r}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{r}" for r in ("user", "assistant", "system")) + " FROM conversations GROUP BY conv_id",
+    unlabelled_documents=lambda d: "SELECT x.doc_id FROM documents x LEFT JOIN labels l ON x.doc_id = l.doc_id WHERE l.doc_id IS NULL",
+    rhythm_interpolation=lambda d: """
+        SELECT book, ch_num, round(v0 + (v1 - v0) * (p - p0) / (p1 - p0), 4) AS target FROM (SELECT book, ch_num, least(ch_num / CAST(count(*) OVER (PARTITION BY book) AS DOUBLE), 0.9999e0) AS p FROM chapters) c
+        JOIN (SELECT 0e0 AS p0, 0.25e0 AS p1, 2e0 AS v0, 4e0 AS v1 UNION ALL SELECT 0.25e0, 0.6e0, 4e0, 3e0 UNION ALL SELECT 0.6e0, 0.9e0, 3e0, 8e0 UNION ALL SELECT 0.9e0, 1e0, 8e0, 5e0) n ON c.p >= n.p0 AND c.p < n.p1""",
+    report_merge=lambda d: """
+        SELECT coalesce(a.book, b.book) AS book, CASE WHEN a.book IS NULL THEN 'only_second' WHEN b.book IS NULL THEN 'only_first' WHEN a.verdict = b.verdict THEN 'consensus' ELSE 'conflict' END AS merged
+        FROM (SELECT book, avg(hook_density) >= 2 AS verdict FROM metrics WHERE pace <> 'fast' GROUP BY book) a FULL OUTER JOIN (SELECT book, avg(conflict_density) >= 1.5 AS verdict FROM metrics WHERE pace <> 'slow' GROUP BY book) b ON a.book = b.book""",
+    version_compare=lambda d: "SELECT a.book, b.metric, round(b.v - a.v, 4) AS delta FROM (" + " UNION ALL ".join(f"SELECT book, '{c}' AS metric, round(avg({c}), 6) AS v FROM metrics WHERE ch_num % 2 = 0 GROUP BY book" for c in ("hook_density", "conflict_density", "readability")) + ") a JOIN (" + " UNION ALL ".join(f"SELECT book, '{c}' AS metric, round(avg({c}), 6) AS v FROM metrics WHERE ch_num % 2 = 1 GROUP BY book" for c in ("hook_density", "conflict_density", "readability")) + ") b ON a.book = b.book AND a.metric = b.metric",
+    cross_genre=lambda d: """
+        SELECT a.book, b.lang, round(a.v / b.v, 4) AS ratio FROM (SELECT source AS book, avg(n_chars) AS v FROM documents GROUP BY source) a CROSS JOIN (SELECT lang, avg(n_chars) AS v FROM documents GROUP BY lang) b""",
+    customer_orders=lambda d: """
+        SELECT n.n_name, CAST(count(*) AS BIGINT) AS n_orders, round(sum(CAST(o.o_totalprice AS DOUBLE)), 1) AS total FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY n.n_name""",
+)

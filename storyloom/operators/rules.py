@@ -1,0 +1,49 @@
+"""Rule tables that turn metrics into findings: gates, labels, instructions, audits, detectors."""
+
+from storyloom.plans.registry import register
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+# Findings as (rule, severity, predicate over the metric row).
+INSTRUCTIONS = [("weak_hook", "high", "hook_density < 1"), ("flat_conflict", "high", "conflict_density < 0.5"), ("low_pleasure", "medium", "pleasure_intensity < 2"), ("long_sentences", "low", "avg_sentence_len > 80"), ("slow_pace", "low", "pace = 'slow'"), ("burnout", "medium", "burnout_count > 0"), ("hard_to_read", "medium", "readability > 0.8")]
+RED_LINES = [("copyright", "error", "all rights reserved"), ("contact", "error", "[a-z0-9._]+@[a-z0-9.]+"), ("secret", "critical", "api[_-]?key|password|secret"), ("license", "info", "licensed under|released under")]
+
+register(
+    QUERIES,
+    ORACLES,
+    structure_labels=lambda d: """
+        SELECT book, ch_num, CASE WHEN conflict_density > 3 AND pleasure_intensity > 6 THEN 'climax' WHEN pleasure_intensity - prev > 2.5 THEN 'burst' WHEN prev - pleasure_intensity > 2.5 THEN 'release' WHEN conflict_density > 2 THEN 'escalation' WHEN hook_density > 3 THEN 'setup' WHEN pleasure_intensity < 2 THEN 'rest' ELSE 'steady' END AS label
+        FROM (SELECT *, lag(pleasure_intensity, 1) OVER (PARTITION BY book ORDER BY ch_num) AS prev FROM metrics) a""",
+    book_tags=lambda d: "SELECT book, tag FROM (" + " UNION ALL ".join(f"SELECT book, '{t}' AS tag, {p} AS fires FROM metrics GROUP BY book" for t, p in (("hooky", "avg(hook_density) > 2"), ("tense", "avg(conflict_density) > 1.5"), ("fast", "avg(CASE WHEN pace = 'fast' THEN 1e0 ELSE 0e0 END) > 0.2"), ("varied", "count(DISTINCT dominant_sub) > 4"))) + ") a WHERE fires",
+    writing_instructions=lambda d: " UNION ALL ".join(f"SELECT book, ch_num, '{r}' AS rule, '{s}' AS severity FROM metrics WHERE {p}" for r, s, p in INSTRUCTIONS),
+    red_lines=lambda d: " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, '{s}' AS severity, CAST({d.rx('lower(text)', p)} AS BIGINT) AS hits FROM documents WHERE {d.like('lower(text)', p)}" for r, s, p in RED_LINES),
+    quality_gate=lambda d: """
+        SELECT book, CASE WHEN n < 10 THEN 'FAIL' WHEN streak > greatest(5, least(floor(0.03 * n), 15)) THEN 'QUARANTINE' WHEN score < 30 THEN 'QUARANTINE' ELSE 'PASS' END AS verdict, n, streak, CAST(score AS BIGINT) AS score FROM (
+          SELECT m.book, CAST(count(*) AS BIGINT) AS n, coalesce(max(s.run), 0) AS streak, floor(100 * (least(avg(m.hook_density) / 3, 1e0) + least(avg(m.pleasure_intensity) / 6, 1e0) + least(avg(m.conflict_density) / 2, 1e0)) / 3) AS score
+          FROM metrics m LEFT JOIN (SELECT book, CAST(max(c) AS BIGINT) AS run FROM (SELECT book, island, count(*) AS c FROM (SELECT book, ch_num - row_number() OVER (PARTITION BY book ORDER BY ch_num) AS island FROM metrics WHERE hook_density = 0) a GROUP BY book, island) b GROUP BY book) s ON m.book = s.book GROUP BY m.book) z""",
+    rhythm_audit=lambda d: """
+        SELECT book, fails, CASE WHEN fails >= 3 THEN 'FAIL' WHEN fails >= 1 THEN 'WARN' ELSE 'PASS' END AS status FROM (
+          SELECT b.book, CAST(CASE WHEN b.hook < 0.01 THEN 1 ELSE 0 END + CASE WHEN abs(b.inten - g.mu) > 3 * g.sd THEN 1 ELSE 0 END + CASE WHEN b.none_share > 0.95 THEN 1 ELSE 0 END + CASE WHEN b.wc NOT BETWEEN 500 AND 10000 THEN 1 ELSE 0 END + CASE WHEN b.r NOT BETWEEN 0.05 AND 0.9 THEN 1 ELSE 0 END AS BIGINT) AS fails
+          FROM (SELECT book, avg(hook_density) AS hook, avg(pleasure_intensity) AS inten, avg(CASE WHEN hook_type = 'none' THEN 1e0 ELSE 0e0 END) AS none_share, avg(wc) AS wc, avg(readability) AS r FROM metrics GROUP BY book) b CROSS JOIN (SELECT avg(pleasure_intensity) AS mu, stddev_samp(pleasure_intensity) AS sd FROM metrics) g) z""",
+    platform_compliance=lambda d: """
+        SELECT book, 100 - 20 * CASE WHEN hook_rate < 0.6 THEN 1 ELSE 0 END - 20 * CASE WHEN conflict_rate < 0.4 THEN 1 ELSE 0 END - 10 * CASE WHEN off_length > 0.5 THEN 1 ELSE 0 END AS score FROM (
+          SELECT book, avg(CASE WHEN ch_num <= 10 THEN CASE WHEN hook_type <> 'none' THEN 1e0 ELSE 0e0 END END) AS hook_rate, avg(CASE WHEN ch_num <= 10 THEN CASE WHEN conflict_level <> 'none' THEN 1e0 ELSE 0e0 END END) AS conflict_rate, avg(CASE WHEN wc NOT BETWEEN 500 AND 6000 THEN 1e0 ELSE 0e0 END) AS off_length FROM metrics GROUP BY book) a""",
+    unigram_perplexity=lambda d: f"""
+        SELECT doc_id, round(pow(2e0, -sum(p * log2(p))), 3) AS perplexity FROM (
+          SELECT doc_id, n / CAST(sum(n) OVER (PARTITION BY doc_id) AS DOUBLE) AS p FROM (
+            SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, {d.explode_words("lower(coalesce(text, ''))")} AS word FROM documents) a WHERE length(word) > 0 GROUP BY doc_id, word) b) c GROUP BY doc_id""",
+    line_burstiness=lambda d: f"""
+        SELECT doc_id, CASE WHEN avg(len) > 0 THEN round(stddev_pop(len) / avg(len), 3) ELSE 0e0 END AS burstiness, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, CAST(length(line) AS DOUBLE) AS len FROM (SELECT doc_id, {d.explode_lines("coalesce(text, '')")} AS line FROM documents) a) b GROUP BY doc_id""",
+    prefix_share=lambda d: f"""
+        SELECT doc_id, round(max(n) / CAST(sum(n) AS DOUBLE), 3) AS top_share FROM (SELECT doc_id, substr(line, 1, 3) AS head, count(*) AS n FROM (SELECT doc_id, {d.explode_lines("coalesce(text, '')")} AS line FROM documents) a GROUP BY doc_id, substr(line, 1, 3)) b GROUP BY doc_id""",
+    golden_three=lambda d: """
+        SELECT book, round(0.25e0 * g1 + 0.2e0 * g2 + 0.25e0 * g3 + 0.15e0 * g4 + 0.15e0 * g5, 3) AS total FROM (
+          SELECT book, least(10e0, avg(hook_density) * 3) AS g1, least(10e0, avg(conflict_density) * 4) AS g2, least(10e0, avg(pleasure_intensity)) AS g3, 10 * avg(dialogue_ratio) AS g4, 10 * (1 - avg(readability)) AS g5 FROM metrics WHERE ch_num <= 3 GROUP BY book) a""",
+    attribution=lambda d: f"""
+        SELECT book, metric, round(loss, 4) AS loss, CAST(least(floor(8 * loss), 15) AS BIGINT) AS gain FROM (
+          SELECT a.*, row_number() OVER (PARTITION BY book ORDER BY loss DESC, metric) AS k FROM (
+            SELECT v.book, v.metric, round(greatest(0e0, (p.med - v.v) / greatest(p.q3 - p.q1, 0.01e0)), 6) AS loss FROM ({" UNION ALL ".join(f"SELECT book, '{c}' AS metric, avg({c}) AS v FROM metrics GROUP BY book" for c in ("hook_density", "conflict_density", "pleasure_intensity"))}) v
+            JOIN ({" UNION ALL ".join(f"SELECT '{c}' AS metric, {d.percentile('v', 0.5)} AS med, {d.percentile('v', 0.25)} AS q1, {d.percentile('v', 0.75)} AS q3 FROM (SELECT book, avg({c}) AS v FROM metrics GROUP BY book) q" for c in ("hook_density", "conflict_density", "pleasure_intensity"))}) p ON v.metric = p.metric) a) b
+        WHERE k <= 3 AND loss > 0""",
+)

@@ -1,0 +1,110 @@
+"""Operators over the ordered chapters of a book: streaks, turning points, trends, ranks."""
+
+from storyloom.plans.registry import register
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+STREAKS = """
+    SELECT book, CAST(count(*) AS BIGINT) AS run FROM (
+      SELECT book, ch_num - row_number() OVER (PARTITION BY book ORDER BY ch_num) AS island FROM metrics WHERE {where}) a
+    GROUP BY book, island"""
+
+register(
+    QUERIES,
+    ORACLES,
+    zero_hook_streak=lambda d: f"SELECT b.book, coalesce(max(s.run), 0) AS max_streak FROM (SELECT DISTINCT book FROM metrics) b LEFT JOIN ({STREAKS.format(where='hook_density < 0.1')}) s ON b.book = s.book GROUP BY b.book",
+    low_conflict_runs=lambda d: f"SELECT book, CAST(count(*) AS BIGINT) AS n_runs, max(run) AS longest FROM ({STREAKS.format(where='conflict_density < 1')}) s WHERE run >= 2 GROUP BY book",
+    chapter_variability=lambda d: """
+        SELECT book, ch_num, CASE WHEN prev_wc IS NULL OR ch_num = n THEN 0e0 ELSE round((abs(wc - prev_wc) / greatest(prev_wc, 1) + abs(pos_density - prev_pos) / greatest(prev_pos, 0.001e0)
+               + abs(conflict_density - prev_conf) / greatest(prev_conf, 0.001e0) + abs(hook_density - prev_hook) / greatest(prev_hook, 0.001e0)) / 4, 3) END AS ch_variability
+        FROM (SELECT *, count(*) OVER (PARTITION BY book) AS n, lag(wc) OVER w AS prev_wc, lag(pos_density) OVER w AS prev_pos, lag(conflict_density) OVER w AS prev_conf, lag(hook_density) OVER w AS prev_hook
+              FROM metrics WINDOW w AS (PARTITION BY book ORDER BY ch_num)) a""",
+    pleasure_level=lambda d: """
+        SELECT book, ch_num, round(near, 3) AS near_intensity, CASE WHEN top = 1 AND near >= 4 THEN 'large' WHEN top = 1 OR slaps >= 5 THEN 'medium' ELSE 'small' END AS pleasure_level
+        FROM (SELECT book, ch_num, avg(pleasure_intensity) OVER w AS near, max(CASE WHEN pleasure_type IN ('climax', 'major') THEN 1 ELSE 0 END) OVER w AS top, sum(slap_count) OVER w AS slaps
+              FROM metrics WINDOW w AS (PARTITION BY book ORDER BY ch_num ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) a""",
+    verify_sample=lambda d: """
+        SELECT book, ch_num FROM (
+          SELECT book, ch_num, row_number() OVER (PARTITION BY book ORDER BY ch_num) AS pick FROM (
+            SELECT *, count(*) OVER (PARTITION BY book) AS n, row_number() OVER (PARTITION BY book ORDER BY pleasure_intensity DESC, ch_num) AS by_intensity, row_number() OVER (PARTITION BY book ORDER BY conflict_density DESC, ch_num) AS by_conflict FROM metrics) a
+          WHERE (ch_num - 1) % greatest(CAST(floor(n / 10) AS BIGINT), 1) = 0 OR ch_num = n OR by_intensity = 1 OR by_conflict = 1) b
+        WHERE pick <= 15""",
+    turning_points=lambda d: """
+        SELECT book, ch_num, round(jump, 4) AS jump FROM (
+          SELECT book, ch_num, n, abs(after_v - before_v) AS jump, sd FROM (
+            SELECT book, ch_num, count(*) OVER (PARTITION BY book) AS n, avg(v) OVER (PARTITION BY book ORDER BY ch_num ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS after_v, avg(v) OVER (PARTITION BY book ORDER BY ch_num ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS before_v, stddev_samp(v) OVER (PARTITION BY book ORDER BY ch_num ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS sd
+            FROM (SELECT book, ch_num, pos_density - neg_density AS v FROM metrics) a) b) c
+        WHERE n >= 10 AND ch_num > 2 AND ch_num <= n - 2 AND jump > 1.2 * sd""",
+    state_trajectory=lambda d: """
+        SELECT book, CAST(sum(CASE WHEN abs(dv) > 1.5 * sd THEN 1 ELSE 0 END) AS BIGINT) AS n_shifts, CAST(count(*) AS BIGINT) AS n, round(1 - sum(CASE WHEN abs(dv) > 1.5 * sd THEN 1e0 ELSE 0e0 END) / count(*), 3) AS stability
+        FROM (SELECT book, v - lag(v) OVER (PARTITION BY book ORDER BY ch_num) AS dv, stddev_samp(v) OVER (PARTITION BY book) AS sd FROM (SELECT book, ch_num, pos_density - neg_density AS v FROM metrics) a) b GROUP BY book""",
+    plot_transitions=lambda d: """
+        SELECT book, CAST(sum(CASE WHEN dominant_sub <> before_sub THEN 1 ELSE 0 END) AS BIGINT) AS transitions
+        FROM (SELECT book, dominant_sub, lag(dominant_sub) OVER (PARTITION BY book ORDER BY ch_num) AS before_sub FROM metrics) a GROUP BY book""",
+    template_match=lambda d: """
+        SELECT book, ch_num FROM (SELECT book, ch_num, pace AS p0, lead(pace, 1) OVER w AS p1, lead(pace, 2) OVER w AS p2 FROM metrics WINDOW w AS (PARTITION BY book ORDER BY ch_num)) a
+        WHERE p0 = 'medium' AND p1 = 'slow' AND p2 = 'medium'""",
+    risk_events=lambda d: """
+        SELECT book, ch_num, risk FROM (
+          SELECT book, ch_num, risk, row_number() OVER (PARTITION BY book ORDER BY ch_num, risk) AS k FROM (
+            SELECT book, ch_num, CASE WHEN hook_density = 0 AND prev_hook = 0 THEN 'no_hook_twice' WHEN conflict_density < 0.5 AND p1 < 0.5 AND p2 < 0.5 THEN 'flat_conflict' END AS risk
+            FROM (SELECT *, lag(hook_density) OVER w AS prev_hook, lag(conflict_density) OVER w AS p1, lag(conflict_density, 2) OVER w AS p2 FROM metrics WINDOW w AS (PARTITION BY book ORDER BY ch_num)) a) b
+          WHERE risk IS NOT NULL) c WHERE k <= 10""",
+    beat_smooth=lambda d: """
+        SELECT book, ch_num, CASE WHEN n >= 5 THEN round(s / 5, 4) ELSE round(v, 4) END AS smoothed
+        FROM (SELECT book, ch_num, v, count(*) OVER (PARTITION BY book) AS n, sum(v) OVER (PARTITION BY book ORDER BY ch_num ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM (SELECT book, ch_num, conflict_density + 0.5e0 * hook_density AS v FROM metrics) a) b""",
+    beat_detection=lambda d: """
+        SELECT book, beat, found_ch, target_ch, round(1 - abs(found_ch - target_ch) / n, 3) AS confidence FROM (
+          SELECT m.book, t.beat, m.ch_num AS found_ch, CAST(floor(t.place * b.n) AS BIGINT) AS target_ch, b.n, row_number() OVER (PARTITION BY m.book, t.beat ORDER BY m.conflict_density + 0.5e0 * m.hook_density DESC, m.ch_num) AS k
+          FROM metrics m JOIN (SELECT book, CAST(count(*) AS DOUBLE) AS n FROM metrics GROUP BY book) b ON m.book = b.book
+          JOIN (SELECT 'catalyst' AS beat, 0.1e0 AS place UNION ALL SELECT 'midpoint', 0.5e0 UNION ALL SELECT 'all_is_lost', 0.75e0 UNION ALL SELECT 'finale', 0.9e0) t
+            ON abs(m.ch_num - floor(t.place * b.n)) <= greatest(5, floor(0.05e0 * b.n))) a
+        WHERE k = 1""",
+    emotion_monotony=lambda d: """
+        SELECT user_id, event_id, event_type, run FROM (
+          SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id, event_type, island ORDER BY ts, event_id) AS BIGINT) AS run FROM (
+            SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS island FROM events) a) b
+        WHERE run >= 3""",
+    growth_stagnation=lambda d: """
+        SELECT user_id, n - coalesce(last_growth, 0) AS stalled FROM (
+          SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(max(CASE WHEN event_type = 'purchase' THEN k END) AS BIGINT) AS last_growth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) a GROUP BY user_id) b
+        WHERE n - coalesce(last_growth, 0) >= 10""",
+    foreshadow_decay=lambda d: f"""
+        SELECT event_id, user_id, CASE WHEN age > 20 THEN 'archive' WHEN age > 10 THEN 'warn' ELSE 'open' END AS state, CAST(age AS BIGINT) AS age
+        FROM (SELECT event_id, user_id, {d.days("max(ts) OVER (PARTITION BY user_id)", "ts")} AS age FROM events) a""",
+    context_window=lambda d: """
+        SELECT book, ch_num, CAST(count(wc) OVER w AS BIGINT) AS n_before, CAST(coalesce(sum(wc) OVER w, 0) AS BIGINT) AS wc_before, round(avg(pleasure_intensity) OVER w, 3) AS intensity_before
+        FROM metrics WINDOW w AS (PARTITION BY book ORDER BY ch_num ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""",
+    peak_interval=lambda d: """
+        SELECT book, CAST(count(*) AS BIGINT) AS n_peaks, round(avg(gap), 3) AS mean_gap FROM (SELECT book, ch_num - lag(ch_num) OVER (PARTITION BY book ORDER BY ch_num) AS gap FROM metrics WHERE pleasure_intensity >= 4) a GROUP BY book""",
+    wave_turning=lambda d: """
+        SELECT book, ch_num, round(pleasure_intensity / prev, 3) AS ratio FROM (SELECT book, ch_num, pleasure_intensity, lag(pleasure_intensity) OVER (PARTITION BY book ORDER BY ch_num) AS prev FROM metrics) a
+        WHERE prev > 0 AND pleasure_intensity / prev > 1.3""",
+    adaptive_keyframes=lambda d: """
+        SELECT book, ch_num FROM (
+          SELECT book, ch_num, row_number() OVER (PARTITION BY book ORDER BY ch_num) AS k FROM (
+            SELECT *, count(*) OVER (PARTITION BY book) AS n, row_number() OVER (PARTITION BY book ORDER BY conflict_density DESC, ch_num) AS c, row_number() OVER (PARTITION BY book ORDER BY pleasure_intensity DESC, ch_num) AS i,
+                   sum(CASE WHEN hook_density < 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY ch_num) AS hookless FROM metrics) a
+          WHERE ch_num <= 3 OR c <= 5 OR i <= 3 OR ch_num = n OR (hook_density < 0.1 AND hookless <= 5) OR ch_num % greatest(CAST(floor(n / 10) AS BIGINT), 1) = 0) b
+        WHERE k <= 30""",
+    climax_positions=lambda d: """
+        SELECT book, CAST(min(CASE WHEN pleasure_intensity > 1.3 * mean THEN ch_num END) AS BIGINT) AS first_high, CAST(min(CASE WHEN pleasure_intensity = top THEN ch_num END) AS BIGINT) AS climax_ch, CAST(max(ch_num) AS BIGINT) AS n
+        FROM (SELECT book, ch_num, pleasure_intensity, avg(pleasure_intensity) OVER (PARTITION BY book) AS mean, max(pleasure_intensity) OVER (PARTITION BY book) AS top FROM metrics) a GROUP BY book""",
+    half_trend=lambda d: """
+        SELECT book, round(avg(CASE WHEN 2 * ch_num <= n THEN pleasure_intensity END), 3) AS first_half, round(avg(CASE WHEN 2 * ch_num > n THEN pleasure_intensity END), 3) AS second_half
+        FROM (SELECT book, ch_num, pleasure_intensity, count(*) OVER (PARTITION BY book) AS n FROM metrics) a GROUP BY book""",
+    borda_rank=lambda d: """
+        SELECT book, borda, CAST(row_number() OVER (ORDER BY borda, book) AS BIGINT) AS consensus FROM (
+          SELECT book, CAST(row_number() OVER (ORDER BY pos DESC, book) + row_number() OVER (ORDER BY conf DESC, book) + row_number() OVER (ORDER BY hook DESC, book) + row_number() OVER (ORDER BY inten DESC, book) + row_number() OVER (ORDER BY read_, book) AS BIGINT) AS borda
+          FROM (SELECT book, round(avg(pos_density), 4) AS pos, round(avg(conflict_density), 4) AS conf, round(avg(hook_density), 4) AS hook, round(avg(pleasure_intensity), 4) AS inten, round(avg(readability), 4) AS read_ FROM metrics GROUP BY book) a) b""",
+    length_correction=lambda d: """
+        SELECT book, n, CASE WHEN n > 1.5 * med THEN round(least(1.8e0, 1 + 0.2e0 * log2(n / med)), 4) ELSE 1e0 END AS factor
+        FROM (SELECT a.book, a.n, m.med FROM (SELECT book, CAST(count(*) AS DOUBLE) AS n FROM metrics GROUP BY book) a
+              CROSS JOIN (SELECT max(n) AS med FROM (SELECT n, row_number() OVER (ORDER BY n, book) AS k, count(*) OVER () AS c FROM (SELECT book, CAST(count(*) AS DOUBLE) AS n FROM metrics GROUP BY book) b) e WHERE k = floor(c / 2) + 1) m) f""",
+    percent_rank_books=lambda d: """
+        SELECT book, CASE WHEN lo = hi THEN 50e0 ELSE round(100 * cd, 2) END AS intensity_pct FROM (
+          SELECT book, cume_dist() OVER (ORDER BY v) AS cd, min(v) OVER () AS lo, max(v) OVER () AS hi FROM (SELECT book, round(avg(pleasure_intensity), 4) AS v FROM metrics GROUP BY book) a) b""",
+    score_gaps=lambda d: """
+        SELECT book, v, round(v - lead(v) OVER (ORDER BY v DESC, book), 4) AS gap FROM (SELECT book, round(avg(pleasure_intensity), 4) AS v FROM metrics GROUP BY book) a""",
+)

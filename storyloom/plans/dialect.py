@@ -1,0 +1,72 @@
+"""The few spellings in which Spark SQL and the checking engine differ, so that a query is stated once."""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+class Dialect(NamedTuple):
+    spark: bool
+
+    def rx(self, text: str, pattern: str) -> str:
+        """How often a pattern occurs."""
+        return f"regexp_count({text}, '{pattern}')" if self.spark else f"len(regexp_extract_all({text}, '{pattern}'))"
+
+    def like(self, text: str, pattern: str) -> str:
+        return f"regexp_like({text}, '{pattern}')" if self.spark else f"regexp_matches({text}, '{pattern}')"
+
+    def drop(self, text: str, pattern: str) -> str:
+        return f"regexp_replace({text}, '{pattern}', '')" if self.spark else f"regexp_replace({text}, '{pattern}', '', 'g')"
+
+    def sha(self, text: str) -> str:
+        return f"sha2({text}, 256)" if self.spark else f"sha256({text})"
+
+    def chars(self, text: str) -> str:
+        """How many different characters."""
+        return f"size(array_distinct(split({text}, '')))" if self.spark else f"len(list_distinct(string_split({text}, '')))"
+
+    def percentile(self, value: str, p: float) -> str:
+        return f"percentile({value}, {p})" if self.spark else f"quantile_cont(CAST({value} AS DOUBLE), {p})"
+
+    def position(self, values: list[str], value: str) -> str:
+        """The first place, from 1, of a value in a list."""
+        return f"array_position(array({', '.join(values)}), {value})" if self.spark else f"list_position([{', '.join(values)}], {value})"
+
+    def element(self, values: list[str], place: str) -> str:
+        return f"element_at(array({', '.join(values)}), CAST({place} AS INT))" if self.spark else f"([{', '.join(values)}])[CAST({place} AS INT)]"
+
+    def explode_lines(self, text: str) -> str:
+        return f"explode(split({text}, chr(10)))" if self.spark else f"unnest(string_split({text}, chr(10)))"
+
+    def explode_words(self, text: str) -> str:
+        return f"explode(split({text}, '[^a-zà-ÿ]+'))" if self.spark else f"unnest(regexp_split_to_array({text}, '[^a-zà-ÿ]+'))"
+
+    def explode_numbers(self, low: str, high: str) -> str:
+        return f"explode(sequence({low}, {high}))" if self.spark else f"unnest(generate_series({low}, {high}))"
+
+    def explode_bigrams(self, text: str) -> str:
+        """Pairs of neighbouring characters."""
+        if self.spark:
+            chars = f"split({text}, '')"
+            return f"explode(zip_with(slice({chars}, 1, greatest(size({chars}) - 1, 0)), slice({chars}, 2, greatest(size({chars}) - 1, 0)), (x, y) -> concat(x, y)))"
+        chars = f"string_split({text}, '')"
+        return f"unnest(list_transform(list_zip({chars}[:-2], {chars}[2:]), lambda p: p[1] || p[2]))"
+
+    def days(self, late: str, early: str) -> str:
+        return f"datediff({late}, {early})" if self.spark else f"date_diff('day', CAST({early} AS DATE), CAST({late} AS DATE))"
+
+    def dot(self, a: str, b: str) -> str:
+        if self.spark:
+            return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x)"
+        return f"list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+SPARK, CHECK = Dialect(True), Dialect(False)
+
+
+def view(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
