@@ -6,13 +6,13 @@ the signature, and a component belongs to the shingle that arrives there first.
 lies after the latest first arrival of all components (early termination). Components of two texts agree with their
 probability Jaccard similarity.
 
-Signatures are cut into 32 bands of 4 components. Buckets of equal bands are searched without listing all pairs: first
-each class meets the smallest member of its buckets; links that verification confirms are joined to components. Buckets
-whose members are all of one component are done. Members of the others share at least one band with a stranger; a pair
-over the threshold shares two or more with a chance of 1 - 1e-6, so such buckets are split by a second band, and in
-rounds with twice as many leaders each time every remaining leader meets all members of other components, until no
-bucket holds an untested pair of two components. A pair is linked if its sets of shingles have a Jaccard similarity of
-at least 0.8, computed from the whole texts.
+Signatures are cut into 32 bands of 4 components; a pair at the threshold shares a band with a chance of 1 - 5e-8. Buckets
+of equal bands are searched without listing all pairs: first each class meets the smallest member of its buckets, and
+verified links are joined to components. Buckets whose members are all of one component are done. Members of the others
+are bucketed anew by their rarest shingles (prefix filtering: texts over the threshold share one of them for certain,
+while a passage that many unlike texts have in common is no rare shingle), and in rounds with twice as many leaders each
+time every remaining leader meets the members of other components, until no bucket holds an untested pair of two
+components. A pair is linked if its sets of shingles have a Jaccard similarity of at least 0.8, from the whole texts.
 
 Defined results: null and empty texts (and those of white space only) form one class; texts under five words have one
 shingle, all their words; rows with equal doc_id are one document and share a class; a null doc_id is replaced by a
@@ -32,6 +32,8 @@ from storyloom.llm.common import WS_CHARS, WS_CLASS, flat_bytes, materialize, mi
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 4
+#: Cells in which shingles are counted to tell rare ones from common ones.
+CELLS = 1 << 18
 
 
 def node_id(doc_id: Column, norm: Column) -> Column:
@@ -117,6 +119,40 @@ def compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(hit))
 
 
+def cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a task have a shingle in each cell."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for part in slices(batch, "norm"):
+            _, element, _ = shingles(part.column("norm"))
+            total += np.bincount((element & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    cell = np.flatnonzero(total)
+    for i in range(0, len(cell), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + 65536]), pa.array(total[cell[i : i + 65536]])], names=["cell", "n"])
+
+
+def rarest(batches: Iterator[pa.RecordBatch], counts: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(key, id): the rarest shingles of each text, so many that two similar texts have one of them in common."""
+    for batch in batches:
+        for part in slices(batch, "norm"):
+            doc, element, _ = shingles(part.column("norm"))
+            order = np.lexsort((element, counts[(element & np.uint64(CELLS - 1)).astype(np.int64)], doc))
+            n = np.bincount(doc, minlength=part.num_rows)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            chosen = order[place <= np.repeat(n - np.ceil(similarity * n - 1e-9), n)]
+            ids = part.column("id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(element[chosen].view(np.int64)), pa.array(ids[doc[chosen]])], names=["key", "id"])
+
+
+def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """Buckets by rare shingles. Texts of a Jaccard similarity of at least s share one of the n - ceil(s n) + 1 first shingles in any order that all texts follow; here rare cells come first."""
+    counts = np.zeros(CELLS, np.int64)
+    found = texts.select("norm").mapInArrow(cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts[found["cell"]] = found["n"]  # CELLS numbers, whatever the input
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    return texts.select("id", "norm").mapInArrow(lambda it: rarest(it, shared.value, similarity), "key long, id long")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("text_b")), "b")
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: compared(it, similarity), "a long, b long")
@@ -171,12 +207,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = buckets.where("id != leader").groupBy("id").agg(F.min("leader").alias("b")).select(F.col("id").alias("a"), "b")
     links = materialize(linked(first, texts, similarity))
     labels = components(links)
-    open_rows = unresolved(with_component(buckets.select("key", "id"), labels))
-    # pairs over the threshold share two bands: bucket by both
-    split = open_rows.join(classes.select("id", F.explode("bands").alias("other")), "id").where("other > key")
-    below = open_rows.join(classes.select("id", F.explode("bands").alias("other")), "id").where("other < key")
-    split = split.select(F.xxhash64("key", "other").alias("key"), "id", "component").union(below.select(F.xxhash64("other", "key").alias("key"), "id", "component")).distinct()
-    rest = materialize(unresolved(split))
+    strangers = unresolved(with_component(buckets.select("key", "id"), labels)).select("id").distinct()
+    rest = materialize(unresolved(with_component(prefixes(texts.join(strangers, "id", "left_semi"), similarity), labels)))
     leaders = 1
     while not rest.isEmpty():
         ranked = rest.join(rest.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")), "key")
