@@ -10,9 +10,9 @@ Signatures are cut into 32 bands of 4 components; a pair at the threshold shares
 of equal bands are searched without listing all pairs: first each class meets the smallest member of its buckets, and
 verified links are joined to components. Buckets whose members are all of one component are done. Members of the others
 are bucketed anew by their rarest shingles (prefix filtering: texts over the threshold share one of them for certain,
-while a passage that many unlike texts have in common is no rare shingle), and in rounds with twice as many leaders each
-time every remaining leader meets the members of other components, until no bucket holds an untested pair of two
-components. A pair is linked if its sets of shingles have a Jaccard similarity of at least 0.8, from the whole texts.
+while a passage that many unlike texts have in common is no rare shingle). In rounds that cost as many pairs as there are
+such members each meets one of another component, as long as this links many of them; then, with twice as many leaders
+in each round, leaders meet all members of other components, until no bucket holds an untested pair of two components. A pair is linked if its sets of shingles have a Jaccard similarity of at least 0.8, from the whole texts.
 
 Defined results: null and empty texts (and those of white space only) form one class; texts under five words have one
 shingle, all their words; rows with equal doc_id are one document and share a class; a null doc_id is replaced by a
@@ -43,7 +43,7 @@ def node_id(doc_id: Column, norm: Column) -> Column:
 def normalized(docs: DataFrame) -> DataFrame:
     """id, norm (white space as single spaces, trimmed), digest."""
     rows = docs.select("doc_id", F.btrim(F.regexp_replace(text_of(docs), f"{WS_CLASS}+", " "), F.lit(WS_CHARS)).alias("norm"))
-    return rows.select(node_id(F.col("doc_id"), F.col("norm")).alias("id"), "doc_id", "norm", F.unhex(F.md5("norm")).alias("digest"))
+    return rows.select(node_id(F.col("doc_id"), F.col("norm")).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "norm", F.unhex(F.md5("norm")).alias("digest"))
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
 
 
 def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, digest, bands: 64-bit hashes of the bands, none for texts without words."""
+    """id, doc_id, digest, bands: 64-bit hashes of the bands, none for texts without words."""
     for batch in batches:
         for part in slices(batch, "norm", 4 << 20):
             doc, element, weight = shingles(part.column("norm"))
@@ -101,7 +101,7 @@ def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.zeros(part.num_rows, np.int64)
             sizes[doc] = BANDS
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(keys[sizes > 0].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), lists], names=["id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc_id"), part.column("digest"), lists], names=["id", "doc_id", "digest", "bands"])
 
 
 def compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def unresolved(buckets: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: id (doc_id, or its stand-in where null), doc_id, copy_of (smallest id of its equal texts), class_id."""
     rows = normalized(docs)
-    signed = materialize(rows.select("id", "digest", "norm").mapInArrow(banded, "id long, digest binary, bands array<long>"))
+    signed = materialize(rows.select("id", "doc_id", "digest", "norm").mapInArrow(banded, "id long, doc_id long, digest binary, bands array<long>"))
     classes = materialize(signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     keyed = classes.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("key", "leader")
@@ -209,23 +209,49 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     labels = components(links)
     strangers = unresolved(with_component(buckets.select("key", "id"), labels)).select("id").distinct()
     rest = materialize(unresolved(with_component(prefixes(texts.join(strangers, "id", "left_semi"), similarity), labels)))
+    turn, merging = 0, True
+    while merging and not rest.isEmpty():  # each stranger meets one other a round, as long as that links many
+        pairs = materialize(partners(rest, turn))
+        more = materialize(linked(pairs, texts, similarity))
+        merging = more.count() > 0.05 * pairs.count()
+        if not more.isEmpty():
+            labels = joined(labels, more)
+            rest = materialize(unresolved(with_component(rest.select("key", "id"), labels)))
+        turn += 1
     leaders = 1
-    while not rest.isEmpty():
-        ranked = rest.join(rest.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")), "key")
-        chosen = leading(ranked, leaders)
+    while not rest.isEmpty():  # those that are left all meet
+        chosen = leading(rest.join(rest.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")), "key"), leaders)
         met = rest.alias("r").join(chosen.alias("c"), "key").where("r.component != c.component")
         pairs = met.select(F.greatest("r.id", "c.id").alias("a"), F.least("r.id", "c.id").alias("b")).distinct()
         more = materialize(linked(pairs, texts, similarity))
         if not more.isEmpty():
-            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+            labels = joined(labels, more)
         left = rest.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
         rest = materialize(unresolved(with_component(left, labels)))
         leaders *= 2
-    members = rows.select("id", "doc_id", "digest").join(classes.select("digest", F.col("id").alias("copy_of")), "digest")
+    members = signed.select("id", "doc_id", "digest").join(classes.select("digest", F.col("id").alias("copy_of")), "digest")
     named = labels.select(F.col("id").alias("copy_of"), F.col("component").alias("class_id"))
     return members.join(named, "copy_of", "left").select("id", "doc_id", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+
+
+def partners(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each member meets one of another component, that offered by most of its buckets.
+
+    A bucket offers two members, drawn by a hash that changes with the turn, of two components: rows stay linear.
+    """
+    drawn = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")
+    one = rest.groupBy("key").agg(F.min(drawn).alias("one"))
+    two = rest.join(one, "key").where("component != one.component").groupBy("key").agg(F.min(drawn).alias("two"))
+    offered = rest.join(one, "key").join(two, "key").select("id", F.when(F.col("component") == F.col("one.component"), F.col("two.id")).otherwise(F.col("one.id")).alias("other"))
+    best = offered.groupBy("id", "other").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "other")).alias("best"))
+    return best.select(F.greatest("id", "best.other").alias("a"), F.least("id", "best.other").alias("b")).distinct()
+
+
 def leading(ranked: DataFrame, leaders: int) -> DataFrame:
     """About `leaders` members of each bucket, spread by a hash; its smallest one always."""
     share = F.pmod(F.xxhash64("id", "key"), F.greatest(F.col("n"), F.lit(1)))
