@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import flat_bytes, materialize, mix64, read, slices, text_of, window_hashes, word_hashes, words_of
+from storyloom.llm.common import flat_bytes, mix64, read, slices, text_of, window_hashes, word_hashes, words_of
 
 WINDOW, GRAM = 20, 10
 ROWS, BLOCK_BITS, MAX_WIDTH = 2, 18, 1 << 30
