@@ -10,9 +10,12 @@ Signatures are cut into 32 bands of 4 components; a pair at the threshold shares
 of equal bands are searched without listing all pairs: first each class meets the smallest member of its buckets, and
 verified links are joined to components. Buckets whose members are all of one component are done. Members of the others
 are bucketed anew by their rarest shingles (prefix filtering: texts over the threshold share one of them for certain,
-while a passage that many unlike texts have in common is no rare shingle). In rounds that cost as many pairs as there are
-such members each meets one of another component, as long as this links many of them; then, with twice as many leaders
-in each round, leaders meet all members of other components, until no bucket holds an untested pair of two components. A pair is linked if its sets of shingles have a Jaccard similarity of at least 0.8, from the whole texts.
+while a passage that many unlike texts have in common is no rare shingle). The place of a shingle in that order bounds the
+overlap of two texts whose first common shingle it is; a bucket offers only pairs that can reach the threshold (positional
+filtering). In rounds that cost as many pairs as there are such members each meets one of another component, at first
+the member with the fewest rarer shingles (in a group of edited copies that is the original, which links to all that
+link at all), as long as this links many of them; then, with twice as many leaders in each round, leaders meet all members
+of other components, until no bucket holds an untested pair of two components. A pair is linked if its sets of shingles have a Jaccard similarity of at least 0.8, from the whole texts.
 
 Defined results: null and empty texts (and those of white space only) form one class; texts under five words have one
 shingle, all their words; rows with equal doc_id are one document and share a class; a null doc_id is replaced by a
@@ -33,7 +36,7 @@ from storyloom.llm.common import WS_CHARS, WS_CLASS, flat_bytes, materialize, mi
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 4
 #: Cells in which shingles are counted to tell rare ones from common ones.
-CELLS = 1 << 18
+CELLS = 1 << 20
 
 
 def node_id(doc_id: Column, norm: Column) -> Column:
@@ -132,16 +135,18 @@ def cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rarest(batches: Iterator[pa.RecordBatch], counts: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(key, id): the rarest shingles of each text, so many that two similar texts have one of them in common."""
+    """(key, id, place, n): the rarest shingles of each text, so many that two similar texts have one of them in common, the place of each among the n of the text."""
     for batch in batches:
         for part in slices(batch, "norm"):
             doc, element, _ = shingles(part.column("norm"))
             order = np.lexsort((element, counts[(element & np.uint64(CELLS - 1)).astype(np.int64)], doc))
             n = np.bincount(doc, minlength=part.num_rows)
             place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            chosen = order[place <= np.repeat(n - np.ceil(similarity * n - 1e-9), n)]
+            early = place <= np.repeat(n - np.ceil(similarity * n - 1e-9), n)
+            chosen = order[early]
             ids = part.column("id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(element[chosen].view(np.int64)), pa.array(ids[doc[chosen]])], names=["key", "id"])
+            columns = [element[chosen].view(np.int64), ids[doc[chosen]], place[early], n[doc[chosen]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "place", "n"])
 
 
 def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
@@ -150,7 +155,7 @@ def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
     found = texts.select("norm").mapInArrow(cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts[found["cell"]] = found["n"]  # CELLS numbers, whatever the input
     shared = texts.sparkSession.sparkContext.broadcast(counts)
-    return texts.select("id", "norm").mapInArrow(lambda it: rarest(it, shared.value, similarity), "key long, id long")
+    return texts.select("id", "norm").mapInArrow(lambda it: rarest(it, shared.value, similarity), "key long, id long, place long, n long")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -194,6 +199,18 @@ def unresolved(buckets: DataFrame) -> DataFrame:
     return buckets.join(mixed, "key", "left_semi")
 
 
+def can_link(a: str, b: str, similarity: float) -> Column:
+    """If the shingle of the bucket is the first common one of rows a and b, their overlap is at most what follows it in either; it has to reach the share of both sizes that the threshold asks for."""
+    return F.least(F.expr(f"{a}.n - {a}.place"), F.expr(f"{b}.n - {b}.place")) >= F.expr(f"{a}.n + {b}.n") * (similarity / (1 + similarity)) - 1e-6
+
+
+def open_rows(rest: DataFrame, similarity: float) -> DataFrame:
+    """Rows of mixed buckets, without those whose remaining overlap is too small for even the smallest member."""
+    sizes = rest.groupBy("key").agg(F.min("n").alias("least_n"))
+    enough = (F.col("n") - F.col("place")) >= (F.col("n") + F.col("least_n")) * (similarity / (1 + similarity)) - 1e-6
+    return unresolved(rest.join(sizes, "key").where(enough).drop("least_n"))
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: id (doc_id, or its stand-in where null), doc_id, copy_of (smallest id of its equal texts), class_id."""
     rows = normalized(docs)
@@ -208,26 +225,26 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = materialize(linked(first, texts, similarity))
     labels = components(links)
     strangers = unresolved(with_component(buckets.select("key", "id"), labels)).select("id").distinct()
-    rest = materialize(unresolved(with_component(prefixes(texts.join(strangers, "id", "left_semi"), similarity), labels)))
+    rest = materialize(open_rows(unresolved(with_component(prefixes(texts.join(strangers, "id", "left_semi"), similarity), labels)), similarity))
     turn, merging = 0, True
     while merging and not rest.isEmpty():  # each stranger meets one other a round, as long as that links many
-        pairs = materialize(partners(rest, turn))
+        pairs = materialize(partners(rest, turn, similarity))
         more = materialize(linked(pairs, texts, similarity))
         merging = more.count() > 0.05 * pairs.count()
         if not more.isEmpty():
             labels = joined(labels, more)
-            rest = materialize(unresolved(with_component(rest.select("key", "id"), labels)))
+            rest = materialize(open_rows(with_component(rest.drop("component"), labels), similarity))
         turn += 1
     leaders = 1
     while not rest.isEmpty():  # those that are left all meet
-        chosen = leading(rest.join(rest.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")), "key"), leaders)
-        met = rest.alias("r").join(chosen.alias("c"), "key").where("r.component != c.component")
+        chosen = leading(rest.join(rest.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("place", "id")).alias("least")), "key"), leaders)
+        met = rest.alias("r").join(chosen.alias("c"), "key").where((F.col("r.component") != F.col("c.component")) & can_link("r", "c", similarity))
         pairs = met.select(F.greatest("r.id", "c.id").alias("a"), F.least("r.id", "c.id").alias("b")).distinct()
         more = materialize(linked(pairs, texts, similarity))
         if not more.isEmpty():
             labels = joined(labels, more)
-        left = rest.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
-        rest = materialize(unresolved(with_component(left, labels)))
+        left = rest.join(chosen.select("key", "id"), ["key", "id"], "left_anti").drop("component")
+        rest = materialize(open_rows(with_component(left, labels), similarity))
         leaders *= 2
     members = signed.select("id", "doc_id", "digest").join(classes.select("digest", F.col("id").alias("copy_of")), "digest")
     named = labels.select(F.col("id").alias("copy_of"), F.col("component").alias("class_id"))
@@ -239,23 +256,25 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
 
 
-def partners(rest: DataFrame, turn: int) -> DataFrame:
+def partners(rest: DataFrame, turn: int, similarity: float) -> DataFrame:
     """Pairs (a, b): each member meets one of another component, that offered by most of its buckets.
 
-    A bucket offers two members, drawn by a hash that changes with the turn, of two components: rows stay linear.
+    A bucket offers two members of two components: those with the fewest rarer shingles in turn 0, in others those drawn
+    by a hash that changes with the turn. Rows stay linear.
     """
-    drawn = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")
+    drawn = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("place")).alias("h"), "id", "component", "place", "n")
     one = rest.groupBy("key").agg(F.min(drawn).alias("one"))
     two = rest.join(one, "key").where("component != one.component").groupBy("key").agg(F.min(drawn).alias("two"))
-    offered = rest.join(one, "key").join(two, "key").select("id", F.when(F.col("component") == F.col("one.component"), F.col("two.id")).otherwise(F.col("one.id")).alias("other"))
-    best = offered.groupBy("id", "other").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "other")).alias("best"))
+    other = F.when(F.col("component") == F.col("one.component"), F.col("two")).otherwise(F.col("one"))
+    offered = rest.join(one, "key").join(two, "key").select("id", F.struct("place", "n").alias("own"), other.alias("other")).where(can_link("own", "other", similarity))
+    best = offered.groupBy("id", F.col("other.id").alias("other")).agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "other")).alias("best"))
     return best.select(F.greatest("id", "best.other").alias("a"), F.least("id", "best.other").alias("b")).distinct()
 
 
 def leading(ranked: DataFrame, leaders: int) -> DataFrame:
-    """About `leaders` members of each bucket, spread by a hash; its smallest one always."""
-    share = F.pmod(F.xxhash64("id", "key"), F.greatest(F.col("n"), F.lit(1)))
-    return ranked.where((F.col("id") == F.col("least")) | (share < leaders - 1)).select("key", "id", "component")
+    """About `leaders` members of each bucket, spread by a hash; that with the fewest rarer shingles always."""
+    share = F.pmod(F.xxhash64("id", "key"), F.greatest(F.col("members"), F.lit(1)))
+    return ranked.where((F.col("id") == F.col("least.id")) | (share < leaders - 1)).select("key", "id", "component", "place", "n")
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
