@@ -167,7 +167,7 @@ def packed(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: in
     tokens = loaded(path)
     block = Block(context.partitionId() if context else 0, tokens, length)
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", 1 << 20):
             ids, ends = tokens.memory.ids(part.column("text"))
             ids = np.insert(ids, ends[1:], end_id)
             block.add(part.column("doc_id").to_pylist(), ids, np.diff(ends) + 1)

@@ -19,7 +19,7 @@ from storyloom.llm.common import flat_bytes, within
 #: White space outside ASCII by the Unicode standard.
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Distinct pieces that a worker remembers before it starts anew, and the longest piece that it remembers.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 350_000, 64
 
 
 def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
