@@ -36,7 +36,7 @@ from storyloom.llm.common import WS_CHARS, WS_CLASS, flat_bytes, materialize, mi
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 4
 #: Cells in which shingles are counted to tell rare ones from common ones.
-CELLS = 1 << 20
+CELLS = 1 << 19
 
 
 def node_id(doc_id: Column, norm: Column) -> Column:
