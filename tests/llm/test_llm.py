@@ -109,6 +109,34 @@ def test_near_classes(odd, none, spark):
     assert kept.columns == odd.columns and kept.where("doc_id in (2, 6, 4, 5)").count() == 0
 
 
+def test_edited_copies_against_all_pairs(spark):
+    """A group of copies of one text, many of them just under the threshold from each other and from the original."""
+    base = prose(900, 200).split()
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for k in range(i % 10):
+            words[(i * 17 + k * 20) % len(words)] = f"edit{i}x{k}"
+        texts.append(" ".join(words[: len(words) - i % 4 * 8]))
+    texts += [prose(1000 + i, 150) for i in range(10)]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    root = list(range(len(texts)))
+    for _ in texts:  # labels spread until none changes
+        before = list(root)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if len(a & b) >= 0.8 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()}
+    assert got == dict(enumerate(root)) and 12 < len(set(root)) < len(texts)
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     r = np.random.default_rng(1)
     common, a, b = (r.integers(1, 2**63, n).astype(np.uint64) for n in (600, 200, 200))
