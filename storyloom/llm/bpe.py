@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import read, slices
+from storyloom.llm.common import arrow_pass, read, slices
 from storyloom.llm.pieces import Memory
 
 
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(ids.astype("int64")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<long>")
+    return arrow_pass(docs.select("doc_id", "text"), run, "doc_id long, ids array<long>")
 
 
 def decode(encoded_docs: DataFrame, path: str) -> DataFrame:
@@ -203,7 +203,7 @@ def decode(encoded_docs: DataFrame, path: str) -> DataFrame:
             texts = [bpe.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded_docs.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return arrow_pass(encoded_docs.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def word_bpe_path() -> str:
@@ -215,4 +215,4 @@ def word_bpe_path() -> str:
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = word_bpe_path()
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(lambda it: encoded(it, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_pass(docs, lambda it: encoded(it, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import WS_CLASS, materialize, read, shared_dir, text_of
+from storyloom.llm.common import WS_CLASS, arrow_pass, materialize, read, shared_dir, text_of
 
 FILTERED = {"parquet.bloom.filter.enabled#digest": "true"}
 
@@ -56,7 +56,7 @@ class DigestIndex:
 
     def flush(self, digests: DataFrame, memtable_rows: int = 1 << 18) -> None:
         """Append runs for rows (digest string, doc_id long)."""
-        runs = digests.select("digest", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(lambda it: flushed(it, memtable_rows), "digest string, min_id long, n long")
+        runs = arrow_pass(digests.select("digest", F.col("doc_id").cast("long").alias("doc_id")), lambda it: flushed(it, memtable_rows), "digest string, min_id long, n long")
         runs.write.mode("append").options(**FILTERED).parquet(f"{self.path}/level0")
 
     def compact(self) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import flat_bytes, mix64, read, slices, text_of, word_hashes, words_of
+from storyloom.llm.common import arrow_pass, flat_bytes, mix64, read, slices, text_of, word_hashes, words_of
 
 SAMPLES = 64
 #: Distinct (term, weight) pairs that are sampled at once.
@@ -109,7 +109,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text", 4 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(to_text(fingerprints(part.column("text"))), pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fingerprint string")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -159,7 +159,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     copies = rows.join(F.broadcast(behind), ["id", "tag"]).dropDuplicates(["behind"]).select("doc_id", "id", "text", "tag", F.col("behind").alias("range"), F.lit(True).alias("copy"))
     dealt = rows.select("doc_id", "id", "text", "tag", "range", F.lit(False).alias("copy")).union(copies).repartition(parts, "range")
     ordered = dealt.sortWithinPartitions("range", "copy", F.desc("id"), F.desc("tag")).select("doc_id", "copy", "text")
-    return ordered.mapInArrow(against_next, OUT)
+    return arrow_pass(ordered, against_next, OUT)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

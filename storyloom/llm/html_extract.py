@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import read, slices
+from storyloom.llm.common import arrow_pass, read, slices
 
 # Elements of HTML by their kind.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary hr center menu dialog".split())
@@ -268,7 +268,7 @@ def train(pages: DataFrame, train_pages: int = 150) -> Forest:
 
     chosen = pages.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
     sample = pages.select("page_id", "html").join(F.broadcast(chosen.distinct()), "page_id", "left_semi").select("html")
-    nodes = sample.mapInArrow(training_rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").coalesce(2).persist()
+    nodes = arrow_pass(sample, training_rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").coalesce(2).persist()
     try:
         if nodes.select("label").distinct().count() < 2:
             return Forest()
@@ -290,7 +290,7 @@ def extracted(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.
 def extract(pages: DataFrame, forest: Forest) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(forest)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(lambda it: extracted(it, shared.value), "page_id long, url string, text string, n_chars long")
+    return arrow_pass(rows, lambda it: extracted(it, shared.value), "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

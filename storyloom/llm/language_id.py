@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import flat_bytes, read, slices
+from storyloom.llm.common import arrow_pass, flat_bytes, give_back, read, slices
 
 ORDER, ALPHABET = 2, 128
 UNKNOWN = "und"
@@ -82,7 +82,7 @@ def train(docs: DataFrame, per_language: int = 500) -> Model:
     chosen = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= per_language)
     # at most per_language rows a language: small enough to broadcast, whatever the corpus
     sample = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    rows = sample.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = arrow_pass(sample, counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     seen = np.zeros(256, np.int64)
     np.add.at(seen, rows["gram"].to_numpy(np.int64) % 256, rows["n"].to_numpy(np.int64))
@@ -97,6 +97,8 @@ def train(docs: DataFrame, per_language: int = 500) -> Model:
         u, inverse = np.unique(number, return_inverse=True)
         grams.append(u)
         counts.append(np.bincount(inverse, own["n"].to_numpy(np.float64)))
+    del rows
+    give_back()
     return Model(uuid4().hex, langs, codes, grams, counts)
 
 
@@ -153,7 +155,7 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFram
     columns = [docs[c] for c in docs.columns if keep_text or c != "text"]
     rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     rows = rows.select("row", "text", F.col("text").rlike(r"\p{L}").alias("lettered"))
-    return rows.mapInArrow(lambda it: scored(it, shared.value), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return arrow_pass(rows, lambda it: scored(it, shared.value), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

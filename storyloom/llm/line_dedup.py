@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import WS_CHARS, materialize, read, text_of
+from storyloom.llm.common import WS_CHARS, arrow_pass, materialize, read, text_of
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STREAMED = "key binary, doc long, tag long, position int, docs int, open boolean"
@@ -94,7 +94,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     lines = line_keys(docs, min_chars)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = lines.repartitionByRange(parts, F.col("key"), F.col("doc").desc()).sortWithinPartitions(F.col("key"), F.col("doc").desc(), F.col("tag"), F.col("position"))
-    found = materialize(ordered.select("key", "doc", "tag", "position").mapInArrow(lambda it: streamed(it, min_docs), STREAMED))
+    found = materialize(arrow_pass(ordered.select("key", "doc", "tag", "position"), lambda it: streamed(it, min_docs), STREAMED))
     pending = found.where("open")
     facts = pending.groupBy("key").agg(F.sum("docs").alias("all_docs"), F.max("doc").alias("top"))
     late = pending.join(facts, "key").where((F.col("all_docs") >= min_docs) & (F.col("doc") < F.col("top")))

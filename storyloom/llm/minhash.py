@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import WS_CHARS, WS_CLASS, flat_bytes, materialize, mix64, powers, read, slices, text_of, window_hashes, word_hashes, words_of
+from storyloom.llm.common import WS_CHARS, WS_CLASS, arrow_pass, flat_bytes, give_back, materialize, mix64, powers, read, slices, text_of, window_hashes, word_hashes, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 4
@@ -152,15 +152,17 @@ def rarest(batches: Iterator[pa.RecordBatch], counts: np.ndarray, similarity: fl
 def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
     """Buckets by rare shingles. Texts of a Jaccard similarity of at least s share one of the n - ceil(s n) + 1 first shingles in any order that all texts follow; here rare cells come first."""
     counts = np.zeros(CELLS, np.int64)
-    found = texts.select("norm").mapInArrow(cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = arrow_pass(texts.select("norm"), cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts[found["cell"]] = found["n"]  # CELLS numbers, whatever the input
+    del found
+    give_back()
     shared = texts.sparkSession.sparkContext.broadcast(counts)
-    return texts.select("id", "norm").mapInArrow(lambda it: rarest(it, shared.value, similarity), "key long, id long, place long, n long")
+    return arrow_pass(texts.select("id", "norm"), lambda it: rarest(it, shared.value, similarity), "key long, id long, place long, n long")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("text_b")), "b")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: compared(it, similarity), "a long, b long")
+    return arrow_pass(rows.select("a", "b", "text_a", "text_b"), lambda it: compared(it, similarity), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,7 +216,7 @@ def open_rows(rest: DataFrame, similarity: float) -> DataFrame:
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: id (doc_id, or its stand-in where null), doc_id, copy_of (smallest id of its equal texts), class_id."""
     rows = normalized(docs)
-    signed = materialize(rows.select("id", "doc_id", "digest", "norm").mapInArrow(banded, "id long, doc_id long, digest binary, bands array<long>"))
+    signed = materialize(arrow_pass(rows.select("id", "doc_id", "digest", "norm"), banded, "id long, doc_id long, digest binary, bands array<long>"))
     classes = materialize(signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     keyed = classes.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("key", "leader")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import read, slices
+from storyloom.llm.common import arrow_pass, read, slices
 from storyloom.llm.pieces import Memory
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -179,7 +179,7 @@ def packed(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: in
 def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece: whose tokens, from where, how many, in which sequence at which offset, and that sequence's length."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: packed(it, path, length, end_id), SCHEMA)
+    return arrow_pass(rows, lambda it: packed(it, path, length, end_id), SCHEMA)
 
 
 def byte_bpe_path() -> str:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import flat_bytes, mix64, read, slices, text_of, window_hashes, word_hashes, words_of
+from storyloom.llm.common import arrow_pass, flat_bytes, mix64, read, slices, text_of, window_hashes, word_hashes, words_of
 
 WINDOW, GRAM = 20, 10
 ROWS, BLOCK_BITS, MAX_WIDTH = 2, 18, 1 << 30
@@ -132,8 +132,8 @@ def sketch(texts: DataFrame, width: int) -> np.ndarray:
     """The merged sketch: ROWS bitmaps of `width` bits, 1 where a cell was counted twice or more."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = texts.select("text").mapInArrow(lambda it: sketched(it, width), "block int, once binary, more binary")
-    blocks = sent.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(merged, "block int, bits binary")
+    sent = arrow_pass(texts.select("text"), lambda it: sketched(it, width), "block int, once binary, more binary")
+    blocks = arrow_pass(sent.repartition(parts, "block").sortWithinPartitions("block"), merged, "block int, bits binary")
     bits = np.zeros((ROWS * (width >> BLOCK_BITS), 1 << BLOCK_BITS >> 3), np.uint8)
     for r in blocks.toLocalIterator():  # at most ROWS * MAX_WIDTH / 8 bytes, whatever the input
         bits[r.block] = np.frombuffer(r.bits, np.uint8)
@@ -265,8 +265,8 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
     width = min(MAX_WIDTH, max(1 << BLOCK_BITS, 1 << (3 * size // 40).bit_length()))
     bits = spark.sparkContext.broadcast(sketch(rows, width))
     buckets = 4 * parts
-    sent = rows.select("doc", "tag", "text").mapInArrow(lambda it: candidates(it, bits.value, width, buckets), "bucket int, settled boolean, blob binary")
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settled, "doc long, tag long, begin long, end long")
+    sent = arrow_pass(rows.select("doc", "tag", "text"), lambda it: candidates(it, bits.value, width, buckets), "bucket int, settled boolean, blob binary")
+    return arrow_pass(sent.repartition(parts, "bucket").sortWithinPartitions("bucket"), settled, "doc long, tag long, begin long, end long")
 
 
 def strip(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -297,7 +297,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     found = repeated_starts(rows).groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = rows.join(found, ["doc", "tag"], "left").select("row", "text", "spans")
     row_type = rows.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(lambda it: strip(it, with_text), f"row {row_type}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    return arrow_pass(joined, lambda it: strip(it, with_text), f"row {row_type}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
