@@ -84,7 +84,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        self.memory = Memory(lambda pieces: [e.ids for e in library.encode_batch(pieces, add_special_tokens=False)])
+        self.memory = Memory(lambda pieces: [e.ids for e in library.encode_batch_fast(pieces, add_special_tokens=False)])
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         size = library.get_vocab_size()

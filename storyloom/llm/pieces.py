@@ -14,20 +14,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from storyloom.llm.common import flat_bytes, within
+from storyloom.llm.common import flat_bytes, within, word_hashes
 
 #: White space outside ASCII by the Unicode standard.
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-#: Distinct pieces that a worker remembers before it starts anew, and the longest piece that it remembers.
-REMEMBERED, LONGEST = 350_000, 64
+#: Distinct pieces that a worker remembers (some 45 bytes each), and the longest piece that it remembers.
+REMEMBERED, LONGEST = 1 << 20, 64
 
 
-def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The pieces of all texts (binary), and of each text the number of its first piece (n+1 values)."""
+def cut(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, the pieces' first byte, the byte after them, and of each text the number of its first piece (n+1 values)."""
     raw, off = flat_bytes(column)
     n = len(raw)
     if not n:
-        return pa.array([], pa.binary()), np.zeros(len(off), np.int64)
+        return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     begin = np.zeros(n, bool)
     begin[1:] = space[1:] & ~space[:-1]
@@ -36,43 +36,71 @@ def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
         begin[off[i] : off[i + 1]] = False
     begin[off[:-1][off[:-1] < off[1:]]] = True
     starts = np.flatnonzero(begin)
-    bounds = np.append(starts, n).astype(np.int64)
-    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
-    return pieces, np.searchsorted(starts, off).astype(np.int64)
+    return raw, starts, np.append(starts[1:], n), np.searchsorted(starts, off).astype(np.int64)
 
 
 class Memory:
-    """Ids of pieces seen before; `encode` gives the ids of new pieces and is called once for a batch."""
+    """Ids of pieces seen before, in numpy arrays sorted by a hash; `encode` gives the ids of new pieces.
+
+    Pieces are equal if two 64-bit hashes of at most 64 bytes are. A piece that shares only the first hash with another,
+    or that is longer, is encoded each time. A full memory keeps what the last batch used.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], remembered: int = REMEMBERED):
         self.encode, self.remembered = encode, remembered
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.flat, self.base, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (uint32), and the n+1 offsets of the texts in them."""
-        pieces, first = cut(column)
-        coded = pieces.dictionary_encode()
-        values = coded.dictionary.to_pylist()
-        if len(self.number) > self.remembered:
-            self.clear()
-        new = sorted((v for v in values if v not in self.number), key=lambda v: len(v) > LONGEST)
-        lists = self.encode([v.decode() for v in new])
-        kept, once = len(self.number), {}
-        for i, v in enumerate(new):
-            (self.number if len(v) <= LONGEST else once)[v] = kept + i
-        size = np.append(self.size, np.fromiter(map(len, lists), np.int64, len(lists)))
+        raw, starts, ends, first = cut(column)
+        short = np.flatnonzero(ends - starts <= LONGEST)
+        check = word_hashes(raw, starts, ends, 1)
+        keys, sample, inverse = np.unique(word_hashes(raw, starts, ends)[short], return_index=True, return_inverse=True)
+        sample = short[sample]
+        alone = np.append(np.flatnonzero(ends - starts > LONGEST), short[check[short] != check[sample][inverse]])
+        m, near = len(self.keys), np.searchsorted(self.keys, keys)
+        taken = np.append(self.keys, np.uint64(0))[near] == keys
+        taken[near == m] = False
+        known = taken & (np.append(self.checks, np.uint64(0))[near] == check[sample])
+        new = np.flatnonzero(~known)
+        wanted = np.append(sample[new], alone)
+        data = raw.tobytes()
+        lists = self.encode([data[a:b].decode() for a, b in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.append(self.flat, np.fromiter(chain.from_iterable(lists), np.uint32))
-        base = np.cumsum(size) - size
-        n = len(self.number)  # the long ones come last and are not remembered
-        self.size, self.base = size[:n], base[:n]
-        self.flat = flat[: base[n] if n < len(base) else len(flat)]
-        number = self.number
-        at = np.fromiter((number[v] if v in number else once[v] for v in values), np.int64, len(values))[coded.indices.to_numpy(zero_copy_only=False)]
+        base, size = np.append(self.base, len(self.flat) + np.cumsum(sizes) - sizes), np.append(self.size, sizes)
+        entry = near.copy()
+        entry[new] = m + np.arange(len(new))
+        at = np.zeros(len(starts), np.int64)
+        at[short] = entry[inverse]
+        at[alone] = m + len(new) + np.arange(len(alone))
         counts = size[at]
-        ends = np.zeros(len(at) + 1, np.int64)
-        np.cumsum(counts, out=ends[1:])
-        return flat[np.repeat(base[at], counts) + within(counts)], ends[first]
+        stops = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(counts, out=stops[1:])
+        ids = flat[np.repeat(base[at], counts) + within(counts)]
+        fresh = np.flatnonzero(~taken)
+        if m + len(fresh) > self.remembered:
+            used = np.zeros(m, bool)
+            used[near[known]] = True
+            self._keep(np.flatnonzero(used))
+        self._add(keys[fresh], check[sample[fresh]], flat, base[entry[fresh]], size[entry[fresh]])
+        return ids, stops[first]
+
+    def _keep(self, entries: np.ndarray) -> None:
+        self.flat = self.flat[np.repeat(self.base[entries], self.size[entries]) + within(self.size[entries])]
+        self.keys, self.checks, self.size = self.keys[entries], self.checks[entries], self.size[entries]
+        self.base = np.cumsum(self.size) - self.size
+
+    def _add(self, keys: np.ndarray, checks: np.ndarray, flat: np.ndarray, base: np.ndarray, size: np.ndarray) -> None:
+        """Take in new entries, whose keys ascend."""
+        more = flat[np.repeat(base, size) + within(size)]
+        place = np.searchsorted(self.keys, keys)
+        self.base = np.insert(self.base, place, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.checks = np.insert(self.checks, place, checks)
+        self.keys = np.insert(self.keys, place, keys)
+        self.flat = np.append(self.flat, more)
