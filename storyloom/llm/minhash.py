@@ -1,10 +1,10 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and verification.
 
-Texts that are equal up to white space form one class first; all further work is on classes. A class's 5-word shingles,
-weighted by their counts, each run a Poisson process whose rate is the weight: arrivals fall on random components of
-the signature, and a component belongs to the shingle that arrives there first. An element stops once its next arrival
-lies after the latest first arrival of all components (early termination). Components of two texts agree with their
-probability Jaccard similarity.
+Texts that are equal up to white space form one class first; all further work is on classes. Each distinct 5-word shingle
+of a class, whatever its count, runs a Poisson process of rate 1: arrivals fall on random components of the signature,
+and a component belongs to the shingle that arrives there first. An element stops once its next arrival lies after the
+latest first arrival of all components (early termination). With equal weights, components of two texts agree with the
+Jaccard similarity of their sets of shingles, the measure by which links are verified.
 
 Signatures are cut into 32 bands of 4 components; a pair at the threshold shares a band with a chance of 1 - 5e-8. Buckets
 of equal bands are searched without listing all pairs: first each class meets the smallest member of its buckets, and
@@ -98,8 +98,8 @@ def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, doc_id, digest, bands: 64-bit hashes of the bands, none for texts without words."""
     for batch in batches:
         for part in slices(batch, "norm", 4 << 20):
-            doc, element, weight = shingles(part.column("norm"))
-            signature = prob_minhash(doc, element, weight, part.num_rows).reshape(part.num_rows, BANDS, BAND_ROWS)
+            doc, element, _ = shingles(part.column("norm"))
+            signature = prob_minhash(doc, element, np.ones(len(doc)), part.num_rows).reshape(part.num_rows, BANDS, BAND_ROWS)
             keys = mix64((signature * powers(0xD1342543DE82EF95, BAND_ROWS + 1)[1:]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
             sizes = np.zeros(part.num_rows, np.int64)
             sizes[doc] = BANDS

@@ -137,6 +137,16 @@ def test_edited_copies_against_all_pairs(spark):
     assert got == dict(enumerate(root)) and 12 < len(set(root)) < len(texts)
 
 
+def test_copy_that_repeats_a_passage(spark):
+    """Sets of shingles nearly equal, counts far apart: each text and its copy with one passage 50 times are one class."""
+    texts = []
+    for i in range(12):
+        body, passage = prose(2000 + i, 300), prose(3000 + i, 20)
+        texts += [f"{body} {passage}", " ".join([body, *[passage] * 50])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()} == {i: i // 2 * 2 for i in range(24)}
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     r = np.random.default_rng(1)
     common, a, b = (r.integers(1, 2**63, n).astype(np.uint64) for n in (600, 200, 200))
