@@ -5,6 +5,9 @@ from storyloom.plans.registry import register
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+#: Two parts of a third of the characters, one at least; the last part runs to the end.
+THIRDS = ["substr(text, 1, size)", "substr(text, size + 1, size)", "substr(text, 2 * size + 1)"]
+
 register(
     QUERIES,
     ORACLES,
@@ -31,5 +34,5 @@ register(
     chapter_chunks=lambda d: """
         SELECT book, CAST(floor((ch_num - 1) / 8) AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n_chapters, CAST(min(ch_num) AS BIGINT) AS first_ch, CAST(max(ch_num) AS BIGINT) AS last_ch, CAST(sum(wc) AS BIGINT) AS wc
         FROM metrics GROUP BY book, floor((ch_num - 1) / 8)""",
-    text_thirds=lambda d: "SELECT doc_id, " + ", ".join(f"CAST({d.rx(f'substr(lower(text), CAST({k} * floor(length(text) / 3) + 1 AS INT), CAST(floor(length(text) / 3) AS INT))', '[.!?]')} AS BIGINT) AS marks_{k}" for k in range(3)) + " FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) a",
+    text_thirds=lambda d: "SELECT doc_id, " + ", ".join(f"CAST({d.rx(part, '[.!?]')} AS BIGINT) AS marks_{k}" for k, part in enumerate(THIRDS)) + " FROM (SELECT doc_id, lower(text) AS text, greatest(CAST(floor(length(text) / 3) AS INT), 1) AS size FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) a) b",
 )

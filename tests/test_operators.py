@@ -47,3 +47,16 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
+
+
+def documents(spark, path, texts):
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_thirds_reach_the_end(spark, tmp_path):
+    texts = [None, "", "!", "a!", "ab.", "abc.", "a.bc.", "a?bc.d!", "one. two! three?!"]
+    got = {r.doc_id: (r.marks_0, r.marks_1, r.marks_2) for r in QUERIES["text_thirds"](spark, documents(spark, tmp_path, texts)).collect()}
+    for i, t in enumerate(t or "" for t in texts):
+        n = max(len(t) // 3, 1)
+        assert got[i] == tuple(sum(c in ".!?" for c in part) for part in (t[:n], t[n : 2 * n], t[2 * n :])), t
