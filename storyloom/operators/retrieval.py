@@ -7,11 +7,21 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 K1, B, RRF = 1.5, 0.75, 60
+#: Candidates of each channel for the ten results of the fusion: min(max(5 k, 20), rows), as in the reference.
+CANDIDATES = 50
+# Function words of the four languages of the sample tables, in place of the reference's stop words.
+STOP_WORDS = """
+    the and is in at have he this that of or to not also but with we you they it an a
+    le la les et est dans je il ce cette que un une des ou ne pas aussi mais avec nous vous ils
+    der die das und ist in ich er dies ein eine oder nicht auch aber mit wir sie es von zu
+    el los las y es en yo este esta que uno una o no también pero con nosotros ellos de
+""".split()
 
 
 def bm25(d: Dialect) -> str:
-    """Scores of the query passages (ids divisible by 20) and every document that shares a word with them: an inverted-index join on words, partial sums by pair."""
-    words = lambda table, key: f"SELECT {key}, word, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT {key}, {d.explode_words('lower(coalesce(text, %s))' % repr(''))} AS word FROM {table}) a WHERE length(word) > 3 GROUP BY {key}, word"
+    """Scores of the query passages (ids divisible by 20) and every document that shares a word with them: an inverted-index join on words, partial sums by pair. Words have two letters at least and are no stop words."""
+    stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    words = lambda table, key: f"SELECT {key}, word, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT {key}, {d.explode_words('lower(coalesce(text, %s))' % repr(''))} AS word FROM {table}) a WHERE length(word) > 1 AND word NOT IN ({stop}) GROUP BY {key}, word"
     return f"""
       SELECT q.item_id, p.doc_id, sum(i.idf * p.tf * {K1 + 1} / (p.tf + {K1} * ({1 - B} + {B} * l.dl / g.mean))) AS score
       FROM (SELECT DISTINCT item_id, word FROM ({words("benchmark", "item_id")}) w WHERE item_id % 20 = 0) q
@@ -36,8 +46,8 @@ register(
     rrf_fusion=lambda d: f"""
         SELECT q, id, score, place FROM (
           SELECT q, id, round(sum(s), 8) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY round(sum(s), 8) DESC, id) AS BIGINT) AS place FROM (
-            SELECT item_id AS q, doc_id AS id, 1e0 / ({RRF} + place) AS s FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS place FROM ({bm25(d)}) a) b WHERE place <= 20
-            UNION ALL SELECT query_id, vec_id, 1e0 / ({RRF} + place) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, vec_id) AS place FROM ({dense(d)}) c) e WHERE place <= 20) f
+            SELECT item_id AS q, doc_id AS id, 1e0 / ({RRF} + place) AS s FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS place FROM ({bm25(d)}) a) b WHERE place <= {CANDIDATES}
+            UNION ALL SELECT query_id, vec_id, 1e0 / ({RRF} + place) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, vec_id) AS place FROM ({dense(d)}) c) e WHERE place <= {CANDIDATES}) f
           GROUP BY q, id) g WHERE place <= 10""",
     conflict_peaks=lambda d: "SELECT book, ch_num, conflict_density FROM metrics ORDER BY conflict_density DESC, book, ch_num LIMIT 20",
     keyword_search=lambda d: "SELECT doc_id, source FROM documents WHERE lower(text) LIKE '%license%' OR lower(text) LIKE '%rights%' OR source LIKE '%7'",

@@ -1,11 +1,14 @@
 """Every registered analytic query against its SQL, on the smallest tables."""
 
+import collections
 import math
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from storyloom.operators import retrieval
 from storyloom.plans.dialect import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +52,40 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 200
 
 
+def brute_bm25(query, texts):
+    """Scores of the texts that share a word with the query, words of two letters and more without stop words."""
+    bags = [collections.Counter(w for w in re.split("[^a-zà-ÿ]+", t.lower()) if len(w) > 1 and w not in retrieval.STOP_WORDS) for t in (query, *texts)]
+    docs = bags[1:]
+    filled = [sum(b.values()) for b in docs if b]
+    scores = {}
+    for i, b in enumerate(docs):
+        for w in set(bags[0]) & set(b):
+            df = sum(w in x for x in docs)
+            idf = math.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+            scores[i] = scores.get(i, 0) + idf * b[w] * 2.5 / (b[w] + 1.5 * (0.25 + 0.75 * sum(b.values()) / (sum(filled) / len(filled))))
+    return scores
+
+
+def test_bm25_keeps_short_words(spark, tmp_path):
+    texts = ["ox ran far", "the cat sat", "longer words only here", "an ox and a fox", "the and of", "fox"]
+    sf = documents(spark, tmp_path, texts)
+    spark.createDataFrame([(0, "The ox, far")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    got = {r.doc_id: r.score for r in QUERIES["bm25_search"](spark, sf).collect()}
+    want = brute_bm25("The ox, far", texts)
+    assert set(got) == {0, 3} == set(want) and all(abs(got[i] - want[i]) < 1e-4 for i in want)
+
+
+def test_fusion_takes_fifty_candidates(spark, tmp_path):
+    """Ids 21 to 40 hold places 21 to 40 of both channels, which together beat first places of one."""
+    sf = str(tmp_path)
+    docs = [(i if i > 20 else 200 + i, " ".join(["alpha"] * (60 - i) + ["omega"] * i)) for i in range(1, 41)] + [(300 + i, "omega") for i in range(10)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(0, "alpha")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, [math.cos(i / 100), math.sin(i / 100)]) for i in range(41)], "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
+    got = sorted((r.place, r.id) for r in QUERIES["rrf_fusion"](spark, sf).where("q = 0").collect())
+    assert got == [(k, 20 + k) for k in range(1, 11)]
+
+
 def documents(spark, path, texts):
     spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
     return str(path)
