@@ -1,0 +1,29 @@
+"""Structure of books as data: variability between chapters, narrative labels, the template of labels, and beats."""
+
+#: metrics with n, the values of earlier chapters and ch_variability (0 in the first and the last chapter).
+VARIED = """
+    SELECT *, CASE WHEN prev_wc IS NULL OR ch_num = n THEN 0e0 ELSE round((abs(wc - prev_wc) / greatest(prev_wc, 1) + abs(dialogue_ratio - prev_dialogue) / greatest(prev_dialogue, 0.001e0)
+           + abs(pos_density - prev_pos) / greatest(prev_pos, 0.001e0) + abs(conflict_density - prev_conf) / greatest(prev_conf, 0.001e0)) / 4, 3) END AS ch_variability
+    FROM (SELECT *, count(*) OVER (PARTITION BY book) AS n, lag(wc) OVER w AS prev_wc, lag(dialogue_ratio) OVER w AS prev_dialogue, lag(pos_density) OVER w AS prev_pos, lag(conflict_density) OVER w AS prev_conf,
+                 lag(conflict_density, 2) OVER w AS prev_conf_2, lag(hook_density) OVER w AS prev_hook, lag(pleasure_intensity) OVER w AS prev_intensity
+          FROM metrics WINDOW w AS (PARTITION BY book ORDER BY ch_num)) v"""
+
+# Labels in the order in which they are tried, with their predicates.
+LABELS = [
+    ("opening", "conflict_density < 0.3 AND pleasure_intensity < 3"),
+    ("development", "conflict_density >= 0.3 AND conflict_density < 1"),
+    ("turn", "ch_variability > 0.5 OR abs(pleasure_intensity - prev_intensity) > 2.5"),
+    ("payoff", "pleasure_intensity >= 5"),
+    ("tension", "conflict_density > 1.5 AND neg_density > pos_density"),
+    ("relief", "conflict_density < 0.2 AND dialogue_ratio > 0.25"),
+    ("clue", "hook_type = 'suspense' AND conflict_density < 0.5"),
+    ("overturn", "hook_type IN ('reversal', 'info') AND conflict_density < 0.5"),
+]
+LABELLED = f"SELECT book, ch_num, CASE {' '.join(f'WHEN {p} THEN {chr(39)}{name}{chr(39)}' for name, p in LABELS)} ELSE 'development' END AS label FROM ({VARIED}) x"
+
+# Labels of seven chapters in a row.
+TEMPLATE = ["opening", "development", "development", "turn", "turn", "payoff", "payoff"]
+
+# Beats with their place in a book, and those that are a low of the signal.
+BEATS = [("opening", 0.0), ("theme", 0.05), ("catalyst", 0.1), ("debate", 0.15), ("break_into_2", 0.2), ("b_story", 0.25), ("fun_games", 0.35), ("midpoint", 0.5), ("bad_guys_close_in", 0.55), ("all_is_lost", 0.65), ("dark_night", 0.7), ("break_into_3", 0.75), ("finale", 0.8), ("climax", 0.95), ("final_image", 0.98), ("resolution", 1.0)]
+LOWS = ["all_is_lost", "dark_night"]

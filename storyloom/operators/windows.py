@@ -1,5 +1,6 @@
 """Operators over the ordered chapters of a book: streaks, turning points, trends, ranks."""
 
+from storyloom.operators.structure import BEATS, LABELLED, LOWS, TEMPLATE, VARIED
 from storyloom.plans.registry import register
 
 QUERIES: dict = {}
@@ -21,8 +22,9 @@ register(
         FROM (SELECT *, count(*) OVER (PARTITION BY book) AS n, lag(wc) OVER w AS prev_wc, lag(pos_density) OVER w AS prev_pos, lag(conflict_density) OVER w AS prev_conf, lag(hook_density) OVER w AS prev_hook
               FROM metrics WINDOW w AS (PARTITION BY book ORDER BY ch_num)) a""",
     pleasure_level=lambda d: """
-        SELECT book, ch_num, round(near, 3) AS near_intensity, CASE WHEN top = 1 AND near >= 4 THEN 'large' WHEN top = 1 OR slaps >= 5 THEN 'medium' ELSE 'small' END AS pleasure_level
-        FROM (SELECT book, ch_num, avg(pleasure_intensity) OVER w AS near, max(CASE WHEN pleasure_type IN ('climax', 'major') THEN 1 ELSE 0 END) OVER w AS top, sum(slap_count) OVER w AS slaps
+        SELECT book, ch_num, round(near, 3) AS near_intensity,
+               CASE WHEN climax = 1 AND round(near, 6) >= 6 THEN 'large' WHEN major = 1 AND round(near, 6) >= 4 AND slaps >= 3 THEN 'medium' WHEN slaps >= 1 OR pleasure_intensity >= 2 THEN 'small' ELSE 'none' END AS pleasure_level
+        FROM (SELECT book, ch_num, pleasure_intensity, avg(pleasure_intensity) OVER w AS near, max(CASE WHEN pleasure_type = 'climax' THEN 1 ELSE 0 END) OVER w AS climax, max(CASE WHEN pleasure_type = 'major' THEN 1 ELSE 0 END) OVER w AS major, sum(slap_count) OVER w AS slaps
               FROM metrics WINDOW w AS (PARTITION BY book ORDER BY ch_num ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) a""",
     verify_sample=lambda d: """
         SELECT book, ch_num FROM (
@@ -42,25 +44,32 @@ register(
     plot_transitions=lambda d: """
         SELECT book, CAST(sum(CASE WHEN dominant_sub <> before_sub THEN 1 ELSE 0 END) AS BIGINT) AS transitions
         FROM (SELECT book, dominant_sub, lag(dominant_sub) OVER (PARTITION BY book ORDER BY ch_num) AS before_sub FROM metrics) a GROUP BY book""",
-    template_match=lambda d: """
-        SELECT book, ch_num FROM (SELECT book, ch_num, pace AS p0, lead(pace, 1) OVER w AS p1, lead(pace, 2) OVER w AS p2 FROM metrics WINDOW w AS (PARTITION BY book ORDER BY ch_num)) a
-        WHERE p0 = 'medium' AND p1 = 'slow' AND p2 = 'medium'""",
-    risk_events=lambda d: """
+    template_match=lambda d: f"""
+        SELECT book, ch_num FROM (SELECT book, ch_num, {", ".join(f"lead(label, {k}) OVER w AS l{k}" for k in range(len(TEMPLATE)))} FROM ({LABELLED}) y WINDOW w AS (PARTITION BY book ORDER BY ch_num)) a
+        WHERE {" AND ".join(f"l{k} = '{label}'" for k, label in enumerate(TEMPLATE))}""",
+    risk_events=lambda d: f"""
         SELECT book, ch_num, risk FROM (
-          SELECT book, ch_num, risk, row_number() OVER (PARTITION BY book ORDER BY ch_num, risk) AS k FROM (
-            SELECT book, ch_num, CASE WHEN hook_density = 0 AND prev_hook = 0 THEN 'no_hook_twice' WHEN conflict_density < 0.5 AND p1 < 0.5 AND p2 < 0.5 THEN 'flat_conflict' END AS risk
-            FROM (SELECT *, lag(hook_density) OVER w AS prev_hook, lag(conflict_density) OVER w AS p1, lag(conflict_density, 2) OVER w AS p2 FROM metrics WINDOW w AS (PARTITION BY book ORDER BY ch_num)) a) b
-          WHERE risk IS NOT NULL) c WHERE k <= 10""",
+          SELECT book, ch_num, risk, row_number() OVER (PARTITION BY book ORDER BY late, ch_num, risk) AS k FROM (
+            SELECT book, ch_num, t.risk, t.late
+            FROM (SELECT *, min(CASE WHEN flat = 1 THEN ch_num END) OVER (PARTITION BY book) AS first_flat
+                  FROM (SELECT *, CASE WHEN ch_num < n AND conflict_density < 0.1 AND prev_conf < 0.1 AND prev_conf_2 < 0.1 THEN 1 ELSE 0 END AS flat FROM ({VARIED}) x) y) m
+            CROSS JOIN (SELECT 'no_hook_twice' AS risk, 0 AS late UNION ALL SELECT 'rhythm_jump', 0 UNION ALL SELECT 'flat_conflict', 1) t
+            WHERE ch_num < n AND ((t.risk = 'no_hook_twice' AND hook_density = 0 AND prev_hook = 0) OR (t.risk = 'rhythm_jump' AND ch_variability > 50) OR (t.risk = 'flat_conflict' AND ch_num = first_flat))) b
+          ) c WHERE k <= 10""",
     beat_smooth=lambda d: """
         SELECT book, ch_num, CASE WHEN n >= 5 THEN round(s / 5, 4) ELSE round(v, 4) END AS smoothed
         FROM (SELECT book, ch_num, v, count(*) OVER (PARTITION BY book) AS n, sum(v) OVER (PARTITION BY book ORDER BY ch_num ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM (SELECT book, ch_num, conflict_density + 0.5e0 * hook_density AS v FROM metrics) a) b""",
-    beat_detection=lambda d: """
-        SELECT book, beat, found_ch, target_ch, round(1 - abs(found_ch - target_ch) / n, 3) AS confidence FROM (
-          SELECT m.book, t.beat, m.ch_num AS found_ch, CAST(floor(t.place * b.n) AS BIGINT) AS target_ch, b.n, row_number() OVER (PARTITION BY m.book, t.beat ORDER BY m.conflict_density + 0.5e0 * m.hook_density DESC, m.ch_num) AS k
-          FROM metrics m JOIN (SELECT book, CAST(count(*) AS DOUBLE) AS n FROM metrics GROUP BY book) b ON m.book = b.book
-          JOIN (SELECT 'catalyst' AS beat, 0.1e0 AS place UNION ALL SELECT 'midpoint', 0.5e0 UNION ALL SELECT 'all_is_lost', 0.75e0 UNION ALL SELECT 'finale', 0.9e0) t
-            ON abs(m.ch_num - floor(t.place * b.n)) <= greatest(5, floor(0.05e0 * b.n))) a
-        WHERE k = 1""",
+    beat_detection=lambda d: f"""
+        SELECT book, beat, found_ch, target_ch, confidence, confidence < 0.3 AS is_gap, abs(found_ch - target_ch) > 0.08e0 * n AS is_far, round(avg(CASE WHEN confidence >= 0.5 THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY book), 2) AS completeness
+        FROM (SELECT book, beat, ch_num AS found_ch, target_ch, n, round(greatest(0e0, 1 - abs(ch_num - target_ch) / reach), 2) AS confidence FROM (
+          SELECT *, row_number() OVER (PARTITION BY book, beat ORDER BY low * signal, ch_num) AS k FROM (
+            SELECT m.book, t.beat, t.low, m.ch_num, m.n, m.signal, CAST(greatest(1, floor(t.place * m.n)) AS BIGINT) AS target_ch, greatest(5e0, floor(0.05e0 * m.n)) AS reach
+            FROM (SELECT book, ch_num, n, round(CASE WHEN n >= 5 THEN near / 5 ELSE v END, 9) AS signal
+                  FROM (SELECT book, ch_num, v, CAST(count(*) OVER (PARTITION BY book) AS DOUBLE) AS n, sum(v) OVER (PARTITION BY book ORDER BY ch_num ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near
+                        FROM (SELECT book, ch_num, conflict_density + 0.5e0 * hook_density AS v FROM metrics) s) u) m
+            CROSS JOIN ({" UNION ALL ".join(f"SELECT '{beat}' AS beat, {place}e0 AS place, {1 if beat in LOWS else -1} AS low" for beat, place in BEATS)}) t) a
+          WHERE ch_num >= target_ch - reach AND ch_num < target_ch + reach) b
+        WHERE k = 1) c""",
     emotion_monotony=lambda d: """
         SELECT user_id, event_id, event_type, run FROM (
           SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id, event_type, island ORDER BY ts, event_id) AS BIGINT) AS run FROM (

@@ -97,3 +97,72 @@ def test_thirds_reach_the_end(spark, tmp_path):
     for i, t in enumerate(t or "" for t in texts):
         n = max(len(t) // 3, 1)
         assert got[i] == tuple(sum(c in ".!?" for c in part) for part in (t[:n], t[n : 2 * n], t[2 * n :])), t
+
+
+def by_book(spark, sf):
+    books = collections.defaultdict(list)
+    for r in sorted(QUERIES["chapter_metrics"](spark, sf).collect(), key=lambda r: (r.book, r.ch_num)):
+        books[r.book].append(r)
+    return books
+
+
+def varied(rows):
+    """Variability of each chapter, step by step as the reference does."""
+    out = [0.0] * len(rows)
+    for i in range(1, len(rows) - 1):
+        r, p = rows[i], rows[i - 1]
+        out[i] = round(sum(abs(r[c] - p[c]) / max(p[c], low) for c, low in (("wc", 1), ("dialogue_ratio", 0.001), ("pos_density", 0.001), ("conflict_density", 0.001))) / 4, 3)
+    return out
+
+
+def labels_of(rows):
+    out = []
+    for i, (r, cv) in enumerate(zip(rows, varied(rows), strict=True)):
+        cd, pi, ht = r.conflict_density, r.pleasure_intensity, r.hook_type
+        if cd < 0.3 and pi < 3:
+            out.append("opening")
+        elif 0.3 <= cd < 1:
+            out.append("development")
+        elif cv > 0.5 or (i and abs(pi - rows[i - 1].pleasure_intensity) > 2.5):
+            out.append("turn")
+        elif pi >= 5:
+            out.append("payoff")
+        elif cd > 1.5 and r.neg_density > r.pos_density:
+            out.append("tension")
+        elif cd < 0.2 and r.dialogue_ratio > 0.25:
+            out.append("relief")
+        elif ht in ("suspense", "reversal", "info") and cd < 0.5:
+            out.append("clue" if ht == "suspense" else "overturn")
+        else:
+            out.append("development")
+    return out
+
+
+def test_structure_against_loops(spark):
+    sf = "/root/testdata/sf0.01"
+    labels, levels, risks, beats, matches = {}, {}, set(), {}, set()
+    for book, rows in by_book(spark, sf).items():
+        n, cv, own = len(rows), varied(rows), labels_of(rows)
+        matches |= {(book, i + 1) for i in range(n - 6) if own[i : i + 7] == ["opening", "development", "development", "turn", "turn", "payoff", "payoff"]}
+        found = []
+        for i, r in enumerate(rows):
+            labels[book, i + 1] = own[i]
+            near = rows[max(0, i - 1) : i + 2]
+            mean, slaps, types = sum(x.pleasure_intensity for x in near) / len(near), sum(x.slap_count for x in near), {x.pleasure_type for x in near}
+            levels[book, i + 1] = "large" if "climax" in types and mean >= 6 - 1e-9 else "medium" if "major" in types and mean >= 4 - 1e-9 and slaps >= 3 else "small" if slaps or r.pleasure_intensity >= 2 else "none"
+            if i < n - 1:
+                found += [(book, i + 1, "no_hook_twice")] * (i > 0 and r.hook_density == 0 == rows[i - 1].hook_density) + [(book, i + 1, "rhythm_jump")] * (cv[i] > 50)
+        found += [(book, i + 3, "flat_conflict") for i in range(n - 3) if all(x.conflict_density < 0.1 for x in rows[i : i + 3])][:1]
+        risks |= set(found[:10])
+        v = [r.conflict_density + 0.5 * r.hook_density for r in rows]
+        signal = [round(sum(v[max(0, i - 2) : i + 3]) / 5, 9) for i in range(n)] if n >= 5 else v
+        reach = max(5, int(n * 0.05))
+        for beat, place in (("opening", 0.0), ("theme", 0.05), ("catalyst", 0.1), ("debate", 0.15), ("break_into_2", 0.2), ("b_story", 0.25), ("fun_games", 0.35), ("midpoint", 0.5), ("bad_guys_close_in", 0.55), ("all_is_lost", 0.65), ("dark_night", 0.7), ("break_into_3", 0.75), ("finale", 0.8), ("climax", 0.95), ("final_image", 0.98), ("resolution", 1.0)):
+            e = max(1, int(place * n)) - 1
+            span = range(max(0, e - reach), min(n, e + reach))
+            beats[book, beat] = ((min if beat in ("all_is_lost", "dark_night") else max)(span, key=signal.__getitem__) + 1, e + 1)
+    assert {(r.book, r.ch_num): r.label for r in QUERIES["structure_labels"](spark, sf).collect()} == labels
+    assert {(r.book, r.ch_num): r.pleasure_level for r in QUERIES["pleasure_level"](spark, sf).collect()} == levels
+    assert {(r.book, r.ch_num, r.risk) for r in QUERIES["risk_events"](spark, sf).collect()} == risks
+    assert {(r.book, r.beat): (r.found_ch, r.target_ch) for r in QUERIES["beat_detection"](spark, sf).collect()} == beats
+    assert {(r.book, r.ch_num) for r in QUERIES["template_match"](spark, sf).collect()} == matches
