@@ -3,7 +3,8 @@
 A text is brought to a canonical form: lower case, lines with copyright notices left out, everything but letters and
 digits as single spaces, equivalent spellings as one. Its SHA-256 digest is joined with the digests of known licences and
 notices. Entire texts are looked up, and each line as a text of its own, since notices stand alone on a line. The known
-list is a fixed catalogue of a few entries, hence broadcast.
+list is a catalogue, by default the texts, titled texts and notices below; it is bounded (digests and names only), hence
+broadcast. Texts that two licences share have both names, joined by commas.
 
 Defined results: a null or empty text has no licence, as has one whose canonical form is empty; repeated rows get equal
 results; an empty table gives no rows. Other columns play no part.
@@ -12,6 +13,7 @@ results; an empty table gives no rows. Other columns play no part.
 from __future__ import annotations
 
 from functools import reduce
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,19 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
-KNOWN = [
+#: Files of license_texts by identifier.
+FILES = {"Apache-2.0": "Apache-2.0", "Artistic-1.0": "Artistic", "BSD-3-Clause": "BSD", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+# Titles that stand above the texts.
+TITLES = {
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License", "Zero Clause BSD License (0BSD)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+LAST_TERM = "END OF TERMS AND CONDITIONS"
+NOTICES = [
     ("0BSD", ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
     ("Apache-2.0", APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -52,11 +66,27 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("ISC", ISC),
     ("MIT", MIT),
-    ("MIT", "MIT License\n" + MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Unlicense", UNLICENSE),
 ]
+
+
+def _catalogue() -> list[tuple[str, str]]:
+    """(license, text): notices and texts, without the numbers of their clauses too, under each usual title, and full texts with and without what follows their terms."""
+    known = list(NOTICES) + [("ISC", ISC.replace("and/or distribute", "and distribute"))]
+    known += [("Unlicense", f"{UNLICENSE}\nFor more information, please refer to <{scheme}://unlicense.org/>") for scheme in ("http", "https")]
+    known += [(name, text.replace("\n1. ", "\n").replace("\n2. ", "\n").replace("\n3. ", "\n")) for name, text in known if text.startswith(BSD_HEAD)]
+    known += [(name, f"{title}\n{text}") for name, text in known if len(text) > 400 for title in TITLES.get(name, [])]
+    for name, file in FILES.items():
+        text = resources.files(__package__).joinpath("license_texts", file).read_text("utf-8")
+        known.append((name, text))
+        if LAST_TERM in text:
+            known.append((name, text[: text.index(LAST_TERM) + len(LAST_TERM)]))
+    return known
+
+
+KNOWN = _catalogue()
 # Equivalent spellings, as words of the canonical form.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"),
@@ -87,14 +117,20 @@ def canonical(text: Column) -> Column:
     return F.when(plain.rlike(r"\b(?:" + "|".join(a for a, _ in EQUIVALENT) + r")\b"), spelled).otherwise(plain)
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in KNOWN])).alias("k")
-    return spark.range(1).select(rows).select("k.license", F.sha2(canonical(F.col("k.text")), 256).alias("digest"))
+def default_catalogue(spark: SparkSession) -> DataFrame:
+    """(license, text) as a local table."""
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN) + " AS k(license, text)")
+
+
+def known_digests(catalogue: DataFrame) -> DataFrame:
+    rows = catalogue.select("license", canonical(F.col("text")).alias("canonical")).where("canonical != ''")
+    return rows.select("license", F.sha2("canonical", 256).alias("digest")).groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("license"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_license (of the entire text, or null), line_licenses (of single lines, in order of name, or empty), n_license_lines, text_digest."""
-    known = F.broadcast(known_digests(docs.sparkSession))
+def scan(docs: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_license (of the entire text, or null), line_licenses (of single lines, in order of name, or empty), n_license_lines, text_digest. catalogue: (license, text), some thousand rows at most."""
+    known = F.broadcast(known_digests(default_catalogue(docs.sparkSession) if catalogue is None else catalogue))
     rows = docs.select("doc_id", text_of(docs).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("tag"))
     # a row of a repeated document must not count its lines twice: lines are gathered once for each (doc_id, text)
     lines = rows.select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).select("doc_id", "tag", "at", F.sha2(canonical(F.col("line")), 256).alias("digest"))
@@ -120,7 +156,7 @@ def _quoted(text: str) -> str:
 OP4_SQL = f"""
 WITH raw(license, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}
 ), known AS (
-  SELECT license, sha256({_sql_canonical("text")}) AS digest FROM raw
+  SELECT DISTINCT license, sha256({_sql_canonical("text")}) AS digest FROM raw
 ), lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
 ), hits AS (

@@ -244,6 +244,18 @@ def test_licenses(odd, spark):
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text_license == "MIT"
 
 
+def test_license_files_and_titles(spark):
+    texts = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    cases = [(name, open(f"/usr/share/common-licenses/{file}").read()) for file, name in texts.items()]
+    cases += [("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2021 Someone\n\n{licenses.MIT}"), ("ISC", f"ISC License\n\n{licenses.ISC}"), ("BSD-3-Clause", "BSD 3-Clause License\n" + licenses.BSD_HEAD + licenses.BSD_THIRD + licenses.BSD_TAIL)]
+    cases += [("BSD-2-Clause", (licenses.BSD_HEAD + licenses.BSD_TAIL).replace("\n1.", "\n*").replace("\n2.", "\n*"))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    assert {i: r.text_license for i, r in rows(licenses.scan(docs)).items()} == {i: name for i, (name, _) in enumerate(cases)}
+    own = spark.createDataFrame([("House", "All may read this.")], "license string, text string")
+    got = licenses.scan(spark.createDataFrame([(1, "ALL may read this!"), (2, licenses.MIT)], "doc_id long, text string"), own)
+    assert {i: r.text_license for i, r in rows(got).items()} == {1: "House", 2: None}
+
+
 def test_html():
     page = html_extract.Page('<body><nav><a href="/x">x</a></nav><article><h1>T &amp; t</h1><p><b>One  two<br><p>three</article><script>var t="</p>";</script><footer>f</footer>')
     assert [t for _, t in page.blocks] == ["x", "T & t", "One two", "three", "f"]
