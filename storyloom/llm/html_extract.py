@@ -37,6 +37,8 @@ OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 BOILERPLATE = frozenset("nav navbar navigation menu menubar header masthead footer foot sidebar side aside complementary widget notice notices cookie cookies consent gdpr banner ad ads adv advert advertisement advertising sponsor sponsored promo promotion form search login signup subscribe newsletter share sharing social related recommended comment comments respond reply replies disqus breadcrumb breadcrumbs pagination pager popup modal tags toolbar contentinfo".split())
 MAIN = frozenset("article main content post entry story body text articlebody".split())
+#: Tags that may stand in a head; others end it, as does text.
+IN_HEAD = frozenset("html meta link base".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -75,6 +77,8 @@ class Page:
         tag = self.tag
         hidden = 0
         for m in TOKEN.finditer(source):
+            if hidden and source[at : m.start()].strip():
+                hidden = 0
             if not hidden:
                 words(source[at : m.start()])
             at = m.end()
@@ -87,7 +91,7 @@ class Page:
                     hidden = 0 if closing else 1
                     text.clear()
                 continue
-            if hidden and name == "body":
+            if hidden and not closing and name not in IN_HEAD:
                 hidden = 0
             if name == "a":
                 link = 0 if closing else 1
@@ -121,7 +125,7 @@ class Page:
                 self.links.append(0)
                 if name != "hr":
                     stack.append(len(tag) - 1)
-        if not hidden:
+        if not hidden or source[at:].strip():
             words(source[at:])
         flush()
 
@@ -266,7 +270,7 @@ def train(pages: DataFrame, train_pages: int = 150) -> Forest:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    chosen = pages.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
+    chosen = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b")).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
     sample = pages.select("page_id", "html").join(F.broadcast(chosen.distinct()), "page_id", "left_semi").select("html")
     nodes = arrow_pass(sample, training_rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").coalesce(2).persist()
     try:

@@ -265,6 +265,17 @@ def test_html():
     assert html_extract.Page("").text(html_extract.Forest().margins(html_extract.Page("").features())) == ""
 
 
+def test_html_without_the_end_of_the_head():
+    for page in ("<html><head><title>T</title><meta charset=utf-8><div><p>one two</p></div>", "<head><title>T</title><link href=x><b>one</b> two", "<head><title>T</title>one two", "<head><title>T</title></head><body>one two"):
+        assert " ".join(t for _, t in html_extract.Page(page).blocks) == "one two", page
+
+
+def test_training_pages_have_labels(spark):
+    article = "<body><nav><a href=x>menu</a></nav><article><p>" + "some words here " * 20 + "</p></article><footer>end</footer></body>"
+    pages = spark.createDataFrame([(i, article if i >= 200 else "<body><p>x</p></body>") for i in range(206)], "page_id long, html string")
+    assert html_extract.train(pages, train_pages=3).trees
+
+
 def test_pipeline_stages(odd):
     import corpus_pipeline
 
