@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 WS_CLASS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -105,16 +106,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), np.uint64(base), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)[:n]
-
-
-#: Odd multipliers of the polynomial hashes, and their inverses modulo 2**64.
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
+#: Odd constants of the two hash functions, and the bytes of a word that are hashed lane by lane; a longer one goes to BLAKE2b.
+SEEDS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+LONG_WORD = 4096
+#: Of an eight-byte lane, the bits of its first 0 .. 8 bytes.
+LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,23 +138,55 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial in BASES[which], scrambled with the length."""
+    """A 64-bit hash of each word's bytes. which: 0 or 1, two functions independent of each other.
+
+    Lanes of eight bytes are scrambled into the state one after the other, so that no sum of terms can cancel out.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    n = len(raw)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASES[which], n), out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * powers(INVERSES[which], n)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    seed = np.uint64(SEEDS[which])
+    length = (ends - starts).astype(np.int64)
+    state = mix64(length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + seed)
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    lanes = np.ndarray(len(raw), "<u8", padded, 0, (1,))
+    left, at, rows = length, starts, None
+    if length.max() > LONG_WORD:
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            state[i] = np.uint64(int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([which])).digest(), "little"))
+        rows = np.flatnonzero(length <= LONG_WORD)
+        left, at = left[rows], at[rows]
+    while len(at):
+        lane = lanes[at] & LANE[np.minimum(left, 8)]
+        if rows is None:
+            state = mix64((state ^ lane) * np.uint64(0xFF51AFD7ED558CCD) + seed)
+            rows = np.flatnonzero(left > 8)
+            left, at = left[rows] - 8, at[rows] + 8
+        else:
+            state[rows] = mix64((state[rows] ^ lane) * np.uint64(0xFF51AFD7ED558CCD) + seed)
+            more = left > 8
+            rows, left, at = rows[more], left[more] - 8, at[more] + 8
+    return state
+
+
+def joined_hashes(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each pair of hashes, in their order."""
+    return mix64(mix64(a + np.uint64(salt)) * np.uint64(0xC4CEB9FE1A85EC53) ^ b)
 
 
 def window_hashes(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of `size` neighbours (the caller leaves out runs that cross texts)."""
-    n = len(hashes)
-    if n < size:
+    """A 64-bit hash of each run of `size` neighbours (the caller leaves out runs that cross texts): runs of 1, 2, 4 .. are joined to runs of `size`."""
+    n = len(hashes) - size + 1
+    if n < 1:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * powers(BASES[which], n), out=sums[1:])
-    return mix64((sums[size:] - sums[:-size]) * powers(INVERSES[which], n)[: n - size + 1])
+    out, have, power, span = None, 0, hashes, 1
+    while True:
+        if size & span:
+            part = power[have : have + n]
+            out = part if out is None else joined_hashes(out, part, SEEDS[which] >> 1)
+            have += span
+        if have == size:
+            return out if size > 1 else out.copy()
+        power, span = joined_hashes(power[:-span], power[span:], SEEDS[which] ^ span), span * 2
 
 
 def within(counts: np.ndarray) -> np.ndarray:

@@ -7,19 +7,24 @@ latest first arrival of all components (early termination). With equal weights,
 Jaccard similarity of their sets of shingles, the measure by which links are verified.
 
 Signatures are cut into 32 bands of 4 components; a pair at the threshold shares a band with a chance of 1 - 5e-8. Buckets
-of equal bands are searched without listing all pairs: first each class meets the smallest member of its buckets, and
-verified links are joined to components. Buckets whose members are all of one component are done. Members of the others
-are bucketed anew by their rarest shingles (prefix filtering: texts over the threshold share one of them for certain,
-while a passage that many unlike texts have in common is no rare shingle). The place of a shingle in that order bounds the
-overlap of two texts whose first common shingle it is; a bucket offers only pairs that can reach the threshold (positional
-filtering). In rounds that cost as many pairs as there are such members each meets one of another component, at first
-the member with the fewest rarer shingles (in a group of edited copies that is the original, which links to all that
-link at all), as long as this links many of them; then, with twice as many leaders in each round, leaders meet all members
-of other components, until no bucket holds an untested pair of two components. A pair is linked if its sets of shingles have a Jaccard similarity of at least 0.8, from the whole texts.
+of equal bands are searched without listing all pairs. First each class meets the smallest member of its buckets; every
+class has one such partner, smaller than itself, so that verified links are a forest, and its roots name components.
+
+Then all members of buckets are bucketed anew by their rarest shingles (prefix filtering: texts over the threshold share
+one of them for certain, while a passage that many unlike texts have in common is no rare shingle). The place of a shingle
+in that order bounds the overlap of two texts whose first common shingle it is (positional filtering). Members of a bucket
+that agree in component, place and size stand for each other: one row of them is shuffled. A task streams its buckets and
+offers, for each member outside the bucket's largest component, the partners of other components that can still reach the
+threshold, the likeliest first. A bucket stays open while it has partners that were not offered or rows that stand for
+others; each further round splits the rows that stand for others in two and doubles the partners of a member, so that after
+as many rounds as the largest group has binary digits all have met. Components grow in between, and most buckets close in
+the first rounds, since members of one component need not meet. A pair is linked if its sets of shingles have a Jaccard
+similarity of at least 0.8, from the whole texts.
 
 Defined results: null and empty texts (and those of white space only) form one class; texts under five words have one
 shingle, all their words; rows with equal doc_id are one document and share a class; a null doc_id is replaced by a
-negative number drawn from the text; ties: the class id is the smallest doc_id. An empty table gives no rows.
+negative number drawn from the text; ties: the class id is the smallest doc_id. A very long text is handled whole, by one
+task, in memory of some 40 bytes a word. An empty table gives no rows; columns besides doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -31,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import WS_CHARS, WS_CLASS, arrow_pass, flat_bytes, give_back, materialize, mix64, powers, read, slices, text_of, window_hashes, word_hashes, words_of
+from storyloom.llm.common import WS_CHARS, WS_CLASS, arrow_pass, flat_bytes, give_back, joined_hashes, materialize, mix64, read, slices, text_of, window_hashes, within, word_hashes, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 4
 #: Cells in which shingles are counted to tell rare ones from common ones.
 CELLS = 1 << 19
+#: Bytes of text whose shingles are worked out at once, and the tasks over which the partners of one text are dealt.
+PART, DEALT = 2 << 20, 64
 
 
 def node_id(doc_id: Column, norm: Column) -> Column:
@@ -57,10 +64,13 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.diff(first)
     counts = np.maximum(n - WORDS + 1, 0)
     doc = np.repeat(np.arange(len(n)), counts)
-    at = np.repeat(first[:-1], counts) + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(first[:-1], counts) + within(counts)
     hashes = window_hashes(words, WORDS)[at] if len(at) else np.zeros(0, np.uint64)
     short = np.flatnonzero((n > 0) & (n < WORDS))
-    whole = np.array([mix64((words[first[i] : first[i + 1]] * powers(0x2545F4914F6CDD1D, int(n[i]))).sum(keepdims=True, dtype=np.uint64))[0] for i in short], np.uint64)
+    whole = mix64(n[short].astype(np.uint64))
+    for k in range(WORDS - 1):
+        more = n[short] > k
+        whole[more] = joined_hashes(whole[more], words[first[short[more]] + k], 0x2545F4914F6CDD1D)
     doc, hashes = np.append(doc, short), np.append(hashes, whole)
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
@@ -97,10 +107,12 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
 def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, doc_id, digest, bands: 64-bit hashes of the bands, none for texts without words."""
     for batch in batches:
-        for part in slices(batch, "norm", 4 << 20):
+        for part in slices(batch, "norm", PART):
             doc, element, _ = shingles(part.column("norm"))
             signature = prob_minhash(doc, element, np.ones(len(doc)), part.num_rows).reshape(part.num_rows, BANDS, BAND_ROWS)
-            keys = mix64((signature * powers(0xD1342543DE82EF95, BAND_ROWS + 1)[1:]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+            keys = np.broadcast_to(mix64(np.arange(BANDS, dtype=np.uint64)), signature.shape[:2])
+            for k in range(BAND_ROWS):
+                keys = joined_hashes(keys, signature[:, :, k], 0x632BE59BD9B4E019)
             sizes = np.zeros(part.num_rows, np.int64)
             sizes[doc] = BANDS
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(keys[sizes > 0].reshape(-1).view(np.int64)))
@@ -108,25 +120,39 @@ def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
+    """Rows (b, deal, a, norm), each text b (a null) before its partners a: the pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`."""
+    held, own = None, np.zeros(0, np.uint64)
     for batch in batches:
-        for part in slices(batch, "text_a", 2 << 20):
-            sets = []
-            for c in ("text_a", "text_b"):
-                doc, element, _ = shingles(part.column(c))
-                sets.append(np.split(element, np.searchsorted(doc, np.arange(1, part.num_rows))))
-            hit = []
-            for x, y in zip(*sets, strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                hit.append(common > 0 and common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(hit))
+        for part in slices(batch, "norm", PART):
+            doc, element, _ = shingles(part.column("norm"))
+            sets = np.split(element, np.searchsorted(doc, np.arange(1, part.num_rows)))
+            hit: list[tuple[int, int]] = []
+            for b, deal, a, x in zip(*(part.column(c).to_pylist() for c in ("b", "deal", "a")), sets, strict=True):
+                if a is None:
+                    held, own = (b, deal), x.copy()
+                elif held == (b, deal) and len(x) and min(len(x), len(own)) >= similarity * max(len(x), len(own)):
+                    place = np.minimum(np.searchsorted(own, x), len(own) - 1)
+                    common = int((own[place] == x).sum())
+                    if common >= similarity * (len(x) + len(own) - common) - 1e-9:
+                        hit.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hit], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are alike. A text b that many have as partner is sent to DEALT tasks at most, each with a share of its partners."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(DEALT)).cast("int").alias("deal"))
+    mine = dealt.join(texts.select(F.col("id").alias("a"), "norm"), "a").select("b", "deal", "a", "norm")
+    theirs = dealt.select("b", "deal").distinct().join(texts.select(F.col("id").alias("b"), "norm"), "b").select("b", "deal", F.lit(None).cast("long").alias("a"), "norm")
+    rows = mine.union(theirs).repartition(parts, "b", "deal").sortWithinPartitions("b", "deal", F.asc_nulls_first("a"))
+    return arrow_pass(rows, lambda it: compared(it, similarity), "a long, b long")
 
 
 def cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of a task have a shingle in each cell."""
     total = np.zeros(CELLS, np.int64)
     for batch in batches:
-        for part in slices(batch, "norm"):
+        for part in slices(batch, "norm", PART):
             _, element, _ = shingles(part.column("norm"))
             total += np.bincount((element & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
     cell = np.flatnonzero(total)
@@ -137,15 +163,15 @@ def cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rarest(batches: Iterator[pa.RecordBatch], counts: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
     """(key, id, place, n): the rarest shingles of each text, so many that two similar texts have one of them in common, the place of each among the n of the text."""
     for batch in batches:
-        for part in slices(batch, "norm"):
+        for part in slices(batch, "norm", PART):
             doc, element, _ = shingles(part.column("norm"))
             order = np.lexsort((element, counts[(element & np.uint64(CELLS - 1)).astype(np.int64)], doc))
             n = np.bincount(doc, minlength=part.num_rows)
-            place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            place = within(n)
             early = place <= np.repeat(n - np.ceil(similarity * n - 1e-9), n)
             chosen = order[early]
             ids = part.column("id").to_numpy(zero_copy_only=False)
-            columns = [element[chosen].view(np.int64), ids[doc[chosen]], place[early], n[doc[chosen]]]
+            columns = [element[chosen].view(np.int64), ids[doc[chosen]], place[early].astype(np.int32), n[doc[chosen]].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "place", "n"])
 
 
@@ -156,13 +182,93 @@ def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
     counts[found["cell"]] = found["n"]  # CELLS numbers, whatever the input
     del found
     give_back()
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
-    return arrow_pass(texts.select("id", "norm"), lambda it: rarest(it, shared.value, similarity), "key long, id long, place long, n long")
+    shared = texts.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max() < 1 << 31 else counts)
+    return arrow_pass(texts.select("id", "norm"), lambda it: rarest(it, shared.value, similarity), "key long, id long, place int, n int")
+
+
+def offers(component: np.ndarray, place: np.ndarray, n: np.ndarray, count: np.ndarray, partners: int, share: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of the rows of one bucket: the pairs of different components that can reach the threshold, up to `partners` for each row outside the largest component; and whether more is left."""
+    names, own, size = np.unique(component, return_inverse=True, return_counts=True)
+    left = n - place
+    rows = np.flatnonzero(own != size.argmax())
+    first, second, more = [], [], False
+    for at in range(0, len(rows), max(1, 4_000_000 // len(n))):
+        i = rows[at : at + max(1, 4_000_000 // len(n)), None]
+        both = n[i] + n[None, :]
+        able = (own[i] != own[None, :]) & (np.minimum(left[i], left[None, :]) >= share * both - 1e-6)
+        if not able.any():
+            continue
+        likely = np.where(able, (left[i] + left[None, :]) / both, -1.0)
+        if partners < len(n):
+            best = np.argpartition(-likely, partners - 1, axis=1)[:, :partners]
+            more = more or bool((able.sum(axis=1) > partners).any())
+        else:
+            best = np.broadcast_to(np.arange(len(n)), likely.shape)
+        ok = np.take_along_axis(able, best, axis=1)
+        x, y = np.broadcast_to(i, best.shape)[ok], best[ok]
+        first.append(x)
+        second.append(y)
+    if not first:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    x, y = np.concatenate(first), np.concatenate(second)
+    return x, y, more or bool((count[x] > 1).any() or (count[y] > 1).any())
+
+
+def met(batches: Iterator[pa.RecordBatch], partners: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, component, place, n, id, count) in order of keys: pairs (key, a, b) to test; a and b are null in a row that says that the bucket stays open."""
+    share = similarity / (1 + similarity)
+    held: list[np.ndarray] = []
+
+    def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """rows: columns one below the other, whole buckets."""
+        key = rows[0]
+        for _ in range(3):  # drop buckets of one component, and rows too short on remaining shingles for the bucket's smallest text
+            begin = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1])) if rows.shape[1] else np.zeros(0, np.int64)
+            if not len(begin):
+                return
+            length = np.diff(np.append(begin, rows.shape[1]))
+            mixed = np.repeat(np.minimum.reduceat(rows[1], begin) != np.maximum.reduceat(rows[1], begin), length)
+            least = np.repeat(np.minimum.reduceat(rows[3], begin), length)
+            rows = rows[:, mixed & (rows[3] - rows[2] >= share * (rows[3] + least) - 1e-6)]
+        key = rows[0]
+        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+        keys, first, second = [], [], []
+        for r in np.split(rows, cut, axis=1) if rows.shape[1] else []:
+            if r.shape[1] < 2:
+                continue
+            x, y, more = offers(r[1], r[2], r[3], r[5], partners, share)
+            a, b = np.maximum(r[4][x], r[4][y]).tolist(), np.minimum(r[4][x], r[4][y]).tolist()
+            if more:
+                a.append(None)
+                b.append(None)
+            keys += [int(r[0][0])] * len(a)
+            first += a
+            second += b
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, first, second)], names=["key", "a", "b"])
 
-
-def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("text_b")), "b")
-    return arrow_pass(rows.select("a", "b", "text_a", "text_b"), lambda it: compared(it, similarity), "a long, b long")
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+        if held[0][0][0] != held[-1][0][-1]:  # a bucket has ended
+            rows = np.concatenate(held, axis=1)
+            end = int(np.searchsorted(rows[0], rows[0][-1])) if (np.diff(rows[0]) >= 0).all() else int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1
+            yield from closed(rows[:, :end])
+            held = [rows[:, end:]]
+    if held:
+        yield from closed(np.concatenate(held, axis=1))
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(id, component) of a forest: links (a, b), one for each a, b smaller than a. Each pass doubles the steps taken."""
+    found = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    while True:
+        above = found.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        jumped = materialize(found.join(above, "component", "left").select("id", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")))
+        found = jumped.select("id", "component")
+        if jumped.where("moved").isEmpty():
+            return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,96 +295,47 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("component", F.col("id"))
-    return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def unresolved(buckets: DataFrame) -> DataFrame:
-    """Rows (key, id, component) of buckets that hold more than one component."""
-    mixed = buckets.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    return buckets.join(mixed, "key", "left_semi")
-
-
-def can_link(a: str, b: str, similarity: float) -> Column:
-    """If the shingle of the bucket is the first common one of rows a and b, their overlap is at most what follows it in either; it has to reach the share of both sizes that the threshold asks for."""
-    return F.least(F.expr(f"{a}.n - {a}.place"), F.expr(f"{b}.n - {b}.place")) >= F.expr(f"{a}.n + {b}.n") * (similarity / (1 + similarity)) - 1e-6
-
-
-def open_rows(rest: DataFrame, similarity: float) -> DataFrame:
-    """Rows of mixed buckets, without those whose remaining overlap is too small for even the smallest member."""
-    sizes = rest.groupBy("key").agg(F.min("n").alias("least_n"))
-    enough = (F.col("n") - F.col("place")) >= (F.col("n") + F.col("least_n")) * (similarity / (1 + similarity)) - 1e-6
-    return unresolved(rest.join(sizes, "key").where(enough).drop("least_n"))
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: those of a graph whose nodes are the components so far."""
+    name = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = components(materialize(between.where("a != b").distinct()))
+    moved = labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    return materialize(moved.union(merged))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: id (doc_id, or its stand-in where null), doc_id, copy_of (smallest id of its equal texts), class_id."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = normalized(docs)
     signed = materialize(arrow_pass(rows.select("id", "doc_id", "digest", "norm"), banded, "id long, doc_id long, digest binary, bands array<long>"))
     classes = materialize(signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     keyed = classes.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("key", "leader")
-    buckets = materialize(keyed.join(shared, "key"))
-    wanted = buckets.select("id").distinct().join(classes.select("id", "digest"), "id")
+    met_first = materialize(keyed.join(shared, "key").groupBy("id").agg(F.min("leader").alias("leader")))  # a row for each member of a bucket
+    wanted = met_first.select("id").join(classes.select("id", "digest"), "id")
     texts = materialize(rows.select("id", "digest", "norm").join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]))
-    first = buckets.where("id != leader").groupBy("id").agg(F.min("leader").alias("b")).select(F.col("id").alias("a"), "b")
-    links = materialize(linked(first, texts, similarity))
-    labels = components(links)
-    strangers = unresolved(with_component(buckets.select("key", "id"), labels)).select("id").distinct()
-    rest = materialize(open_rows(unresolved(with_component(prefixes(texts.join(strangers, "id", "left_semi"), similarity), labels)), similarity))
-    turn, merging = 0, True
-    while merging and not rest.isEmpty():  # each stranger meets one other a round, as long as that links many
-        pairs = materialize(partners(rest, turn, similarity))
-        more = materialize(linked(pairs, texts, similarity))
-        merging = more.count() > 0.05 * pairs.count()
+    labels = roots(linked(met_first.where("leader != id").select(F.col("id").alias("a"), F.col("leader").alias("b")), texts, similarity))
+    marks = materialize(prefixes(texts, similarity))
+    turn = 0
+    while True:
+        named = marks.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"), "place", "n", "id")
+        stand = named.groupBy("key", "component", "place", "n", F.pmod(F.xxhash64("id"), F.lit(1 << turn)).alias("half")).agg(F.min("id").alias("id"), F.count("*").alias("count"))
+        dealt = stand.select("key", "component", "place", "n", "id", "count").repartition(parts, "key").sortWithinPartitions("key")
+        offered = materialize(arrow_pass(dealt, lambda it, most=1 << turn: met(it, most, similarity), "key long, a long, b long"))
+        more = materialize(linked(offered.where("a is not null").select("a", "b").distinct(), texts, similarity))
         if not more.isEmpty():
             labels = joined(labels, more)
-            rest = materialize(open_rows(with_component(rest.drop("component"), labels), similarity))
+        still = offered.where("a is null").select("key")
+        if still.isEmpty():
+            break
+        marks = materialize(marks.join(still, "key", "left_semi"))
         turn += 1
-    leaders = 1
-    while not rest.isEmpty():  # those that are left all meet
-        chosen = leading(rest.join(rest.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("place", "id")).alias("least")), "key"), leaders)
-        met = rest.alias("r").join(chosen.alias("c"), "key").where((F.col("r.component") != F.col("c.component")) & can_link("r", "c", similarity))
-        pairs = met.select(F.greatest("r.id", "c.id").alias("a"), F.least("r.id", "c.id").alias("b")).distinct()
-        more = materialize(linked(pairs, texts, similarity))
-        if not more.isEmpty():
-            labels = joined(labels, more)
-        left = rest.join(chosen.select("key", "id"), ["key", "id"], "left_anti").drop("component")
-        rest = materialize(open_rows(with_component(left, labels), similarity))
-        leaders *= 2
     members = signed.select("id", "doc_id", "digest").join(classes.select("digest", F.col("id").alias("copy_of")), "digest")
     named = labels.select(F.col("id").alias("copy_of"), F.col("component").alias("class_id"))
     return members.join(named, "copy_of", "left").select("id", "doc_id", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
 
 
-def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links."""
-    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
-
-
-def partners(rest: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Pairs (a, b): each member meets one of another component, that offered by most of its buckets.
-
-    A bucket offers two members of two components: those with the fewest rarer shingles in turn 0, in others those drawn
-    by a hash that changes with the turn. Rows stay linear.
-    """
-    drawn = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("place")).alias("h"), "id", "component", "place", "n")
-    one = rest.groupBy("key").agg(F.min(drawn).alias("one"))
-    two = rest.join(one, "key").where("component != one.component").groupBy("key").agg(F.min(drawn).alias("two"))
-    other = F.when(F.col("component") == F.col("one.component"), F.col("two")).otherwise(F.col("one"))
-    offered = rest.join(one, "key").join(two, "key").select("id", F.struct("place", "n").alias("own"), other.alias("other")).where(can_link("own", "other", similarity))
-    best = offered.groupBy("id", F.col("other.id").alias("other")).agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "other")).alias("best"))
-    return best.select(F.greatest("id", "best.other").alias("a"), F.least("id", "best.other").alias("b")).distinct()
-
-
-def leading(ranked: DataFrame, leaders: int) -> DataFrame:
-    """About `leaders` members of each bucket, spread by a hash; that with the fewest rarer shingles always."""
-    share = F.pmod(F.xxhash64("id", "key"), F.greatest(F.col("members"), F.lit(1)))
-    return ranked.where((F.col("id") == F.col("least.id")) | (share < leaders - 1)).select("key", "id", "component", "place", "n")
-
-
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, one of each class: that with the smallest doc_id."""
     stays = near_classes(docs, similarity).where("id = class_id").select("id").distinct()

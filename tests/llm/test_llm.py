@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from storyloom.llm import bpe, exact_dedup, fingerprints, html_extract, language_id, licenses, line_dedup, minhash, packing, substring_dedup
-from storyloom.llm.common import read
+from storyloom.llm.common import flat_bytes, read, window_hashes, word_hashes
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(400)]
@@ -100,6 +100,44 @@ def test_substring_dedup(odd, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    """The Thue-Morse word and its complement have equal polynomials modulo 2**64 for every odd base."""
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    head = prose(77, 19)
+    docs = spark.createDataFrame([(1, f"{head} {x}"), (2, f"{head} {y}"), (3, f"{head} {x}"), (4, "z" * 9000), (5, "z" * 9001)], "doc_id long, text string")
+    assert {r.row.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 20, 4: 0, 5: 0}
+    raw, off = flat_bytes(pa.array([x, y, x + y, "z" * 9000, "z" * 9001, "z" * 16, "z" * 17, "z"]))
+    for which in (0, 1):
+        assert len(set(word_hashes(raw, off[:-1], off[1:], which).tolist())) == 8
+
+
+def test_common_gram_in_many_contexts(spark):
+    """All texts share one run of ten words and nothing else: no window repeats."""
+    gram = prose(78, 10)
+    docs = spark.createDataFrame([(i, f"{prose(5000 + i, 40)} {gram} {prose(6000 + i, 40)}") for i in range(300)], "doc_id long, text string")
+    assert substring_dedup.substring_dedup(docs).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def test_window_hashes_against_the_words():
+    r = np.random.default_rng(5)
+    words = r.integers(0, 3, 4000).astype(np.uint64)
+    for size in (1, 2, 5, 10, 20):
+        seen = {}
+        hashes = window_hashes(words, size)
+        assert len(hashes) == len(words) - size + 1
+        for k, h in enumerate(hashes.tolist()):
+            assert seen.setdefault(tuple(words[k : k + size].tolist()), h) == h
+        assert len(set(seen.values())) == len(seen)
+
+
 def test_near_classes(odd, none, spark):
     got = minhash.near_classes(odd).collect()
     by = {r.doc_id: r.class_id for r in got}
