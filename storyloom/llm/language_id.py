@@ -1,24 +1,30 @@
 """Language identification by prediction with partial matching.
 
-Each language has byte context trees up to ORDER bytes deep. A context's symbol costs -log2 c/(n+d) bits (c: times the
-symbol followed the context, n: all times, d: distinct symbols); a symbol that never followed pays the escape
-d/(n+d) and the price of the next shorter context, down to equal shares for all bytes. Statistics are frozen after
-training, so a context's prices are fixed and a text's exact code length is the sum of looked-up prices.
+Each language has a byte context tree of variable depth, up to ORDER bytes: a context exists where the training texts have
+it. A context's symbol costs -log2 c/(n+d) bits (c: times the symbol followed the context, n: all times, d: distinct
+symbols); a symbol that never followed pays the escape d/(n+d) and the price of the next shorter context, down to equal
+shares for all 256 bytes; a context that was never seen costs nothing and hands on to the next shorter one. Statistics
+are frozen after training, so a text's exact code length is the sum of looked-up prices. Before a text lie spaces.
 
-Training takes at most `per_language` labelled documents of each language (those with the smallest hash of doc_id),
-counts byte sequences in tasks and sums them in Spark; the counts have at most 128**(ORDER+1) entries a language, far
-fewer in practice, whatever the corpus. The prediction is one narrow pass over the texts.
+The trees are kept as sorted arrays of byte sequences, one for each depth, joined over all languages; a sequence that any
+language has seen holds its full price in every language. Only the distinct sequences of a batch are looked up.
+
+Training takes at most `per_language` labelled documents of a language (those with the smallest hash of doc_id) and at
+most `sample` in all. A value of `lang` teaches with `least` labelled documents at least; of more than `most_languages`
+such values those with most documents do (ties: first by name). So the model is bounded by these four parameters, whatever
+the corpus. Counts are made in tasks and summed in Spark. The prediction is one narrow pass over the texts.
 
 Defined results: `und` with score 0 for texts that are null or hold no letter, and for all where nothing could be
 learned; else the language of the shortest code (ties: first by name) and its share of the probability, 2**-bits, of
-all languages. Unlabelled, null or empty texts teach nothing; an empty table gives no rows.
+all languages. Unlabelled, null or empty texts teach nothing; repeated rows get equal results and teach as often as they
+are drawn; a null doc_id teaches as any other. A long text is priced in parts, which see the bytes before them. An empty
+table gives no rows. Other columns, whatever their names, pass through in `row`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import NamedTuple
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -27,121 +33,153 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import arrow_pass, flat_bytes, give_back, read, slices
 
-ORDER, ALPHABET = 2, 128
+ORDER = 4
 UNKNOWN = "und"
+#: Bytes that are priced at once.
+PART = 1 << 20
+
+
+class Level(NamedTuple):
+    """Of contexts of one length: sequences (context and symbol) with their bits, contexts with the bits of an escape; a column a language."""
+
+    grams: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray
 
 
 class Model(NamedTuple):
-    key: str
     langs: list[str]
-    codes: np.ndarray  # byte -> symbol; 0: a byte too rare to have one
-    grams: list[np.ndarray]  # of each language, byte sequences of ORDER+1 symbols as numbers
-    counts: list[np.ndarray]
+    levels: list[Level]  # by length of the context, from 0
 
 
-def _sequences(column: pa.Array, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte the number of it and the ORDER bytes (or symbols) before it, and the texts' offsets. Before a text lie spaces."""
-    raw, off = flat_bytes(column)
-    size = 256 if codes is None else ALPHABET
-    symbol = raw.astype(np.int64) if codes is None else codes[raw].astype(np.int64)
-    space = 32 if codes is None else int(codes[32])
-    number = symbol.copy()
-    starts = off[:-1][off[:-1] < off[1:]]
+def sequences(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each byte the number of it (lowest) and the ORDER bytes before it; starts: where texts begin."""
+    out = raw.astype(np.uint64)
     for back in range(1, ORDER + 1):
-        before = np.full(len(symbol), space, np.int64)
-        before[back:] = symbol[:-back] if len(symbol) > back else before[back:]
+        before = np.full(len(raw), 32, np.uint64)
+        before[back:] = raw[:-back] if len(raw) > back else before[back:]
         for k in range(back):  # the first bytes of a text do not see the text before
             at = starts + k
-            before[at[at < len(before)]] = space
-        number += before * size**back
-    return number, off
+            before[at[at < len(before)]] = 32
+        out |= before << np.uint64(8 * back)
+    return out
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, dict[int, int]] = {}
+    """(lang, gram, n) of each batch."""
     for batch in batches:
-        for part in slices(batch, "text"):
-            langs = part.column("lang").to_pylist()
-            numbers, off = _sequences(part.column("text"))
-            for i, lang in enumerate(langs):
-                own = total.setdefault(lang, {})
-                for g, n in zip(*(x.tolist() for x in np.unique(numbers[off[i] : off[i + 1]], return_counts=True)), strict=True):
-                    own[g] = own.get(g, 0) + n
-    for lang, own in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], names=["lang", "gram", "n"])
+        for part in slices(batch, "text", 4 << 20):
+            raw, off = flat_bytes(part.column("text"))
+            langs, lang = np.unique(np.array(part.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
+            grams = sequences(raw, off[:-1][off[:-1] < off[1:]])
+            of = np.repeat(lang, np.diff(off))
+            for i, name in enumerate(langs.tolist()):
+                g, n = np.unique(grams[of == i], return_counts=True)
+                for at in range(0, len(g), 65536):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g[at : at + 65536]), pa.string()), pa.array(g[at : at + 65536].astype(np.int64)), pa.array(n[at : at + 65536].astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 500) -> Model:
+def drawn(docs: DataFrame, per_language: int, sample: int, least: int, most_languages: int) -> DataFrame:
+    """The bounded training sample: lang, text."""
+    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.coalesce(F.length("text"), F.lit(0)) > 0))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "lang").limit(most_languages).collect()  # at most most_languages rows
+    if not sizes:
+        return usable.where("false").select("lang", "text")
+    take = max(1, min(per_language, sample // len(sizes)))
+    # far more than `take` rows of each language stay below its limit of the hash, so the ranking sees a few hundred rows of each
+    limits = [(r.lang, min(1.0, (take + 10 * take**0.5 + 10) / r.n)) for r in sizes]
+    spark = docs.sparkSession
+    share = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    near = usable.join(F.broadcast(spark.createDataFrame(limits, "lang string, most double")), "lang").withColumn("h", share).where(F.col("h") < F.col("most"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))))
+    return ranked.where(F.col("rank") <= take).select("lang", "text")
+
+
+def train(docs: DataFrame, per_language: int = 300, sample: int = 4000, least: int = 3, most_languages: int = 64) -> Model:
     """docs: doc_id, text, lang; held-out documents are left out here."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    thin = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    chosen = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= per_language)
-    # at most per_language rows a language: small enough to broadcast, whatever the corpus
-    sample = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    rows = arrow_pass(sample, counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    sample_rows = drawn(docs, per_language, sample, least, most_languages)
+    rows = arrow_pass(sample_rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
-    seen = np.zeros(256, np.int64)
-    np.add.at(seen, rows["gram"].to_numpy(np.int64) % 256, rows["n"].to_numpy(np.int64))
-    codes = np.zeros(256, np.uint8)
-    for i, b in enumerate([b for b in np.argsort(-seen, kind="stable") if seen[b]][: ALPHABET - 1]):
-        codes[b] = i + 1
-    grams, counts = [], []
-    for lang in langs:
-        own = rows[rows["lang"] == lang]
-        g = own["gram"].to_numpy(np.int64)
-        number = sum(codes[(g >> (8 * k)) & 255].astype(np.int64) * ALPHABET**k for k in range(ORDER + 1))
-        u, inverse = np.unique(number, return_inverse=True)
-        grams.append(u)
-        counts.append(np.bincount(inverse, own["n"].to_numpy(np.float64)))
+    model = built(langs, [(own["gram"].to_numpy(np.int64).astype(np.uint64), own["n"].to_numpy(np.float64)) for own in (rows[rows["lang"] == x] for x in langs)])
     del rows
     give_back()
-    return Model(uuid4().hex, langs, codes, grams, counts)
-
-
-def prices(model: Model) -> np.ndarray:
-    """Bits of each sequence of ORDER+1 symbols, for each language."""
-    out = np.empty((ALPHABET ** (ORDER + 1), len(model.langs)), np.float32)
-    for j, (grams, counts) in enumerate(zip(model.grams, model.counts, strict=True)):
-        full = np.zeros(ALPHABET ** (ORDER + 1), np.float32)
-        full[grams] = counts
-        p = np.full(ALPHABET, 1 / 256, np.float32)
-        for order in range(ORDER + 1):
-            c = full.reshape(-1, ALPHABET ** (order + 1)).sum(axis=0).reshape(-1, ALPHABET)  # the last order+1 symbols
-            n, d = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True).astype(np.float32)
-            shorter = np.broadcast_to(p.reshape(-1, ALPHABET), (ALPHABET, *p.reshape(-1, ALPHABET).shape)).reshape(-1, ALPHABET) if order else p.reshape(1, ALPHABET)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                p = np.where(n == 0, shorter, np.where(c > 0, c / (n + d), d / (n + d) * shorter))
-        out[:, j] = -np.log2(p.reshape(-1))
+    return model
+
+
+def built(langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The model of languages with their counts of sequences of ORDER + 1 bytes."""
+    levels: list[Level] = []
+    for order in range(ORDER + 1 if langs else 0):
+        mask = np.uint64((1 << (8 * (order + 1))) - 1)
+        own = []
+        for grams, n in counts:
+            g, inverse = np.unique(grams & mask, return_inverse=True)
+            own.append((g, np.bincount(inverse, n)))
+        grams = np.unique(np.concatenate([g for g, _ in own]))
+        contexts = np.unique(grams >> np.uint64(8))
+        bits, escapes = np.zeros((len(grams), len(langs)), np.float32), np.zeros((len(contexts), len(langs)), np.float32)
+        shorter = np.full((len(grams), len(langs)), 8, np.float32)
+        if order:
+            shorter = levels[-1].bits[np.searchsorted(levels[-1].grams, grams & (mask >> np.uint64(8)))]
+        at = np.searchsorted(contexts, grams >> np.uint64(8))
+        for j, (g, c) in enumerate(own):
+            known = np.searchsorted(contexts, g >> np.uint64(8))
+            n, d = np.bincount(known, c, len(contexts)), np.bincount(known, minlength=len(contexts))
+            seen = n > 0
+            escapes[seen, j] = -np.log2(d[seen] / (n[seen] + d[seen]))
+            bits[:, j] = escapes[at, j] + shorter[:, j]
+            bits[np.searchsorted(grams, g), j] = -np.log2(c / (n[known] + d[known]))
+        levels.append(Level(grams, bits, contexts, escapes))
+    return Model(langs, levels)
+
+
+def prices(model: Model, grams: np.ndarray) -> np.ndarray:
+    """Bits of sequences of ORDER + 1 bytes, a column a language."""
+    out = np.zeros((len(grams), len(model.langs)), np.float32)
+    rest, left = np.arange(len(grams)), grams
+    for order in range(ORDER, -1, -1):
+        level = model.levels[order]
+        at = np.minimum(np.searchsorted(level.grams, left), len(level.grams) - 1)
+        hit = level.grams[at] == left
+        out[rest[hit]] += level.bits[at[hit]]
+        rest, left = rest[~hit], left[~hit]
+        at = np.minimum(np.searchsorted(level.contexts, left >> np.uint64(8)), len(level.contexts) - 1)
+        hit = level.contexts[at] == left >> np.uint64(8)
+        out[rest[hit]] += level.escapes[at[hit]]
+        left = left & np.uint64((1 << (8 * order)) - 1)
+    out[rest] += 8
     return out
 
 
-_last: dict = {}
-
-
-def table_of(model: Model) -> np.ndarray:
-    """The prices, worked out once for each Python worker and model."""
-    if _last.get("key") != model.key:
-        _last.update(key=model.key, table=prices(model))
-    return _last["table"]
+def code_lengths(model: Model, column: pa.Array) -> np.ndarray:
+    """Bits of each text in each language."""
+    raw, off = flat_bytes(column)
+    grams = sequences(raw, off[:-1][off[:-1] < off[1:]])
+    total = np.zeros((len(off) - 1, len(model.langs)))
+    for at in range(0, len(raw), PART):
+        distinct, inverse = np.unique(grams[at : at + PART], return_inverse=True)
+        bits = prices(model, distinct)[inverse]
+        low, high = np.searchsorted(off, at, side="right") - 1, np.searchsorted(off, min(at + PART, len(raw)))
+        begin = np.maximum(off[low:high] - at, 0)
+        full = np.flatnonzero(np.diff(np.append(begin, len(bits))) > 0)
+        total[low + full] += np.add.reduceat(bits, begin[full], axis=0, dtype=np.float64)
+    return total
 
 
 def scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    table = table_of(model) if model.langs else None
     langs = np.array([*model.langs, UNKNOWN], dtype=object)
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             n = part.num_rows
             best, score = np.full(n, len(model.langs)), np.zeros(n)
             ok = part.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
-            if table is not None and ok.any():
-                numbers, off = _sequences(part.column("text"), model.codes)
-                full = np.flatnonzero(off[:-1] < off[1:])
-                bits = np.zeros((n, len(model.langs)))
-                bits[full] = np.add.reduceat(table[numbers], off[:-1][full], axis=0, dtype=np.float64)
+            if model.langs and ok.any():
+                bits = code_lengths(model, part.column("text"))
                 best[ok] = bits[ok].argmin(axis=1)
                 score[ok] = 1 / np.exp2(np.maximum(bits[ok].min(axis=1, keepdims=True) - bits[ok], -1000)).sum(axis=1)
             columns = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] not in ("text", "lettered")]
