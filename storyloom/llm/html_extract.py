@@ -6,13 +6,18 @@ those sets in which a kept node's parent is kept: a dropped node takes all its d
 ancestors pass it through, so ancestors and descendants never contradict each other.
 
 The model (Spark ML's GBTClassifier) is fitted on the nodes of at most `train_pages` pages, those with the smallest hash
-of page_id. Labels come from the pages that mark their main text up (article, main); each training page is used a second
-time without its tag, class, id and role tokens, so that structure alone must decide there. Where no page of the
-sample has such marks, a fixed score by tokens and links is used. Scripts, styles, form controls and comments are never
-text. Extraction is one narrow pass.
-
-Defined results: null and empty html give an empty text; unclosed and stray tags are tolerated; an unclosed script hides
-the rest; repeated rows get equal results; an empty table gives no rows.
+of page_id, in order of page_id, so that it does not depend on how the table is split. Labels come from pages that mark
+their main text up (article, main); each training page is used a second time without its tag, class, id and role tokens,
+so that structure alone must decide there. A table that has no such pages is labelled by a fixed rule on tokens and links
+instead, and trees are fitted to those labels all the same. Scripts, styles, form controls and comments are never text.
+Tags are read as the HTML standard does: quoted and unquoted attribute values, quotes inside unquoted ones, nested
+templates; a quote that never ends is passed over, and its tag ends at the first `>`. Extraction is one narrow pass.
+
+Defined results: null and empty html give an empty text; unclosed and stray tags are tolerated; an unclosed script, style,
+title, textarea or template hides the rest; a head ends at its end tag or at the first tag or text that cannot stand in
+it; repeated rows get equal results; equal scores keep a node out; a very long page is one tree in the memory of its
+task; columns besides page_id, url and html play no part; an empty table gives no rows, and one without two kinds of nodes
+keeps what the fixed rule keeps.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +45,33 @@ BOILERPLATE = frozenset("nav navbar navigation menu menubar header masthead foot
 MAIN = frozenset("article main content post entry story body text articlebody".split())
 #: Tags that may stand in a head; others end it, as does text.
 IN_HEAD = frozenset("html meta link base".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Of the hidden ones, those whose content is text up to their end tag, and those that hide what follows even without one.
+RAW = frozenset("script style textarea title noscript iframe".split())
+ENDLESS = frozenset("script style textarea title template".split())
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*(?:>|\Z)", re.S)
+VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)"
+#: What follows a tag's name, by the standard's states; without a way back, so that time is linear.
+REST = re.compile(rf"(?>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{VALUE}?+)?+)*+)>", re.S)
+ATTRIBUTE = re.compile(r"(?<![^\s/\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 FEATURES = ["main_self", "boiler_self", "main_above", "boiler_above", "depth", "text", "density", "links", "children", "siblings", "sibling_text", "share", "marks", "place", "paragraph", "own_text"]
 LINKS, TOKENS = 7, (0, 1, 2, 3)
 
 
+def behind(source: str, name: str, at: int) -> int:
+    """The place behind a hidden element whose start tag ends at `at`; elements of the same name in it are counted, unless its content is mere text."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).finditer(source, at):
+        if not m[1]:
+            depth += name not in RAW
+            continue
+        depth -= 1
+        if not depth:
+            return m.end()
+    return len(source) if name in ENDLESS else at
+
+
 class Page:
     """A tree of block elements in page order; node 0 is the root, parents come before their children."""
 
@@ -58,7 +83,7 @@ class Page:
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack, text, link, at = [0], [], 0, 0
+        stack, text, link = [0], [], 0
 
         def flush() -> None:
             if text:
@@ -75,21 +100,26 @@ class Page:
                     self.links[stack[-1]] += len(piece.strip())
 
         tag = self.tag
-        hidden = 0
-        for m in TOKEN.finditer(source):
-            if hidden and source[at : m.start()].strip():
+        hidden, at = 0, 0
+        while (m := TOKEN.search(source, at)) is not None:
+            before = source[at : m.start()]
+            if hidden and before.strip():
                 hidden = 0
             if not hidden:
-                words(source[at : m.start()])
+                words(before)
             at = m.end()
-            name = m[3]
-            if not name:
+            if not m[2]:
                 continue
-            name, closing = name.lower(), bool(m[2])
+            name, closing = m[2].lower(), bool(m[1])
+            rest = REST.match(source, at)
+            stop = rest.end() if rest else source.find(">", at) + 1 or len(source)
+            attributes, at = source[at : stop - 1], stop
             if name in HIDDEN:
                 if name == "head":
                     hidden = 0 if closing else 1
                     text.clear()
+                elif not closing:
+                    at = behind(source, name, at)
                 continue
             if hidden and not closing and name not in IN_HEAD:
                 hidden = 0
@@ -115,7 +145,7 @@ class Page:
                             del stack[k:]
                             break
                 tokens = [name]
-                for a in ATTRIBUTE.findall(m[4]) if m[4] else ():
+                for a in ATTRIBUTE.findall(attributes) if "=" in attributes else ():
                     tokens += WORD.findall("".join(a).lower())
                 self.parent.append(stack[-1])
                 self.depth.append(self.depth[stack[-1]] + 1)
@@ -179,6 +209,10 @@ class Page:
             good[self.parent[v]] += good[v]
         return [float(inside[v] if not size[v] else 2 * good[v] > size[v]) for v in range(n)]
 
+    def rule_labels(self) -> list[float]:
+        """Labels by the fixed rule, for pages without marks."""
+        return [float(x) for x in self.kept(Forest().margins(self.features()))]
+
     def kept(self, scores: np.ndarray) -> list[bool]:
         """The set of nodes with the largest sum of scores in which each kept node's parent is kept."""
         own = [0] * len(self.tag)
@@ -244,41 +278,47 @@ def disturbed(source: str, token: str) -> str:
     return re.sub(r"(</article>|</main>|\Z)", lambda m: m[0] + again, source, count=1)
 
 
-def training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, number = sorted(BOILERPLATE), 0
+def training_rows(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[pa.RecordBatch]:
+    """(page_id, part, node, x, label): each page as it is, without tokens, and disturbed twice by words drawn from its id. marked: labels by the page's own marks."""
+    words = sorted(BOILERPLATE)
     for batch in batches:
-        rows, labels = [], []
-        for source in batch.column("html").to_pylist():
-            page = Page(source or "")
-            own = page.labels()
-            if own is None:
-                continue
-            x = page.features()[1:]
-            bare = x.copy()
-            bare[:, TOKENS] = 0
-            rows += x.tolist() + bare.tolist()
-            labels += own[1:] * 2
-            for token in (words[number % len(words)], words[(7 * number + 3) % len(words)]):
-                page = Page(disturbed(source, token))
-                rows += page.features()[1:].tolist()
-                labels += page.labels()[1:]
-                number += 1
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64())], names=["x", "label"])
+        for page_id, source in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            source = source or ""
+            number = zlib.crc32(str(page_id).encode())
+            versions = [source, disturbed(source, words[number % len(words)]), disturbed(source, words[(7 * number + 3) % len(words)])]
+            out: list[tuple] = []
+            for k, version in enumerate(versions):
+                page = Page(version)
+                labels = page.labels() if marked else page.rule_labels()
+                if labels is None:
+                    break
+                x = page.features()[1:]
+                out += [(page_id, k, v, row, y) for v, (row, y) in enumerate(zip(x.tolist(), labels[1:], strict=True))]
+                if not k:
+                    x[:, TOKENS] = 0
+                    out += [(page_id, len(versions), v, row, y) for v, (row, y) in enumerate(zip(x.tolist(), labels[1:], strict=True))]
+            if out:
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["page_id", "part", "node", "x", "label"])
 
 
 def train(pages: DataFrame, train_pages: int = 150) -> Forest:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    chosen = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b")).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
-    sample = pages.select("page_id", "html").join(F.broadcast(chosen.distinct()), "page_id", "left_semi").select("html")
-    nodes = arrow_pass(sample, training_rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").coalesce(2).persist()
-    try:
-        if nodes.select("label").distinct().count() < 2:
-            return Forest()
-        return Forest(GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=1, minInstancesPerNode=8).fit(nodes))
-    finally:
-        nodes.unpersist()
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    for marked in (True, False):
+        usable = rows.where(F.col("html").rlike(r"(?i)<(article|main)\b")) if marked else rows.where(F.length("html") > 0)
+        chosen = usable.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).distinct()
+        sample = usable.join(F.broadcast(chosen), "page_id", "left_semi").dropDuplicates(["page_id"])  # a bounded sample, small enough for one partition
+        nodes = arrow_pass(sample, lambda it, own=marked: training_rows(it, own), "page_id long, part int, node int, x array<double>, label double")
+        nodes = nodes.repartition(1).sortWithinPartitions("page_id", "part", "node").select(array_to_vector("x").alias("features"), "label").persist()
+        try:
+            if nodes.select("label").distinct().count() == 2:
+                return Forest(GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=1, minInstancesPerNode=8).fit(nodes))
+        finally:
+            nodes.unpersist()
+    return Forest()
 
 
 def extracted(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:

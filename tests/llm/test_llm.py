@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from storyloom.llm import bpe, exact_dedup, fingerprints, html_extract, language_id, licenses, line_dedup, minhash, packing, substring_dedup
 from storyloom.llm.common import flat_bytes, read, window_hashes, word_hashes
@@ -250,6 +251,54 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in language_id.identify(odd, empty).collect()} == {"und"}
 
 
+def plain_ppm(text, training):
+    """Bits of a text after the training texts, context by context in dictionaries."""
+    follow = collections.defaultdict(collections.Counter)
+    for t in training:
+        raw = b" " * language_id.ORDER + t.encode()
+        for i in range(language_id.ORDER, len(raw)):
+            for k in range(language_id.ORDER + 1):
+                follow[raw[i - k : i]][raw[i]] += 1
+    bits, raw = 0.0, b" " * language_id.ORDER + text.encode()
+    for i in range(language_id.ORDER, len(raw)):
+        for k in range(language_id.ORDER, -1, -1):
+            seen = follow[raw[i - k : i]]
+            n, d = sum(seen.values()), len(seen)
+            if raw[i] in seen:
+                bits -= np.log2(seen[raw[i]] / (n + d))
+                break
+            bits -= np.log2(d / (n + d)) if n else 0
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_against_plain_ppm(spark):
+    rows = [(i, lang, t) for i, (lang, t) in enumerate([("a", prose(21, 30) + " déjà"), ("a", prose(22, 20)), ("b", "привет мир " * 4), ("b", "мир abc"), ("a", "x y"), ("b", "中文 文本")])]
+    docs = spark.createDataFrame([(1000 + 7 * i, lang, t) for i, lang, t in rows for _ in range(2)], "doc_id long, lang string, text string").withColumn("doc_id", F.col("doc_id") * 0 + F.monotonically_increasing_id())
+    used = docs.where(~language_id.held_out(docs.doc_id)).collect()
+    model = language_id.train(docs, least=1)
+    texts = ["w1 w2 w17", "мир 文", "", "zz\x00ÿ", prose(23, 200)]
+    got = language_id.code_lengths(model, pa.array(texts))
+    for j, lang in enumerate(model.langs):
+        for i, t in enumerate(texts):
+            assert abs(got[i, j] - plain_ppm(t, [r.text for r in used if r.lang == lang])) < 1e-3 * (1 + len(t)), (lang, t)
+    old, language_id.PART = language_id.PART, 5
+    assert np.allclose(language_id.code_lengths(model, pa.array(texts)), got, atol=1e-2)
+    language_id.PART = old
+
+
+def test_language_edges(spark, odd, none):
+    docs = spark.createDataFrame([(i, None if i % 7 == 0 else "xx" if i % 2 else "yy", prose(i, 20) if i % 2 else prose(i, 20).replace("w", "v")) for i in range(60)], "doc_id long, lang string, text string")
+    model = language_id.train(docs)
+    assert model.langs == ["xx", "yy"] and language_id.identify(none, model).count() == 0
+    twice = spark.createDataFrame([(1, "w1 w2 w3 w4"), (1, "w1 w2 w3 w4"), (None, "v1 v2 v3 v9"), (2, "w5 " * 400_000), (3, "12 34")], "doc_id long, text string")
+    got = [(r.row.doc_id, r.lang_pred) for r in language_id.identify(twice, model).collect()]
+    assert sorted(got, key=str) == sorted([(1, "xx"), (1, "xx"), (None, "yy"), (2, "xx"), (3, "und")], key=str)
+    rare = language_id.train(docs.union(spark.createDataFrame([(1001, "zz", "once")], docs.schema)))
+    assert rare.langs == ["xx", "yy"]
+
+
 def test_fingerprints(odd, none):
     got = [r for r in fingerprints.with_next(odd).collect()]
     assert len(got) == len(ODD)
@@ -308,6 +357,54 @@ def test_html_without_the_end_of_the_head():
         assert " ".join(t for _, t in html_extract.Page(page).blocks) == "one two", page
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p title="x>Hello</p>', "Hello"),
+        ("<p data-x=it's>Hello</p>", "Hello"),
+        ("<p data-x='a>b' class=\"c>d\">Hello</p>", "Hello"),
+        ("<template><p>no<template>no</template>no</p></template>yes", "yes"),
+        ("<svg><title>t</title><svg></svg>no</svg>yes", "yes"),
+        ("<canvas>no</canvas><object>no<object>no</object></object>yes", "yes"),
+        ("<button>no</button>yes<select><option>no</select>", "yes"),
+        ("<!--><p>yes</p><!-- no", "yes"),
+        ("<html><head><title>t</title><p>Hello there</p>", "Hello there"),
+        ("yes<script>if (a < b) { x = '<p>no</p>' }</script><style>no", "yes"),
+        ("a &lt;b&gt; &amp;amp; &#233;<br>c <p/>d", "a <b> &amp; é c d"),
+        ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+        ("<p" + " a" * 20000, ""),
+    ],
+)
+def test_html_tags(page, want):
+    assert " ".join(t for _, t in html_extract.Page(page).blocks) == want
+
+
+ARTICLE = "<body><nav class=menu><a href=x>menu one</a> <a href=y>two</a></nav><article><h1>Head {0}</h1><p>{1}, some words here. And more.</p><div class=comments><p>a reader says, so and so, that.</p></div></article><aside>ads, and ads</aside><footer>end</footer></body>"
+
+
+def test_html_through_the_query(spark, tmp_path):
+    pages = [(i, f"u{i}", ARTICLE.format(i, prose(i, 80)), "clash") for i in range(40)]
+    pages += [(40, "u", None, "clash"), (41, "u", "", "clash"), (0, "u0", pages[0][2], "clash"), (42, "u", f"<body><div class=content><p>{prose(3, 120)}.</p></div><div id=footer><a href=x>imprint</a></div>", "clash"), (43, None, "<p>" + "word, " * 200_000 + "</p>", "clash"), (None, "u", "<p>x</p>", "clash")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string, text string").repartition(5)
+    table.write.parquet(f"{tmp_path}/pages.parquet")
+    got = html_extract.op6_html_extract(spark, str(tmp_path)).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r.n_chars == len(r.text)
+        if r.page_id is not None and r.page_id < 40:
+            assert r.text == f"Head {r.page_id}\n{prose(r.page_id, 80)}, some words here. And more."
+        if r.page_id in (40, 41):
+            assert r.text == ""
+        if r.page_id == 42:
+            assert r.text == prose(3, 120) + "."
+    forests = [html_extract.train(table.repartition(n)) for n in (1, 7)]
+    x = np.concatenate([html_extract.Page(p[2] or "").features() for p in pages])
+    assert (forests[0].margins(x) == forests[1].margins(x)).all()
+    bare = table.where("page_id >= 40")
+    assert html_extract.train(bare).margins(x).shape == (len(x),)
+    assert html_extract.extract(table.where("false"), html_extract.train(table.where("false"))).count() == 0
+
+
 def test_training_pages_have_labels(spark):
     article = "<body><nav><a href=x>menu</a></nav><article><p>" + "some words here " * 20 + "</p></article><footer>end</footer></body>"
     pages = spark.createDataFrame([(i, article if i >= 200 else "<body><p>x</p></body>") for i in range(206)], "page_id long, html string")
