@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,22 +28,42 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+    """A new folder below spark.checkpoint.dir, which driver and executors share; it goes when the application ends.
 
-    Where the setting is empty (tests, a single machine) a local folder takes its place.
+    Where the setting is empty, a temporary folder takes its place on a single machine; elsewhere that is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="spark-storyloom-")
-        spark.conf.set("spark.checkpoint.dir", top) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{top.rstrip('/')}/storyloom-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        top = _own_folder()
+    path = f"{top.rstrip('/')}/storyloom-{uuid.uuid4().hex}"
+    _hadoop(spark, path, lambda fs, at: fs.deleteOnExit(at))
+    return path
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-storyloom-")
+
+
+def _hadoop(spark: SparkSession, path: str, act: Callable) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    act(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
 
 
 def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write the rows as Parquet in the shared folder and read them back: lineage is cut, executors may be lost."""
     path = shared_dir(df.sparkSession)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    _hadoop(df.sparkSession, df.written, lambda fs, at: fs.delete(at, True))
 
 
 def arrow_pass(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -7,7 +7,7 @@ compared byte by byte with the row that stays; rows that only share the digest a
 
 Defined results: a null text counts as empty; a null doc_id is larger than any other, and is the keep_id only where all
 ids of the group are null; rows that repeat id and text of the row that stays are that same document and stay too.
-An empty table gives no rows. Columns other than doc_id and text play no part.
+Texts of any length are compared whole. An empty table gives no rows. Columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import WS_CLASS, arrow_pass, materialize, read, shared_dir, text_of
+from storyloom.llm.common import WS_CLASS, arrow_pass, discard, materialize, read, shared_dir, text_of
 
+#: A group of copies is checked in one task for each so many rows, and in so many at most.
+ROWS_A_DEAL, MOST_DEALS = 1000, 1024
 FILTERED = {"parquet.bloom.filter.enabled#digest": "true"}
 
 
@@ -79,9 +81,14 @@ def exact_dedup(docs: DataFrame, digest_hex: int = 32, memtable_rows: int = 1 <<
     index.flush(rows, memtable_rows)
     repeated = index.compact().where("n > 1")
     # Only rows of repeated digests go on with their text; on large inputs Spark's runtime Bloom filter drops the others before the shuffle.
-    members = materialize(rows.join(repeated, "digest").select("digest", "doc_id", "norm", F.col("min_id").alias("keep_id")))
-    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    other = materialize(members.join(stays, "digest").where("norm != kept_norm").select("digest", "doc_id", "norm"))
+    deals = F.least(F.lit(MOST_DEALS), F.floor(F.col("n") / ROWS_A_DEAL) + 1)
+    members = materialize(rows.join(repeated, "digest").select("digest", "doc_id", "norm", F.col("min_id").alias("keep_id"), deals.cast("int").alias("deals")))
+    # the text that stays goes to each of the tasks over which a large group is dealt
+    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "deals").agg(F.min("norm").alias("kept_norm"))
+    stays = stays.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    dealt = members.select("digest", "doc_id", "norm", F.pmod(F.xxhash64("doc_id"), F.col("deals")).cast("int").alias("deal"))
+    other = materialize(dealt.join(stays, ["digest", "deal"]).where("norm != kept_norm").select("digest", "doc_id", "norm"))
+    discard(members)
     found = rows.select("doc_id", "text_sha256", "digest").join(repeated, "digest", "left")
     if other.isEmpty():
         found = found.select("doc_id", F.coalesce("min_id", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), "text_sha256")

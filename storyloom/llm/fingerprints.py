@@ -8,12 +8,12 @@ the sum of maxima of weights. A fingerprint keeps 16 bits of each sample, 256 he
 two fingerprints is the share of equal samples.
 
 For the query each text is also compared with its next document (descending doc_id) and with an edited text that ends
-in the next one's beginning. Documents are dealt by ranges of doc_id in one shuffle; a task meets neighbours in order,
-and each range ends in a copy of the next range's first document.
+in the next one's beginning. Documents are dealt by ranges of (doc_id, hash of the text) in one shuffle, whose bounds come
+from a bounded sample; a task meets neighbours in order, and each range ends in a copy of the next range's first document.
 
 Defined results: a null text counts as empty; texts without words share one fingerprint; equal doc_ids follow each other
-in the order of a hash of their texts; null doc_ids come last; a single document is its own next. An empty table gives
-no rows.
+in the order of a hash of their texts; null doc_ids come last; a single document is its own next. A very long text
+is sampled whole, by one task; columns besides doc_id and text play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -143,15 +144,37 @@ def against_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = rows[-1:]
 
 
+def range_bounds(keys: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """About `ranges` - 1 bounds (id, tag) in ascending order, from a sample of some 32 rows a range."""
+    n = keys.count()
+    sample = keys.sample(min(1.0, 32 * ranges / n), 1).collect() if n else []  # as many rows as the sort of a table samples
+    chosen = sorted(map(tuple, sample))[16::32]
+    ids, tags = zip(*sorted(set(chosen)), strict=True) if chosen else ((), ())
+    return np.array(ids, np.int64), np.array(tags, np.int64)
+
+
+def place_of(ids: np.ndarray, tags: np.ndarray, bound_ids: np.ndarray, bound_tags: np.ndarray) -> np.ndarray:
+    """How many bounds lie at (id, tag) or above: 0 for the largest keys."""
+    low, high = np.searchsorted(bound_ids, ids, side="left"), np.searchsorted(bound_ids, ids, side="right")
+    below = low.copy()
+    for i in np.flatnonzero(high > low).tolist():  # a bound's own id
+        below[i] += np.searchsorted(bound_tags[low[i] : high[i]], tags[i], side="left")
+    return (len(bound_ids) - below).astype(np.int32)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """The query's columns for every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), text_of(docs).alias("text"))
-    ranges = 3 * parts
-    bounds = sorted(set(rows.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
-    place = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b >= F.col("id"))) if bounds else F.lit(0)
-    rows = rows.select("doc_id", "id", "text", F.xxhash64("text").alias("tag"), place.alias("range"))
+    rows = rows.select("doc_id", "id", "text", F.xxhash64("text").alias("tag"))
+    bounds = spark.sparkContext.broadcast(range_bounds(rows.select("id", "tag"), 3 * parts))
+
+    @F.pandas_udf("int")
+    def place(id_: pd.Series, tag: pd.Series) -> pd.Series:
+        return pd.Series(place_of(id_.to_numpy(), tag.to_numpy(), *bounds.value))
+
+    rows = rows.select("doc_id", "id", "text", "tag", place("id", "tag").alias("range"))
     # one row a range from here on: each range's first document goes behind the range before it
     heads = rows.groupBy("range").agg(F.max(F.struct("id", "tag")).alias("head"))
     behind = heads.select("head", F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy())).alias("behind"))

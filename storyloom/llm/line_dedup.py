@@ -6,7 +6,7 @@ streams its rows once. Of a key that begins and ends inside the task everything
 key it leaves at most a few rows open, which are resolved against the neighbours' (at most six rows a task, joined by
 hash). The result is a compressed bitmap of the lines that stay for each document, not text.
 
-Defined results: a null or empty text has one empty line; a null doc_id counts as the smallest; rows with equal doc_id
+Defined results: a null or empty text has one empty line; a very long text is split whole, a line at a time; a null doc_id counts as the smallest; rows with equal doc_id
 count as one document when keys are counted, and each keeps its own lines apart (rows are told apart by their text).
 An empty table gives no rows. Other columns pass through `apply_bitmaps` unchanged.
 """
@@ -91,7 +91,7 @@ def streamed(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Re
 
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc, tag, position) of every line that goes."""
-    lines = line_keys(docs, min_chars)
+    lines = materialize(line_keys(docs, min_chars))  # range bounds are drawn from the rows, which are worked out once only
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = lines.repartitionByRange(parts, F.col("key"), F.col("doc").desc()).sortWithinPartitions(F.col("key"), F.col("doc").desc(), F.col("tag"), F.col("position"))
     found = materialize(arrow_pass(ordered.select("key", "doc", "tag", "position"), lambda it: streamed(it, min_docs), STREAMED))

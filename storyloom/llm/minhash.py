@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import WS_CHARS, WS_CLASS, arrow_pass, flat_bytes, give_back, joined_hashes, materialize, mix64, read, slices, text_of, window_hashes, within, word_hashes, words_of
+from storyloom.llm.common import WS_CHARS, WS_CLASS, arrow_pass, discard, flat_bytes, give_back, joined_hashes, materialize, mix64, read, slices, text_of, window_hashes, within, word_hashes, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 4
@@ -329,7 +329,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         still = offered.where("a is null").select("key")
         if still.isEmpty():
             break
-        marks = materialize(marks.join(still, "key", "left_semi"))
+        rest = materialize(marks.join(still, "key", "left_semi"))
+        discard(marks)
+        discard(offered)
+        marks = rest
         turn += 1
     members = signed.select("id", "doc_id", "digest").join(classes.select("digest", F.col("id").alias("copy_of")), "digest")
     named = labels.select(F.col("id").alias("copy_of"), F.col("component").alias("class_id"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.llm import bpe, exact_dedup, fingerprints, html_extract, language_id, licenses, line_dedup, minhash, packing, substring_dedup
-from storyloom.llm.common import flat_bytes, read, window_hashes, word_hashes
+from storyloom.llm.common import flat_bytes, mix64, read, window_hashes, word_hashes
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(400)]
@@ -324,6 +324,88 @@ def test_fingerprint_likeness():
     assert abs(fingerprints.likeness(codes[:1], codes[1:])[0] - want) < 0.2
 
 
+def plain_samples(text):
+    """Consistent weighted sampling, one term and one sample after the other."""
+    weights = collections.Counter()
+    for w in text.encode().split():
+        weights[w] += len(w)
+    out = np.zeros(fingerprints.SAMPLES, np.uint16)
+    best = [np.inf] * fingerprints.SAMPLES
+    for w, weight in weights.items():
+        raw = np.frombuffer(w, np.uint8)
+        term = word_hashes(raw, np.array([0]), np.array([len(raw)]))
+        (u, v), (x, y), (b, _) = (fingerprints.draws(term, k) for k in range(3))
+        for k in range(fingerprints.SAMPLES):
+            r, c = -np.log(u[0, k] * v[0, k]), -np.log(x[0, k] * y[0, k])
+            t = np.floor(np.log(np.float32(weight)) / r + b[0, k])
+            a = c * np.exp(-r * (t - b[0, k])) * np.exp(-r)
+            if a < best[k]:
+                best[k] = a
+                out[k] = (mix64(term + np.uint64(int(t) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(48))[0]
+    return out
+
+
+def test_fingerprints_against_plain_sampling(spark):
+    texts = {i: prose(700 + i, 30 + 40 * (i % 3)) if i % 4 else prose(700 + i - 1, 60) for i in range(40)} | {40: "", 41: None, 42: "x"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    got = rows(fingerprints.with_next(docs))
+    order = sorted(texts, reverse=True)
+    for k, i in enumerate(order):
+        text, after = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+        n = len(text) // 3
+        changed = text[: len(text) - n] + after[:n]
+        own, near, edited = (plain_samples(t) for t in (text, after, changed))
+        r = got[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        differ = sum(r.fingerprint[4 * j : 4 * j + 4] != f"{own[j]:04x}" for j in range(fingerprints.SAMPLES))
+        assert differ <= 1, (i, differ)  # 32-bit floats
+        assert abs(r.near_next - (own == near).mean()) <= 2 / 64 and abs(r.near_edited - (own == edited).mean()) <= 2 / 64
+
+
+def test_range_places():
+    ids, tags = np.array([1, 5, 5, 9]), np.array([3, -2, 7, 0])
+    keys = [(0, 0), (1, 3), (1, 4), (5, -3), (5, -2), (5, 0), (5, 8), (9, 0), (9, 1), (10, 0)]
+    want = [sum(b >= k for b in zip(ids.tolist(), tags.tolist())) for k in keys]
+    assert fingerprints.place_of(*(np.array(x) for x in zip(*keys)), ids, tags).tolist() == want
+    assert fingerprints.place_of(np.array([1]), np.array([1]), ids[:0], tags[:0]).tolist() == [0]
+
+
+def test_exact_dedup_of_a_large_group(spark, monkeypatch):
+    """Half of the rows are copies, dealt over many tasks, with another text of the same short digest among them."""
+    monkeypatch.setattr(exact_dedup, "ROWS_A_DEAL", 10)
+    docs = spark.range(400).selectExpr("id AS doc_id", "if(id % 2 = 0, 'the same', concat('own ', id)) AS text")
+    for hex_digits in (32, 1):
+        got = rows(exact_dedup.exact_dedup(docs, digest_hex=hex_digits))
+        assert all((r.keep_id, r.group_size) == ((0, 200) if i % 2 == 0 else (i, 1)) for i, r in got.items())
+
+
+def test_line_dedup_against_plain(spark):
+    r = random.Random(9)
+    lines = [f"  Line number {k} of the SHARED ones\t" for k in range(12)] + ["short", "", "exactly 20 chars ....", "19 chars ..........."]
+    texts = [(i, "\n".join(r.choice([*lines, prose(r.randint(0, 10**6), 5)]) for _ in range(r.randint(0, 12))) or None) for i in range(150)]
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    holders = collections.defaultdict(set)
+    for i, t in texts:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 20:
+                holders[key(x)].add(i)
+    got = rows(line_dedup.apply_bitmaps(line_dedup.with_bitmaps(spark.createDataFrame(texts, "doc_id long, text string").repartition(5))).select("row.doc_id", "n_lines", "n_dropped", "text"))
+    for i, t in texts:
+        all_lines = (t or "").split("\n")
+        stay = [x for x in all_lines if len(holders[key(x)]) < 3 or max(holders[key(x)]) == i]
+        assert (got[i].n_lines, got[i].n_dropped, got[i].text) == (len(all_lines), len(all_lines) - len(stay), "\n".join(stay)), i
+
+
+def test_shared_folder_is_asked_for(spark):
+    from types import SimpleNamespace
+
+    from storyloom.llm.common import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
+
+
 def test_licenses(odd, spark):
     got = rows(licenses.scan(odd))
     assert got[14].text_license == "MIT" and got[14].line_licenses == "MIT" and got[3].text_license is None
