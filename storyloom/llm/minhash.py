@@ -16,8 +16,8 @@ in that order bounds the overlap of two texts whose first common shingle it is (
 that agree in component, place and size stand for each other: one row of them is shuffled. A task streams its buckets and
 offers, for each member outside the bucket's largest component, the partners of other components that can still reach the
 threshold, the likeliest first. A bucket stays open while it has partners that were not offered or rows that stand for
-others; each further round splits the rows that stand for others in two and doubles the partners of a member, so that after
-as many rounds as the largest group has binary digits all have met. Components grow in between, and most buckets close in
+others; each further round splits the rows that stand for others in eight and offers eight times as many partners, so that
+after as many rounds as the largest group has octal digits all have met. No pair is tested twice. Components grow in between, and most buckets close in
 the first rounds, since members of one component need not meet. A pair is linked if its sets of shingles have a Jaccard
 similarity of at least 0.8, from the whole texts.
 
@@ -44,6 +44,8 @@ BANDS, BAND_ROWS = 32, 4
 CELLS = 1 << 19
 #: Bytes of text whose shingles are worked out at once, and the tasks over which the partners of one text are dealt.
 PART, DEALT = 2 << 20, 64
+#: Rows of numbers that are broadcast at most, and how fast the partners of a member grow from round to round.
+BROADCAST_ROWS, GROWTH = 500_000, 8
 
 
 def node_id(doc_id: Column, norm: Column) -> Column:
@@ -138,12 +140,19 @@ def compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hit], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """Materialized rows of a few numbers each, sent to every executor if they are no more than BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are alike. A text b that many have as partner is sent to DEALT tasks at most, each with a share of its partners."""
+    """The pairs (a, b), materialized, that are alike. A text b that many have as partner is sent to DEALT tasks at most, each with a share of its partners."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(DEALT)).cast("int").alias("deal"))
-    mine = dealt.join(texts.select(F.col("id").alias("a"), "norm"), "a").select("b", "deal", "a", "norm")
-    theirs = dealt.select("b", "deal").distinct().join(texts.select(F.col("id").alias("b"), "norm"), "b").select("b", "deal", F.lit(None).cast("long").alias("a"), "norm")
+    few = bounded(pairs)
+    deal = F.pmod(F.xxhash64("a"), F.lit(DEALT)).cast("int").alias("deal")
+    mine = texts.join(few.select("a", "b", deal).withColumnRenamed("a", "id"), "id").select("b", "deal", F.col("id").alias("a"), "norm")
+    once = few.select(F.col("b").alias("id"), deal).distinct()
+    theirs = texts.join(F.broadcast(once) if few is not pairs else once, "id").select(F.col("id").alias("b"), "deal", F.lit(None).cast("long").alias("a"), "norm")
     rows = mine.union(theirs).repartition(parts, "b", "deal").sortWithinPartitions("b", "deal", F.asc_nulls_first("a"))
     return arrow_pass(rows, lambda it: compared(it, similarity), "a long, b long")
 
@@ -313,17 +322,19 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     keyed = classes.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("key", "leader")
     met_first = materialize(keyed.join(shared, "key").groupBy("id").agg(F.min("leader").alias("leader")))  # a row for each member of a bucket
-    wanted = met_first.select("id").join(classes.select("id", "digest"), "id")
-    texts = materialize(rows.select("id", "digest", "norm").join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]))
-    labels = roots(linked(met_first.where("leader != id").select(F.col("id").alias("a"), F.col("leader").alias("b")), texts, similarity))
+    wanted = materialize(met_first.select("id").join(classes.select("id", "digest"), "id"))
+    texts = materialize(rows.select("id", "digest", "norm").join(bounded(wanted), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]))
+    tested = materialize(met_first.where("leader != id").select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    labels = roots(linked(tested, texts, similarity))
     marks = materialize(prefixes(texts, similarity))
-    turn = 0
+    most = 1
     while True:
         named = marks.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"), "place", "n", "id")
-        stand = named.groupBy("key", "component", "place", "n", F.pmod(F.xxhash64("id"), F.lit(1 << turn)).alias("half")).agg(F.min("id").alias("id"), F.count("*").alias("count"))
+        stand = named.groupBy("key", "component", "place", "n", F.pmod(F.xxhash64("id"), F.lit(most)).alias("piece")).agg(F.min("id").alias("id"), F.count("*").alias("count"))
         dealt = stand.select("key", "component", "place", "n", "id", "count").repartition(parts, "key").sortWithinPartitions("key")
-        offered = materialize(arrow_pass(dealt, lambda it, most=1 << turn: met(it, most, similarity), "key long, a long, b long"))
-        more = materialize(linked(offered.where("a is not null").select("a", "b").distinct(), texts, similarity))
+        offered = materialize(arrow_pass(dealt, lambda it, most=most: met(it, most, similarity), "key long, a long, b long"))
+        fresh = materialize(offered.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        more = materialize(linked(fresh, texts, similarity))
         if not more.isEmpty():
             labels = joined(labels, more)
         still = offered.where("a is null").select("key")
@@ -332,8 +343,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         rest = materialize(marks.join(still, "key", "left_semi"))
         discard(marks)
         discard(offered)
-        marks = rest
-        turn += 1
+        marks, tested, most = rest, materialize(tested.union(fresh)), most * GROWTH
     members = signed.select("id", "doc_id", "digest").join(classes.select("digest", F.col("id").alias("copy_of")), "digest")
     named = labels.select(F.col("id").alias("copy_of"), F.col("component").alias("class_id"))
     return members.join(named, "copy_of", "left").select("id", "doc_id", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
