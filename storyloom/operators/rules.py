@@ -1,6 +1,5 @@
 """Rule tables that turn metrics into findings: gates, labels, instructions, audits, detectors."""
 
-from storyloom.operators.structure import LABELLED
 from storyloom.plans.registry import register
 
 QUERIES: dict = {}
@@ -13,7 +12,6 @@ RED_LINES = [("copyright", "error", "all rights reserved"), ("contact", "error",
 register(
     QUERIES,
     ORACLES,
-    structure_labels=lambda d: LABELLED,
     book_tags=lambda d: "SELECT book, tag FROM (" + " UNION ALL ".join(f"SELECT book, '{t}' AS tag, {p} AS fires FROM metrics GROUP BY book" for t, p in (("hooky", "avg(hook_density) > 2"), ("tense", "avg(conflict_density) > 1.5"), ("fast", "avg(CASE WHEN pace = 'fast' THEN 1e0 ELSE 0e0 END) > 0.2"), ("varied", "count(DISTINCT dominant_sub) > 4"))) + ") a WHERE fires",
     writing_instructions=lambda d: " UNION ALL ".join(f"SELECT book, ch_num, '{r}' AS rule, '{s}' AS severity FROM metrics WHERE {p}" for r, s, p in INSTRUCTIONS),
     red_lines=lambda d: " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, '{s}' AS severity, CAST({d.rx('lower(text)', p)} AS BIGINT) AS hits FROM documents WHERE {d.like('lower(text)', p)}" for r, s, p in RED_LINES),

@@ -1,39 +1,105 @@
-"""Queries stated once in SQL: run by Spark over the given tables, and handed to the checking engine in its spelling."""
+"""Queries by name: an operator applied to the given tables, and SQL for the checking engine."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from storyloom.plans.corpus import CHAPTERS, metrics_sql
+from storyloom.operators.projection import chapter_counts, chapter_metrics
+from storyloom.plans.corpus import CHAPTERS, ENTITY_EVENT, SAG_EVENTS, metrics_sql
 from storyloom.plans.dialect import CHECK, SPARK, TABLES, Dialect, view
 
 Statement = Callable[[Dialect], str]
 
 
-def _with(sql: str, d: Dialect) -> str:
+class Tables:
+    """The tables of a folder as attributes; `metrics` and `chapters` are made from documents."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        return view(self.spark, self.sf_dir, name)
+
+    @property
+    def metrics(self) -> DataFrame:
+        """The metrics of all chapters. Rows of numbers, kept on the executors' memory and disk, so that the texts are read and counted once a session."""
+        return chapter_metrics(chapter_counts(self.documents)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @property
+    def sag_events(self) -> DataFrame:
+        """The events as a story: 40 a chapter, by importance, each pointing back to the event before it of its user."""
+        e = self.events.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
+        before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+        return e.select("event_id", (F.floor(F.col("event_id") / 40) + 1).alias("chapter_id"), "user_id", "event_type", "value", (F.floor("value") % 10 + 1).alias("importance"), "k", before.alias("related_id"))
+
+    @property
+    def entity_event(self) -> DataFrame:
+        """(entity, event_id, chapter_id, event_type): the user and the key of each event are its entities."""
+        e = self.sag_events
+        return e.select(F.explode(F.array(F.concat(F.lit("u"), "user_id"), F.concat(F.lit("k"), "k"))).alias("entity"), "event_id", "chapter_id", "event_type", "importance")
+
+    @property
+    def chapters(self) -> DataFrame:
+        return self.documents.select(F.col("source").alias("book"), "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("ch_num"))
+
+
+#: Shared projections in SQL, by the name that a statement uses; each may name those before it.
+SHARED = {
+    "metrics": metrics_sql(),
+    "chapters": CHAPTERS,
+    "sag_events": SAG_EVENTS,
+    "entity_event": ENTITY_EVENT,
+}
+
+
+def _with(sql: str) -> str:
     """Put the shared projections that a statement names in front of it."""
-    parts = []
-    if re.search(r"\bmetrics\b", sql):
-        parts.append(f"metrics AS ({metrics_sql(d)})")
-    if re.search(r"\bchapters\b", sql):
-        parts.append(f"chapters AS ({CHAPTERS})")
-    return f"WITH {', '.join(parts)} {sql}" if parts else sql
+    own = re.match(r"\s*WITH( RECURSIVE)?\b", sql)
+    parts: list[str] = []
+    for name, text in reversed(SHARED.items()):
+        if re.search(rf"\b{name}\b", " ".join([sql, *parts])):
+            parts.insert(0, f"{name} AS MATERIALIZED ({text})")
+    if not parts:
+        return sql
+    return f"WITH{own[1] or '' if own else ''} {', '.join(parts)}{',' + sql[own.end() :] if own else ' ' + sql}"
 
 
 def spark_query(statement: Statement) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = _with(statement(SPARK), SPARK)
-        used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+        sql, tables = statement(SPARK), Tables(spark, sf_dir)
+        used = [t for t in (*TABLES, *SHARED) if re.search(rf"\b{t}\b", sql)]
         named = re.sub(rf"(FROM|JOIN) +({'|'.join(used)})\b", r"\1 {\2}", re.sub(r"[{}]", lambda m: m[0] * 2, sql))
-        return spark.sql(named, **{t: view(spark, sf_dir, t) for t in used})
+        return spark.sql(named, **{t: getattr(tables, t) for t in used})
 
     return run
 
 
 def register(queries: dict, oracles: dict, **statements: Statement) -> None:
+    """Queries that are themselves SQL, in the spelling of either engine."""
     for name, statement in statements.items():
         queries[name] = spark_query(statement)
-        oracles[name] = _with(statement(CHECK), CHECK)
+        oracles[name] = _with(statement(CHECK))
+
+
+class Catalog:
+    """DataFrame operators applied to tables, each with SQL written independently of it."""
+
+    def __init__(self) -> None:
+        self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+        self.oracles: dict[str, str] = {}
+
+    def __call__(self, name: str, sql: str | None = None) -> Callable:
+        def add(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+            self.queries[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+            if sql is not None:
+                self.oracles[name] = _with(sql)
+            return build
+
+        return add
