@@ -1,5 +1,5 @@
 """Queries by name: operators applied to the given tables, each with SQL written independently of it."""
 
-from storyloom.queries import scoring, sequence, story
+from storyloom.queries import scoring, sequence, story, style
 
-CATALOGS = (sequence.query, scoring.query, story.query)
+CATALOGS = (sequence.query, scoring.query, story.query, style.query)
