@@ -1,5 +1,5 @@
 """Queries by name: operators applied to the given tables, each with SQL written independently of it."""
 
-from storyloom.queries import retrieval, scoring, sequence, story, style, text
+from storyloom.queries import records, retrieval, scoring, sequence, story, style, text
 
-CATALOGS = (sequence.query, scoring.query, story.query, style.query, text.query, retrieval.query)
+CATALOGS = (sequence.query, scoring.query, story.query, style.query, text.query, retrieval.query, records.query)

@@ -163,11 +163,11 @@ def _(t):
     return t.conversations.select("conv_id", "turn", "role").orderBy(F.desc("conv_id"), F.desc("turn")).limit(10)
 
 
-@query("stale_memories", "SELECT user_id, age, hits FROM (SELECT user_id, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-15') AS age, count(*) FILTER (WHERE event_type = 'purchase') AS hits FROM events WHERE event_id % 97 < 5 GROUP BY user_id) a WHERE age > 16 AND hits = 0".replace(" WHERE event_id % 97 < 5", ""))
+@query("stale_memories", "SELECT user_id, event_type, age, hits FROM (SELECT user_id, event_type, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-15') AS age, count(*) FILTER (WHERE value > 80) AS hits FROM events GROUP BY user_id, event_type) a WHERE age > 17 AND hits <= 3")
 def _(t):
-    """Records whose last touch lies back and that never were of use."""
-    last = t.events.groupBy("user_id").agg(F.datediff(F.lit("2024-02-15"), F.max("ts").cast("date")).cast("long").alias("age"), F.count_if(F.col("event_type") == "purchase").alias("hits"))
-    return last.where("age > 16 AND hits = 0")
+    """Records whose last touch lies back and that hardly were of use."""
+    last = t.events.groupBy("user_id", "event_type").agg(F.datediff(F.lit("2024-02-15"), F.max("ts").cast("date")).cast("long").alias("age"), F.count_if(F.col("value") > 80).alias("hits"))
+    return last.where("age > 17 AND hits <= 3")
 
 
 @query("index_stats", f"SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words, round(round(avg(n), 9), 3) AS mean_words, count(*) FILTER (WHERE n = 0) AS n_empty FROM (SELECT d.doc_id, coalesce(sum(tf), 0) AS n FROM documents d LEFT JOIN ({tokens('documents', 'doc_id')}) w ON d.doc_id = w.doc_id GROUP BY d.doc_id) z")
