@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from storyloom.operators.projection import chapter_counts, chapter_metrics
 from storyloom.plans.corpus import CHAPTERS, ENTITY_EVENT, SAG_EVENTS, metrics_sql
-from storyloom.plans.dialect import CHECK, SPARK, TABLES, Dialect, view
 
-Statement = Callable[[Dialect], str]
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+#: A table of fewer bytes for each core is small.
+SMALL_BYTES = 16 << 20
 
 
 class Tables:
@@ -25,12 +28,18 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return view(self.spark, self.sf_dir, name)
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @property
     def metrics(self) -> DataFrame:
         """The metrics of all chapters. Rows of numbers, kept on the executors' memory and disk, so that the texts are read and counted once a session."""
-        return chapter_metrics(chapter_counts(self.documents)).persist(StorageLevel.MEMORY_AND_DISK)
+        return chapter_metrics(chapter_counts(self.spread("documents"))).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def spread(self, name: str) -> DataFrame:
+        """A table of texts; one that lies in less than a few files' worth of bytes for each core is dealt over the cores, since a file may be one split."""
+        rows, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
+        size = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(f"{self.sf_dir}/{name}.parquet").agg(F.sum("length")).first()[0] or 0
+        return rows.repartition(cores) if size < cores * SMALL_BYTES else rows
 
     @property
     def sag_events(self) -> DataFrame:
@@ -59,7 +68,7 @@ SHARED = {
 }
 
 
-def _with(sql: str) -> str:
+def with_shared(sql: str) -> str:
     """Put the shared projections that a statement names in front of it."""
     own = re.match(r"\s*WITH( RECURSIVE)?\b", sql)
     parts: list[str] = []
@@ -71,23 +80,6 @@ def _with(sql: str) -> str:
     return f"WITH{own[1] or '' if own else ''} {', '.join(parts)}{',' + sql[own.end() :] if own else ' ' + sql}"
 
 
-def spark_query(statement: Statement) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql, tables = statement(SPARK), Tables(spark, sf_dir)
-        used = [t for t in (*TABLES, *SHARED) if re.search(rf"\b{t}\b", sql)]
-        named = re.sub(rf"(FROM|JOIN) +({'|'.join(used)})\b", r"\1 {\2}", re.sub(r"[{}]", lambda m: m[0] * 2, sql))
-        return spark.sql(named, **{t: getattr(tables, t) for t in used})
-
-    return run
-
-
-def register(queries: dict, oracles: dict, **statements: Statement) -> None:
-    """Queries that are themselves SQL, in the spelling of either engine."""
-    for name, statement in statements.items():
-        queries[name] = spark_query(statement)
-        oracles[name] = _with(statement(CHECK))
-
-
 class Catalog:
     """DataFrame operators applied to tables, each with SQL written independently of it."""
 
@@ -99,7 +91,7 @@ class Catalog:
         def add(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
             self.queries[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
             if sql is not None:
-                self.oracles[name] = _with(sql)
+                self.oracles[name] = with_shared(sql)
             return build
 
         return add

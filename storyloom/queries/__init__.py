@@ -1,5 +1,11 @@
 """Queries by name: operators applied to the given tables, each with SQL written independently of it."""
 
+from storyloom.plans.registry import Catalog, with_shared
 from storyloom.queries import records, retrieval, scoring, sequence, story, style, text
+from storyloom.streaming import events
 
-CATALOGS = (sequence.query, scoring.query, story.query, style.query, text.query, retrieval.query, records.query)
+streams = Catalog()
+streams.queries.update(events.QUERIES)
+streams.oracles.update({name: with_shared(sql) for name, sql in events.ORACLES.items()} | {"stream_metrics": with_shared("SELECT book, ch_num, ch_hash, wc, hook_density, pleasure_intensity FROM metrics")})
+
+CATALOGS = (sequence.query, scoring.query, story.query, style.query, text.query, retrieval.query, records.query, streams)
