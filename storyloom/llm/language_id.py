@@ -36,7 +36,7 @@ from storyloom.llm.common import arrow_pass, flat_bytes, give_back, read, slices
 ORDER = 4
 UNKNOWN = "und"
 #: Bytes that are priced at once.
-PART = 1 << 20
+PART = 1 << 18
 
 
 class Level(NamedTuple):
@@ -69,7 +69,7 @@ def sequences(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n) of each batch."""
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", 1 << 20):
             raw, off = flat_bytes(part.column("text"))
             langs, lang = np.unique(np.array(part.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
             grams = sequences(raw, off[:-1][off[:-1] < off[1:]])
@@ -103,10 +103,12 @@ def drawn(docs: DataFrame, per_language: int, sample: int, least: int, most_lang
 def train(docs: DataFrame, per_language: int = 300, sample: int = 4000, least: int = 3, most_languages: int = 64) -> Model:
     """docs: doc_id, text, lang; held-out documents are left out here."""
     sample_rows = drawn(docs, per_language, sample, least, most_languages)
-    rows = arrow_pass(sample_rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique())
-    model = built(langs, [(own["gram"].to_numpy(np.int64).astype(np.uint64), own["n"].to_numpy(np.float64)) for own in (rows[rows["lang"] == x] for x in langs)])
-    del rows
+    rows = arrow_pass(sample_rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), counted, "lang string, gram long, n long")
+    sums = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("gram").alias("grams"), F.collect_list("n").alias("ns")).toArrow()  # a row a language
+    parts = sorted(zip(sums["lang"].to_pylist(), range(len(sums)), strict=True))
+    numbers = lambda name, i: sums[name].combine_chunks().slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+    model = built([x for x, _ in parts], [(numbers("grams", i).astype(np.uint64), numbers("ns", i).astype(np.float64)) for _, i in parts])
+    del sums
     give_back()
     return model
 
@@ -174,7 +176,7 @@ def code_lengths(model: Model, column: pa.Array) -> np.ndarray:
 def scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     langs = np.array([*model.langs, UNKNOWN], dtype=object)
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
+        for part in slices(batch, "text", 1 << 20):
             n = part.num_rows
             best, score = np.full(n, len(model.langs)), np.zeros(n)
             ok = part.column("lettered").to_numpy(zero_copy_only=False).astype(bool)

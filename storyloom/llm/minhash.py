@@ -7,8 +7,8 @@ latest first arrival of all components (early termination). With equal weights,
 Jaccard similarity of their sets of shingles, the measure by which links are verified.
 
 Signatures are cut into 32 bands of 4 components; a pair at the threshold shares a band with a chance of 1 - 5e-8. Buckets
-of equal bands are searched without listing all pairs. First each class meets the smallest member of its buckets; every
-class has one such partner, smaller than itself, so that verified links are a forest, and its roots name components.
+of equal bands are searched without listing all pairs. First each class meets the smallest member of its buckets, and
+verified links are joined to components.
 
 Then all members of buckets are bucketed anew by their rarest shingles (prefix filtering: texts over the threshold share
 one of them for certain, while a passage that many unlike texts have in common is no rare shingle). The place of a shingle
@@ -43,7 +43,7 @@ BANDS, BAND_ROWS = 32, 4
 #: Cells in which shingles are counted to tell rare ones from common ones.
 CELLS = 1 << 19
 #: Bytes of text whose shingles are worked out at once, and the tasks over which the partners of one text are dealt.
-PART, DEALT = 2 << 20, 64
+PART, DEALT = 1 << 20, 64
 #: Rows of numbers that are broadcast at most, and how fast the partners of a member grow from round to round.
 BROADCAST_ROWS, GROWTH = 500_000, 8
 
@@ -187,8 +187,8 @@ def rarest(batches: Iterator[pa.RecordBatch], counts: np.ndarray, similarity: fl
 def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
     """Buckets by rare shingles. Texts of a Jaccard similarity of at least s share one of the n - ceil(s n) + 1 first shingles in any order that all texts follow; here rare cells come first."""
     counts = np.zeros(CELLS, np.int64)
-    found = arrow_pass(texts.select("norm"), cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts[found["cell"]] = found["n"]  # CELLS numbers, whatever the input
+    found = arrow_pass(texts.select("norm"), cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()  # CELLS numbers, whatever the input
     del found
     give_back()
     shared = texts.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max() < 1 << 31 else counts)
@@ -269,19 +269,30 @@ def met(batches: Iterator[pa.RecordBatch], partners: int, similarity: float) ->
         yield from closed(np.concatenate(held, axis=1))
 
 
-def roots(links: DataFrame) -> DataFrame:
-    """(id, component) of a forest: links (a, b), one for each a, b smaller than a. Each pass doubles the steps taken."""
-    found = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    while True:
-        above = found.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        jumped = materialize(found.join(above, "component", "left").select("id", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")))
-        found = jumped.select("id", "component")
-        if jumped.where("moved").isEmpty():
-            return found
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of edges (a, b) of one task."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            above[max(x, y)] = min(x, y)
+    ids = list(above)
+    for i in range(0, len(ids), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 65536], pa.int64()), pa.array([root(x) for x in ids[i : i + 65536]], pa.int64())], names=["id", "component"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of all ends of edges (a, b): the smallest id each can reach. Alternating large-star and small-star."""
+    """(id, component) of all ends of edges (a, b): the smallest id each can reach.
+
+    Up to BROADCAST_ROWS edges are united in one task; more by alternating large-star and small-star steps, each written.
+    """
 
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select("b", "a")).toDF("u", "v")
@@ -294,8 +305,10 @@ def components(edges: DataFrame) -> DataFrame:
         moved = down.join(least, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return moved.union(least.select("u", "m"))
 
-    edges = edges.where("a != b").distinct()
-    mark = None
+    edges = materialize(edges)
+    if edges.count() <= BROADCAST_ROWS:
+        return materialize(arrow_pass(edges.coalesce(1), united, "id long, component long").where("id != component"))
+    edges, mark = edges.where("a != b").distinct(), None
     while True:
         edges = materialize(small(large(edges)).where("a != b").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -308,7 +321,7 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links: those of a graph whose nodes are the components so far."""
     name = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
     between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    merged = components(materialize(between.where("a != b").distinct()))
+    merged = components(between.where("a != b").distinct())
     moved = labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
     return materialize(moved.union(merged))
 
@@ -325,7 +338,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wanted = materialize(met_first.select("id").join(classes.select("id", "digest"), "id"))
     texts = materialize(rows.select("id", "digest", "norm").join(bounded(wanted), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]))
     tested = materialize(met_first.where("leader != id").select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    labels = roots(linked(tested, texts, similarity))
+    labels = components(linked(tested, texts, similarity))
     marks = materialize(prefixes(texts, similarity))
     most = 1
     while True:

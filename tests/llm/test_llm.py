@@ -148,8 +148,10 @@ def test_near_classes(odd, none, spark):
     assert kept.columns == odd.columns and kept.where("doc_id in (2, 6, 4, 5)").count() == 0
 
 
-def test_edited_copies_against_all_pairs(spark):
+@pytest.mark.parametrize("few", [500_000, 3])
+def test_edited_copies_against_all_pairs(spark, monkeypatch, few):
     """A group of copies of one text, many of them just under the threshold from each other and from the original."""
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", few)  # tables of this many rows are small
     base = prose(900, 200).split()
     texts = []
     for i in range(60):
