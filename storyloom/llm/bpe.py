@@ -7,7 +7,10 @@ rank, which the heap then yields next, so each word sees its merges in the same
 
 Normalising and splitting into words follow the vocabulary file (its normalizer and pre-tokenizer); merges, vocabulary
 look-up, unknown symbols and decoding are done here. Defined results: a null or empty text has no ids and decodes to
-the empty text; symbols outside the vocabulary have no id and vanish, as there is no unknown token.
+the empty text; symbols outside the vocabulary have no id and vanish, as there is no unknown token; equal ranks cannot
+occur, and a pair that overlaps itself is merged from the left; repeated rows and ids get a row each with equal results;
+a very long text is encoded whole, in the memory of its task; columns besides doc_id and text play no part. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -212,7 +215,11 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def roundtrip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text: encoded and decoded again in one narrow pass."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow_pass(rows, lambda it: encoded(it, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = word_bpe_path()
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return arrow_pass(docs, lambda it: encoded(it, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return roundtrip(read(spark, sf_dir, "documents"), word_bpe_path())

@@ -7,7 +7,7 @@ list is a catalogue, by default the texts, titled texts and notices below; it is
 broadcast. Texts that two licences share have both names, joined by commas.
 
 Defined results: a null or empty text has no licence, as has one whose canonical form is empty; repeated rows get equal
-results; an empty table gives no rows. Other columns play no part.
+results; an empty table gives no rows; a very long text is looked up whole, like any other. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -128,12 +128,27 @@ def known_digests(catalogue: DataFrame) -> DataFrame:
     return rows.select("license", F.sha2("canonical", 256).alias("digest")).groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("license"))
 
 
+#: By the first word of a spelling in canonical form, the first words that it may have had before.
+SPELLED = {b.split()[0]: sorted({x.split()[0] for x, y in EQUIVALENT if y.split()[0] == b.split()[0]}) for _, b in EQUIVALENT}
+
+
+def first_words(catalogue: DataFrame) -> DataFrame:
+    """(first): words with which a line must begin to be in the catalogue, in all spellings."""
+    before = F.create_map(*[x for k, v in SPELLED.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
+    first = F.regexp_extract(canonical(F.col("text")), r"^[\p{L}\p{N}]+", 0)
+    words = catalogue.select(first.alias("w")).select(F.explode(F.concat(F.array("w"), F.coalesce(F.try_element_at(before, F.col("w")), F.array().cast("array<string>")))).alias("first"))
+    return words.where("first != ''").distinct()
+
+
 def scan(docs: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """doc_id, text_license (of the entire text, or null), line_licenses (of single lines, in order of name, or empty), n_license_lines, text_digest. catalogue: (license, text), some thousand rows at most."""
-    known = F.broadcast(known_digests(default_catalogue(docs.sparkSession) if catalogue is None else catalogue))
+    catalogue = default_catalogue(docs.sparkSession) if catalogue is None else catalogue
+    known, firsts = F.broadcast(known_digests(catalogue)), F.broadcast(first_words(catalogue))
     rows = docs.select("doc_id", text_of(docs).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("tag"))
     # a row of a repeated document must not count its lines twice: lines are gathered once for each (doc_id, text)
-    lines = rows.select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).select("doc_id", "tag", "at", F.sha2(canonical(F.col("line")), 256).alias("digest"))
+    lines = rows.select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("first", F.regexp_extract(F.lower("line"), r"[\p{L}\p{N}]+", 0))
+    # most lines begin with a word with which no entry begins: they need no canonical form
+    lines = lines.join(firsts, "first", "left_semi").select("doc_id", "tag", "at", F.sha2(canonical(F.col("line")), 256).alias("digest"))
     hits = lines.join(known, "digest").dropDuplicates(["doc_id", "tag", "at"]).groupBy("doc_id", "tag").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"), F.count("*").alias("n"))
     whole = rows.select("doc_id", "tag", F.sha2(canonical(F.col("text")), 256).alias("text_digest")).join(known.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license")), "text_digest", "left")
     found = whole.alias("w").join(hits.alias("h"), F.col("w.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("w.tag") == F.col("h.tag")), "left")

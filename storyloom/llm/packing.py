@@ -7,11 +7,12 @@ set of cuts minimises padding plus penalties plus a constant for each sequence.
 predecessor inside the window is the front of a monotone queue; transitions over powers of two are looked up beside it.
 
 A task holds a block of about a million tokens: it solves the block, writes all sequences but the last few and carries
-those over, so memory is bounded for documents of any length. Nothing is shuffled; sequences do not cross tasks, and
+those over, so memory is bounded by the block and the longest document of a task, whose ids are held at once. Nothing is shuffled; sequences do not cross tasks, and
 each task pads its last sequence alone.
 
 Defined results: a null or empty text is its end token alone; ids and texts may repeat (rows are packed one by one); a
-null doc_id is passed on; an empty table gives no rows.
+null doc_id is passed on; equally cheap sets of cuts are told apart the same way each time; columns besides doc_id and text play no part; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -415,6 +415,34 @@ def test_licenses(odd, spark):
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text_license == "MIT"
 
 
+def test_license_lines_in_all_spellings(spark, none):
+    lines = ["Licenced under CC BY 4.0", "  * LICENSED  under CC BY 4.0!", "Released under the MIT Licence.", "Copyright 2020 Foo", "nothing here", "", "under CC BY 4.0"]
+    docs = spark.createDataFrame([(i, f"first line {i}\n{x}\nlast line") for i, x in enumerate(lines)] + [(0, f"first line 0\n{lines[0]}\nlast line"), (99, "word " * 300_000 + "\n" + lines[0])], "doc_id long, text string")
+    got = {r.doc_id: (r.line_licenses, r.n_license_lines) for r in licenses.scan(docs).collect()}
+    assert got == {0: ("CC-BY-4.0", 1), 1: ("CC-BY-4.0", 1), 2: ("MIT", 1), 3: ("", 0), 4: ("", 0), 5: ("", 0), 6: ("", 0), 99: ("CC-BY-4.0", 1)}
+    assert licenses.scan(none).count() == 0
+
+
+def test_bpe_through_spark(odd, none):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.word_bpe_path())
+    got = collections.Counter((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.roundtrip(odd, bpe.word_bpe_path()).collect())
+    want = collections.Counter()
+    for _, t in ODD:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want[(len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())] += 1
+    assert got == want and bpe.roundtrip(none, bpe.word_bpe_path()).count() == 0
+
+
+def test_packing_edges(spark, none):
+    assert packing.pack(none, packing.byte_bpe_path()).count() == 0
+    docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "word " * 200_000, 5), (None, "no id", 5), (3, "again", 5)], "doc_id long, text string, length long")
+    got = packing.pack(docs, packing.byte_bpe_path()).toPandas()
+    assert sorted(got.groupby("doc_id", dropna=False).doc_tokens.first().tolist())[0] == 1 and (got.groupby("sequence_id").length.sum() <= 2048).all()
+    assert got.length.sum() == sum(got.groupby(["doc_id", "doc_tokens"], dropna=False).length.sum())
+
+
 def test_license_files_and_titles(spark):
     texts = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
     cases = [(name, open(f"/usr/share/common-licenses/{file}").read()) for file, name in texts.items()]
@@ -495,6 +523,68 @@ def test_training_pages_have_labels(spark):
     assert html_extract.train(pages, train_pages=3).trees
 
 
+def near_by_brute_force(texts):
+    """id -> smallest id of its class, by all pairs of shingle sets."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    root = {i: i for i in texts}
+    changed = True
+    while changed:
+        changed = False
+        for a in texts:
+            for b in texts:
+                if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+    return root
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All five stages on a small table, each worked out in plain Python from what the one before it kept."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    shared, passage = "this line is shared by many documents", prose(8001, 60)
+    texts = {i: prose(8100 + i, 80) for i in range(30)}
+    texts |= {i: f"{shared}\n{texts[i]}" for i in range(0, 12)}
+    texts |= {40 + i: texts[i + 14].replace("w", "w", 1) + " tail" for i in range(5)}
+    texts |= {50: f"{prose(8200, 40)} {passage} {prose(8201, 40)}", 51: f"{prose(8202, 40)} {passage} {prose(8203, 40)}", 60: None, 61: "", 62: "12345 678"}
+    langs = {i: "xx" for i in texts}
+    docs = spark.createDataFrame([(i, t, langs[i], "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+
+    left = {i: t for i, t in texts.items() if t and any(c.isalpha() for c in t)}
+    holders = [i for i, t in left.items() if shared in t.split("\n")]
+    left = {i: "\n".join(x for x in t.split("\n") if x != shared or i == max(holders)) for i, t in left.items()}
+    root = near_by_brute_force(left)
+    left = {i: t for i, t in left.items() if root[i] == i}
+    seen, cut = {}, {}
+    for i in sorted(left):
+        w = left[i].split()
+        gone = set()
+        for k in range(len(w) - 19):
+            if seen.setdefault(tuple(w[k : k + 20]), (i, k)) != (i, k):
+                gone.update(range(k, k + 20))
+        cut[i] = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else left[i]
+    library = Tokenizer.from_file(packing.byte_bpe_path())
+    want = {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in cut.items()}
+    assert set(got.doc_id) == set(want) and 51 in want and not {40, 41, 60, 61, 62} & set(want)
+    whole = got[got.length == got.doc_tokens]
+    assert len(whole) and all(want[r.doc_id] == r.ids_crc32 for r in whole.itertuples())
+    assert got.groupby("doc_id").length.sum().to_dict() == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in cut.items()}
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(odd):
     import corpus_pipeline
 
