@@ -368,7 +368,7 @@ def concentration(rows: DataFrame, kinds: Sequence[str]) -> DataFrame:
 def pearson(rows: DataFrame, features: Sequence[str], targets: Sequence[str], least: float = 0.0) -> DataFrame:
     """(feature, target, r, n): correlations of every feature with every target in one pass; 0 under three rows or without spread."""
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f).cast("double").alias("x"), F.col(t).cast("double").alias("y")) for f in features for t in targets])
-    each = rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("feature", "target").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    each = rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("feature", "target").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"), F.count("*").alias("n"))
     r = F.when((F.col("n") < 3) | F.col("r").isNull() | F.isnan("r"), F.lit(0.0)).otherwise(rounded(F.round("r", 9), 3))
     return each.select("feature", "target", r.alias("r"), "n").where(F.abs("r") > least) if least else each.select("feature", "target", r.alias("r"), "n")
 

@@ -19,7 +19,7 @@ ENCODINGS = ("utf-8", "gb18030", "utf-16-le", "utf-16-be")
 def encoding(content: Column) -> Column:
     """The encoding of bytes by their mark or by being valid UTF-8; null where only a trial can tell."""
     mark = lambda n, x: F.hex(F.substring(content, 1, n)) == x
-    return ladder((mark(3, "EFBBBF"), "utf-8-sig"), (mark(2, "FFFE"), "utf-16-le"), (mark(2, "FEFF"), "utf-16-be"), (F.is_valid_utf8(F.decode(content, "utf-8")) & ~F.contains(F.decode(content, "utf-8"), F.lit("�")), "utf-8"))
+    return ladder((mark(3, "EFBBBF"), "utf-8-sig"), (mark(2, "FFFE"), "utf-16-le"), (mark(2, "FEFF"), "utf-16-be"), (F.is_valid_utf8(content.cast("string")), "utf-8"))
 
 
 @F.pandas_udf(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("text", T.StringType())]))

@@ -1,4 +1,4 @@
-"""Every registered analytic query against its SQL, on the smallest tables."""
+"""Every registered analytic query against its SQL on the smallest tables, and operators against loops in plain Python."""
 
 import collections
 import math
@@ -6,14 +6,20 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from storyloom.operators import retrieval
-from storyloom.plans.dialect import TABLES
+from storyloom.operators import retrieval, scoring, style, text
+from storyloom.operators.projection import chapter_counts, chapter_metrics
+from storyloom.plans.registry import TABLES, Tables
+from storyloom.queries import CATALOGS
+from storyloom.queries.text import LIMITS
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {n: q for m in entry.MODULES for n, q in m.QUERIES.items()}
-ORACLES = {n: q for m in entry.MODULES for n, q in m.ORACLES.items()}
+QUERIES = {n: q for c in CATALOGS for n, q in c.queries.items()}
+ORACLES = {n: q for c in CATALOGS for n, q in c.oracles.items()}
+#: Tested by loops below instead.
+WITHOUT_SQL = {"scenes", "context_packing", "score_bootstrap"}
 
 
 def norm(v):
@@ -32,7 +38,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["chapter_metrics", "zero_hook_streak", "chapter_variability", "turning_points", "book_summary", "nearest_rank", "percentile_score", "commercial_score", "quality_gate", "foreshadow_status", "rhythm_interpolation", "unigram_perplexity", "bm25_search", "vector_search", "event_windows", "char_bigrams"])
+#: All queries meet their SQL in the driver's run on larger tables; here, one in five and those on which others rest.
+CHOSEN = sorted({*sorted(ORACLES)[::5], "chapter_metrics", "feature_importance", "commercial_score", "signing_probability", "rrf_fusion", "extract_chapters", "event_windows", "stream_metrics"})
+
+
+@pytest.mark.parametrize("name", CHOSEN)
 def test_against_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -44,14 +54,26 @@ def test_against_sql(spark, con, name):
     assert mine == theirs
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+def test_every_query_has_sql_or_a_test():
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
 
 
+def test_texts_stay_out_of_shuffles(spark):
+    """Counting is one narrow pass over one scan, and no text goes on to be numbered."""
+    counts = chapter_counts(spark.read.parquet(f"{SF}/documents.parquet"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(counts) and "text" not in counts.columns and plan(chapter_metrics(counts)).count("FileScan") == 1
+
+
+def documents(spark, path, texts):
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
 def brute_bm25(query, texts):
     """Scores of the texts that share a word with the query, words of two letters and more without stop words."""
     bags = [collections.Counter(w for w in re.split("[^a-zà-ÿ]+", t.lower()) if len(w) > 1 and w not in retrieval.STOP_WORDS) for t in (query, *texts)]
@@ -75,20 +97,22 @@ def test_bm25_keeps_short_words(spark, tmp_path):
     assert set(got) == {0, 3} == set(want) and all(abs(got[i] - want[i]) < 1e-4 for i in want)
 
 
-def test_fusion_takes_fifty_candidates(spark, tmp_path):
-    """Ids 21 to 40 hold places 21 to 40 of both channels, which together beat first places of one."""
-    sf = str(tmp_path)
-    docs = [(i if i > 20 else 200 + i, " ".join(["alpha"] * (60 - i) + ["omega"] * i)) for i in range(1, 41)] + [(300 + i, "omega") for i in range(10)]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
-    spark.createDataFrame([(0, "alpha")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
-    spark.createDataFrame([(i, [math.cos(i / 100), math.sin(i / 100)]) for i in range(41)], "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
-    got = sorted((r.place, r.id) for r in QUERIES["rrf_fusion"](spark, sf).where("q = 0").collect())
-    assert got == [(k, 20 + k) for k in range(1, 11)]
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """Blocks of queries, ties and zero vectors, against all pairs."""
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    vectors = {i: [float(i % 3), float(i % 5), float(i % 2)] for i in range(40)}
+    rows = spark.createDataFrame(list(vectors.items()), "id long, v array<double>").repartition(5)
+    got = collections.defaultdict(list)
+    for r in sorted(retrieval.neighbours(rows, rows.where("id % 4 = 0").withColumnRenamed("id", "q"), "id", "q", "v", 6, True).collect(), key=lambda r: r.place):
+        got[r.q].append((r.id, round(r.score, 7)))
 
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / n if n else 0.0
 
-def documents(spark, path, texts):
-    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
-    return str(path)
+    for q in range(0, 40, 4):
+        want = sorted((-round(cosine(vectors[q], v), 7), i) for i, v in vectors.items() if i != q)[:6]
+        assert got[q] == [(i, -s) for s, i in want], q
 
 
 def test_thirds_reach_the_end(spark, tmp_path):
@@ -107,7 +131,7 @@ def by_book(spark, sf):
 
 
 def varied(rows):
-    """Variability of each chapter, step by step as the reference does."""
+    """Variability of each chapter, step by step."""
     out = [0.0] * len(rows)
     for i in range(1, len(rows) - 1):
         r, p = rows[i], rows[i - 1]
@@ -166,3 +190,61 @@ def test_structure_against_loops(spark):
     assert {(r.book, r.ch_num, r.risk) for r in QUERIES["risk_events"](spark, sf).collect()} == risks
     assert {(r.book, r.beat): (r.found_ch, r.target_ch) for r in QUERIES["beat_detection"](spark, sf).collect()} == beats
     assert {(r.book, r.ch_num) for r in QUERIES["template_match"](spark, sf).collect()} == matches
+
+
+def test_scenes_against_a_loop(spark):
+    """Each scene is a part of its text, in order, within its bounds; what is left out is short."""
+    texts = ["", "short.", "A sentence of some words. " * 200, "\n\n".join(["tiny."] * 60), "\n\n".join("Words here, and there. " * k for k in (3, 12, 30, 90, 2))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in text.scenes(docs, least=200, most=1500).collect():
+        assert 200 <= r.chars == len(r.body) and (r.chars <= 1500 + 30)
+        assert re.sub(r"\s+", "", r.body) in re.sub(r"\s+", "", texts[r.doc_id])
+    got = collections.Counter(r.doc_id for r in text.scenes(docs).collect())
+    assert got[0] == got[1] == 0 and got[2] >= 3 and got[3] == 1
+
+
+def test_context_packing_against_a_loop(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r.conv_id, r.turn % 4 + 1].append((-(len(r.text or "") % 7), str(r.turn), len(r.text or "")))
+    want = {}
+    for (conv, tier), entries in groups.items():
+        used, kept, skipped, limit = 0, [], [], LIMITS[tier]
+        for _, key, chars in sorted(entries):
+            tokens = max(1, int(chars / 1.5))
+            if used + tokens <= limit:
+                used, kept = used + tokens, [*kept, key]
+            else:
+                skipped.append(key)
+                if limit - used > 50:
+                    kept.append(key)
+                    used += max(1, int(min(chars, int((limit - used) * 1.5)) / 1.5))
+        want[conv, tier] = (used, ",".join(kept), ",".join(skipped), bool(skipped))
+    assert {(r.conv_id, r.tier): (r.used, r.kept, r.skipped, r.truncated) for r in QUERIES["context_packing"](spark, SF).collect()} == want
+
+
+def test_bootstrap_bounds(spark):
+    books = spark.createDataFrame([("a", 1.0, 5.0, 9.0), ("b", 4.0, 4.0, 4.0)], "book string, x double, y double, z double")
+    got = {r.book: r for r in scoring.bootstrap(books, ["x", "y", "z"]).collect()}
+    assert got["b"].low == got["b"].high == 4 and 1 <= got["a"].low < 5 < got["a"].high <= 9
+    assert {r.book: (r.low, r.high) for r in scoring.bootstrap(books.repartition(3), ["x", "y", "z"]).collect()} == {k: (v.low, v.high) for k, v in got.items()}
+
+
+def test_streams_end_complete(spark, tmp_path):
+    """Windows, sessions and states hold all events when files arrive in several parts."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    n = {name: QUERIES[name](spark, str(tmp_path)) for name in ("event_windows", "event_sessions")}
+    assert n["event_windows"].agg(F.sum("n")).first()[0] == events.count() and n["event_sessions"].count() == events.select("user_id").distinct().count()
+
+
+def test_unknown_table(spark):
+    with pytest.raises(AttributeError):
+        Tables(spark, SF).nothing  # noqa: B018
+
+
+def test_style_of_short_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "tiny."), (4, "some more words here. " * 10)], "doc_id long, text string")
+    got = {r.doc_id: r for r in style.style_dna(docs).collect()}
+    assert got[1].total_chars == got[2].total_chars == 0 and got[3].avg_sentence_length == 0 and got[4].sentence_count == 10
