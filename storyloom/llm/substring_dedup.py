@@ -34,7 +34,7 @@ WINDOW, GRAM = 20, 10
 ROWS, BLOCK_BITS, MAX_WIDTH = 2, 18, 1 << 30
 #: Low bits of an anchor hold its place, so that equal windows at different places have different occurrences.
 PLACE_BITS = 24
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 LOWEST = -(1 << 63)
 
 
@@ -94,7 +94,7 @@ def sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             held[row] = []
 
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 2 << 20):
             w = Windows(part.column("text"))
             if len(w.at):
                 seen = w.anchor[w.runs] >> np.uint64(PLACE_BITS)
@@ -209,7 +209,7 @@ def candidates(batches: Iterator[pa.RecordBatch], bits: np.ndarray, width: int,
 
     size = 0
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 2 << 20):
             w = Windows(part.column("text"))
             size += part.column("text").nbytes
             if len(w.at):
@@ -271,7 +271,7 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
 
 def strip(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 2 << 20):
             n, removed, digest, texts = [], [], [], []
             for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
                 words = text.encode().split()  # bytes.split() knows just the contracts' six characters
