@@ -59,7 +59,7 @@ BODIES = f"SELECT doc_id, k, {TRIM(f'CASE k WHEN 1 THEN substr(text, 1, {THIRD})
 @query(
     "extract_chapters",
     f"""
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place, CASE WHEN doc_id % 2 = 0 THEN [1, 2, 103][k] ELSE [1, 2, 12][k] END AS num, CASE WHEN doc_id % 2 = 0 THEN ['第一章 Alpha', '第2章 Beta', '第一百零三章 Gamma'][k] ELSE ['序章 Alpha', '章2 Beta', '章十二 Gamma'][k] END AS title, wc, sha256(body) AS sha, CAST(len({paragraphs_sql('body', 'wc')}) AS BIGINT) AS para_count
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place, CAST(CASE WHEN doc_id % 2 = 0 THEN [1, 2, 103][k] ELSE [1, 2, 12][k] END AS BIGINT) AS num, CASE WHEN doc_id % 2 = 0 THEN ['第一章 Alpha', '第2章 Beta', '第一百零三章 Gamma'][k] ELSE ['序章 Alpha', '章2 Beta', '章十二 Gamma'][k] END AS title, wc, sha256(body) AS sha, CAST(len({paragraphs_sql('body', 'wc')}) AS BIGINT) AS para_count
     FROM (SELECT *, CAST(length(translate(body, chr(10) || ' ', '')) AS BIGINT) AS wc FROM ({BODIES}) a) b WHERE wc >= 50""",
 )
 def _(t):
