@@ -8,6 +8,12 @@ that `run` writes as Parquet and reads again for the next one. All stages but th
 3. near_duplicates: of documents that are alike, that with the smallest doc_id stays.
 4. substrings: passages of 20 words and more that stand earlier elsewhere are cut out.
 5. packing: token sequences for training.
+
+Defined results: null and empty texts go in the first stage, as they have no letter; a text that loses all its lines goes on
+as the empty text; rows that repeat id and text pass or go together, and near duplicates keep both rows of one document; a
+null doc_id counts as the smallest where the order matters; extra columns pass through all stages but the last unchanged,
+whatever their names; a very long text is treated whole in each stage; an empty table gives no rows. n_chars is renewed
+where the text changes.
 """
 
 from __future__ import annotations
