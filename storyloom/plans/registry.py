@@ -17,6 +17,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 #: A table of fewer bytes for each core is small.
 SMALL_BYTES = 16 << 20
+#: The metrics by application, session and folder, so that their plan is made once.
+_metrics: dict[tuple[str, int, str], DataFrame] = {}
 
 
 class Tables:
@@ -33,7 +35,10 @@ class Tables:
     @property
     def metrics(self) -> DataFrame:
         """The metrics of all chapters. Rows of numbers, kept on the executors' memory and disk, so that the texts are read and counted once a session."""
-        return chapter_metrics(chapter_counts(self.spread("documents"))).persist(StorageLevel.MEMORY_AND_DISK)
+        key = (self.spark.sparkContext.applicationId, id(self.spark), self.sf_dir)
+        if key not in _metrics:
+            _metrics[key] = chapter_metrics(chapter_counts(self.spread("documents")))
+        return _metrics[key].persist(StorageLevel.MEMORY_AND_DISK)
 
     def spread(self, name: str) -> DataFrame:
         """A table of texts; one that lies in less than a few files' worth of bytes for each core is dealt over the cores, since a file may be one split."""
