@@ -9,6 +9,7 @@ from storyloom.llm.licenses import OP4_SQL, op4_license_scan
 from storyloom.llm.line_dedup import OP10_SQL, op10_line_dedup
 from storyloom.llm.minhash import op1_near_duplicates
 from storyloom.llm.packing import op7_packing
+from storyloom.llm.quality_rules import OP11_SQL, op11_quality_rules
 from storyloom.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_line_dedup": op10_line_dedup,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 ORACLES = {
@@ -29,4 +31,5 @@ ORACLES = {
     "op5_substring_dedup": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_quality_rules": OP11_SQL,
 }
