@@ -10,6 +10,7 @@ from storyloom.llm.line_dedup import OP10_SQL, op10_line_dedup
 from storyloom.llm.minhash import op1_near_duplicates
 from storyloom.llm.packing import op7_packing
 from storyloom.llm.quality_rules import OP11_SQL, op11_quality_rules
+from storyloom.llm.ranked_search import OP12_SQL, op12_ranked_search
 from storyloom.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_line_dedup": op10_line_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op8_exact_dedup": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_quality_rules": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
 }
