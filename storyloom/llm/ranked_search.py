@@ -215,7 +215,7 @@ def rank_block(docs: DataFrame, items: Items, top: int, digest_hex: int) -> Data
     m = F.expr(f"{FLAT}L + ({SLOPE}L * n * {n_docs}L) div {n_terms}L")
     keyed = found.where(F.length("bag") > 0).select("doc", m.alias("m"), "bag").withColumn("key", bag_key(F.col("m"), digest_hex))
     # grouped by the hash and by what was hashed: rows of a group are identical, whatever the hash
-    classes = materialize(keyed.groupBy("key", "m", "bag").agg(F.min("doc").alias("first")))
+    classes = stored = materialize(keyed.groupBy("key", "m", "bag").agg(F.min("doc").alias("first")))
     if classes.select("key").distinct().count() < classes.count():  # different bags of one hash: the bags themselves tell the classes apart
         whole = F.concat(F.hex("bag"), F.lit("/"), F.col("m").cast("string"))
         keyed, classes = keyed.withColumn("key", F.sha2(whole, 256).substr(1, 32)), classes.withColumn("key", F.sha2(whole, 256).substr(1, 32))
@@ -225,7 +225,7 @@ def rank_block(docs: DataFrame, items: Items, top: int, digest_hex: int) -> Data
     ranked = winners.join(members, "key").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "doc", "key")))
     out = materialize(ranked.where(F.col("rank") <= top).select("item", "rank", "doc", "score"))
     discard(found)
-    discard(classes)
+    discard(stored)
     return out
 
 
