@@ -46,8 +46,8 @@ class Memory:
     or that is longer, is encoded each time. A full memory keeps what the last batch used.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], remembered: int = REMEMBERED):
-        self.encode, self.remembered = encode, remembered
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], remembered: int = REMEMBERED, pieces: Callable = cut):
+        self.encode, self.remembered, self.pieces = encode, remembered, pieces
         self.clear()
 
     def clear(self) -> None:
@@ -56,7 +56,7 @@ class Memory:
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (uint32), and the n+1 offsets of the texts in them."""
-        raw, starts, ends, first = cut(column)
+        raw, starts, ends, first = self.pieces(column)
         short = np.flatnonzero(ends - starts <= LONGEST)
         check = word_hashes(raw, starts, ends, 1)
         keys, sample, inverse = np.unique(word_hashes(raw, starts, ends)[short], return_index=True, return_inverse=True)

@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
+from storyloom.llm.alignment import op13_alignment
 from storyloom.llm.bpe import op9_bpe_roundtrip
 from storyloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from storyloom.llm.fingerprints import op3_fingerprints
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_quality_rules": op11_quality_rules,
     "op12_ranked_search": op12_ranked_search,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES = {
