@@ -1,8 +1,11 @@
 """Licence scans by canonical digests, in DataFrame functions only.
 
-A text is brought to a canonical form: lower case, lines with copyright notices left out, everything but letters and
-digits as single spaces, equivalent spellings as one. Its SHA-256 digest is joined with the digests of known licences and
-notices. Entire texts are looked up, and each line as a text of its own, since notices stand alone on a line. The known
+A text is brought to two canonical forms: lower case, everything but letters and digits as single spaces, equivalent
+spellings as one; in the first form lines with copyright notices are left out, in the second nothing is. A notice is a mark (copyright,
+(c), ©) with a second mark, a year or a placeholder after it, or "all rights reserved" alone on its line; clauses that merely
+begin with "copyright" or "(c)" stay. The SHA-256 digests of both forms are joined with those of known licences and notices, also
+in both forms. So a text is found under any holder's notice, and, as the second form does not see lines, however a text with its own notice is wrapped.
+Entire texts are looked up, and each line as a text of its own, since notices stand alone on a line. The known
 list is a catalogue, by default the texts, titled texts and notices below; it is bounded (digests and names only), hence
 broadcast. Texts that two licences share have both names, joined by commas.
 
@@ -106,25 +109,42 @@ EQUIVALENT = [
     ("sub license", "sublicense"),
     ("whilst", "while"),
 ]
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)(?:[^\p{L}\p{N}\n][^\n]*)?$"
+# What marks a notice; a line feed ends a line, nothing else.
+MARK = r"(?:copyright|\(c\)|©|&copy;)"
+DATED = r"[<\[{(]?(?:(?:19|20)\d\d|yyyy|years?|dates?)\b"
+NOTICE_LINE = rf"^[^\p{{L}}\p{{N}}\n]*(?:{MARK}[ \t,:]*(?:{MARK}|{DATED})[^\n]*|all rights reserved[^\p{{L}}\p{{N}}\n]*)$"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form. Spellings are only looked for where the text has one of them."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), OTHER, " "))
+def _spelled(low: Column) -> Column:
+    """Words by single spaces, in one spelling. Spellings are only looked for where the text has one of them."""
+    plain = F.trim(F.regexp_replace(low, OTHER, " "))
     spelled = reduce(lambda c, p: F.regexp_replace(c, rf"\b{p[0]}\b", p[1]), EQUIVALENT, plain)
     return F.when(plain.rlike(r"\b(?:" + "|".join(a for a, _ in EQUIVALENT) + r")\b"), spelled).otherwise(plain)
 
 
+def canonical(text: Column) -> Column:
+    """The form without notices."""
+    return _spelled(F.regexp_replace(F.lower(text), "(?md)" + NOTICE_LINE, ""))
+
+
+def complete(text: Column) -> Column:
+    """The form with all lines; null where it is the same, as the text has no notice."""
+    return F.when(F.lower(text).rlike("(?md)" + NOTICE_LINE), _spelled(F.lower(text)))
+
+
 def default_catalogue(spark: SparkSession) -> DataFrame:
     """(license, text) as a local table."""
     quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN) + " AS k(license, text)")
 
 
+def _forms(text: Column) -> Column:
+    return F.array_distinct(F.array_compact(F.array(canonical(text), complete(text))))
+
+
 def known_digests(catalogue: DataFrame) -> DataFrame:
-    rows = catalogue.select("license", canonical(F.col("text")).alias("canonical")).where("canonical != ''")
+    rows = catalogue.select("license", F.explode(_forms(F.col("text"))).alias("canonical")).where("canonical != ''")
     return rows.select("license", F.sha2("canonical", 256).alias("digest")).groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("license"))
 
 
@@ -135,8 +155,8 @@ SPELLED = {b.split()[0]: sorted({x.split()[0] for x, y in EQUIVALENT if y.split(
 def first_words(catalogue: DataFrame) -> DataFrame:
     """(first): words with which a line must begin to be in the catalogue, in all spellings."""
     before = F.create_map(*[x for k, v in SPELLED.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
-    first = F.regexp_extract(canonical(F.col("text")), r"^[\p{L}\p{N}]+", 0)
-    words = catalogue.select(first.alias("w")).select(F.explode(F.concat(F.array("w"), F.coalesce(F.try_element_at(before, F.col("w")), F.array().cast("array<string>")))).alias("first"))
+    first = F.regexp_extract("form", r"^[\p{L}\p{N}]+", 0)
+    words = catalogue.select(F.explode(_forms(F.col("text"))).alias("form")).select(first.alias("w")).select(F.explode(F.concat(F.array("w"), F.coalesce(F.try_element_at(before, F.col("w")), F.array().cast("array<string>")))).alias("first"))
     return words.where("first != ''").distinct()
 
 
@@ -148,9 +168,12 @@ def scan(docs: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     # a row of a repeated document must not count its lines twice: lines are gathered once for each (doc_id, text)
     lines = rows.select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("first", F.regexp_extract(F.lower("line"), r"[\p{L}\p{N}]+", 0))
     # most lines begin with a word with which no entry begins: they need no canonical form
-    lines = lines.join(firsts, "first", "left_semi").select("doc_id", "tag", "at", F.sha2(canonical(F.col("line")), 256).alias("digest"))
+    lines = lines.join(firsts, "first", "left_semi").select("doc_id", "tag", "at", F.explode(_forms(F.col("line"))).alias("form")).withColumn("digest", F.sha2("form", 256))
     hits = lines.join(known, "digest").dropDuplicates(["doc_id", "tag", "at"]).groupBy("doc_id", "tag").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"), F.count("*").alias("n"))
-    whole = rows.select("doc_id", "tag", F.sha2(canonical(F.col("text")), 256).alias("text_digest")).join(known.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license")), "text_digest", "left")
+    whole = rows.select("doc_id", "tag", F.sha2(canonical(F.col("text")), 256).alias("text_digest"), F.sha2(complete(F.col("text")), 256).alias("complete_digest"))
+    for digest in ("text_digest", "complete_digest"):
+        whole = whole.join(known.select(F.col("digest").alias(digest), F.col("license").alias(f"{digest}_license")), digest, "left")
+    whole = whole.withColumn("text_license", F.coalesce("text_digest_license", "complete_digest_license"))
     found = whole.alias("w").join(hits.alias("h"), F.col("w.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("w.tag") == F.col("h.tag")), "left")
     return found.select("w.doc_id", "text_license", F.coalesce("names", F.lit("")).alias("line_licenses"), F.coalesce("n", F.lit(0)).alias("n_license_lines"), "text_digest")
 
@@ -159,28 +182,46 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
-def _sql_canonical(column: str) -> str:
-    plain = rf"trim(regexp_replace(regexp_replace(lower({column}), '{COPYRIGHT_LINE}', '', 'g'), '{OTHER}', ' ', 'g'))"
-    return reduce(lambda c, p: rf"regexp_replace({c}, '\b{p[0]}\b', '{p[1]}', 'g')", EQUIVALENT, plain)
-
-
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _sql_words(lines: str) -> str:
+    """From a list of lower-case lines to the canonical form: runs of letters and digits, in one spelling."""
+    words = rf"array_to_string(regexp_extract_all(array_to_string({lines}, chr(10)), '[\p{{L}}\p{{N}}]+'), ' ')"
+    return reduce(lambda c, p: rf"regexp_replace({c}, '\b{p[0]}\b', '{p[1]}', 'g')", EQUIVALENT, words)
+
+
+#: A line is a notice if, decoration and marks taken off its head, marks were two or a date follows; or if nothing but the three words is on it.
+_SQL_NOTICE = r"""(
+  regexp_matches(x, '^[^\p{L}\p{N}]*(copyright|\(c\)|©|&copy;)[ \t,:]*(copyright|\(c\)|©|&copy;)')
+  OR regexp_matches(x, '^[^\p{L}\p{N}]*(copyright|\(c\)|©|&copy;)[ \t,:]*[<\[{(]?(19[0-9][0-9]|20[0-9][0-9]|yyyy|year|years|date|dates)\b')
+  OR array_to_string(regexp_extract_all(x, '[\p{L}\p{N}]+'), ' ') = 'all rights reserved' AND regexp_matches(x, 'all rights reserved'))"""
+_SQL_LINES = "string_split(lower({0}), chr(10))"
+
+
+def _sql_forms(column: str) -> str:
+    lines = _SQL_LINES.format(column)
+    return f"list_distinct([{_sql_words(f'list_filter({lines}, lambda x: NOT {_SQL_NOTICE})')}, {_sql_words(lines)}])"
+
+
 OP4_SQL = f"""
 WITH raw(license, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}
+), forms AS (
+  SELECT license, unnest({_sql_forms("text")}) AS form FROM raw
 ), known AS (
-  SELECT DISTINCT license, sha256({_sql_canonical("text")}) AS digest FROM raw
+  SELECT sha256(form) AS digest, string_agg(DISTINCT license, ',' ORDER BY license) AS license FROM forms WHERE form <> '' GROUP BY form
 ), lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+  SELECT doc_id, row_number() OVER () AS pos, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
 ), hits AS (
-  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS names, count(*) AS n
-  FROM (SELECT doc_id, sha256({_sql_canonical("line")}) AS digest FROM lines) JOIN known USING (digest) GROUP BY doc_id
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS names, count(DISTINCT pos) AS n
+  FROM (SELECT doc_id, pos, sha256(unnest({_sql_forms("line")})) AS digest FROM lines) JOIN known USING (digest) GROUP BY doc_id
 ), whole AS (
-  SELECT doc_id, sha256({_sql_canonical("coalesce(text, '')")}) AS text_digest FROM documents
+  SELECT doc_id, {_sql_forms("coalesce(text, '')")} AS forms, sha256({_sql_words(f"list_filter({_SQL_LINES.format(chr(39).join(['coalesce(text, ', '', ')']))}, lambda x: NOT {_SQL_NOTICE})")}) AS text_digest FROM documents
+), found AS (
+  SELECT doc_id, first(license ORDER BY pos) AS license FROM (SELECT doc_id, unnest(forms) AS form, generate_subscripts(forms, 1) AS pos FROM whole) JOIN known ON digest = sha256(form) GROUP BY doc_id
 )
-SELECT whole.doc_id, known.license AS text_license, coalesce(hits.names, '') AS line_licenses,
+SELECT whole.doc_id, found.license AS text_license, coalesce(hits.names, '') AS line_licenses,
        coalesce(hits.n, 0) AS n_license_lines, whole.text_digest
-FROM whole LEFT JOIN known ON known.digest = whole.text_digest LEFT JOIN hits ON hits.doc_id = whole.doc_id
+FROM whole LEFT JOIN found USING (doc_id) LEFT JOIN hits USING (doc_id)
 """
