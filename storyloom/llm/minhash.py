@@ -307,13 +307,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = materialize(edges)
     if edges.count() <= BROADCAST_ROWS:
-        return materialize(arrow_pass(edges.coalesce(1), united, "id long, component long").where("id != component"))
-    edges, mark = edges.where("a != b").distinct(), None
+        out = materialize(arrow_pass(edges.coalesce(1), united, "id long, component long").where("id != component"))
+        discard(edges)
+        return out
+    mark = None
     while True:
-        edges = materialize(small(large(edges)).where("a != b").distinct())
+        before, edges = edges, materialize(small(large(edges.where("a != b").distinct())).where("a != b").distinct())
+        discard(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == mark:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            out = materialize(edges.select(F.col("a").alias("id"), F.col("b").alias("component")))
+            discard(edges)
+            return out
         mark = now
 
 
@@ -323,7 +328,10 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
     merged = components(between.where("a != b").distinct())
     moved = labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
-    return materialize(moved.union(merged))
+    out = materialize(moved.union(merged))
+    for done in (labels, merged):
+        discard(done)
+    return out
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -353,13 +361,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         still = offered.where("a is null").select("key")
         if still.isEmpty():
             break
-        rest = materialize(marks.join(still, "key", "left_semi"))
-        discard(marks)
-        discard(offered)
-        marks, tested, most = rest, materialize(tested.union(fresh)), most * GROWTH
+        rest, sofar = materialize(marks.join(still, "key", "left_semi")), materialize(tested.union(fresh))
+        for done in (marks, offered, tested, fresh, more):
+            discard(done)
+        marks, tested, most = rest, sofar, most * GROWTH
     members = signed.select("id", "doc_id", "digest").join(classes.select("digest", F.col("id").alias("copy_of")), "digest")
     named = labels.select(F.col("id").alias("copy_of"), F.col("component").alias("class_id"))
-    return members.join(named, "copy_of", "left").select("id", "doc_id", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
+    out = materialize(members.join(named, "copy_of", "left").select("id", "doc_id", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id")))
+    for done in (signed, classes, met_first, wanted, texts, marks, offered, tested, fresh, more, labels):
+        discard(done)
+    return out
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, exact_dedup, fingerprints, html_extract, language_id, licenses, line_dedup, minhash, packing, substring_dedup
+from storyloom.llm import bpe, common, exact_dedup, fingerprints, html_extract, language_id, licenses, line_dedup, minhash, packing, substring_dedup
 from storyloom.llm.common import flat_bytes, mix64, read, window_hashes, word_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -196,6 +197,24 @@ def test_prob_minhash_estimates_probability_jaccard():
     assert abs((s[0] == s[1]).mean() - 0.6) < 0.05
 
 
+def test_prob_minhash_of_unequal_weights():
+    """Probability Jaccard: sum over common elements of 1 / (sum over all of max(x_i / x_c, y_i / y_c))."""
+    r = np.random.default_rng(2)
+    element = r.integers(1, 2**63, 300).astype(np.uint64)
+    x, y = r.integers(1, 30, 300) * (r.random(300) < 0.9), r.integers(1, 30, 300) * (r.random(300) < 0.9)
+    both = np.flatnonzero((x > 0) & (y > 0))
+    want = sum(1 / np.maximum(x / x[c], y / y[c]).sum() for c in both)
+    doc = np.append(np.zeros((x > 0).sum(), int), np.ones((y > 0).sum(), int))
+    s = minhash.prob_minhash(doc, np.append(element[x > 0], element[y > 0]), np.append(x[x > 0], y[y > 0]), 2, 2048)
+    assert abs((s[0] == s[1]).mean() - want) < 0.05
+
+
+def test_near_duplicates_leave_no_tables_but_the_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"{tmp_path}/{uuid.uuid4().hex}")
+    assert minhash.near_classes(read(spark, SF, "documents").select("doc_id", "text")).count() == 200
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_packing():
     r = random.Random(3)
     for _ in range(100):
@@ -578,6 +597,20 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert got.groupby("doc_id").length.sum().to_dict() == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in cut.items()}
 
 
+def test_pipeline_without_labels(spark, tmp_path, monkeypatch):
+    """With no language learned only null and letterless texts go in the first stage; stages that were read are removed."""
+    import corpus_pipeline
+
+    texts = {i: prose(9100 + i, 40) for i in range(20)} | {30: None, 31: "", 32: "123 456"}
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == set(range(20))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"{shared}/{uuid.uuid4().hex}")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(20))
+    assert sum("n_chars" in spark.read.parquet(str(f)).columns for f in shared.iterdir()) == 1
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
