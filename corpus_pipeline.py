@@ -1,9 +1,9 @@
 """The corpus pipeline: language identification, line dedup, near-dedup, substring dedup and packing, in this order.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the stage before it kept, and returns a DataFrame
-that `run` writes as Parquet and reads again for the next one. All stages but the last return the columns of documents.
+that `run` writes as Parquet and reads again for the next one; then what the stage before it left is removed. All stages but the last return the columns of documents.
 
-1. language: documents without a language (null, or without a letter) go.
+1. language: documents without a language (null, or without a letter) go. Where no language could be learned, all others pass.
 2. lines: lines that many documents share stay in one of them only.
 3. near_duplicates: of documents that are alike, that with the smallest doc_id stays.
 4. substrings: passages of 20 words and more that stand earlier elsewhere are cut out.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import materialize, read
+from storyloom.llm.common import discard, materialize, read
 from storyloom.llm.language_id import UNKNOWN, identify, train
 from storyloom.llm.line_dedup import apply_bitmaps, with_bitmaps
 from storyloom.llm.minhash import near_dedup
@@ -44,7 +44,7 @@ def _columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = identify(docs, train(docs.select("doc_id", "text", "lang")), keep_text=True)
-    return found.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return found.where((F.col("lang_pred") != UNKNOWN) | F.col("row.text").rlike(r"\p{L}")).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs)
+            if i:
+                discard(before)
     return docs
