@@ -38,9 +38,10 @@ def small(rows: DataFrame, limit: int = CATALOGUE) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "item_id", text: str = "text") -> DataFrame:
-    """(query, key, score) of every document that shares a word with a query."""
-    asked = queries.select(query, F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
-    cut = docs.select(key, words(F.col(text)).alias("w")).select(key, "w", F.size("w").alias("dl"))
+    """(query, key, score) of every document that shares a word with a query. text: a column of texts, or of words that were cut before."""
+    cut_of = lambda rows: F.col(text) if rows.schema[text].dataType.typeName() == "array" else words(F.col(text))
+    asked = queries.select(query, F.explode(F.array_distinct(cut_of(queries))).alias("word"))
+    cut = docs.select(key, cut_of(docs).alias("w")).select(key, "w", F.size("w").alias("dl"))
     facts = cut.agg(F.count("*").alias("docs"), (F.sum("dl") / F.count_if(F.col("dl") > 0)).alias("mean"))
     few = small(asked.select("word").distinct())
     tf = cut.select(key, "dl", F.explode("w").alias("word")).join(few, "word", "left_semi").groupBy(key, "word").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))

@@ -162,13 +162,38 @@ def best_overlap(parts: DataFrame, wholes: DataFrame, part: str, whole: str, on:
     return n.groupBy(part).agg(F.min_by(F.struct(whole, "n"), F.struct((-F.col("n")).alias("m"), whole)).alias("b")).select(part, "b.*")
 
 
-def prefix_matches(left: DataFrame, right: DataFrame, a: str, b: str, least: int = 6, most: int = 8, limit: int = 100_000) -> DataFrame:
-    """(a, b): names of which one contains the beginning of the other; the first match by name. The right side is a catalogue of bounded size, which is checked, since containment has no key to join on."""
-    if right.limit(limit + 1).count() > limit:
-        raise ValueError(f"the catalogue of names has more than {limit} rows")
-    head = lambda x: F.left(x, F.greatest(F.lit(least), F.least(F.length(x), F.lit(most))))
-    met = left.join(F.broadcast(right.select(b)), F.contains(F.col(b), head(F.col(a))) | F.contains(F.col(a), head(F.col(b))))
-    return met.groupBy(a).agg(F.min(b).alias(b))
+def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str, q: int = 3) -> DataFrame:
+    """(needle, text): all pairs of distinct values of which the text contains the needle; the empty needle is in each text.
+
+    An index of runs of q letters (fewer for shorter needles) stands for a scan of all pairs: a needle meets the texts that have its rarest
+    run, and only those are looked at.
+    """
+    asked, held = needles.select(needle).where(F.col(needle).isNotNull()).distinct(), texts.select(text).where(F.col(text).isNotNull()).distinct()
+    grams = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, k)))
+    size = F.least(F.lit(q), F.length(needle))
+    own = asked.where(F.length(needle) > 0).select(needle, F.explode(grams(needle, size)).alias("gram"))
+    sizes = F.filter(F.sequence(F.lit(1), F.lit(q)), lambda k: k <= F.length(text))
+    index = held.select(text, F.explode(F.flatten(F.transform(sizes, lambda k: grams(text, k)))).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    # a needle with a run that no text has is in none
+    rarest = own.join(often, "gram", "left").groupBy(needle).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    met = rarest.join(index, "gram").where(F.contains(text, needle)).select(needle, text)
+    everywhere = asked.where(F.length(needle) == 0).withColumn("#", F.length(needle)).join(held.withColumn("#", F.length(text) * 0), "#").select(needle, text)
+    return met.unionByName(everywhere)
+
+
+def prefix_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: int = 6, most: int = 8) -> DataFrame:
+    """(a, b): all pairs of names of which one contains the beginning of the other."""
+    head = lambda rows, c: rows.select(c, F.left(c, F.greatest(F.lit(least), F.least(F.length(c), F.lit(most)))).alias("head")).distinct()
+    first, second = head(left, a), head(right, b)
+    in_b = first.join(contained(first, right, "head", b), "head").select(a, b)
+    in_a = second.join(contained(second, left, "head", a), "head").select(a, b)
+    return in_b.union(in_a).distinct()
+
+
+def prefix_matches(left: DataFrame, right: DataFrame, a: str, b: str, least: int = 6, most: int = 8) -> DataFrame:
+    """(a, b): of each name of the left the first by name on the right of which one contains the beginning of the other."""
+    return prefix_pairs(left, right, a, b, least, most).groupBy(a).agg(F.min(b).alias(b))
 
 
 def quality_pool(books: DataFrame, approved: DataFrame, value: str, by: str = "book", least: int = 3) -> DataFrame:

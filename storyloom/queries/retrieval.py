@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from storyloom.operators import retrieval as r
+from storyloom.operators import segmentation as sg
 from storyloom.operators.scoring import rounded
 from storyloom.plans.registry import Catalog, Tables
 
@@ -43,6 +44,36 @@ def _(t):
     return r.neighbours(t.embeddings, asked, "vec_id", "query_id", "embedding", 10, skip_self=True).select("query_id", "vec_id", F.round("score", 5).alias("score"), "place")
 
 
+#: The tables have no script without spaces: runs of letters stand for it, syllables for its words.
+LATIN, LEARN = "[a-zà-ÿ]", {"longest": 4, "least": 25, "cohesion": 1.5, "most": 20_000}
+
+
+def syllables(t: Tables):
+    return sg.learned(t.documents.select(F.lower("text").alias("text")), letter=LATIN, **LEARN)
+
+
+@query(
+    "learned_words",
+    """
+    WITH r AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS run FROM documents) a GROUP BY run),
+    c AS (SELECT g AS word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, unnest(flatten(list_transform([1, 2, 3, 4], lambda k: list_transform(range(1, length(run) - k + 2), lambda i: substr(run, i, k))))) AS g FROM r) b GROUP BY g HAVING length(g) = 1 OR sum(n) >= 25),
+    t AS (SELECT sum(n) AS total FROM c WHERE length(word) = 1),
+    o AS (SELECT w.word, w.n, min(round(ln(CAST(w.n AS DOUBLE) * t.total / (CAST(x.n AS DOUBLE) * y.n)), 9)) AS odds FROM (SELECT word, n, unnest(range(1, length(word))) AS at_ FROM c WHERE length(word) > 1) w JOIN c x ON x.word = left(w.word, w.at_) JOIN c y ON y.word = substr(w.word, w.at_ + 1) CROSS JOIN t GROUP BY w.word, w.n)
+    SELECT word, n FROM (SELECT word, n FROM o WHERE odds >= 1.5 UNION ALL SELECT word, n FROM c WHERE length(word) = 1) z ORDER BY n DESC, word LIMIT 20000""",
+)
+def _(t):
+    return syllables(t)
+
+
+@query("segmented_search")
+def _(t):
+    """Keyword search over words that were cut by best paths through learned words."""
+    vocabulary = syllables(t)
+    docs, asked = (sg.segmented(rows, vocabulary, letter=LATIN, other="[0-9]+") for rows in (t.documents.select("doc_id", "text"), t.benchmark.select("item_id", "text")))
+    found = r.ranked(r.bm25(docs, asked, text="words"), "item_id", "doc_id", 10)
+    return found.select("item_id", "doc_id", F.round("score", 4).alias("score"), "place")
+
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -207,6 +207,17 @@ def _(t):
     return s.prefix_matches(t.nation.select("n_name"), other, "n_name", "other")
 
 
+FIRST = "left(split_part(text, chr(10), 1), 40)"
+HEAD = "left({0}, greatest(6, least(length({0}), 8)))"
+
+
+@query("prefix_pairs", f"WITH x AS (SELECT DISTINCT {FIRST} AS name FROM documents WHERE text IS NOT NULL) SELECT p.name, count(*) AS n, max(q.name) AS last FROM x p JOIN x q ON contains(q.name, {HEAD.format('p.name')}) OR contains(p.name, {HEAD.format('q.name')}) GROUP BY p.name")
+def _(t):
+    """First lines of documents as names: how many others each meets."""
+    names = t.documents.where("text is not null").select(F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(40)).alias("name")).distinct()
+    return s.prefix_pairs(names, names.withColumnRenamed("name", "other"), "name", "other").groupBy("name").agg(F.count("*").alias("n"), F.max("other").alias("last"))
+
+
 @query(
     "quality_pool",
     """
