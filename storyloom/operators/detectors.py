@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.columns import clamp, count, ladder, paragraphs, parts, rounded, total
+from storyloom.operators.hooks import Checks
 from storyloom.operators.style import array_mean
 
 
@@ -123,13 +124,15 @@ def part_intensity(docs: DataFrame, marks: str, n: int, letters: str, key: str =
     return each.select(key, F.concat_ws(",", F.transform(c("curve"), lambda x: F.format_number(x, 3))).alias("points"), shape.alias("shape"))
 
 
-def goal_gate(docs: DataFrame, shapes: DataFrame, goals: DataFrame, letters: str, pleasures: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, failed, result): length, pleasures and curve of a chapter against its goal (low, high, least_pleasures, curve): none failed passes, two at most are written anew. goals: one row a key."""
+def goal_gate(docs: DataFrame, shapes: DataFrame, goals: DataFrame, letters: str, pleasures: str, key: str = "doc_id", text: str = "text", checks: Checks | None = None) -> DataFrame:
+    """(key, failed, result): length, pleasures and curve of a chapter against its goal (low, high, least_pleasures, curve), and checks of the user's own over the docs' columns: none failed passes, two at most are written anew. goals: one row a key."""
     c = F.col
     t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    base = docs.select(key, count(t, letters).alias("chars"), count(t, pleasures).alias("pleasures")).join(goals, key).join(shapes.select(key, "shape"), key, "left")
+    own = checks or Checks()
+    base = docs.select(key, count(t, letters).alias("chars"), count(t, pleasures).alias("pleasures"), own.failed().alias("own"), (F.size(own.failed("fail")) > 0).alias("fatal")).join(goals, key).join(shapes.select(key, "shape"), key, "left")
     failed = F.array_compact(F.array(F.when(~c("chars").between(c("low"), c("high")), "length"), F.when(c("pleasures") < c("least_pleasures"), "pleasure"), F.when((c("curve") != "any") & (F.coalesce("shape", F.lit("flat")) != c("curve")), "curve")))
-    return base.select(key, F.concat_ws(",", failed).alias("failed"), ladder((F.size(failed) == 0, "pass"), (F.size(failed) <= 2, "retry"), otherwise="fail").alias("result"))
+    failed = F.concat(failed, c("own"))
+    return base.select(key, F.concat_ws(",", failed).alias("failed"), ladder((F.size(failed) == 0, "pass"), (~c("fatal") & (F.size(failed) <= 2), "retry"), otherwise="fail").alias("result"))
 
 
 def default_goals(chapters: DataFrame, low: int = 2000, high: int = 4000, pleasures: int = 3, key: str = "doc_id") -> DataFrame:

@@ -81,6 +81,12 @@ def rhythm_targets(chapters: DataFrame, targets: dict[str, float], chars: int =
     return chapters.select("*", *[F.ceil(F.round(F.lit(d * chars / (1000 if n == "hook" else 100)), 6)).alias(f"n_{n}") for n, d in targets.items()])
 
 
+def chapter_targets(chapters: DataFrame, plan: DataFrame, by: str, chars: str) -> DataFrame:
+    """(the chapters' keys, n_hook, n_conflict): what a chapter of its own length should have by its book's densities (hooks by 1000, conflicts by 100 characters). plan: (by, hook, conflict), a row a book."""
+    need = lambda c, of: F.ceil(F.round(F.col(c) * F.col(chars) / float(of), 6)).alias(f"n_{c}")
+    return chapters.join(plan, by).select(*[c for c in chapters.columns if c != chars], need("hook", 1000), need("conflict", 100))
+
+
 def plan_validation(rows: DataFrame, level: str, met: Column, empty: Column, by: str, order: str) -> DataFrame:
     """(by, flat_run, met_share, empty_share, passed): runs of one level, targets that are met, chapters without content."""
     w = Window.partitionBy(by).orderBy(order)

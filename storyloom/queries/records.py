@@ -7,7 +7,8 @@ from storyloom.operators import scoring as sc
 from storyloom.operators.projection import rich_scan
 from storyloom.operators.scoring import mean9, rounded
 from storyloom.plans.registry import Catalog
-from storyloom.queries.scoring import BENCH, COMMERCIAL, LABELS, STATS, commercial, labels
+from storyloom.queries.scoring import AUDIT, COMMERCIAL, LABELS, LONG, SCORED, STATS, commercial, labels
+from storyloom.queries.text import SCAN
 
 query = Catalog()
 
@@ -32,9 +33,9 @@ def _(t):
     return r.preferences(t.sag_events, "k", "event_type")
 
 
-@query("profile_maturity", "SELECT user_id, n, CASE WHEN n >= 50 THEN 'mature' WHEN n >= 30 THEN 'stable' WHEN n >= 10 THEN 'forming' WHEN n >= 3 THEN 'early' ELSE 'new' END AS maturity FROM (SELECT user_id, count(*) AS n FROM events WHERE value > 90 GROUP BY user_id) a")
+@query("profile_maturity", "SELECT user_id, n, CASE WHEN n >= 50 THEN 'mature' WHEN n >= 30 THEN 'stable' WHEN n >= 10 THEN 'forming' WHEN n >= 3 THEN 'early' ELSE 'new' END AS maturity FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) a")
 def _(t):
-    return t.events.where("value > 90").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("maturity", r.maturity(F.col("n")))
+    return t.events.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("maturity", r.maturity(F.col("n")))
 
 
 @query("label_progress", "SELECT *, round(round(100 * done / total, 9), 1) AS pct, CASE WHEN done = 0 THEN 'waiting' WHEN done = total THEN 'complete' ELSE 'running' END AS state FROM (SELECT d.source, count(*) AS total, count(l.doc_id) AS done FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY d.source) a")
@@ -73,18 +74,29 @@ def _(t):
     return r.feedback(books, books.where("hook_density > 2"), DIMS3, "book")
 
 
-@query("author_chapters", f"SELECT b.dim, count(*) AS n, b.p50 FROM (SELECT unnest(['hook_density', 'conflict_density', 'pleasure_intensity']) AS dim FROM documents WHERE text IS NOT NULL) a JOIN ({BENCH}) b ON a.dim = b.dim GROUP BY b.dim, b.p50")
+SCANNED = ("hook_density", "conflict_density", "pleasure_intensity")
+CHAPTER_SCORES = SCORED.replace(f"({LONG})", "(" + " UNION ALL ".join(f"SELECT doc_id AS book, '{x}' AS dim, {x} AS value FROM scan" for x in SCANNED) + ")", 1)
+
+
+@query(
+    "author_chapters",
+    f"""
+    WITH scan AS MATERIALIZED ({SCAN}), z AS ({CHAPTER_SCORES})
+    SELECT book AS doc_id, dim, value, gap, score, rank, weak, round(round(sum(score * weight) OVER (PARTITION BY book) / sum(weight) OVER (PARTITION BY book) / 25 * 100, 9), 1) AS probability FROM z""",
+)
 def _(t):
-    """Every chapter by itself, scanned and held against the benchmark of all books."""
-    scan = rich_scan(t.documents.where("text is not null")).select("doc_id", "hook_density", "conflict_density", "pleasure_intensity")
-    dims = {d: sc.DIMS[d] for d in ("hook_density", "conflict_density", "pleasure_intensity")}
+    """Every chapter by itself, scanned and held against the benchmark of all books: its scores, gaps and weak places, and its probability."""
+    scan = rich_scan(t.documents).select("doc_id", *SCANNED)
+    dims = {x: sc.DIMS[x] for x in SCANNED}
     scored = sc.scored_dims(scan.unpivot(["doc_id"], list(dims), "dim", "value"), sc.benchmark(sc.book_dims(t.metrics)), dims, "doc_id")
-    return scored.groupBy("dim").agg(F.count("*").alias("n"), F.round(F.max(F.round(F.col("value") - F.col("gap"), 4)), 4).alias("p50"))
+    return scored.join(sc.signing_probability(scored, "doc_id").select("doc_id", "probability"), "doc_id").select("doc_id", "dim", "value", "gap", "score", "rank", F.col("weak").alias("weak"), "probability")
 
 
-@query("rhythm_targets", "SELECT book, ch_num, CAST(ceil(1.74e0 * 3000 / 1000) AS BIGINT) AS n_hook, CAST(ceil(1.2e0 * 3000 / 100) AS BIGINT) AS n_conflict FROM chapters")
+@query("rhythm_targets", "SELECT m.book, ch_num, CAST(ceil(round(h * wc / 1000e0, 6)) AS BIGINT) AS n_hook, CAST(ceil(round(c * wc / 100e0, 6)) AS BIGINT) AS n_conflict FROM metrics m JOIN (SELECT book, round(avg(hook_density), 9) AS h, round(avg(conflict_density), 9) AS c FROM metrics GROUP BY book) p ON m.book = p.book")
 def _(t):
-    return r.rhythm_targets(t.chapters.select("book", "ch_num"), {"hook": 1.74, "conflict": 1.2})
+    """The book's own densities are its plan; a chapter's targets follow from its length."""
+    plan = t.metrics.groupBy("book").agg(mean9("hook_density").alias("hook"), mean9("conflict_density").alias("conflict"))
+    return r.chapter_targets(t.metrics.select("book", "ch_num", "wc"), plan, "book", "wc")
 
 
 @query(
@@ -181,9 +193,13 @@ def _(t):
     return sc.rhythm_stats(t.metrics).join(commercial(t).select("book", "overall"), "book", "left").select("book", "total_ch", "overall", F.when(n >= 50, "high").when(n >= 30, "medium").otherwise("low").alias("confidence"))
 
 
-@query("audit_counts", "SELECT pace, conflict_level, count(*) AS n, count(DISTINCT book) AS n_books FROM metrics GROUP BY pace, conflict_level")
+@query("audit_counts", f"SELECT status, count(*) AS n, CAST(sum(fails) AS BIGINT) AS fails, round(100e0 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM ({AUDIT}) a GROUP BY status")
 def _(t):
-    return t.metrics.groupBy("pace", "conflict_level").agg(F.count("*").alias("n"), F.count_distinct("book").alias("n_books"))
+    """How many books the audit of rhythm passes, warns of or fails."""
+    from pyspark.sql import Window
+
+    n = sc.rhythm_audit(t.metrics).groupBy("status").agg(F.count("*").alias("n"), F.sum("fails").alias("fails"))
+    return n.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 1))
 
 
 @query("pattern_scores", f"SELECT m.dominant_sub, count(*) AS n, round(round(avg(l.retention), 9), 3) AS retention FROM metrics m JOIN ({LABELS}) l ON m.book = l.book AND m.ch_num = l.ch_num GROUP BY m.dominant_sub")

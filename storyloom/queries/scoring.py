@@ -254,14 +254,14 @@ def _(t):
 AUDITED = ("hook_density", "conflict_density", "pleasure_intensity", "readability")
 
 
-@query(
-    "rhythm_audit",
-    f"""
+AUDIT = f"""
     SELECT book, fails, CASE WHEN n < 5 OR fails >= 3 THEN 'FAIL' WHEN fails >= 1 THEN 'WARN' ELSE 'PASS' END AS status FROM (
       SELECT b.book, b.n, CAST((h < 0.01 OR c < 0.01) AS BIGINT) + CAST(({" OR ".join(f"(sd_{d} > 0 AND abs(m_{d} - mu_{d}) > 3 * sd_{d})" for d in AUDITED)}) AS BIGINT) + CAST(none > 0.95 AS BIGINT) + CAST(pleased < 0.05 AS BIGINT) + CAST(wc NOT BETWEEN 500 AND 10000 AS BIGINT) + CAST(r NOT BETWEEN -1 AND 2 AS BIGINT) AS fails
       FROM (SELECT book, count(*) AS n, {M9("hook_density")} AS h, {M9("conflict_density")} AS c, {M9("readability")} AS r, {M9("wc")} AS wc, {", ".join(f"{M9(d)} AS m_{d}" for d in AUDITED)}, avg(CASE WHEN hook_type = 'none' THEN 1e0 ELSE 0e0 END) AS none, avg(CASE WHEN pleasure_type <> 'none' THEN 1e0 ELSE 0e0 END) AS pleased FROM metrics GROUP BY book) b
-      CROSS JOIN (SELECT {", ".join(f"avg({d}) AS mu_{d}, stddev_samp({d}) AS sd_{d}" for d in AUDITED)} FROM metrics) g) z""",
-)
+      CROSS JOIN (SELECT {", ".join(f"avg({d}) AS mu_{d}, stddev_samp({d}) AS sd_{d}" for d in AUDITED)} FROM metrics) g) z"""
+
+
+@query("rhythm_audit", AUDIT)
 def _(t):
     return s.rhythm_audit(t.metrics)
 

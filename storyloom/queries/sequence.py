@@ -137,14 +137,20 @@ def _(t):
     return s.structure_labels(t.metrics)
 
 
+TEMPLATES = {"seven_steps": s.TEMPLATE, "turned_twice": ("turn", "development", "turn"), "opened_and_turned": ("opening", "turn")}
+
+
 @query(
     "template_match",
-    f"""
-    SELECT book, ch_num FROM (SELECT book, ch_num, {", ".join(f"lead(label, {k}) OVER w AS l{k}" for k in range(7))} FROM ({LABELLED}) y WINDOW w AS (PARTITION BY book ORDER BY ch_num)) a
-    WHERE l0 = 'opening' AND l1 = 'development' AND l2 = 'development' AND l3 = 'turn' AND l4 = 'turn' AND l5 = 'payoff' AND l6 = 'payoff'""",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS template, book, ch_num FROM (SELECT book, ch_num, {', '.join(f'lead(label, {k}) OVER w AS l{k}' for k in range(len(labels)))} FROM ({LABELLED}) y WINDOW w AS (PARTITION BY book ORDER BY ch_num)) a WHERE {' AND '.join(f'l{k} = {chr(39)}{x}{chr(39)}' for k, x in enumerate(labels))}"
+        for name, labels in TEMPLATES.items()
+    ),
 )
 def _(t):
-    return s.template_match(s.structure_labels(t.metrics))
+    """The template of seven steps, which the sample tables do not have, and two short ones that they do."""
+    found = [s.template_match(s.structure_labels(t.metrics), labels).withColumn("template", F.lit(name)) for name, labels in TEMPLATES.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(

@@ -41,32 +41,37 @@ def _(t):
     return raw.select("doc_id", s.encoding(F.col("content")).alias("mark"), s.decoded("content").alias("d")).select("doc_id", "mark", "d.encoding", F.sha2("d.text", 256).alias("sha"))
 
 
-HEADED = {0: ("第一章 Alpha", "第2章 Beta", "第一百零三章 Gamma"), 1: ("序章 Alpha", "章2 Beta", "章十二 Gamma")}
-NUMS = {0: (1, 2, 103), 1: (1, 2, 12)}
+#: Headers of four kinds, by doc_id % 4, and the numbers that they give.
+HEADED = (("第一章 Alpha", "第2章 Beta", "第一百零三章 Gamma"), ("序章 Alpha", "章2 Beta", "章十二 Gamma"), ("1 Alpha", "22 Beta", "333 Gamma"), ("4", "55", "666"))
+NUMS = ((1, 2, 103), (1, 2, 12), (1, 22, 333), (4, 55, 666))
 
 
 def raw_books(t: Tables):
-    """Each text cut in thirds under headers of two kinds, as a raw book."""
+    """Each text cut in thirds under headers of one of four kinds, as a raw book."""
     third = shares(F.coalesce("text", F.lit("")), 3)
-    book = {k: F.concat(*[x for h, p in zip(hs, third, strict=True) for x in (F.lit(f"\n{h}\n"), p)]) for k, hs in HEADED.items()}
-    return t.documents.where("length(text) > 600").select("doc_id", F.when(F.col("doc_id") % 2 == 0, book[0]).otherwise(book[1]).alias("book"))
+    book = [F.concat(*[x for h, p in zip(hs, third, strict=True) for x in (F.lit(f"\n{h}\n"), p)]) for hs in HEADED]
+    return t.documents.select("doc_id", F.when(F.col("doc_id") % 4 == 0, book[0]).when(F.col("doc_id") % 4 == 1, book[1]).when(F.col("doc_id") % 4 == 2, book[2]).otherwise(book[3]).alias("book"))
 
 
 THIRD = "greatest(CAST(floor(length(text) / 3) AS BIGINT), 1)"
-BODIES = f"SELECT doc_id, k, {TRIM(f'CASE k WHEN 1 THEN substr(text, 1, {THIRD}) WHEN 2 THEN substr(text, {THIRD} + 1, {THIRD}) ELSE substr(text, 2 * {THIRD} + 1) END')} AS body FROM documents CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) x WHERE length(text) > 600"
+BODIES = f"SELECT doc_id, k, {TRIM(f'CASE k WHEN 1 THEN substr(text, 1, {THIRD}) WHEN 2 THEN substr(text, {THIRD} + 1, {THIRD}) ELSE substr(text, 2 * {THIRD} + 1) END')} AS body FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) x"
+NUM_OF = f"{[list(n) for n in NUMS]}[doc_id % 4 + 1][k]"
+TITLE_OF = f"{[list(h) for h in HEADED]}[doc_id % 4 + 1][k]"
+#: A bare number is a header if text follows within 50 letters; a book with fewer than three of them has no chapters.
+BARE = f"SELECT doc_id FROM ({BODIES}) y WHERE doc_id % 4 = 3 GROUP BY doc_id HAVING count(*) FILTER (WHERE length(body) >= 20) < 3"
 
 
 @query(
     "extract_chapters",
     f"""
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place, CAST(CASE WHEN doc_id % 2 = 0 THEN [1, 2, 103][k] ELSE [1, 2, 12][k] END AS BIGINT) AS num, CASE WHEN doc_id % 2 = 0 THEN ['第一章 Alpha', '第2章 Beta', '第一百零三章 Gamma'][k] ELSE ['序章 Alpha', '章2 Beta', '章十二 Gamma'][k] END AS title, wc, sha256(body) AS sha, CAST(len({paragraphs_sql('body', 'wc')}) AS BIGINT) AS para_count
-    FROM (SELECT *, CAST(length(translate(body, chr(10) || ' ', '')) AS BIGINT) AS wc FROM ({BODIES}) a) b WHERE wc >= 50""",
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place, CAST({NUM_OF} AS BIGINT) AS num, {TITLE_OF} AS title, wc, sha256(body) AS sha, CAST(len({paragraphs_sql('body', 'wc')}) AS BIGINT) AS para_count
+    FROM (SELECT *, CAST(length(translate(body, chr(10) || ' ', '')) AS BIGINT) AS wc FROM ({BODIES}) a) b WHERE wc >= 50 AND doc_id NOT IN ({BARE})""",
 )
 def _(t):
     return s.extract_chapters(raw_books(t), "doc_id", "book").select("doc_id", "place", "num", "title", "wc", F.sha2("body", 256).alias("sha"), "para_count")
 
 
-@query("loose_chapters", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place, sha256({TRIM('body')}) AS sha FROM (SELECT doc_id, 1 AS k, text AS body FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, k, body FROM ({BODIES}) b WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 1, text FROM documents WHERE length(text) <= 600 AND doc_id % 3 = 0) z WHERE length(translate({TRIM('body')}, chr(10) || ' ', '')) >= 50")
+@query("loose_chapters", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place, sha256({TRIM('body')}) AS sha FROM (SELECT doc_id, 1 AS k, text AS body FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, k, body FROM ({BODIES}) b WHERE doc_id % 3 = 0 AND doc_id IN (SELECT doc_id FROM documents WHERE length(text) > 600) UNION ALL SELECT doc_id, 1, text FROM documents WHERE length(text) <= 600 AND doc_id % 3 = 0) z WHERE length(translate({TRIM('body')}, chr(10) || ' ', '')) >= 50")
 def _(t):
     third = shares(F.col("text"), 3)
     headed = F.concat(*[x for i, p in enumerate(third) for x in (F.lit(f"\nChapter {i + 1}: x\n"), p)])
@@ -214,9 +219,7 @@ def rich_sum(kind: str, text: str = "low", n: int | None = None) -> str:
 PARTS = {0: "substr(low, 1, size)", 1: "substr(low, size + 1, size)", 2: "substr(low, 2 * size + 1)"}
 
 
-@query(
-    "rich_scan",
-    f"""
+SCAN = f"""
     SELECT doc_id, chars, sentences, round(h / kilo, 2) AS hook_density, round(100e0 * c / letters, 2) AS conflict_density, round(p / kilo, 3) AS pleasure_density,
       round(least(10e0, greatest(0e0, 0.7e0 * (200e0 * pos / letters + 150e0 * c / letters + 50e0 * ex / letters + 0.5e0 * h / kilo + 20e0 * neg / letters + 2e0 * phy / greatest(letters / 100e0, 1e0)))), 1) AS pleasure_intensity, round(talk / letters, 3) AS dialogue_ratio, round(asl, 1) AS avg_sentence_len,
       round(least(greatest(asl / 80 * 0.5e0 + (1 - vd * 3) * 0.3e0 + abs(asl - 35) / 50 * 0.2e0, 0e0), 1e0), 3) AS readability,
@@ -226,8 +229,10 @@ PARTS = {0: "substr(low, 1, size)", 1: "substr(low, size + 1, size)", 2: "substr
       SELECT doc_id, low, {N("low", R["letters"])} AS chars, greatest({N("text", "[.!?…" + chr(92) + "n]")}, 1) AS sentences, {rich_sum("hook")} AS h, {rich_sum("conflict")} AS c, {rich_sum("pleasure")} AS p, {N("low", R["positive"])} AS pos, {N("low", R["negative"])} AS neg, {N("low", R["physio"])} AS phy, {N("text", "[！!？?]")} AS ex,
         length(text) - length(regexp_replace(text, '{LATIN.dialogue}', '', 'g')) AS talk, {N("text", sentence_sql(".!?"))} AS sn, length(text) - length(regexp_replace(text, '{sentence_sql(".!?")}', '', 'g')) AS sc, len(list_distinct(list_filter(string_split(translate(text, chr(10) || ' ', ''), ''), lambda x: x <> ''))) AS dc, length(translate(text, chr(10) || ' ', '')) AS nc,
         {", ".join(f"{N(x, R['letters'])} AS c{i}, {rich_sum('hook', x, 2)} AS h{i}, {rich_sum('conflict', x, 2)} AS k{i}, {rich_sum('pleasure', x, 2)} AS p{i}" for i, x in PARTS.items())}
-      FROM (SELECT doc_id, {TEXT} AS text, {LOW} AS low, greatest(CAST(floor(length({TEXT}) / 3) AS BIGINT), 1) AS size FROM documents) a) b) z""",
-)
+      FROM (SELECT doc_id, {TEXT} AS text, {LOW} AS low, greatest(CAST(floor(length({TEXT}) / 3) AS BIGINT), 1) AS size FROM documents) a) b) z"""
+
+
+@query("rich_scan", SCAN)
 def _(t):
     return rich_scan(t.documents)
 
@@ -326,14 +331,14 @@ def _(t):
     return d.flat_streaks(d.paragraph_scan(t.documents, CLASSES), ("thought", "none"))
 
 
-@query(
-    "emotion_shape",
-    f"""
+SHAPES = f"""
     SELECT doc_id, array_to_string(list_transform(c, lambda x: printf('%.3f', x)), ',') AS points, CASE WHEN list_max(c) = list_min(c) THEN 'flat' WHEN (CASE WHEN c[2] > c[1] AND c[2] > c[3] THEN 1 ELSE 0 END + CASE WHEN c[3] > c[2] AND c[3] > c[4] THEN 1 ELSE 0 END + CASE WHEN c[4] > c[3] AND c[4] > c[5] THEN 1 ELSE 0 END) >= 2 THEN 'wave'
       WHEN list_max(c) > c[1] AND list_max(c) > c[5] THEN 'peak' WHEN list_min(c) < c[1] AND list_min(c) < c[5] THEN 'valley' WHEN c[5] > c[1] THEN 'rising' ELSE 'falling' END AS shape
     FROM (SELECT doc_id, list_transform([0, 1, 2, 3, 4], lambda k: round(least(1e0, len(regexp_extract_all(array_to_string(list_slice(p, k * sz + 1, k * sz + sz), chr(10)), '[!?.]')) / greatest(len(regexp_extract_all(lower(array_to_string(list_slice(p, k * sz + 1, k * sz + sz), chr(10))), '[a-zà-ÿ]')) / 500e0, 0.1e0)), 6)) AS c
-          FROM (SELECT doc_id, p, CAST(floor(len(p) / 5) AS BIGINT) AS sz FROM (SELECT doc_id, {paragraphs_sql(TEXT, f'length({TEXT})')} AS p FROM documents) a WHERE len(p) >= 5) b) c""",
-)
+          FROM (SELECT doc_id, p, CAST(floor(len(p) / 5) AS BIGINT) AS sz FROM (SELECT doc_id, {paragraphs_sql(TEXT, f'length({TEXT})')} AS p FROM documents) a WHERE len(p) >= 5) b) c"""
+
+
+@query("emotion_shape", SHAPES)
 def _(t):
     return d.part_intensity(t.documents, "[!?.]", 5, "[a-zà-ÿ]")
 
@@ -341,12 +346,12 @@ def _(t):
 @query(
     "goal_gate",
     f"""
-    SELECT doc_id, concat_ws(',', CASE WHEN l THEN 'length' END, CASE WHEN p THEN 'pleasure' END) AS failed, CASE WHEN NOT l AND NOT p THEN 'pass' ELSE 'retry' END AS result FROM (
-      SELECT c.doc_id, {N(LOW, '[a-zà-ÿ]')} NOT BETWEEN 500 AND 4000 AS l, {N(LOW, 'tion|ment')} < CASE WHEN c.ch_num <= 3 THEN 5 ELSE 3 END AS p FROM chapters c JOIN documents x ON c.doc_id = x.doc_id WHERE c.ch_num > 3) a""",
+    SELECT doc_id, concat_ws(',', CASE WHEN l THEN 'length' END, CASE WHEN p THEN 'pleasure' END, CASE WHEN e THEN 'curve' END) AS failed, CASE WHEN NOT l AND NOT p AND NOT e THEN 'pass' WHEN l AND p AND e THEN 'fail' ELSE 'retry' END AS result FROM (
+      SELECT c.doc_id, {N(LOW, '[a-zà-ÿ]')} NOT BETWEEN 500 AND 4000 AS l, {N(LOW, 'tion|ment')} < CASE WHEN c.ch_num <= 3 THEN 5 ELSE 3 END AS p, c.ch_num <= 3 AND coalesce(s.shape, 'flat') <> 'rising' AS e FROM chapters c JOIN documents x ON c.doc_id = x.doc_id LEFT JOIN ({SHAPES}) s ON s.doc_id = c.doc_id) a""",
 )
 def _(t):
     shapes = d.part_intensity(t.documents, "[!?.]", 5, "[a-zà-ÿ]")
-    return d.goal_gate(t.documents, shapes, d.default_goals(t.chapters.where("ch_num > 3"), 500, 4000), "[a-zà-ÿ]", "tion|ment")
+    return d.goal_gate(t.documents, shapes, d.default_goals(t.chapters, 500, 4000), "[a-zà-ÿ]", "tion|ment")
 
 
 @query(
