@@ -39,7 +39,7 @@ def red_lines(docs: DataFrame, lines: Sequence[Line], key: str = "doc_id", text:
             place = F.transform(whole, lambda m, k: F.aggregate(F.slice(before, F.lit(1), k + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(whole, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)))  # noqa: B023
             hits.append(F.transform(F.arrays_zip(whole.alias("m"), place.alias("p")), _hit(x)))
     found = docs.where(F.col(text).isNotNull()).select(key, text, F.explode(F.concat(*hits)).alias("h")).select(key, "h.*", F.col(text).substr(F.greatest(F.col("h.position") - around, F.lit(0)).cast("int") + 1, (F.length("h.matched") + around + F.least(F.col("h.position"), F.lit(around))).cast("int")).alias("context"))
-    return found if allowed is None else found.join(F.broadcast(allowed.select(key, "rule").distinct()), [key, "rule"], "left_anti")
+    return found if allowed is None else found.join(allowed.select(key, "rule").distinct(), [key, "rule"], "left_anti")
 
 
 def _hit(line: Line):
@@ -201,15 +201,6 @@ def cliches(docs: DataFrame, phrases: dict[str, str], by: str, text: str = "text
     return long.select(by, "phrase", rounded(F.round("coverage", 9), 3).alias("coverage"), ladder((F.round("coverage", 9) >= 0.4, "high"), (F.round("coverage", 9) >= 0.2, "medium"), otherwise="low").alias("level"))
 
 
-def golden_three(docs: DataFrame, marks: dict[str, Sequence[Mark]], weights: dict[str, float], by: str, number: str = "ch_num", text: str = "text") -> DataFrame:
-    """(by, scores, total, grade) of a book's first three chapters: the mean points of each dimension and their weighted sum."""
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    each = docs.where(F.col(number) <= 3).select(by, *[mark_score(t, m, 2.0).alias(n) for n, m in marks.items()])
-    means = each.groupBy(by).agg(*[rounded(F.round(F.avg(n), 9), 3).alias(n) for n in marks])
-    sum_ = rounded(F.round(total([F.col(n) * weights[n] for n in marks]), 9), 2)
-    return means.withColumn("total", sum_).withColumn("grade", ladder((F.col("total") >= 8, "A"), (F.col("total") >= 6, "B"), (F.col("total") >= 4, "C"), otherwise="D"))
-
-
 def platform_compliance(chapters: DataFrame, hooks: str, conflicts: str, letters: str, by: str = "book", number: str = "ch_num", text: str = "text", window: tuple[int, int, int] = (80_000, 140_000, 150_000)) -> DataFrame:
     """(by, letters, hook_rate, conflict, zero_streak, probability, risk): length, hooks and conflicts of the first ten chapters against a platform's rules."""
     c = F.col

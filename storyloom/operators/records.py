@@ -87,6 +87,21 @@ def chapter_targets(chapters: DataFrame, plan: DataFrame, by: str, chars: str) -
     return chapters.join(plan, by).select(*[c for c in chapters.columns if c != chars], need("hook", 1000), need("conflict", 100))
 
 
+def weight_grid(sign: Sequence[float], retain: Sequence[float], low: float = 0.05, high: float = 0.35) -> list[tuple[float, float, float]]:
+    """Weights of signing, retention and bonus that add up to one, with a bonus within bounds."""
+    cells = [(a, b, round(1 - a - b, 6)) for a in sign for b in retain]
+    return [x for x in cells if low <= x[2] <= high]
+
+
+def weight_sensitivity(books: DataFrame, by: str, grid: Sequence[tuple[float, float, float]], grades: Sequence[tuple[float, str]]) -> DataFrame:
+    """(by, low, high, grade_stable, n_weights): a book's scores under all weights, worked out in its row, and the share of them that give the grade of its overall score."""
+    scores = F.array(*[F.round(F.round(F.col("signing") * a + F.col("retention") * b + F.col("bonus") * d, 6)) for a, b, d in grid])
+    letter = lambda x: ladder(*[(x >= n, g) for n, g in grades], otherwise="D")
+    each = books.select(by, "overall", scores.alias("s"))
+    stable = F.size(F.filter("s", lambda x: letter(x) == letter(F.col("overall")))) / len(grid)
+    return each.select(by, F.array_min("s").alias("low"), F.array_max("s").alias("high"), F.round(stable, 4).alias("grade_stable"), F.lit(len(grid)).cast("long").alias("n_weights"))
+
+
 def plan_validation(rows: DataFrame, level: str, met: Column, empty: Column, by: str, order: str) -> DataFrame:
     """(by, flat_run, met_share, empty_share, passed): runs of one level, targets that are met, chapters without content."""
     w = Window.partitionBy(by).orderBy(order)

@@ -408,7 +408,10 @@ def borda(books: DataFrame, dims: dict[str, bool], by: str = "book", pool: Seque
 
 def length_correction(books: DataFrame, n: str = "n", by: str = "book") -> DataFrame:
     """(by, n, factor): books of more than 1.5 times the upper median of lengths gain by the logarithm of their length."""
-    lengths = books.agg(F.sort_array(F.collect_list(n)).alias("s")).select(F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")).alias("med"))
+    per = books.groupBy(F.col(n).alias("v")).agg(F.count("*").alias("k"))  # a row for each length, not for each book
+    # the upper median is the smallest length that more than half of the books do not exceed
+    line = per.withColumn("upto", F.sum("k").over(Window.orderBy("v"))).withColumn("all", F.sum("k").over(Window.partitionBy()))
+    lengths = line.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("v").alias("med"))
     factor = F.when(F.col(n) > 1.5 * F.col("med"), rounded(F.round(F.least(F.lit(1.8), 1 + 0.2 * F.log2(F.col(n) / F.col("med"))), 9), 4)).otherwise(F.lit(1.0))
     return books.join(F.broadcast(lengths)).select(by, n, factor.alias("factor"))
 

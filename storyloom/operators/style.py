@@ -81,13 +81,13 @@ def dna_baseline(dna: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, metric.., perspective): means of the metrics, the most frequent perspective."""
     means = dna.groupBy(*by).agg(*[rounded(F.round(F.avg(m), 9), 3).alias(m) for m in METRICS], F.sum("total_chars").alias("total_chars"))
     kinds = dna.groupBy(*by, "perspective").agg(F.count("*").alias("n")).groupBy(*by).agg(F.min_by("perspective", F.struct((-F.col("n")).alias("n"), "perspective")).alias("perspective"))
-    return means.join(F.broadcast(kinds), list(by)) if by else means.join(F.broadcast(kinds))
+    return means.join(kinds, list(by)) if by else means.join(F.broadcast(kinds))  # one row each without groups
 
 
 def dna_deviations(target: DataFrame, current: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """(key, dimension, metric, target, current, diff_pct, severity, weight): every compared metric of each text against its baseline, one row a group."""
     c = F.col
-    met = current.join(F.broadcast(target.select(*by, *[c(m).alias(f"t_{m}") for m in METRICS])), list(by)) if by else current.join(F.broadcast(target.select(*[c(m).alias(f"t_{m}") for m in METRICS])))
+    met = current.join(target.select(*by, *[c(m).alias(f"t_{m}") for m in METRICS]), list(by)) if by else current.join(F.broadcast(target.select(*[c(m).alias(f"t_{m}") for m in METRICS])))
     table = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(m).alias("metric"), c(f"t_{m}").cast("double").alias("target"), c(m).cast("double").alias("current"), F.lit(w).alias("weight"), F.lit(a).alias("warn"), F.lit(b).alias("serious")) for d, m, w, a, b in COMPARED])
     rows = met.select(key, F.explode(table).alias("m")).select(key, "m.*")
     pct = F.when((c("target") == 0) & (c("current") == 0), F.lit(0.0)).when(c("target") == 0, F.lit(100.0)).otherwise(F.round(F.abs(c("current") - c("target")) / F.abs("target") * 100, 9))

@@ -231,10 +231,22 @@ def _(t):
     return d.select(rounded(F.round(1 - 6 * F.col("s") / (F.col("n") * (F.col("n") * F.col("n") - 1)), 9), 3).alias("rho"))
 
 
-@query("weight_sensitivity", f"SELECT book, w, round(round(w * signing + (1 - w) * retention, 6)) AS score FROM ({COMMERCIAL}) c CROSS JOIN (SELECT unnest([0.4e0, 0.45e0, 0.5e0, 0.55e0, 0.6e0]) AS w) g")
+SIGN, RETAIN = (0.4, 0.45, 0.5, 0.55, 0.6), (0.2, 0.25, 0.3, 0.35, 0.4)
+GRID = ", ".join(f"({a}e0, {b}e0, {c}e0)" for a, b, c in r.weight_grid(SIGN, RETAIN))
+LETTER = "CASE WHEN {0} >= 80 THEN 'S+' WHEN {0} >= 70 THEN 'A' WHEN {0} >= 60 THEN 'B' WHEN {0} >= 50 THEN 'C' ELSE 'D' END"
+
+
+@query(
+    "weight_sensitivity",
+    f"""
+    WITH c AS (SELECT book, signing, retention, overall, retention AS bonus FROM ({COMMERCIAL}) c), g(a, b, d) AS (VALUES {GRID}),
+    s AS (SELECT book, overall, round(round(signing * a + retention * b + bonus * d, 6)) AS score FROM c CROSS JOIN g)
+    SELECT book, min(score) AS low, max(score) AS high, round(avg(CASE WHEN {LETTER.format('score')} = {LETTER.format('overall')} THEN 1e0 ELSE 0e0 END), 4) AS grade_stable, count(*) AS n_weights FROM s GROUP BY book""",
+)
 def _(t):
-    w = F.explode(F.array(*[F.lit(x) for x in (0.4, 0.45, 0.5, 0.55, 0.6)]))
-    return commercial(t).select("book", "signing", "retention", w.alias("w")).select("book", "w", F.round(F.round(F.col("w") * F.col("signing") + (1 - F.col("w")) * F.col("retention"), 6)).alias("score"))
+    """Each book's score under the grid of weights of signing, retention and bonus (the bonus is the retention): how far it moves, and in how many cells its grade stays."""
+    books = commercial(t).select("book", "signing", "retention", "overall", F.col("retention").alias("bonus"))
+    return r.weight_sensitivity(books, "book", r.weight_grid(SIGN, RETAIN), ((80, "S+"), (70, "A"), (60, "B"), (50, "C")))
 
 
 @query("active_users", "SELECT user_id, count(*) AS n, max(event_id) AS last_event, count(DISTINCT event_type) AS kinds, round(sum(value), 2) AS total FROM events GROUP BY user_id")

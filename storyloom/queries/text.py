@@ -421,18 +421,6 @@ def _(t):
     return d.cliches(t.documents.select(F.col("source").alias("book"), "text"), PHRASES, "book")
 
 
-GOLDEN = {"hook": TAIL, "conflict": HEAD, "person": (d.Mark("i", "all", 0, " i | ich | je ", 4), d.Mark("he", "all", 0, " he | er | il ", 2)), "world": (d.Mark("world", "all", 0, "tion", 5),), "pace": (d.Mark("talk", "all", 0, '"', 3),)}
-WEIGHTS = {"hook": 0.25, "conflict": 0.2, "person": 0.25, "world": 0.15, "pace": 0.15}
-
-
-@query("golden_three", f"""
-    SELECT *, CASE WHEN total >= 8 THEN 'A' WHEN total >= 6 THEN 'B' WHEN total >= 4 THEN 'C' ELSE 'D' END AS grade FROM (SELECT *, round(round({" + ".join(f"{n} * {w}e0" for n, w in WEIGHTS.items())}, 9), 2) AS total FROM (
-      SELECT book, {", ".join(f"round(round(avg({marks_sql('t', m, 2.0)}), 9), 3) AS {n}" for n, m in GOLDEN.items())} FROM (SELECT c.book, {LOW} AS t FROM chapters c JOIN documents x ON c.doc_id = x.doc_id WHERE c.ch_num <= 3) a GROUP BY book) b) c""")
-def _(t):
-    first = t.chapters.where("ch_num <= 3").join(t.documents.select("doc_id", "text"), "doc_id")
-    return d.golden_three(first, GOLDEN, WEIGHTS, "book")
-
-
 @query(
     "platform_compliance",
     f"""
