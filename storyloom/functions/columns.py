@@ -24,7 +24,9 @@ def apart(words: list[str]) -> bool:
 
 
 def count(text: Column, pattern: str) -> Column:
-    """How often a pattern occurs, without overlaps. Plain words that cannot overlap are counted by replacing them, which is some ten times as fast as a regular expression."""
+    """How often a pattern occurs, without overlaps. Plain words that cannot overlap are counted by replacing them, which is some ten times as fast as a regular expression; letters of a class by taking out whole runs of them."""
+    if re.fullmatch(r"\[[^\[\]]+\]", pattern):
+        return (F.length(text) - F.length(F.regexp_replace(text, F.lit(pattern + "+"), F.lit("")))).cast("long")
     words = list(dict.fromkeys(pattern.split("|")))
     if all(words) and not re.search(r"[\\^$.?*+()\[\]{}]", pattern) and apart(words):
         return total([((F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("long") for w in words])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.columns import clamp, count, ladder, paragraphs, parts, rounded, sentences, span_chars, total
+from storyloom.functions.columns import clamp, count, distinct_chars, ladder, paragraphs, parts, rounded, sentences, span_chars, total
 from storyloom.functions.style import COMPARED, LATIN_FLAVOUR, LATIN_STYLE, FlavourPack, StylePack
 
 
@@ -30,7 +30,7 @@ def style_dna(docs: DataFrame, pack: StylePack = LATIN_STYLE, key: str = "doc_id
     """The quantities of style of each text in five dimensions. Texts under 50 letters have none but their letters, those under 100 no vocabulary and perspective."""
     c = F.col
     base = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("low", F.lower("text") if pack.lower else c("text"))
-    low, letters = c("low"), lambda x: F.regexp_count(x, F.lit(pack.letters)).cast("double")
+    low, letters = c("low"), lambda x: count(x, pack.letters).cast("double")
     base = base.select(key, "low", count(low, pack.letters).alias("chars"), F.transform(sentences(low, pack.ends), letters).alias("lengths"), F.transform(paragraphs(low), letters).alias("para_lengths"), F.size(F.filter(paragraphs(low), lambda p: F.left(p, F.lit(10)).rlike(pack.description))).alias("described"))
     told = F.regexp_replace(low, F.lit(pack.dialogue), F.lit(""))
     counts = base.select(
@@ -40,7 +40,7 @@ def style_dna(docs: DataFrame, pack: StylePack = LATIN_STYLE, key: str = "doc_id
         "para_lengths",
         "described",
         (c("chars") - count(told, pack.letters)).alias("dialogue_letters"),
-        F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(f"({pack.letters})"), 1))).alias("distinct_letters"),
+        distinct_chars(F.regexp_replace(low, F.lit(pack.letters.replace("[", "[^", 1) + "+"), F.lit(""))).alias("distinct_letters"),
         *[count(low, p).alias(n) for n, p in (("idioms", pack.idiom), ("slangs", pack.slang), ("doubles", pack.doubled), ("scenes", pack.scene), ("ironies", pack.irony), ("mockeries", pack.self_mockery), ("darks", pack.dark), ("monologues", pack.monologue), ("omniscients", pack.omniscient))],
         words_count(low, pack.fingerprints).alias("fingerprints"),
         *[count(x, p).alias(n) for n, x, p in (("first_told", told, pack.first), ("third_told", told, pack.third), ("first_all", low, pack.first), ("third_all", low, pack.third))],

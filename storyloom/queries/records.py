@@ -86,7 +86,7 @@ CHAPTER_SCORES = SCORED.replace(f"({LONG})", "(" + " UNION ALL ".join(f"SELECT d
 )
 def _(t):
     """Every chapter by itself, scanned and held against the benchmark of all books: its scores, gaps and weak places, and its probability."""
-    scan = rich_scan(t.documents).select("doc_id", *SCANNED)
+    scan = rich_scan(t.spread("documents")).select("doc_id", *SCANNED)
     dims = {x: sc.DIMS[x] for x in SCANNED}
     scored = sc.scored_dims(scan.unpivot(["doc_id"], list(dims), "dim", "value"), sc.benchmark(sc.book_dims(t.metrics)), dims, "doc_id")
     return scored.join(sc.signing_probability(scored, "doc_id").select("doc_id", "probability"), "doc_id").select("doc_id", "dim", "value", "gap", "score", "rank", F.col("weak").alias("weak"), "probability")

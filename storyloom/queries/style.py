@@ -36,7 +36,7 @@ DNA = f"""
 
 @query("style_dna", DNA)
 def _(t):
-    return s.style_dna(t.documents)
+    return s.style_dna(t.spread("documents"))
 
 
 BASE = ", ".join(f"round(round(avg({m}), 9), 3) AS {m}" for m in s.METRICS)

@@ -234,7 +234,7 @@ SCAN = f"""
 
 @query("rich_scan", SCAN)
 def _(t):
-    return rich_scan(t.documents)
+    return rich_scan(t.spread("documents"))
 
 
 @query("text_thirds", "SELECT doc_id, " + ", ".join(f"{N(x.replace('low', 't'), '[.!?]')} AS marks_{i}" for i, x in PARTS.items()) + f" FROM (SELECT doc_id, {TEXT} AS t, greatest(CAST(floor(length({TEXT}) / 3) AS BIGINT), 1) AS size FROM documents) a")

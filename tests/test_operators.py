@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 QUERIES = {n: q for c in CATALOGS for n, q in c.queries.items()}
 ORACLES = {n: q for c in CATALOGS for n, q in c.oracles.items()}
 #: Tested by loops below instead.
-WITHOUT_SQL = {"scenes", "context_packing", "score_bootstrap"}
+WITHOUT_SQL = {"scenes", "context_packing", "score_bootstrap", "segmented_search"}
 
 
 def norm(v):
