@@ -25,7 +25,6 @@ import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import arrow_pass, discard, flat_bytes, materialize, read, slices, within
+from storyloom.llm.common import arrow_pass, discard, flat_bytes, held, materialize, read, slices, within
 from storyloom.llm.pieces import Memory
 
 #: Bytes of text that are aligned at once, bytes of text in a block, products of a slice of rows.
@@ -178,9 +177,8 @@ def _whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return raw, off[:-1][real], off[1:][real], np.append(0, np.cumsum(real)).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
 def loaded(a_path: str, b_path: str) -> tuple[Memory, Vocabulary, Memory, Vocabulary]:
-    return *byte_level(a_path), *pieces(b_path)
+    return *held(byte_level, a_path), *held(pieces, b_path)
 
 
 @dataclass
@@ -234,7 +232,6 @@ def aligned(texts: pa.Array, a_path: str, b_path: str) -> Aligned:
     return Aligned(a, b, a_first, b_first, overlap, link_a, link_b, *groups)
 
 
-@lru_cache(maxsize=1)
 def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The digits of 0 .. n-1 with a byte to spare, and how many they are."""
     digits = np.array([str(i).encode() + b"," for i in range(n)])
@@ -252,7 +249,7 @@ def group_texts(found: Aligned) -> list[bytes]:
     ids[at_a], ids[at_b] = found.a, found.b
     mark[at_a[by_a.bounds[1:] - 1]] = ord("|")
     mark[at_b[by_b.bounds[1:] - 1]] = ord(";")
-    digits, size = _decimals(1 << max(16, int(ids.max(initial=0)).bit_length()))
+    digits, size = held(_decimals, 1 << max(16, int(ids.max(initial=0)).bit_length()))
     out = digits[ids]
     n = size[ids]
     out[np.arange(len(ids)), n] = mark

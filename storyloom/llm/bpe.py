@@ -20,14 +20,13 @@ import heapq
 import json
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import arrow_pass, read, slices
+from storyloom.llm.common import arrow_pass, held, read, slices
 from storyloom.llm.pieces import Memory
 
 
@@ -163,12 +162,15 @@ class PairIndexBPE:
         return " ".join([tokens[i] for i in ids if i in tokens])
 
 
-@lru_cache(maxsize=2)
-def loaded(path: str) -> tuple[PairIndexBPE, Memory]:
+def _load(path: str) -> tuple[PairIndexBPE, Memory]:
     bpe = PairIndexBPE(path)
     return bpe, Memory(bpe.encode_pieces)
 
 
+def loaded(path: str) -> tuple[PairIndexBPE, Memory]:
+    return held(_load, path)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe, memory = loaded(path)
     for batch in batches:

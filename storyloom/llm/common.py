@@ -21,6 +21,8 @@ WS_CLASS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
+#: Bytes of rows that Spark hands to a Python worker at once, unless the session has its own figure.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,17 +69,47 @@ def discard(df: DataFrame) -> None:
 
 
 def arrow_pass(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(work, schema); at the end of a task its worker, which Spark uses again, returns its free memory."""
+    """df.mapInArrow(work, schema) in batches of a few megabytes; at the end of a task its worker, which Spark uses again, drops what the task did not use and returns its free memory.
+
+    Spark's default batch has 10,000 rows of any size, which JVM and worker hold several times over. The limit is a setting of the session;
+    one that is not at its default is left alone.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, str(BATCH_LIMIT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _used.clear()
         try:
             yield from work(batches)
         finally:
+            for key in set(_held) - _used:
+                del _held[key]
             give_back()
 
     return df.mapInArrow(run, schema)
 
 
+#: What a worker holds from task to task, and what the running task used of it.
+_held: dict[tuple, object] = {}
+_used: set[tuple] = set()
+
+
+def held(make: Callable, *args: object) -> object:
+    """make(*args), as tokenizers that are slow to load: made once in a worker, and dropped at the end of the first task that does not ask for it."""
+    key = (make, *args)
+    _used.add(key)
+    if key not in _held:
+        _held[key] = make(*args)
+    return _held[key]
+
+
+def drop_held() -> None:
+    """For functions of tasks that hold nothing: drop what other tasks left in this worker, and return the memory."""
+    _held.clear()
+    give_back()
+
+
 def give_back() -> None:
     """Return memory that Arrow and the C library hold free to the operating system."""
     pa.default_memory_pool().release_unused()

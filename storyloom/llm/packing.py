@@ -22,7 +22,6 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import arrow_pass, read, slices
+from storyloom.llm.common import arrow_pass, held, read, slices
 from storyloom.llm.pieces import Memory
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -95,9 +94,8 @@ class Tokens:
             self.spaced[i] = token[0] in "ĠĊĉč"
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> Tokens:
-    return Tokens(path)
+    return held(Tokens, path)
 
 
 class Block:
