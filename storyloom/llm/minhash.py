@@ -46,6 +46,8 @@ CELLS = 1 << 19
 PART, DEALT = 1 << 20, 64
 #: Rows of numbers that are broadcast at most, and how fast the partners of a member grow from round to round.
 BROADCAST_ROWS, GROWTH = 500_000, 8
+#: Cells of a bucket's table of pairs that are held at once.
+CELLS_AT_ONCE = 1_000_000
 
 
 def node_id(doc_id: Column, norm: Column) -> Column:
@@ -201,8 +203,8 @@ def offers(component: np.ndarray, place: np.ndarray, n: np.ndarray, count: np.nd
     left = n - place
     rows = np.flatnonzero(own != size.argmax())
     first, second, more = [], [], False
-    for at in range(0, len(rows), max(1, 4_000_000 // len(n))):
-        i = rows[at : at + max(1, 4_000_000 // len(n)), None]
+    for at in range(0, len(rows), max(1, CELLS_AT_ONCE // len(n))):
+        i = rows[at : at + max(1, CELLS_AT_ONCE // len(n)), None]
         both = n[i] + n[None, :]
         able = (own[i] != own[None, :]) & (np.minimum(left[i], left[None, :]) >= share * both - 1e-6)
         if not able.any():

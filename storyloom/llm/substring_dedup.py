@@ -34,7 +34,7 @@ WINDOW, GRAM = 20, 10
 ROWS, BLOCK_BITS, MAX_WIDTH = 2, 18, 1 << 30
 #: Low bits of an anchor hold its place, so that equal windows at different places have different occurrences.
 PLACE_BITS = 24
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 LOWEST = -(1 << 63)
 
 
