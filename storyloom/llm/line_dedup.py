@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import WS_CHARS, arrow_pass, materialize, read, text_of
+from storyloom.llm.common import WS_CHARS, arrow_pass, drop_held, materialize, read, text_of
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STREAMED = "key binary, doc long, tag long, position int, docs int, open boolean"
@@ -127,18 +127,41 @@ def _kept_text(text: pd.Series, bitmap: pd.Series) -> pd.Series:
     return pd.Series([one(t, b) for t, b in zip(text, bitmap, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.StructType([T.StructField("bitmap", T.BinaryType()), T.StructField("text", T.StringType())]))
+def _applied(text: pd.Series, n_lines: pd.Series, positions: pd.Series) -> pd.DataFrame:
+    """The bitmap of each text that loses lines, and the lines that it keeps; nulls for the others."""
+    out: list[tuple[bytes | None, str | None]] = []
+    for t, n, p in zip(text, n_lines, positions, strict=True):
+        bitmap = None if p is None else to_bitmap(n, np.asarray(p, np.int64))
+        out.append((None, None) if bitmap is None else (bitmap, "\n".join(x for x, k in zip(t.split("\n"), of_bitmap(bitmap, n), strict=True) if k)))
+    drop_held()
+    return pd.DataFrame(out, columns=["bitmap", "text"], dtype=object)
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc, tag, n_dropped, positions) of the documents that lose lines; `with_bitmaps` turns positions into bitmaps."""
     gone = dropped_lines(docs, min_chars, min_docs).distinct()
     return gone.groupBy("doc", "tag").agg(F.count("*").alias("n_dropped"), F.collect_list("position").alias("positions"))
 
 
-def with_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """All columns of the documents in a struct `row`, with text, n_lines, n_dropped and keep_bitmap (null: all lines stay)."""
+def _marked(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """row, text, n_lines, n_dropped, positions of the lines to drop (null: all lines stay)."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), text_of(docs).alias("text"))
     rows = rows.select("row", "text", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("tag"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     joined = rows.join(keep_bitmaps(docs, min_chars, min_docs), ["doc", "tag"], "left")
-    return joined.select("row", "text", "n_lines", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), _bitmap("n_lines", "positions").alias("keep_bitmap"))
+    return joined.select("row", "text", "n_lines", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "positions")
+
+
+def with_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """All columns of the documents in a struct `row`, with text, n_lines, n_dropped and keep_bitmap (null: all lines stay)."""
+    return _marked(docs, min_chars, min_docs).select("row", "text", "n_lines", "n_dropped", _bitmap("n_lines", "positions").alias("keep_bitmap"))
+
+
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """row, n_lines, n_dropped, keep_bitmap, text: bitmaps made and applied in one step, as `apply_bitmaps` of `with_bitmaps` does in two."""
+    marked = _marked(docs, min_chars, min_docs)
+    done = marked.withColumn("done", _applied(F.when(F.col("positions").isNotNull(), F.col("text")), F.col("n_lines"), F.col("positions")))
+    return done.select("row", "n_lines", "n_dropped", F.col("done.bitmap").alias("keep_bitmap"), F.coalesce("done.text", "text").alias("text"))
 
 
 def apply_bitmaps(marked: DataFrame) -> DataFrame:
@@ -148,7 +171,7 @@ def apply_bitmaps(marked: DataFrame) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = apply_bitmaps(with_bitmaps(read(spark, sf_dir, "documents")))
+    kept = line_dedup(read(spark, sf_dir, "documents"))
     return kept.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

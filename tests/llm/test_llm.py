@@ -78,7 +78,10 @@ def test_line_dedup(odd, none):
     got = rows(line_dedup.apply_bitmaps(line_dedup.with_bitmaps(odd)).select("row.doc_id", "n_lines", "n_dropped", "text"))
     assert (got[8].n_dropped, got[9].n_dropped, got[10].n_dropped) == (1, 1, 0)
     assert got[9].text == "x" and got[3].n_lines == 1 and got[5].n_lines == 3 and got[12].n_dropped == 0
-    assert line_dedup.with_bitmaps(none).count() == 0
+    once = rows(line_dedup.line_dedup(odd).select("row.doc_id", "n_lines", "n_dropped", "text", "keep_bitmap"))
+    assert all((once[i].n_lines, once[i].n_dropped, once[i].text) == (r.n_lines, r.n_dropped, r.text) for i, r in got.items())
+    assert [i for i, r in once.items() if r.keep_bitmap is not None] == [i for i, r in once.items() if r.n_dropped]
+    assert line_dedup.with_bitmaps(none).count() == 0 and line_dedup.line_dedup(none).count() == 0
 
 
 def test_common_line_over_many_tasks(spark):
