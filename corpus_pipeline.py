@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import discard, materialize, read
 from storyloom.llm.language_id import UNKNOWN, identify, train
-from storyloom.llm.line_dedup import apply_bitmaps, with_bitmaps
+from storyloom.llm.line_dedup import line_dedup
 from storyloom.llm.minhash import near_dedup
 from storyloom.llm.packing import byte_bpe_path, pack
 from storyloom.llm.substring_dedup import substring_dedup
@@ -48,7 +48,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _columns(docs, apply_bitmaps(with_bitmaps(docs)))
+    return _columns(docs, line_dedup(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
