@@ -143,3 +143,58 @@ def canon_conflicts(chapters: DataFrame, by: Sequence[str], deprecated: Sequence
     rules = F.transform(named, lambda r: F.struct(F.lit("deprecated_rule").alias("finding"), r.alias("detail")))
     often = F.when(n > most, F.array(F.struct(F.lit("impossible_marks").alias("finding"), n.cast("string").alias("detail")))).otherwise(F.array().cast("array<struct<finding:string,detail:string>>"))
     return chapters.select(*by, F.explode(F.concat(rules, often)).alias("f")).select(*by, "f.*")
+
+
+@dataclass(frozen=True)
+class Conduct:
+    """Patterns of conduct: acts without a motive, what a calm and what a kind character would not do, counted things, and colours of eyes and hair as (owner, colour)."""
+
+    letters: str
+    forced: tuple[str, ...]
+    against: tuple[tuple[tuple[str, ...], str, str], ...]  # traits, what contradicts them, the finding
+    counted: str
+    colours: tuple[tuple[str, str], ...]
+
+
+# Patterns of the domain's script.
+ZH_CONDUCT = Conduct(
+    letters="[一-鿿]",
+    forced=("(?:不知为何|莫名其妙|鬼使神差|不由自主|不知怎么)", "(?:突然决定|一反常态|破天荒|完全变了)", "(?:为了.*?只好|不得不|被迫|无奈)"),
+    against=((("冷静", "理智"), "暴怒|狂怒|失控|疯狂|歇斯底里", "calm_rages"), (("善良", "温柔"), "残忍|冷酷|无情|屠戮|虐杀", "kind_is_cruel")),
+    counted=r"(\d+(?:万|千|百|十)?)(?:个|名|位|只|条|把|柄|颗|块|层|阶|级|年|岁|米|里|公里)",
+    colours=((r"([\p{L}\p{N}_]+?).*?(?:一双|眼[睛瞳]).*?([^\s，。]{1,4})色", "eyes"), (r"([\p{L}\p{N}_]+?).*?(?:一头|头发|长发|短发).*?([^\s，。]{1,4})色", "hair")),
+)
+
+
+def conduct_findings(chapters: DataFrame, characters: DataFrame, by: Sequence[str], keys: Sequence[str] = (), conduct: Conduct = ZH_CONDUCT, text: str = "text", least: int = 100) -> DataFrame:
+    """(by, finding, detail) of chapters of at least `least` letters: too many acts without a motive, characters against their traits, very many counted things, colours that change. characters: (keys, character, traits array), those of a book met as one array."""
+    t = F.col("#t")
+    known = F.collect_list(F.struct("character", "traits")).alias("#known")
+    people = characters.groupBy(*keys).agg(known) if keys else characters.agg(known)
+    base = chapters.withColumn("#t", F.coalesce(F.col(text), F.lit(""))).where(F.regexp_count("#t", F.lit(conduct.letters)) >= least)
+    rows = base.join(people, list(keys), "left") if keys else base.join(F.broadcast(people))
+    found = lambda when, name, detail: F.when(when, F.array(F.struct(F.lit(name).alias("finding"), detail.cast("string").alias("detail")))).otherwise(F.array().cast("array<struct<finding:string,detail:string>>"))
+    forced = sum((F.regexp_count(t, F.lit(p)) for p in conduct.forced[1:]), F.regexp_count(t, F.lit(conduct.forced[0])))
+    parts = [found(forced > 3, "forced_acts", forced)]
+
+    def broken(traits: Sequence[str], acts: str, name: str) -> Column:
+        does = lambda x: (F.length(x["character"]) > 0) & F.arrays_overlap(x["traits"], F.array(*[F.lit(v) for v in traits])) & F.regexp_like(t, F.concat(quoted(x["character"]), F.lit(f".*?(?:{acts})")))
+        return F.transform(F.filter(F.coalesce("#known", F.array().cast(people.schema["#known"].dataType)), does), lambda x: F.struct(F.lit(name).alias("finding"), x["character"].alias("detail")))
+
+    parts += [broken(*x) for x in conduct.against]
+    numbers = F.regexp_extract_all(t, F.lit(conduct.counted), F.lit(1))
+    parts.append(found((F.size(F.array_distinct(numbers)) > 10) & (F.size(numbers) > 20), "many_numbers", F.size(numbers)))
+
+    def changed(pattern: str, name: str) -> Column:
+        """Colours that differ from the last one of their owner."""
+        pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("who"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("colour"))
+
+        def of(all_: Column) -> Column:
+            last = lambda x, i: F.try_element_at(F.filter(F.slice(all_, F.lit(1), i), lambda y: y["who"] == x["who"]), F.lit(-1))["colour"]
+            marked = F.transform(all_, lambda x, i: F.struct(x["who"].alias("who"), x["colour"].alias("colour"), last(x, i).alias("before")))
+            return F.transform(F.filter(marked, lambda x: x["before"] != x["colour"]), lambda x: F.struct(F.lit(name).alias("finding"), F.concat(x["who"], F.lit(":"), x["before"], F.lit(">"), x["colour"]).alias("detail")))
+
+        return F.flatten(F.transform(F.array(pairs), of))
+
+    parts += [changed(*x) for x in conduct.colours]
+    return rows.select(*by, F.explode(F.concat(*parts)).alias("f")).select(*by, "f.*")

@@ -87,3 +87,32 @@ RULES = ("heit den", "tion the", "ment de")
 )
 def _(t):
     return c.canon_conflicts(chapters(t), ["book", "ch_num"], RULES, M)
+
+
+CONDUCT = c.Conduct("[A-Za-zà-ÿ]", ("ment de", "tion the", "heit der"), ((("calm",), "och|ung", "calm_rages"), (("kind",), "que|able", "kind_is_cruel")), r"([a-z]{2,3})(?:tion|ment|heit)", ((r"([A-Z])[a-z]+ .*?(?:on|er) ([a-z]{1,4})e", "eyes"), (r"([A-Z])[a-z]+ .*?(?:la|en) ([a-z]{1,4})n", "hair")))
+PEOPLE = [(n, ["calm"] if k % 3 == 0 else ["kind"] if k % 3 == 1 else ["calm", "kind"]) for k, n in enumerate(NAMES)]
+COUNTED = CONDUCT.counted
+
+
+def trait_sql(trait: str, acts: str, finding: str) -> str:
+    held = ", ".join(f"'{n}'" for n, traits in PEOPLE if trait in traits)
+    return f"SELECT book, ch_num, '{finding}' AS finding, who AS detail FROM (SELECT *, unnest([{held}]) AS who FROM t) a WHERE regexp_matches(text, who || '.*?(?:{acts})')"
+
+
+def colour_sql(pattern: str, finding: str) -> str:
+    return f"""SELECT book, ch_num, '{finding}' AS finding, who || ':' || before || '>' || colour AS detail FROM (SELECT book, ch_num, i, who, colour, lag(colour) OVER (PARTITION BY book, ch_num, who ORDER BY i) AS before
+      FROM (SELECT book, ch_num, unnest(regexp_extract_all(text, '{pattern}', 1)) AS who, unnest(regexp_extract_all(text, '{pattern}', 2)) AS colour, generate_subscripts(regexp_extract_all(text, '{pattern}', 1), 1) AS i FROM t) a) b WHERE before <> colour"""
+
+
+@query(
+    "conduct_scan",
+    f"""
+    WITH t AS (SELECT * FROM ({TEXTS}) x WHERE len(regexp_extract_all(text, '{CONDUCT.letters}')) >= 100)
+    SELECT book, ch_num, 'forced_acts' AS finding, CAST(n AS VARCHAR) AS detail FROM (SELECT *, {" + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in CONDUCT.forced)} AS n FROM t) a WHERE n > 3
+    UNION ALL {" UNION ALL ".join(trait_sql(traits[0], acts, name) for traits, acts, name in CONDUCT.against)}
+    UNION ALL SELECT book, ch_num, 'many_numbers', CAST(len(l) AS VARCHAR) FROM (SELECT *, regexp_extract_all(text, '{COUNTED}', 1) AS l FROM t) a WHERE len(l) > 20 AND len(list_distinct(l)) > 10
+    UNION ALL {" UNION ALL ".join(colour_sql(p, name) for p, name in CONDUCT.colours)}""",
+)
+def _(t):
+    people = t.spark.createDataFrame(PEOPLE, "character string, traits array<string>")
+    return c.conduct_findings(chapters(t), people, ["book", "ch_num"], conduct=CONDUCT)

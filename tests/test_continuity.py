@@ -82,3 +82,19 @@ def test_canon(spark):
     chapters = spark.createDataFrame([(1, "飞升之法已废，不可能" + "，怎么会" * 5), (2, "不可能"), (3, None)], "ch_num long, text string")
     got = {(x.ch_num, x.finding, x.detail) for x in c.canon_conflicts(chapters, ["ch_num"], ["飞升之法", "灵根"]).collect()}
     assert got == {(1, "deprecated_rule", "飞升之法"), (1, "impossible_marks", "6")}
+
+
+def test_conduct(spark):
+    long = "天地玄黄宇宙洪荒" * 15
+    texts = [
+        (1, "林风不知为何停下，又不得不走，无奈叹气，被迫出手。" + long),
+        (2, "林风忽然暴怒。苏瑶依旧温和，苏瑶出手残忍。" + long),
+        (3, "".join(f"{n}个人" for n in range(10, 32)) + long),
+        (4, "瑶有一双青色。瑶睁开眼睛，是黑色。瑶一头银色。" + long),
+        (5, "林风暴怒"),
+        (6, None),
+    ]
+    people = spark.createDataFrame([("林风", ["冷静"]), ("苏瑶", ["善良", "理智"]), ("", ["冷静"])], "character string, traits array<string>")
+    got = {(r.ch_num, r.finding, r.detail) for r in c.conduct_findings(spark.createDataFrame(texts, "ch_num long, text string"), people, ["ch_num"]).collect()}
+    assert {g for g in got if g[0] != 4} == {(1, "forced_acts", "4"), (2, "calm_rages", "林风"), (2, "kind_is_cruel", "苏瑶"), (3, "many_numbers", "22")}
+    assert {g[1:] for g in got if g[0] == 4} == {("eyes", "瑶:青>是黑")}
