@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.functions.columns import total
+
 
 @dataclass(frozen=True)
 class Marks:
@@ -174,7 +176,7 @@ def conduct_findings(chapters: DataFrame, characters: DataFrame, by: Sequence[st
     base = chapters.withColumn("#t", F.coalesce(F.col(text), F.lit(""))).where(F.regexp_count("#t", F.lit(conduct.letters)) >= least)
     rows = base.join(people, list(keys), "left") if keys else base.join(F.broadcast(people))
     found = lambda when, name, detail: F.when(when, F.array(F.struct(F.lit(name).alias("finding"), detail.cast("string").alias("detail")))).otherwise(F.array().cast("array<struct<finding:string,detail:string>>"))
-    forced = sum((F.regexp_count(t, F.lit(p)) for p in conduct.forced[1:]), F.regexp_count(t, F.lit(conduct.forced[0])))
+    forced = total([F.regexp_count(t, F.lit(p)) for p in conduct.forced])
     parts = [found(forced > 3, "forced_acts", forced)]
 
     def broken(traits: Sequence[str], acts: str, name: str) -> Column:

@@ -8,7 +8,7 @@ last stage that was written whole.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,5 +101,6 @@ def failed_nodes(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_lines(spark, f"{path}/failed", schema).distinct()
 
 
-def joined(items: Column, sizes: Sequence[int] = ()) -> Column:
+def joined(items: Column) -> Column:
+    """A reduction that keeps everything: the values of a node's items, one a line."""
     return F.array_join(F.transform(items, lambda x: F.coalesce(x["value"], F.lit(""))), "\n")

@@ -126,15 +126,15 @@ def stream_reanalysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     stored = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     inbox = lambda: spark.readStream.schema(stored.schema).parquet(f"{path}/inbox/*")
-    stored.withColumn("round", F.lit(1)).drop("round").write.parquet(f"{path}/inbox/1")
-    first = run_available(changed_chapters(inbox()), path).count()
+    stored.write.parquet(f"{path}/inbox/1")
+    run_available(changed_chapters(inbox()), path)
     longer = F.when(F.col("source").endswith("1"), F.concat(F.coalesce("text", F.lit("")), F.lit(" And more!"))).otherwise(F.col("text"))
     stored.withColumn("text", longer).write.parquet(f"{path}/inbox/2")
     seen = run_available(changed_chapters(inbox()), path)
     times = seen.groupBy("doc_id").agg(F.count("*").alias("analysed"), F.count_if(F.col("state") == "new").alias("first"))
     now = latest(seen.select("doc_id", "source", "text", F.when(F.col("state") == "new", 0).otherwise(1).alias("at")), "doc_id", ["at"])
     metrics = chapter_metrics(chapter_counts(now)).select("doc_id", "wc", "ch_hash")
-    return times.join(metrics, "doc_id").where(F.lit(first) > 0)
+    return times.join(metrics, "doc_id")
 
 
 def stream_overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
