@@ -248,3 +248,27 @@ def test_style_of_short_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "tiny."), (4, "some more words here. " * 10)], "doc_id long, text string")
     got = {r.doc_id: r for r in style.style_dna(docs).collect()}
     assert got[1].total_chars == got[2].total_chars == 0 and got[3].avg_sentence_length == 0 and got[4].sentence_count == 10
+
+
+def against_sql(spark, tmp_path, name, rows):
+    """Rows of a query and of its SQL over documents (doc_id, text, lang, source)."""
+    path = f"{tmp_path}/{name}"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    df = QUERIES[name](spark, path)
+    rel = c.execute(ORACLES[name])
+    columns = [x[0] for x in rel.description]
+    assert sorted(columns) == sorted(df.columns)
+    mine = sorted((tuple(norm(r[x]) for x in columns) for r in df.collect()), key=repr)
+    assert mine == sorted((tuple(map(norm, r)) for r in rel.fetchall()), key=repr)
+    return mine
+
+
+def test_capitals_of_more_letters(spark, tmp_path):
+    """A letter may have two or three capitals; the book in capitals is measured as it is written."""
+    texts = ["groß ﬁn", "GROß", "ﬃ ŉ", None, "", "ABC", "ẞ"]
+    rows = [(10 * k + i, t, lang, source) for k, (lang, source) in enumerate((("en", "a"), ("en", "b"), ("de", "a"), ("fr", "a"))) for i, t in enumerate(texts)]
+    got = {r[:2]: r[2:] for r in against_sql(spark, tmp_path, "genre_scan", rows)}
+    assert set(got) == {("en", "a"), ("en", "b"), ("de", "a")}
+    assert got["en", "a"] == (7, sum(len((t or "").upper()) for t in texts), 6) and got["en", "b"] == got["de", "a"] == (7, sum(len(t or "") for t in texts), 3)
