@@ -105,7 +105,11 @@ def _(t):
     return t.documents.select("doc_id", q.alias("q")).select("doc_id", F.size("q").cast("long").alias("n_dialogues"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
-@query("markdown_sections", f"SELECT doc_id, section, sha256({TRIM('body')}) AS sha FROM (SELECT doc_id, 'Facts' AS section, '- ' || left({TEXT}, 200) AS body FROM documents UNION ALL SELECT doc_id, 'Rest', substr({TEXT}, 201) FROM documents) a")
+#: The text may hold lines that begin with `## ` itself: they are sections as well.
+MARKDOWN = f"chr(10) || '# T' || chr(10) || chr(10) || '## Facts' || chr(10) || '- ' || left({TEXT}, 200) || chr(10) || chr(10) || '## Rest' || chr(10) || substr({TEXT}, 201)"
+
+
+@query("markdown_sections", f"SELECT doc_id, {TRIM('head')} AS section, sha256({TRIM('substr(part, length(head) + 2)')}) AS sha FROM (SELECT doc_id, part, split_part(part, chr(10), 1) AS head FROM (SELECT doc_id, unnest(regexp_split_to_array({MARKDOWN}, '\\n## +')[2:]) AS part FROM documents) a) b")
 def _(t):
     text = F.coalesce("text", F.lit(""))
     md = F.concat(F.lit("# T\n\n## Facts\n- "), F.left(text, F.lit(200)), F.lit("\n\n## Rest\n"), F.expr("substr(coalesce(text, ''), 201)"))

@@ -272,3 +272,11 @@ def test_capitals_of_more_letters(spark, tmp_path):
     got = {r[:2]: r[2:] for r in against_sql(spark, tmp_path, "genre_scan", rows)}
     assert set(got) == {("en", "a"), ("en", "b"), ("de", "a")}
     assert got["en", "a"] == (7, sum(len((t or "").upper()) for t in texts), 6) and got["en", "b"] == got["de", "a"] == (7, sum(len(t or "") for t in texts), 3)
+
+
+def test_sections_within_a_text(spark, tmp_path):
+    """Lines of the text that begin a section are sections, also where the cut makes them such."""
+    texts = [None, "", "x" * 200 + "## cut here\nbody", "a\n## Own \n b \n##no\n### three\n##  \nend", "y" * 199 + "\n## last", "z" * 400]
+    got = against_sql(spark, tmp_path, "markdown_sections", [(i, t, "en", "s") for i, t in enumerate(texts)])
+    names = [[r[1] for r in got if r[0] == i] for i in range(len(texts))]
+    assert [sorted(n) for n in names] == [["Facts", "Rest"], ["Facts", "Rest"], ["Facts", "Rest", "cut here"], ["", "Facts", "Own", "Rest"], ["Facts", "Rest", "last"], ["Facts", "Rest"]]
