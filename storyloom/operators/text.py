@@ -41,9 +41,9 @@ def decoded(content: pd.Series) -> pd.DataFrame:
 
 
 NUMERAL = "[一二三四五六七八九十百千零0-9]+"
-#: Headers of chapters, the first kind that gives two chapters counts. A bare number has to stand on its own line, to be no year, and to be followed by text.
+#: Headers of chapters, the first kind that gives two chapters counts. Lines end at \n alone. A bare number has to stand on its own line, to be no year, and to be followed by text.
 FOLLOWED = "|".join(rf"\s{{{i}}}\S[\s\S]{{18,{48 - i}}}\S" for i in range(31))
-HEADERS = (rf"第{NUMERAL}章[^\S\n]*[^\n]*", rf"(?:序章[^\S\n]*[^\n]*|章{NUMERAL}[^\S\n]*[^\n]*)", r"(?m)^[ \t]*[0-9]{1,4}[ \t]+[^0-9\n][^\n]*", rf"(?m)^[ \t]*(?!(?:19|20)[0-9][0-9][ \t]*$)[0-9]{{1,4}}[ \t]*$(?={FOLLOWED})")
+HEADERS = (rf"第{NUMERAL}章[^\S\n]*[^\n]*", rf"(?:序章[^\S\n]*[^\n]*|章{NUMERAL}[^\S\n]*[^\n]*)", r"(?md)^[ \t]*[0-9]{1,4}[ \t]+[^0-9\n][^\n]*", rf"(?md)^[ \t]*(?!(?:19|20)[0-9][0-9][ \t]*$)[0-9]{{1,4}}[ \t]*$(?={FOLLOWED})")
 LEAST_HEADERS = (2, 2, 2, 3)
 LOOSE = (rf"(?i)(?:第{NUMERAL}[章节回]|chapter\s*[0-9]+)[^\n]*",)
 
@@ -57,7 +57,7 @@ def extract_chapters(books: DataFrame, key: str = "book", text: str = "text", he
 
     The last kind of headers that fits decides for a whole book, as its parts lie in one row; the rows of chapters need no shuffle.
     """
-    kinds = [F.struct(F.regexp_extract_all(text, F.lit(f"({h})" if "(?m)" not in h and "(?i)" not in h else f"{h[:4]}({h[4:]})"), 1).alias("titles"), F.slice(F.split(text, h, -1), 2, 1_000_000).alias("bodies")) for h in headers]
+    kinds = [F.struct(F.regexp_extract_all(text, F.lit(h), 0).alias("titles"), F.slice(F.split(text, h, -1), 2, 1_000_000).alias("bodies")) for h in headers]
     chosen = F.lit(None)
     for kind, n in reversed(list(zip(kinds, least, strict=False))):
         chosen = F.when(F.size(kind["titles"]) >= n, kind).otherwise(chosen)

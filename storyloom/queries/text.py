@@ -41,9 +41,8 @@ def _(t):
     return raw.select("doc_id", s.encoding(F.col("content")).alias("mark"), s.decoded("content").alias("d")).select("doc_id", "mark", "d.encoding", F.sha2("d.text", 256).alias("sha"))
 
 
-#: Headers of four kinds, by doc_id % 4, and the numbers that they give.
+#: Headers of four kinds, by doc_id % 4.
 HEADED = (("第一章 Alpha", "第2章 Beta", "第一百零三章 Gamma"), ("序章 Alpha", "章2 Beta", "章十二 Gamma"), ("1 Alpha", "22 Beta", "333 Gamma"), ("4", "55", "666"))
-NUMS = ((1, 2, 103), (1, 2, 12), (1, 22, 333), (4, 55, 666))
 
 
 def raw_books(t: Tables):
@@ -54,18 +53,40 @@ def raw_books(t: Tables):
 
 
 THIRD = "greatest(CAST(floor(length(text) / 3) AS BIGINT), 1)"
-BODIES = f"SELECT doc_id, k, {TRIM(f'CASE k WHEN 1 THEN substr(text, 1, {THIRD}) WHEN 2 THEN substr(text, {THIRD} + 1, {THIRD}) ELSE substr(text, 2 * {THIRD} + 1) END')} AS body FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) x"
-NUM_OF = f"{[list(n) for n in NUMS]}[doc_id % 4 + 1][k]"
+THIRDS = f"SELECT doc_id, k, CASE k WHEN 1 THEN substr(text, 1, {THIRD}) WHEN 2 THEN substr(text, {THIRD} + 1, {THIRD}) ELSE substr(text, 2 * {THIRD} + 1) END AS part FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) x"
+BODIES = f"SELECT doc_id, k, {TRIM('part')} AS body FROM ({THIRDS}) y"
 TITLE_OF = f"{[list(h) for h in HEADED]}[doc_id % 4 + 1][k]"
-#: A bare number is a header if text follows within 50 letters; a book with fewer than three of them has no chapters.
-BARE = f"SELECT doc_id FROM ({BODIES}) y WHERE doc_id % 4 = 3 GROUP BY doc_id HAVING count(*) FILTER (WHERE length(body) >= 20) < 3"
+#: The books of raw_books, in lines with the places of their first letters; a text may hold lines that are headers themselves.
+N_OF = "[一二三四五六七八九十百千零0-9]+"
+RAW_LINES = f"""
+    raw AS (SELECT doc_id, string_agg(chr(10) || {TITLE_OF} || chr(10) || part, '' ORDER BY k) AS book FROM ({THIRDS}) t GROUP BY doc_id),
+    lines AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) AS pos FROM (SELECT doc_id, book, unnest(string_split(book, chr(10))) AS line, generate_subscripts(string_split(book, chr(10)), 1) AS i FROM raw) a)"""
+#: Headers (kind, pos, title): the first two kinds reach from a mark to the end of the line, the others are a line; a bare number is no year, and 20 letters follow within 50.
+FOUND = f"""
+    found AS (SELECT doc_id, kind, pos + length(line) - length(title) AS pos, title FROM (
+        SELECT doc_id, pos, line, 1 AS kind, regexp_extract(line, '第{N_OF}章[^\\n]*') AS title FROM lines
+        UNION ALL SELECT doc_id, pos, line, 2, regexp_extract(line, '(序章|章{N_OF})[^\\n]*') FROM lines
+        UNION ALL SELECT doc_id, pos, line, 3, regexp_extract(line, '^[ \\t]*[0-9]{{1,4}}[ \\t]+[^0-9\\n][^\\n]*') FROM lines
+        UNION ALL SELECT doc_id, pos, line, 4, line FROM (SELECT * FROM lines WHERE regexp_matches(line, '^[ \\t]*[0-9]{{1,4}}[ \\t]*$') AND NOT regexp_matches(line, '^[ \\t]*(19|20)[0-9][0-9][ \\t]*$')) b
+          WHERE length({TRIM('substr(book, CAST(pos + length(line) AS BIGINT), 50)')}) >= 20) h WHERE title <> ''),
+    chosen AS (SELECT doc_id, min(kind) AS kind FROM (SELECT doc_id, kind FROM found GROUP BY doc_id, kind HAVING count(*) >= CASE kind WHEN 4 THEN 3 ELSE 2 END) c GROUP BY doc_id),
+    cut AS (SELECT f.doc_id, f.pos, {TRIM('f.title')} AS title, {TRIM("substr(book, CAST(f.pos + length(f.title) AS BIGINT), CAST(coalesce(lead(f.pos) OVER (PARTITION BY f.doc_id ORDER BY f.pos), length(book) + 1) - f.pos - length(f.title) AS BIGINT))")} AS body
+      FROM found f JOIN chosen c ON f.doc_id = c.doc_id AND f.kind = c.kind JOIN raw r ON f.doc_id = r.doc_id)"""
+#: A number in digits or numerals: each unit takes the numeral before it, the last numeral counts as it is.
+UNITS = "CASE right(m, 1) WHEN '十' THEN 10 WHEN '百' THEN 100 ELSE 1000 END * greatest(1, strpos('一二三四五六七八九', left(m, 1)))"
+SPELLED = f"coalesce(list_sum(list_transform(regexp_extract_all(z, '[零一二三四五六七八九]?[十百千]'), lambda m: {UNITS})), 0) + CASE WHEN z = '' THEN 0 ELSE strpos('一二三四五六七八九', right(z, 1)) END"
+NUMBERED = f"""
+    numbered AS (SELECT *, CASE WHEN regexp_matches(title, '^第{N_OF}章') OR regexp_matches(title, '^章{N_OF}') THEN coalesce(TRY_CAST(x AS BIGINT), CASE WHEN {SPELLED} > 0 THEN {SPELLED} ELSE length(x) END)
+        WHEN starts_with(title, '序章') THEN 0 ELSE coalesce(TRY_CAST(regexp_extract(title, '[0-9]{{1,4}}') AS BIGINT), 0) END AS given
+      FROM (SELECT *, regexp_replace(x, '[0-9]', '', 'g') AS z FROM (SELECT *, length(translate(body, chr(10) || ' ', '')) AS wc, regexp_extract(title, '章?({N_OF})', 1) AS x FROM cut) a) b WHERE wc >= 50)"""
 
 
 @query(
     "extract_chapters",
     f"""
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place, CAST({NUM_OF} AS BIGINT) AS num, {TITLE_OF} AS title, wc, sha256(body) AS sha, CAST(len({paragraphs_sql('body', 'wc')}) AS BIGINT) AS para_count
-    FROM (SELECT *, CAST(length(translate(body, chr(10) || ' ', '')) AS BIGINT) AS wc FROM ({BODIES}) a) b WHERE wc >= 50 AND doc_id NOT IN ({BARE})""",
+    WITH {RAW_LINES}, {FOUND}, {NUMBERED}
+    SELECT doc_id, row_number() OVER w AS place, CAST(CASE WHEN given = 0 THEN count(*) FILTER (WHERE given = 0) OVER w ELSE given END AS BIGINT) AS num, title, CAST(wc AS BIGINT) AS wc, sha256(body) AS sha, CAST(len({paragraphs_sql('body', 'wc')}) AS BIGINT) AS para_count
+    FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
 )
 def _(t):
     return s.extract_chapters(raw_books(t), "doc_id", "book").select("doc_id", "place", "num", "title", "wc", F.sha2("body", 256).alias("sha"), "para_count")

@@ -280,3 +280,16 @@ def test_sections_within_a_text(spark, tmp_path):
     got = against_sql(spark, tmp_path, "markdown_sections", [(i, t, "en", "s") for i, t in enumerate(texts)])
     names = [[r[1] for r in got if r[0] == i] for i in range(len(texts))]
     assert [sorted(n) for n in names] == [["Facts", "Rest"], ["Facts", "Rest"], ["Facts", "Rest", "cut here"], ["", "Facts", "Own", "Rest"], ["Facts", "Rest", "last"], ["Facts", "Rest"]]
+
+
+def test_headers_within_a_text(spark, tmp_path):
+    """A text may hold headers of its own kind or of one that goes before; lines end at line feeds alone."""
+    word = "Some words of a chapter that is long enough to stay, as it has fifty letters. " * 2
+    inner = ["38 more", "第二百零五章 Own", "  7\t", "1999", "序章", "第十章", "第5百章", "章二十 x", "a\r12 b", "\u202899", "100"]
+    texts = [None, "", word, *("\n".join([word, h, word, word, h, word, word]) for h in inner), "\n".join(w for h in inner for w in (h, word)), "\n".join(inner), f"{word}\r\n5\r\n{word}\u2028\n 12 \n \n{word}\n3", word + "\n8\nshort\n9\n\n   twenty letters here a\n" + word]
+    rows = [(4 * i + k, t, "en", "s") for i, t in enumerate(texts) for k in range(4)]
+    got = collections.defaultdict(list)
+    for doc, place, num, title, *_ in against_sql(spark, tmp_path, "extract_chapters", rows):
+        got[doc // 4, doc % 4].append((place, num, title))
+    assert "38 more" in [t for *_, t in got[3, 2]] and "38 more" not in [t for *_, t in got[3, 0]]
+    assert (205, "第二百零五章 Own") in [x[1:] for x in got[4, 3]] and not any("99" in t for *_, t in got[12, 3])
