@@ -23,13 +23,20 @@ def apart(words: list[str]) -> bool:
     return all(a not in b and not any(a.endswith(b[:k]) for k in range(1, len(b))) for a in words for b in words if a != b)
 
 
+def occurrences(text: Column, word: str) -> Column:
+    """How often a word occurs, without overlaps: by the bytes that go with it, whose number needs no pass over the text."""
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))) / len(word.encode())).cast("long")
+
+
 def count(text: Column, pattern: str) -> Column:
-    """How often a pattern occurs, without overlaps. Plain words that cannot overlap are counted by replacing them, which is some ten times as fast as a regular expression; letters of a class by taking out whole runs of them."""
+    """How often a pattern occurs, without overlaps. Plain words that cannot overlap, and the letters of a small class, are counted by replacing them, which is some ten times as fast as a regular expression; letters of other classes by taking out whole runs of them."""
+    if re.fullmatch(r"\[[^\[\]\\^&-]{1,8}\]", pattern):
+        return total([occurrences(text, c) for c in dict.fromkeys(pattern[1:-1])])
     if re.fullmatch(r"\[[^\[\]]+\]", pattern):
         return (F.length(text) - F.length(F.regexp_replace(text, F.lit(pattern + "+"), F.lit("")))).cast("long")
     words = list(dict.fromkeys(pattern.split("|")))
     if all(words) and not re.search(r"[\\^$.?*+()\[\]{}]", pattern) and apart(words):
-        return total([((F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("long") for w in words])
+        return total([occurrences(text, w) for w in words])
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
@@ -61,6 +68,11 @@ def paragraphs(text: Column, chars: Column | None = None) -> Column:
     return blocks if chars is None else F.when(F.size(blocks) < F.greatest(F.lit(1.0), chars / 200.0), parts(text, "\n")).otherwise(blocks)
 
 
+def n_parts(text: Column, pattern: str) -> Column:
+    """How many `parts` there are, none of them trimmed."""
+    return F.size(F.filter(F.split(text, pattern, -1), lambda x: x.rlike(f"[^{BLANK}]"))).cast("long")
+
+
 def sentences(text: Column, ends: str = "。！？；…!?", least: int = 2) -> Column:
     """Trimmed sentences of `least` characters and more, parted by end marks and line breaks."""
     return F.filter(parts(text, rf"[{ends}\n]+"), lambda x: F.length(x) >= least)
@@ -68,11 +80,11 @@ def sentences(text: Column, ends: str = "。！？；…!?", least: int = 2) ->
 
 def dense(text: Column) -> Column:
     """The text without spaces and line breaks."""
-    return F.translate(text, "\n ", "")
+    return F.replace(F.replace(text, F.lit("\n"), F.lit("")), F.lit(" "), F.lit(""))
 
 
 def distinct_chars(text: Column) -> Column:
-    return F.size(F.array_distinct(F.filter(F.split(text, ""), lambda x: x != ""))).cast("long")
+    return F.size(F.array_remove(F.array_distinct(F.split(text, "")), "")).cast("long")
 
 
 def shares(text: Column, n: int) -> list[Column]:

@@ -6,10 +6,12 @@ number the chapters of a book. Every density, class and score is worked out from
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.columns import BLANK, clamp, count, dense, distinct_chars, first_max, ladder, matches, paragraphs, rounded, shares, span_chars, total
+from storyloom.functions.columns import BLANK, SPACE, clamp, count, dense, distinct_chars, first_max, ladder, matches, n_parts, paragraphs, rounded, shares, span_chars, total
 from storyloom.functions.lexicon import LATIN, RICH_LATIN, Hook, LexiconPack
 
 
@@ -18,12 +20,17 @@ def sentence(ends: str) -> str:
     return rf"[^{BLANK}{ends}](?:[^{ends}]*[^{BLANK}{ends}])?"
 
 
+def least_first(pattern: str) -> str:
+    """A pattern that is found in the same texts: a class that begins it need be repeated no more than its least number of times. The longest runs are tried from every letter else."""
+    return re.sub(r"^(\[[^\[\]]+\]\{[0-9]+),\}(?![?+|])(?!.*\|)", r"\1}", pattern)
+
+
 def hook_type(body: Column, hooks: tuple[Hook, ...], ending: Column) -> Column:
-    """body: the text; ending: paragraphs of its last 500 characters."""
+    """body: the text, or as much of its end as the rules read; ending: paragraphs of its last 500 characters."""
     last, before = F.length(F.try_element_at(ending, F.lit(-1))), F.length(F.try_element_at(ending, F.lit(-2)))
     steps = []
     for hook in hooks:
-        fires = [matches(F.right(body, F.lit(n)), pattern) for n, pattern in hook.rules]
+        fires = [matches(F.right(body, F.lit(n)), least_first(pattern)) for n, pattern in hook.rules]
         fires += [F.coalesce((last < 30) & (before > 80), F.lit(False))] * hook.short_last
         steps.append((total_or(fires), hook.label))
     return ladder(*steps, otherwise="none")
@@ -41,7 +48,8 @@ def chapter_counts(docs: DataFrame, pack: LexiconPack = LATIN, book: str = "sour
     base = docs.select(F.col(book).alias("book"), F.col(order).alias(order), *keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.withColumn("low", F.lower("text") if pack.lower else F.col("text")).withColumn("wc", F.length(dense(F.col("text"))).cast("long"))
     body, low = F.col("text"), F.col("low")
-    base = base.withColumns({"paras": F.size(paragraphs(body, F.col("wc"))).cast("long"), "ending": paragraphs(F.right("text", F.lit(500)), F.length(F.right("text", F.lit(500))))})
+    base = base.withColumns({"blocks": n_parts(body, rf"\n{SPACE}*\n"), "tail": F.right("text", F.lit(500)), "low_tail": F.right("low", F.lit(max((n for h in pack.hooks for n, _ in h.rules), default=1)))})
+    base = base.withColumn("ending", paragraphs(F.col("tail"), F.length("tail")))
     classes = {f"{n}_count": count(low, e.pattern) for n, e in pack.pleasure.items()}
     return base.select(
         "book",
@@ -49,7 +57,7 @@ def chapter_counts(docs: DataFrame, pack: LexiconPack = LATIN, book: str = "sour
         *keep,
         F.substring(F.sha2("text", 256), 1, 16).alias("ch_hash"),
         "wc",
-        F.col("paras").alias("para_count"),
+        F.when(F.col("blocks") < F.greatest(F.lit(1.0), F.col("wc") / 200.0), n_parts(body, "\n")).otherwise(F.col("blocks")).alias("para_count"),
         span_chars(body, pack.dialogue).alias("dialogue_chars"),
         count(body, pack.exclamation).alias("exclamations"),
         *[c.alias(n) for n, c in classes.items()],
@@ -58,7 +66,7 @@ def chapter_counts(docs: DataFrame, pack: LexiconPack = LATIN, book: str = "sour
         count(low, pack.negative).alias("negatives"),
         *[count(low, p).alias(f"{n}_conflicts") for n, p in pack.conflict.items()],
         count(low, pack.hook).alias("hooks"),
-        hook_type(low, pack.hooks, F.col("ending")).alias("hook_type"),
+        hook_type(F.col("low_tail"), pack.hooks, F.col("ending")).alias("hook_type"),
         count(body, sentence(pack.ends)).alias("sentences"),
         span_chars(body, sentence(pack.ends)).alias("sentence_chars"),
         distinct_chars(dense(body)).alias("distinct_chars"),

@@ -293,3 +293,32 @@ def test_headers_within_a_text(spark, tmp_path):
         got[doc // 4, doc % 4].append((place, num, title))
     assert "38 more" in [t for *_, t in got[3, 2]] and "38 more" not in [t for *_, t in got[3, 0]]
     assert (205, "第二百零五章 Own") in [x[1:] for x in got[4, 3]] and not any("99" in t for *_, t in got[12, 3])
+
+
+def test_texts_of_one_split_are_dealt(spark, tmp_path, monkeypatch):
+    """A large file whose rows lie in one split is counted by all cores; its size adds tasks."""
+    from storyloom.plans import registry
+
+    rows = [(i, f"text {i}. " * (i % 7), "s") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for size, least in ((8 << 20, 4), (100, 12)):
+        monkeypatch.setattr(registry, "TASK_BYTES", size)
+        monkeypatch.setattr(registry, "SMALL_BYTES", size // 1000, raising=False)
+        sizes = [r[1] for r in Tables(spark, str(tmp_path)).spread("documents").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 400 and len(sizes) >= least and max(sizes) < 400 / least * 2
+
+
+def test_counts_against_loops(spark):
+    """Words by their bytes, letters of small classes, parts without being trimmed, and first classes cut to their least."""
+    from storyloom.functions.columns import count, distinct_chars, n_parts, paragraphs, parts
+    from storyloom.operators.projection import least_first
+
+    texts = ["", " ", "\n", "a\n\nb", " \n \t\n x \n\n\n y\r\n\x0b\n ", "müde müde aaaa a?b!!！？c", "ß" * 5 + "\U0001f600\n\U0001f600 é", "a" * 300 + "\nb\n" + "c " * 200, "Abcdefgh. xy", "a. bc", "abcde. \n x"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    pattern = r"[^.!?\n]{5,}[.][ \n]*[^.!?\n]{2,15}\z"
+    assert least_first(pattern) == pattern.replace("{5,}", "{5}") and all(least_first(p) == p for p in ("[a]{2,}?b", "[a]{2,}|b", "(x)[a]{2,}", "[a]{2,}+b"))
+    two = d.select("i", "t", *[count(F.col("t"), p).alias(f"c{k}") for k, p in enumerate(("müde|ß", "aa", "[！!？?]", "é"))], distinct_chars(F.col("t")).alias("d"), n_parts(F.col("t"), "\n").alias("lines"), F.size(parts(F.col("t"), "\n")).alias("lines_cut"), n_parts(F.col("t"), "\n[ \t\n\r\f\x0b]*\n").alias("blocks"), F.size(paragraphs(F.col("t"))).alias("blocks_cut"), F.regexp_like("t", F.lit(pattern)).alias("found"), F.regexp_like("t", F.lit(least_first(pattern))).alias("found_least"))
+    for r in two.collect():
+        t = r.t
+        assert (r.c0, r.c1, r.c2, r.c3, r.d) == (t.count("müde") + t.count("ß"), t.count("aa"), sum(x in "！!？?" for x in t), t.count("é"), len(set(t))), t
+        assert (r.lines, r.blocks, r.found) == (r.lines_cut, r.blocks_cut, r.found_least), t
