@@ -18,6 +18,8 @@ from storyloom.functions.columns import rounded, total
 K1, B, RRF = 1.5, 0.75, 60
 #: Rows of a catalogue or of query words that are broadcast at most, and queries in a block of dense search.
 CATALOGUE, BLOCK = 100_000, 20_000
+#: Queries and rows that meet in one matrix of scores, of 8 MB.
+TILE = (2048, 512)
 # Function words of the four languages of the sample tables, in place of the reference's stop words.
 STOP_WORDS = """
     the and is in at have he this that of or to not also but with we you they it an a
@@ -82,28 +84,45 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 
 def nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray, most: int, skip_self: bool) -> Iterator[pa.RecordBatch]:
-    """The best `most` rows of this task for each query; equal scores (to seven digits) go to the smaller key."""
-    best_key, best_score = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+    """The best `most` rows of this task for each query; equal scores (to seven digits) go to the smaller key.
+
+    Beside the best rows there is one tile of scores at a time. Only scores that reach a query's last best one, or tie with it, are sorted in.
+    """
+    best_key, best_score = np.zeros((len(ids), most), np.int64), np.full((len(ids), most), -np.inf)
     for batch in batches:
         if not batch.num_rows or not len(ids):
             continue
         keys = batch.column("key").to_numpy(zero_copy_only=False)
         rows = unit(np.stack(batch.column("v").to_numpy(zero_copy_only=False)))
-        for at in range(0, len(keys), 4096):
-            k = keys[at : at + 4096]
-            score = vectors @ rows[at : at + 4096].T
-            if skip_self:
-                score[ids[:, None] == k[None, :]] = -np.inf
-            all_keys = np.concatenate([best_key, np.broadcast_to(k, score.shape)], axis=1)
-            all_scores = np.concatenate([best_score, score], axis=1)
-            order = np.lexsort((all_keys, -np.round(all_scores, 7)), axis=1)[:, :most]
-            best_key, best_score = np.take_along_axis(all_keys, order, 1), np.take_along_axis(all_scores, order, 1)
+        for at in range(0, len(keys), TILE[1]):
+            k, some = keys[at : at + TILE[1]], rows[at : at + TILE[1]].T
+            for q in range(0, len(ids), TILE[0]):
+                score = vectors[q : q + TILE[0]] @ some
+                if skip_self:
+                    score[ids[q : q + TILE[0], None] == k[None, :]] = -np.inf
+                reached = (score >= best_score[q : q + TILE[0], -1:] - 1e-7) & (score > -np.inf)
+                i, j = np.nonzero(reached)
+                merge(best_key[q : q + TILE[0]], best_score[q : q + TILE[0]], i, k[j], score[i, j])
     for at in range(0, len(ids), 4096):
         k, s = best_key[at : at + 4096], best_score[at : at + 4096]
         ok = np.isfinite(s)
         yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[at : at + 4096, None], k.shape)[ok]), pa.array(k[ok]), pa.array(s[ok])], names=["q", "key", "score"])
 
 
+def merge(best_key: np.ndarray, best_score: np.ndarray, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
+    """Sort new scores of some queries (places in the arrays) into their best rows, in place."""
+    met = np.unique(query)
+    if not len(met):
+        return
+    most = best_key.shape[1]
+    query, key, score = np.concatenate([np.repeat(met, most), query]), np.concatenate([best_key[met].ravel(), key]), np.concatenate([best_score[met].ravel(), score])
+    order = np.lexsort((key, -np.round(score, 7), query))
+    query, key, score = query[order], key[order], score[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    top = place < most
+    best_key[query[top], place[top]], best_score[query[top], place[top]] = key[top], score[top]
+
+
 def fused(first: DataFrame, second: DataFrame, query: str, key: str, most: int = 10) -> DataFrame:
     """(query, key, similarity, first_rank, second_rank, place): two rankings of the same rows, fused by reciprocal rank, scaled to 0 .. 1 among those returned."""
     met = first.select(query, key, F.col("place").alias("first_rank")).join(second.select(query, key, F.col("place").alias("second_rank")), [query, key], "full_outer")

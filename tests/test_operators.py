@@ -322,3 +322,29 @@ def test_counts_against_loops(spark):
         t = r.t
         assert (r.c0, r.c1, r.c2, r.c3, r.d) == (t.count("müde") + t.count("ß"), t.count("aa"), sum(x in "！!？?" for x in t), t.count("é"), len(set(t))), t
         assert (r.lines, r.blocks, r.found) == (r.lines_cut, r.blocks_cut, r.found_least), t
+
+
+def test_neighbours_in_bounded_memory(monkeypatch):
+    """Many queries meet rows in tiles; the memory does not grow with their number. Copies and ties keep the smaller keys."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-2, 3, (4096, 8)).astype(float)
+    rows[100:900] = rows[0]
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)[::-1]), pa.array(list(rows[a:b][::-1]))], names=["key", "v"])
+    asked = retrieval.unit(rows)
+    tracemalloc.start()
+    got = list(retrieval.nearest(iter([batch(2000, 4096), batch(0, 2000)]), np.arange(4096), asked, 5, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    found = collections.defaultdict(list)
+    for b in got:
+        for q, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found[q].append((-round(s, 7), k))
+    score = np.round(asked @ asked.T, 7)
+    for q in range(0, 4096, 61):
+        assert sorted(found[q]) == sorted((-round(s, 7), i) for i, s in enumerate(score[q].tolist()) if i != q)[:5], q
