@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Sequence
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def rounded(x: Column, digits: int) -> Column:
     return F.round(x * float(10**digits)) / float(10**digits) if digits else F.round(x)
 
 
-def apart(words: list[str]) -> bool:
+def apart(words: Sequence[str]) -> bool:
     """Whether no occurrence of a word can overlap one of another."""
     return all(a not in b and not any(a.endswith(b[:k]) for k in range(1, len(b))) for a in words for b in words if a != b)
 
@@ -28,15 +29,22 @@ def occurrences(text: Column, word: str) -> Column:
     return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))) / len(word.encode())).cast("long")
 
 
+@cache
+def words_of(pattern: str) -> tuple[str, ...] | None:
+    """The words that a pattern counts, where each can be counted by itself: plain words that cannot overlap, and the letters of a small class."""
+    if re.fullmatch(r"\[[^\[\]\\^&-]{1,8}\]", pattern):
+        return tuple(dict.fromkeys(pattern[1:-1]))
+    words = tuple(dict.fromkeys(pattern.split("|")))
+    return words if all(words) and not re.search(r"[\\^$.?*+()\[\]{}]", pattern) and apart(words) else None
+
+
 def count(text: Column, pattern: str) -> Column:
     """How often a pattern occurs, without overlaps. Plain words that cannot overlap, and the letters of a small class, are counted by replacing them, which is some ten times as fast as a regular expression; letters of other classes by taking out whole runs of them."""
-    if re.fullmatch(r"\[[^\[\]\\^&-]{1,8}\]", pattern):
-        return total([occurrences(text, c) for c in dict.fromkeys(pattern[1:-1])])
+    words = words_of(pattern)
+    if words is not None:
+        return total([occurrences(text, w) for w in words])
     if re.fullmatch(r"\[[^\[\]]+\]", pattern):
         return (F.length(text) - F.length(F.regexp_replace(text, F.lit(pattern + "+"), F.lit("")))).cast("long")
-    words = list(dict.fromkeys(pattern.split("|")))
-    if all(words) and not re.search(r"[\\^$.?*+()\[\]{}]", pattern) and apart(words):
-        return total([occurrences(text, w) for w in words])
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 

@@ -1,18 +1,24 @@
 """The chapter projection: one row of metrics for each chapter of a book.
 
-Texts are counted where they are read: one narrow pass of built-in functions yields counts, and only counts are shuffled to
-number the chapters of a book. Every density, class and score is worked out from the counts.
+Texts are counted where they are read: one narrow pass, in Arrow batches, yields counts, and only counts are shuffled to number
+the chapters of a book. Every density, class and score is worked out from the counts.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from storyloom.functions.columns import BLANK, SPACE, clamp, count, dense, distinct_chars, first_max, ladder, matches, n_parts, paragraphs, rounded, shares, span_chars, total
+from storyloom.functions.columns import BLANK, clamp, count, dense, distinct_chars, first_max, ladder, matches, paragraphs, rounded, shares, span_chars, total
 from storyloom.functions.lexicon import LATIN, RICH_LATIN, Hook, LexiconPack
+from storyloom.functions.tally import ends, in_slices, n_paragraphs, number, portable, short_last, span
 
 
 def sentence(ends: str) -> str:
@@ -44,37 +50,72 @@ def total_or(conditions: list[Column]) -> Column:
 
 
 def chapter_counts(docs: DataFrame, pack: LexiconPack = LATIN, book: str = "source", order: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Counts of each text, without the text: a narrow pass. A null text counts as empty."""
-    base = docs.select(F.col(book).alias("book"), F.col(order).alias(order), *keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.withColumn("low", F.lower("text") if pack.lower else F.col("text")).withColumn("wc", F.length(dense(F.col("text"))).cast("long"))
-    body, low = F.col("text"), F.col("low")
-    base = base.withColumns({"blocks": n_parts(body, rf"\n{SPACE}*\n"), "tail": F.right("text", F.lit(500)), "low_tail": F.right("low", F.lit(max((n for h in pack.hooks for n, _ in h.rules), default=1)))})
-    base = base.withColumn("ending", paragraphs(F.col("tail"), F.length("tail")))
-    classes = {f"{n}_count": count(low, e.pattern) for n, e in pack.pleasure.items()}
-    return base.select(
-        "book",
-        order,
-        *keep,
-        F.substring(F.sha2("text", 256), 1, 16).alias("ch_hash"),
-        "wc",
-        F.when(F.col("blocks") < F.greatest(F.lit(1.0), F.col("wc") / 200.0), n_parts(body, "\n")).otherwise(F.col("blocks")).alias("para_count"),
-        span_chars(body, pack.dialogue).alias("dialogue_chars"),
-        count(body, pack.exclamation).alias("exclamations"),
-        *[c.alias(n) for n, c in classes.items()],
-        count(low, pack.general.pattern).alias("general_count"),
-        count(low, pack.physio.pattern).alias("physio_count"),
-        count(low, pack.negative).alias("negatives"),
-        *[count(low, p).alias(f"{n}_conflicts") for n, p in pack.conflict.items()],
-        count(low, pack.hook).alias("hooks"),
-        hook_type(F.col("low_tail"), pack.hooks, F.col("ending")).alias("hook_type"),
-        count(body, sentence(pack.ends)).alias("sentences"),
-        span_chars(body, sentence(pack.ends)).alias("sentence_chars"),
-        distinct_chars(dense(body)).alias("distinct_chars"),
-        count(low, pack.anti_trope).alias("anti_trope_count"),
-        count(low, pack.high_emotion).alias("high_emotion_count"),
-        count(low, pack.low_emotion).alias("low_emotion_count"),
-        count(low, pack.burnout).alias("burnout_count"),
-    )
+    """Counts of each text, without the text: a narrow pass. A null text counts as empty. What Java alone reads as it is meant is counted by Spark's functions, all else in Arrow batches."""
+    low = {"low": F.lower("text")} if pack.lower else {}
+    base = docs.select(F.col(book).alias("book"), F.col(order).alias(order), *keep, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns(low)
+    side = "low" if pack.lower else "text"
+    counts = _counts(pack, side)
+    here = {n: count(F.col(x), p) for n, (x, p) in counts.items() if not portable(p)}
+    here |= {n: span_chars(F.col("text"), p) for n, p in _spans(pack).items() if not portable(p)}
+    if not _portable_hooks(pack):
+        tails = base.withColumns({"tail": F.right("text", F.lit(500)), "low_tail": F.right(side, F.lit(_reach(pack)))})
+        base = tails.withColumn("ending", paragraphs(F.col("tail"), F.length("tail")))
+        here["hook_type"] = hook_type(F.col("low_tail"), pack.hooks, F.col("ending"))
+    rows = base.select("book", order, *keep, F.substring(F.sha2("text", 256), 1, 16).alias("ch_hash"), "text", *low, *[c.alias(n) for n, c in here.items()])
+    whole = ["book", order, *keep, "ch_hash"]
+    names = ["wc", "para_count", "dialogue_chars", "exclamations", *[n for n in counts if n not in ("exclamations", "sentences", *LATE)], "hook_type", "sentences", "sentence_chars", "distinct_chars", *LATE]
+    schema = StructType([*[rows.schema[n] for n in whole], *[StructField(n, StringType() if n == "hook_type" else LongType()) for n in names]])
+    return rows.mapInArrow(functools.partial(in_slices, make=functools.partial(tally, pack=pack, whole=whole, names=names)), schema)
+
+
+#: Counts that come last in the rows.
+LATE = ("anti_trope_count", "high_emotion_count", "low_emotion_count", "burnout_count")
+
+
+def _counts(pack: LexiconPack, side: str) -> dict[str, tuple[str, str]]:
+    """(column of texts, pattern) of each count."""
+    words = {**{f"{n}_count": e.pattern for n, e in pack.pleasure.items()}, "general_count": pack.general.pattern, "physio_count": pack.physio.pattern, "negatives": pack.negative, **{f"{n}_conflicts": p for n, p in pack.conflict.items()}, "hooks": pack.hook}
+    words |= dict(zip(LATE, (pack.anti_trope, pack.high_emotion, pack.low_emotion, pack.burnout), strict=True))
+    return {"exclamations": ("text", pack.exclamation), "sentences": ("text", sentence(pack.ends)), **{n: (side, p) for n, p in words.items()}}
+
+
+def _spans(pack: LexiconPack) -> dict[str, str]:
+    return {"dialogue_chars": pack.dialogue, "sentence_chars": sentence(pack.ends)}
+
+
+def _reach(pack: LexiconPack) -> int:
+    """The longest end of a text that a rule of hooks reads."""
+    return max((n for h in pack.hooks for n, _ in h.rules), default=1)
+
+
+def _portable_hooks(pack: LexiconPack) -> bool:
+    return all(portable(p) for h in pack.hooks for _, p in h.rules)
+
+
+def tally(batch: pa.RecordBatch, pack: LexiconPack, whole: list[str], names: list[str]) -> pa.RecordBatch:
+    """The counts of a batch of texts; those that it has already are handed on."""
+    side = "low" if pack.lower else "text"
+    texts = {x: batch[x] for x in ("text", side)}
+    strings = {x: t.to_pylist() for x, t in texts.items()}
+    dense_ = [s.replace("\n", "").replace(" ", "") for s in strings["text"]]
+    done: dict[str, object] = {n: batch[n] for n in names if n in batch.schema.names}
+    done |= {"wc": [len(s) for s in dense_], "distinct_chars": [len(set(s)) for s in dense_], "para_count": [n_paragraphs(s, len(d)) for s, d in zip(strings["text"], dense_, strict=True)]}
+    done |= {n: number(texts[x], strings[x], p) for n, (x, p) in _counts(pack, side).items() if n not in done}
+    done |= {n: span(texts["text"], p) for n, p in _spans(pack).items() if n not in done}
+    if "hook_type" not in done:
+        done["hook_type"] = hook_types(texts[side], strings["text"], pack)
+    return pa.RecordBatch.from_arrays([*[batch[n] for n in whole], *[done[n] if isinstance(done[n], pa.Array) else pa.array(done[n], pa.string() if n == "hook_type" else pa.int64()) for n in names]], [*whole, *names])
+
+
+def hook_types(low: pa.Array, strings: list[str], pack: LexiconPack) -> list[str]:
+    """The first type of hook that fires at the end of each text."""
+    tails, kinds = ends(low, _reach(pack)), np.full(len(low), "none", dtype=object)
+    for hook in reversed(pack.hooks):
+        for n, pattern in hook.rules:
+            kinds[pc.match_substring_regex(ends(tails, n), pattern).to_numpy(zero_copy_only=False)] = hook.label
+        if hook.short_last:
+            kinds[[short_last(s[-500:]) for s in strings]] = hook.label
+    return kinds.tolist()
 
 
 def chapter_metrics(counts: DataFrame, pack: LexiconPack = LATIN, order: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

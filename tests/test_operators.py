@@ -348,3 +348,42 @@ def test_neighbours_in_bounded_memory(monkeypatch):
     score = np.round(asked @ asked.T, 7)
     for q in range(0, 4096, 61):
         assert sorted(found[q]) == sorted((-round(s, 7), i) for i, s in enumerate(score[q].tolist()) if i != q)[:5], q
+
+
+def test_texts_are_counted_in_one_pass(spark):
+    """No word costs a pass of its own over the texts, and Arrow batches count what Spark's functions count."""
+    import pyarrow as pa
+
+    from storyloom.functions import columns as c
+    from storyloom.functions import tally
+    from storyloom.functions.lexicon import LATIN
+    from storyloom.operators import projection as p
+
+    odd = ["", " ", "\n", ".", '"', "“a”“", '"a\nb" "c"', "whathes whowhat ichiche aireringaire therment", "ouchheit blood!!！？?", "müde MÜDE lente still calmst", "a\n\nb\n \t\n c\r\n\x0b\n\x85 d e", " . a b. c ! d？\n. . ", "ß\U0001f600 é ó con ción\x00and", "İSTANBUL ΣΑΣ", "x" * 90 + "\n\nshort", "x" * 90 + "\nshort\n", "x" * 290 + "\n" + "y" * 81 + "\nz", "Abcdefgh. xy", "a. bc", "abcde. \n x", "which", "x" * 250 + "will", "x" * 496 + "will", "x" * 497 + "will", "and " * 3000 + "no ", "\U0001f600" * 600 + "?"]
+    texts = [*odd, *(a + b for a in odd for b in odd if len(a) + len(b) < 900), None]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    counts = chapter_counts(docs)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "replace(" not in plan and "regexp" not in plan
+    low, body = F.lower("text"), F.col("text")
+    base = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    tails = base.select("*", F.right("text", F.lit(500)).alias("tail"), F.right(low, F.lit(500)).alias("low_tail")).withColumn("ending", c.paragraphs(F.col("tail"), F.length("tail")))
+    wc, blocks = F.length(c.dense(body)).cast("long"), c.n_parts(body, rf"\n{c.SPACE}*\n")
+    own = {n: F.regexp_count(low if x == "low" else body, F.lit(q)).cast("long") for n, (x, q) in p._counts(LATIN, "low").items()}
+    own |= {n: c.span_chars(body, q) for n, q in p._spans(LATIN).items()}
+    own |= {"wc": wc, "distinct_chars": c.distinct_chars(c.dense(body)), "para_count": F.when(blocks < F.greatest(F.lit(1.0), wc / 200.0), c.n_parts(body, "\n")).otherwise(blocks), "hook_type": p.hook_type(F.col("low_tail"), LATIN.hooks, F.col("ending")), "ch_hash": F.substring(F.sha2("text", 256), 1, 16)}
+    got = {r.doc_id: r.asDict() for r in counts.collect()}
+    for r in tails.select("doc_id", "text", *[e.alias(n) for n, e in own.items()]).collect():
+        assert {n: got[r.doc_id][n] for n in own} == {n: r[n] for n in own}, r.text
+    assert len(got) == len(texts) and set(counts.columns) == {"book", "doc_id", *own}
+    # slices of a batch are counted whole, one long text in its own
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (1, 9 << 20, 2, 0)])], ["t"])
+    assert [x for s in tally.in_slices(iter([batch]), lambda b: b) for x in s["t"].to_pylist()] == batch["t"].to_pylist()
+
+
+@pytest.mark.parametrize("pattern", ["a.b", "^a", "a$", r"\sa", "(?=a)b", "(?<=a)b", "a*", "a?", "a|", "a++", "[[a]]", "[a&&b]", "(?i)a", "a{2}{3}", r"a\b", r"\z"])
+def test_patterns_that_only_java_reads(pattern):
+    from storyloom.functions.tally import portable
+
+    assert not portable(pattern)
+    assert all(map(portable, ("a|b c", "[?]", r"[^\n.]{5,}?(?:a|b)+\z", r"[ \t\x{0B}]x", "“[^”]+”", r"a\.b", "绝地|[一二]?刀")))
