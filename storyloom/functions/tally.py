@@ -7,7 +7,7 @@ RE2 may read differently are not `portable` and stay with the functions of `colu
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +32,46 @@ def portable(pattern: str) -> bool:
     return not re.match(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern).replace(r"\z", r"\Z"), "")
 
 
-def number(texts: pa.Array, strings: list[str], pattern: str) -> np.ndarray:
-    """How often a portable pattern occurs in each text, without overlaps. strings: the same texts."""
-    words = words_of(pattern)
-    if words is None:
-        return pc.count_substring_regex(texts, pattern).to_numpy(zero_copy_only=False).astype(np.int64)
-    return sum(np.fromiter((s.count(w) for s in strings), np.int64, len(strings)) for w in words)
+def word_counts(texts: pa.Array, strings: list[str], words: Iterable[str]) -> dict[str, np.ndarray]:
+    """How often each word occurs in each text. The bytes of all texts are sieved once by a hash of three of them, and the places left compared with each word; words of under three bytes, and those that may overlap themselves, are searched for. strings: the same texts."""
+    coded = {w: w.encode() for w in words}
+    sieved = {w: c for w, c in coded.items() if len(c) > 2 and not any(w.endswith(w[:k]) for k in range(1, len(w)))}
+    out = {w: np.fromiter((s.count(w) for s in strings), np.int64, len(strings)) for w in coded if w not in sieved}
+    ends_ = np.cumsum(np.array([0, *pc.binary_length(texts).to_pylist()], np.int64))
+    data = np.frombuffer(b"".join(pc.cast(texts, pa.binary()).to_pylist()), np.uint8)
+    if len(data) < 3:
+        return out | {w: np.zeros(len(strings), np.int64) for w in sieved}
+    keys = data[:-2].astype(np.uint32)
+    keys |= data[1:-1].astype(np.uint32) << np.uint32(8)
+    keys |= data[2:].astype(np.uint32) << np.uint32(16)
+    hashed = lambda k: (k * np.uint32(2654435761)) >> np.uint32(16)
+    first = {w: np.uint32(c[0] | c[1] << 8 | c[2] << 16) for w, c in sieved.items()}
+    wanted = np.zeros(1 << 16, bool)
+    wanted[hashed(np.array(list(first.values()), np.uint32))] = True
+    places = np.flatnonzero(wanted[hashed(keys)])
+    keys = keys[places]
+    for w, c in sieved.items():
+        at = places[keys == first[w]]
+        at = at[at <= len(data) - len(c)]
+        for j in range(3, len(c)):
+            at = at[data[at + j] == c[j]]
+        text = np.searchsorted(ends_, at, side="right") - 1
+        out[w] = np.bincount(text[at + len(c) <= ends_[text + 1]], minlength=len(strings))
+    return out
+
+
+def pattern_counts(texts: pa.Array, strings: list[str], patterns: dict[str, str]) -> dict[str, np.ndarray]:
+    """How often each portable pattern occurs in each text, without overlaps. strings: the same texts."""
+    words = {n: words_of(p) for n, p in patterns.items()}
+    found = word_counts(texts, strings, dict.fromkeys(w for ws in words.values() for w in ws or ()))
+    return {n: pc.count_substring_regex(texts, patterns[n]).to_numpy(zero_copy_only=False).astype(np.int64) if ws is None else sum(found[w] for w in ws) for n, ws in words.items()}
+
+
+def sentence_sizes(strings: list[str], ends: str) -> tuple[list[int], list[int]]:
+    """Trimmed sentences of each text, and the characters in them."""
+    split = re.compile(f"[{ends}]").split
+    sizes = [[len(p) for x in split(s) if (p := x.strip(BLANKS))] for s in strings]
+    return [len(x) for x in sizes], [sum(x) for x in sizes]
 
 
 def span(texts: pa.Array, pattern: str) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from storyloom.functions.columns import BLANK, clamp, count, dense, distinct_chars, first_max, ladder, matches, paragraphs, rounded, shares, span_chars, total
 from storyloom.functions.lexicon import LATIN, RICH_LATIN, Hook, LexiconPack
-from storyloom.functions.tally import ends, in_slices, n_paragraphs, number, portable, short_last, span
+from storyloom.functions.tally import ends, in_slices, n_paragraphs, pattern_counts, portable, sentence_sizes, short_last, span
 
 
 def sentence(ends: str) -> str:
@@ -100,7 +100,10 @@ def tally(batch: pa.RecordBatch, pack: LexiconPack, whole: list[str], names: lis
     dense_ = [s.replace("\n", "").replace(" ", "") for s in strings["text"]]
     done: dict[str, object] = {n: batch[n] for n in names if n in batch.schema.names}
     done |= {"wc": [len(s) for s in dense_], "distinct_chars": [len(set(s)) for s in dense_], "para_count": [n_paragraphs(s, len(d)) for s, d in zip(strings["text"], dense_, strict=True)]}
-    done |= {n: number(texts[x], strings[x], p) for n, (x, p) in _counts(pack, side).items() if n not in done}
+    if not {"sentences", "sentence_chars"} & done.keys():
+        done["sentences"], done["sentence_chars"] = sentence_sizes(strings["text"], pack.ends)
+    for x in texts:
+        done |= pattern_counts(texts[x], strings[x], {n: p for n, (at, p) in _counts(pack, side).items() if at == x and n not in done})
     done |= {n: span(texts["text"], p) for n, p in _spans(pack).items() if n not in done}
     if "hook_type" not in done:
         done["hook_type"] = hook_types(texts[side], strings["text"], pack)

@@ -387,3 +387,18 @@ def test_patterns_that_only_java_reads(pattern):
 
     assert not portable(pattern)
     assert all(map(portable, ("a|b c", "[?]", r"[^\n.]{5,}?(?:a|b)+\z", r"[ \t\x{0B}]x", "“[^”]+”", r"a\.b", "绝地|[一二]?刀")))
+
+
+def test_words_are_sieved_in_one_pass():
+    """Words found by their bytes over all texts of a batch at once: none across two texts, none cut, none twice."""
+    import random
+
+    import pyarrow as pa
+
+    from storyloom.functions.tally import word_counts
+
+    draw, words = random.Random(5), ["and", "aba", "ó", "no ", "ción", "müde", "that", "\U0001f600x", "ab", "aaa", "nd a"]
+    for _ in range(200):
+        texts = ["".join(draw.choices(["and", "a", "b", "no", " ", "ci", "ó", "n", "m", "ü", "de", "th", "at", "\U0001f600", "x", "\0", "nd"], k=draw.randint(0, 30))) for _ in range(draw.randint(0, 12))]
+        got = word_counts(pa.array(["and", *texts])[1:], texts, words)
+        assert {w: n.tolist() for w, n in got.items()} == {w: [t.count(w) for t in texts] for w in words}, texts
