@@ -122,12 +122,13 @@ def hook_types(low: pa.Array, strings: list[str], pack: LexiconPack) -> list[str
 
 
 def chapter_metrics(counts: DataFrame, pack: LexiconPack = LATIN, order: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """All metrics of each chapter from its counts; chapters are numbered within a book by `order`, or carry `ch_num` already."""
-    numbered = counts if "ch_num" in counts.columns else counts.withColumn("ch_num", F.row_number().over(Window.partitionBy("book").orderBy(order)).cast("long"))
+    """All metrics of each chapter from its counts; chapters are numbered within a book by `order`, or carry `ch_num` already. Metrics are worked out before the rows of a book meet to be numbered."""
+    whole = ["book", order, *keep]
+    given = ["ch_num"] if "ch_num" in counts.columns else []
     chars, c = F.greatest("wc", F.lit(1)), F.col
     weighted = total([c(f"{n}_count") * e.weight for n, e in pack.pleasure.items()] + [c("general_count") * pack.general.weight, c("physio_count") * pack.physio.weight])
     conflicts = total([c(f"{n}_conflicts") for n in pack.conflict])
-    raw = numbered.select(
+    raw = counts.select(
         "*",
         (100.0 * weighted / chars).alias("pos"),
         (100.0 * c("negatives") / chars).alias("neg"),
@@ -144,11 +145,9 @@ def chapter_metrics(counts: DataFrame, pack: LexiconPack = LATIN, order: str = "
     raw = raw.withColumn("pleasure_intensity", rounded(clamp(strength, 0, 10), 1))
     delight, tension, tragedy, suspense, daily = pack.emotions
     delayed = [e.label or n for n, e in pack.pleasure.items() if e.timing == "delayed"]
-    return raw.select(
-        "book",
-        order,
-        *keep,
-        "ch_num",
+    rows = raw.select(
+        *whole,
+        *given,
         "ch_hash",
         "wc",
         "para_count",
@@ -188,6 +187,10 @@ def chapter_metrics(counts: DataFrame, pack: LexiconPack = LATIN, order: str = "
         "burnout_count",
         ((c("slap_count") > 5) & (c("pleasure_intensity") < 3)).alias("slap_noise"),
     )
+    if given:
+        return rows
+    number = F.row_number().over(Window.partitionBy("book").orderBy(order)).cast("long")
+    return rows.withColumn("ch_num", number).select(*whole, "ch_num", *rows.columns[len(whole) :])
 
 
 def rich_scan(docs: DataFrame, classes: dict = RICH_LATIN, key: str = "doc_id", text: str = "text", dialogue: str = LATIN.dialogue, ends: str = ".!?", lower: bool = True) -> DataFrame:

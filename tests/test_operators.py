@@ -69,6 +69,16 @@ def test_texts_stay_out_of_shuffles(spark):
     assert "Exchange" not in plan(counts) and "text" not in counts.columns and plan(chapter_metrics(counts)).count("FileScan") == 1
 
 
+def test_metrics_are_worked_out_before_books_meet(spark):
+    """A book's chapters meet in one task to be numbered, which does that alone; metrics are worked out where the counts are."""
+    counts = chapter_counts(spark.read.parquet(f"{SF}/documents.parquet"))
+    plan = chapter_metrics(counts)._jdf.queryExecution().executedPlan().toString()
+    met, before = plan.split("Exchange")
+    assert "row_number()" in met and "round(" not in met and "round(" in before
+    given = chapter_metrics(counts.withColumn("ch_num", F.col("doc_id") + 1))
+    assert "Exchange" not in given._jdf.queryExecution().executedPlan().toString() and given.columns == chapter_metrics(counts).columns
+
+
 def documents(spark, path, texts):
     spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
     return str(path)
