@@ -165,7 +165,7 @@ def chapter_metrics(counts: DataFrame, pack: LexiconPack = LATIN, order: str = "
         "pleasure_intensity",
         F.when(c("dominant_sub").isin(delayed), F.lit("delayed")).otherwise(F.lit("instant")).alias("pleasure_timing"),
         "hook_type",
-        rounded(clamp(0.5 * c("asl") / 80.0 + 0.3 * (1.0 - 3.0 * c("vd")) + 0.2 * F.abs(c("asl") - 35.0) / 50.0, 0, 1), 3).alias("readability"),
+        rounded(clamp(0.5 * c("asl") / 80.0 + 0.3 * (1.0 - 3.0 * c("vd")) + F.abs(c("asl") - 35.0) / 50.0 * 0.2, 0, 1), 3).alias("readability"),
         rounded(c("asl"), 1).alias("avg_sentence_len"),
         rounded(c("vd"), 3).alias("vocab_diversity"),
         (c("conf") > 0.3).alias("conflict"),

@@ -69,6 +69,16 @@ def test_texts_stay_out_of_shuffles(spark):
     assert "Exchange" not in plan(counts) and "text" not in counts.columns and plan(chapter_metrics(counts)).count("FileScan") == 1
 
 
+def test_readability_is_rounded_as_in_sql(spark):
+    """Ties of the third digit fall as the SQL's own order of its sums and products has them."""
+    row = chapter_counts(spark.read.parquet(f"{SF}/documents.parquet").limit(1))
+    ties = [(35, 3, 37, 240), (37, 3, 35, 240), (44, 1, 33, 200), (44, 3, 17, 200)]
+    counts = row.drop("doc_id", "sentence_chars", "sentences", "distinct_chars", "wc").join(spark.createDataFrame([(i, *t) for i, t in enumerate(ties)], "doc_id long, sentence_chars long, sentences long, distinct_chars long, wc long"))
+    of = "asl / 80 * 0.5e0 + (1 - vd * 3) * 0.3e0 + abs(asl - 35) / 50 * 0.2e0"
+    want = [duckdb.sql(f"SELECT round(least(greatest({of}, 0e0), 1e0), 3) FROM (SELECT {a} / {n} AS asl, {d} / {w} AS vd) t").fetchall()[0][0] for a, n, d, w in ties]
+    assert [r.readability for r in chapter_metrics(counts).orderBy("doc_id").collect()] == want
+
+
 def test_metrics_are_worked_out_before_books_meet(spark):
     """A book's chapters meet in one task to be numbered, which does that alone; metrics are worked out where the counts are."""
     counts = chapter_counts(spark.read.parquet(f"{SF}/documents.parquet"))
