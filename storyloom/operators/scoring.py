@@ -336,12 +336,19 @@ def retention_risk(rows: DataFrame, by: str = "book") -> DataFrame:
     return each.select(by, "fifth", "zero_hook_chs", rounded(ratio, 2).alias("zero_hook_ratio"), ladder((ratio > 0.3, "HIGH"), (ratio > 0.15, "MEDIUM"), otherwise="LOW").alias("risk"))
 
 
+#: Numbers of chapters that are summed up together, to find the place of the first of them.
+BLOCK = 4096
+
+
 def chunks(rows: DataFrame, n: int, keep: Sequence[str] = ("conflict_density", "pleasure_intensity", "hook_density"), order: Sequence[str] = ("ch_num", "book")) -> DataFrame:
-    """Pooled rows in order of chapters, cut into n chunks of equal size: (chunk, from_ch, means). The place of a row is its chapter's first place plus its place within the chapter, so no task orders all rows."""
+    """Pooled rows in order of chapters, cut into n chunks of equal size: (chunk, from_ch, means). The place of a row is its block's first place plus its chapter's within the block plus its own within the chapter, so no task orders all rows or all numbers of chapters."""
     first, *rest = order
-    sizes = rows.groupBy(first).agg(F.count("*").alias("m"))
-    before = sizes.select(first, (F.sum("m").over(Window.orderBy(first)) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy()).alias("all"))  # a row a chapter number
-    placed = rows.join(F.broadcast(before), first).withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy(first).orderBy(*rest)) - 1)
+    sizes = rows.groupBy(first).agg(F.count("*").alias("m")).withColumn("block", F.floor(F.col(first) / BLOCK))
+    blocks = sizes.groupBy("block").agg(F.sum("m").alias("size"))  # a row in BLOCK numbers of chapters
+    starts = blocks.select("block", (F.sum("size").over(Window.orderBy("block")) - F.col("size")).alias("start"), F.sum("size").over(Window.partitionBy()).alias("all"))
+    within = F.sum("m").over(Window.partitionBy("block").orderBy(first)) - F.col("m")
+    before = sizes.withColumn("within", within).join(F.broadcast(starts), "block").select(first, (F.col("start") + F.col("within")).alias("before"), "all")
+    placed = rows.join(before, first).withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy(first).orderBy(*rest)) - 1)
     step = F.greatest(F.lit(1), F.floor(F.col("all") / n))
     each = placed.withColumn("chunk", F.floor(F.col("place") / step)).where(F.col("chunk") < n)
     return each.groupBy("chunk").agg(F.min_by(first, "place").alias("from_ch"), *[rounded(F.round(F.avg(x), 9), 2).alias(x) for x in keep])

@@ -69,6 +69,18 @@ def test_texts_stay_out_of_shuffles(spark):
     assert "Exchange" not in plan(counts) and "text" not in counts.columns and plan(chapter_metrics(counts)).count("FileScan") == 1
 
 
+def test_chunks_of_long_books(spark):
+    """Places over several blocks of chapters are those of one order over all rows; no task orders the numbers of chapters."""
+    sizes = {"a": 9000, "b": 4097, "c": 5, "d": 4096}
+    rows = spark.createDataFrame([(b, i + 1, float(i * 7 % 1000)) for b, n in sizes.items() for i in range(n)], "book string, ch_num long, x double")
+    got = scoring.chunks(rows, 10, keep=("x",))
+    assert not re.search(r"windowspecdefinition\(ch_num#\d+L? ASC", got._jdf.queryExecution().optimizedPlan().toString())
+    pooled = sorted((i + 1, b) for b, n in sizes.items() for i in range(n))
+    step = len(pooled) // 10
+    want = {(k, part[0][0], round(sum((c - 1) * 7 % 1000 for c, _ in part) / step, 2)) for k in range(10) for part in [pooled[k * step : (k + 1) * step]]}
+    assert {(r.chunk, r.from_ch, r.x) for r in got.collect()} == want
+
+
 def test_readability_is_rounded_as_in_sql(spark):
     """Ties of the third digit fall as the SQL's own order of its sums and products has them."""
     row = chapter_counts(spark.read.parquet(f"{SF}/documents.parquet").limit(1))
