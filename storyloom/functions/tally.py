@@ -102,9 +102,59 @@ def ends(texts: pa.Array, n: int) -> pa.Array:
     return pc.utf8_slice_codeunits(texts, start=-n)
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches that `make` yields from slices of some SLICE_BYTES."""
+def gram_counts(runs: pa.ListArray, sizes: Iterable[int], least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, letters, n, alphabet): how often each n-gram occurs inside the runs of each row, `least` times at least, by row and gram. letters: a column for each place, the place in the alphabet from 1, 0 after the gram's end. A gram is one number in base of the alphabet; numbers that would grow too large are ranked first, which keeps their order."""
+    sizes, flat = sorted(k for k in sizes if k > 0), runs.flatten()
+    points = np.frombuffer("".join(flat.to_pylist()).encode("utf-32-le"), np.uint32)
+    lengths = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+    seen[points] = True
+    alphabet, base = np.flatnonzero(seen), int(seen.sum()) + 1
+    letters = np.cumsum(seen)[points]
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))  # letters to the end of the run
+    rows = np.repeat(np.repeat(np.arange(len(runs)), pc.list_value_length(runs).to_numpy(zero_copy_only=False)), lengths)
+    places = [np.flatnonzero(left >= k) for k in sizes]
+    at, width = np.concatenate([np.zeros(0, np.int64), *places]), max(sizes, default=0)
+    code, most, ranked = rows[at], len(runs), {}
+    for j in range(width):
+        if most * base >= 1 << 62:
+            ranked[j], code = np.unique(code, return_inverse=True)
+            most = len(ranked[j])
+        code, most = code * base, most * base
+        longer = slice(sum(len(x) for k, x in zip(sizes, places, strict=True) if k <= j), None)
+        code[longer] += letters[at[longer] + j]
+    code, n = np.unique(code, return_counts=True)
+    code, n = code[n >= least], n[n >= least]
+    digits = np.zeros((len(code), width), np.int64)
+    for j in reversed(range(width)):
+        code, digits[:, j] = np.divmod(code, base)
+        code = ranked[j][code] if j in ranked else code
+    return code, digits, n, alphabet
+
+
+def frequent_grams(batch: pa.RecordBatch, sizes: tuple[int, ...], least: int = 1, skip: tuple[str, ...] = (), most: int | None = None) -> pa.RecordBatch:
+    """(key, gram, n, place) from (key, runs): the `most` most frequent n-grams of each row, or all, by falling n and gram."""
+    row, digits, n, alphabet = gram_counts(batch.column(1), sizes, least)
+    keep = np.ones(len(row), bool)
+    number = {chr(p): i + 1 for i, p in enumerate(alphabet.tolist())}
+    for gram in skip:
+        if len(gram) <= digits.shape[1]:
+            keep &= (digits != [number.get(c, -1) for c in gram] + [0] * (digits.shape[1] - len(gram))).any(axis=1)
+    row, digits, n = row[keep], digits[keep], n[keep]
+    order = np.lexsort((-n, row))  # stable: equal counts stay in order of their grams
+    row, digits, n = row[order], digits[order], n[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    keep = place <= (len(row) if most is None else most)
+    row, digits, n, place = row[keep], digits[keep], n[keep], place[keep]
+    letters = alphabet.astype(np.uint32)[digits[digits > 0] - 1].tobytes().decode("utf-32-le")
+    ends_ = np.cumsum((digits > 0).sum(axis=1)).tolist()
+    grams = [letters[a:b] for a, b in zip([0, *ends_], ends_, strict=False)]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(grams, pa.string()), pa.array(n, pa.int64()), pa.array(place, pa.int64())], [batch.schema.names[0], "gram", "n", "place"])
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches that `make` yields from slices of some `size` bytes."""
     for batch in batches:
-        step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, step):
             yield make(batch.slice(at, step))

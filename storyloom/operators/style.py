@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from storyloom.functions.columns import clamp, count, distinct_chars, ladder, paragraphs, parts, rounded, sentences, span_chars, total
 from storyloom.functions.style import COMPARED, LATIN_FLAVOUR, LATIN_STYLE, FlavourPack, StylePack
+from storyloom.functions.tally import frequent_grams, in_slices
 
 
 def array_mean(values: Column) -> Column:
@@ -208,14 +211,29 @@ def gradient_validation(steps: DataFrame, error: str, by: str, order: Sequence[s
     return steps.withColumn("cumulative", rounded(F.round(F.exp(running), 9), 6))
 
 
-def top_ngrams(docs: DataFrame, sizes: Sequence[int] = (2, 3, 4), letters: str = "[a-zà-ÿ]", most: int = 20, least: int = 2, skip: Sequence[str] = (), key: str = "doc_id", text: str = "text", lower: bool = True) -> DataFrame:
-    """(key, gram, n, place): the most frequent n-grams inside runs of letters of each text."""
-    base = docs.select(key, (F.lower(F.coalesce(text, F.lit(""))) if lower else F.coalesce(text, F.lit(""))).alias("t"))
-    segment = base.select(key, F.explode(F.regexp_extract_all("t", F.lit(f"({letters}+)"), 1)).alias("w"))
+#: Bytes of runs of letters whose n-grams a worker counts at once, at some 80 bytes of memory each.
+GRAM_BYTES = 1 << 20
+#: Repeated keys that are broadcast.
+FEW_KEYS = 500_000
 
-    def of_size(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - k + 1, F.lit(1))), lambda i: F.when(F.length("w") >= k, F.col("w").substr(i, F.lit(k))))
 
-    grams = F.flatten(F.array(*[of_size(k) for k in sizes]))
-    n = segment.select(key, F.explode(F.array_compact(grams)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n")).where((F.col("n") >= least) & ~F.col("gram").isin([*skip, ""]))
-    return n.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "gram")).cast("long")).where(F.col("place") <= most)
+def top_ngrams(docs: DataFrame, sizes: Sequence[int] = (2, 3, 4), letters: str = "[a-zà-ÿ]", most: int = 20, least: int = 2, skip: Sequence[str] = (), key: str = "doc_id", text: str = "text", lower: bool = True) -> DataFrame:
+    """(key, gram, n, place): the most frequent n-grams inside runs of letters of each text. A text is counted where it is read, and its first n-grams alone leave its task; only the counts of keys that several rows have are shuffled."""
+    side = F.coalesce(text, F.lit(""))
+    runs = docs.select(key, F.regexp_extract_all(F.lower(side) if lower else side, F.lit(f"({letters}+)"), 1).alias("#runs"))
+
+    def counts(rows: DataFrame, **limits) -> DataFrame:
+        make = functools.partial(frequent_grams, sizes=tuple(sizes), **limits)
+        schema = StructType([rows.schema[key], StructField("gram", StringType()), StructField("n", LongType()), StructField("place", LongType())])
+        return rows.mapInArrow(functools.partial(in_slices, make=make, size=GRAM_BYTES), schema)
+
+    own = {"least": least, "skip": tuple(skip), "most": most}
+    repeated = docs.groupBy(F.col(key).alias("#key")).agg(F.count("*").alias("#rows")).where(F.col("#rows") > 1).select("#key")
+    found = repeated.limit(FEW_KEYS + 1).count()
+    if not found:
+        return counts(runs, **own)
+    repeated = F.broadcast(repeated) if found <= FEW_KEYS else repeated
+    met = F.col(key).eqNullSafe(F.col("#key"))
+    n = counts(runs.join(repeated, met, "left_semi")).groupBy(key, "gram").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & ~F.col("gram").isin([*skip, ""]))
+    shared = n.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "gram")).cast("long")).where(F.col("place") <= most)
+    return counts(runs.join(repeated, met, "left_anti"), **own).unionByName(shared)

@@ -5,10 +5,12 @@ import math
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from storyloom.functions.tally import gram_counts
 from storyloom.operators import retrieval, scoring, style, text
 from storyloom.operators.projection import chapter_counts, chapter_metrics
 from storyloom.plans.registry import TABLES, Tables
@@ -69,6 +71,31 @@ def test_texts_stay_out_of_shuffles(spark):
     assert "Exchange" not in plan(counts) and "text" not in counts.columns and plan(chapter_metrics(counts)).count("FileScan") == 1
 
 
+def test_ngrams_are_counted_where_texts_are_read(spark):
+    """No shuffle where keys are distinct; rows that share a key, or have none, count together, in whatever slices they come."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert "Exchange" not in style.top_ngrams(docs)._jdf.queryExecution().executedPlan().toString()
+    texts = [(1, "abab é̀éé abcd"), (2, "Aa aaa\naa"), (1, "ab zz zz"), (None, "xyxyxy"), (None, "xy th the"), (3, None), (4, "a b c"), (5, "cd" * 3000), (6, "".join(chr(0xE0 + i % 31) for i in range(700)))]
+    want = set()
+    for key in {k for k, _ in texts}:
+        runs = [w for k, t in texts if k == key for w in re.findall("[a-zà-ÿ]+", (t or "").lower())]
+        n = collections.Counter(w[i : i + k] for w in runs for k in (1, 2, 4) for i in range(len(w) - k + 1))
+        first = sorted((-m, g) for g, m in n.items() if m >= 2 and g not in ("th", "ab"))[:5]
+        want |= {(key, g, -m, i + 1) for i, (m, g) in enumerate(first)}
+    got = style.top_ngrams(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), (4, 1, 2), most=5, skip=("th", "ab")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+@pytest.mark.parametrize("sizes", [(2, 3, 4), (30, 1)])
+def test_gram_counts_of_large_alphabets(sizes):
+    """Where the numbers of n-grams would not fit into 62 bits, they are ranked and keep their order."""
+    rows = [["".join(chr(c) for c in range(0x4E00, 0x9FFF)), "山门" * 20], [], ["山门之前" * 9, "之前"], ["\U0001f600" * 40]]
+    row, digits, n, alphabet = gram_counts(pa.array(rows, pa.list_(pa.string())), sizes, 2)
+    got = [(r, "".join(chr(alphabet[d - 1]) for d in x if d), int(m)) for r, x, m in zip(row.tolist(), digits.tolist(), n, strict=True)]
+    counts = [collections.Counter(w[i : i + k] for w in runs for k in sizes for i in range(len(w) - k + 1)) for runs in rows]
+    assert got == [(r, g, m) for r, c in enumerate(counts) for g, m in sorted(c.items()) if m >= 2]
+
+
 def test_chunks_of_long_books(spark):
     """Places over several blocks of chapters are those of one order over all rows; no task orders the numbers of chapters."""
     sizes = {"a": 9000, "b": 4097, "c": 5, "d": 4096}
