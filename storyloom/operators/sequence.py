@@ -6,10 +6,12 @@ rows are numbers, not texts. Equal values are ordered by the order column, so re
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from storyloom.functions.columns import ladder, rounded, total
 
@@ -107,18 +109,37 @@ def state_trajectory(rows: DataFrame, by: str = "book", order: str = "ch_num") -
 
 
 def phases(rows: DataFrame, by: str = "book", order: str = "ch_num") -> DataFrame:
-    """(by, phase, start_ch, end_ch, dominant_sub, completeness): phases of an arc. A phase ends where intensity jumps, pace turns with it, or its leading class has given way for more than five rows; the last test depends on where the phase began, so it is folded row by row over a group's few columns."""
-    packed = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("pleasure_intensity").alias("x"), "pace", F.col("dominant_sub").alias("sub")))).alias("s")).where(F.size("s") >= 10)
-    start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("start"), F.element_at("s", 1)["sub"].alias("sub"), F.element_at("s", 1).alias("last"), F.array().cast("array<struct<start:int,end:int,sub:string>>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        gap = F.round(F.abs(row["x"] - state["last"]["x"]), 6)
-        ends = (gap > 3) | ((row["pace"] != state["last"]["pace"]) & (gap > 1.5)) | ((row["sub"] != state["sub"]) & (state["sub"] != "none") & (row["sub"] != "none") & (state["i"] - state["start"] > 5))
-        closed = F.array_append(state["out"], F.struct(state["start"].alias("start"), state["i"].alias("end"), state["sub"].alias("sub")))
-        return F.struct((state["i"] + 1).alias("i"), F.when(ends, state["i"] + 1).otherwise(state["start"]).alias("start"), F.when(ends, row["sub"]).otherwise(state["sub"]).alias("sub"), row.alias("last"), F.when(ends, closed).otherwise(state["out"]).alias("out"))
-
-    folded = packed.select(by, F.aggregate(F.slice("s", 2, F.size("s")), start, step, lambda s: F.array_append(s["out"], F.struct(s["start"].alias("start"), s["i"].alias("end"), s["sub"].alias("sub")))).alias("out"))
-    return folded.select(by, F.size("out").alias("n"), F.posexplode("out").alias("p", "f")).select(by, (F.col("p") + 1).cast("long").alias("phase"), F.col("f.start").cast("long").alias("start_ch"), F.col("f.end").cast("long").alias("end_ch"), F.col("f.sub").alias("dominant_sub"), rounded(F.least(F.lit(1.0), F.col("n") / 5), 2).alias("completeness"))
+    """(by, phase, start_ch, end_ch, dominant_sub, completeness): phases of an arc. A phase ends where intensity jumps, pace turns with it, or its leading class has given way for more than five rows; the last test depends on where the phase began, so a group's rows are followed in order, as a stream of which a task holds a few phases."""
+    w = Window.partitionBy(by).orderBy(order, "pleasure_intensity", "pace", "dominant_sub")
+    gap = F.round(F.abs(F.col("pleasure_intensity") - F.lag("pleasure_intensity").over(w)), 6)
+    jump = F.coalesce((gap > 3) | ((F.col("pace") != F.lag("pace").over(w)) & (gap > 1.5)), F.lit(False))
+    marked = rows.select(by, F.row_number().over(w).cast("long").alias("k"), jump.alias("jump"), F.col("dominant_sub").alias("sub"), F.lead(F.lit(1)).over(w).isNull().alias("last"))
+    schema = StructType([marked.schema[by], *[StructField(n, LongType()) for n in ("phase", "start_ch", "end_ch")], StructField("dominant_sub", StringType()), StructField("completeness", DoubleType())])
+    return marked.repartition(by).sortWithinPartitions(by, "k").mapInArrow(followed, schema)
+
+
+def followed(batches: Iterator[pa.RecordBatch], least: int = 10, full: int = 5) -> Iterator[pa.RecordBatch]:
+    """The phases of groups of `least` rows and more from (by, k, jump, sub, last), where k counts the rows of a group from 1. Phases are held back until there are `full` of them, or the group ends, and it is long enough."""
+    held: list[tuple] = []
+    start, own, n = 1, None, 0
+    for batch in batches:
+        out = []
+        for by, k, jump, sub, last in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if k == 1:
+                held, start, own, n = [], 1, sub, 0
+            elif jump or (k - start > 6 and None not in (sub, own) and sub != own and "none" not in (sub, own)):
+                n += 1
+                held.append((by, n, start, k - 1, own))
+                start, own = k, sub
+            if last:
+                n += 1
+                held.append((by, n, start, k, own))
+            if k >= least and (last or n >= full):
+                out += [(*phase, round(min(1.0, n / full), 2)) for phase in held]
+                held = []
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [batch.schema.names[0], "phase", "start_ch", "end_ch", "dominant_sub", "completeness"])
 
 
 def transitions(rows: DataFrame, value: str = "dominant_sub", by: str = "book", order: str = "ch_num") -> DataFrame:

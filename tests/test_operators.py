@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 
 import duckdb
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from storyloom.functions.tally import gram_counts
-from storyloom.operators import retrieval, scoring, style, text
+from storyloom.operators import retrieval, scoring, sequence, style, text
 from storyloom.operators.projection import chapter_counts, chapter_metrics
 from storyloom.plans.registry import TABLES, Tables
 from storyloom.queries import CATALOGS
@@ -108,6 +109,31 @@ def test_chunks_of_long_books(spark):
     assert {(r.chunk, r.from_ch, r.x) for r in got.collect()} == want
 
 
+def test_phases_of_long_and_short_books(spark):
+    """A book is followed row by row, not gathered in one row whose list of phases is copied with each of them; equal to a loop over books of all lengths around the least."""
+    rnd = random.Random(4)
+    sizes = {"long": 25_000, **{f"b{n}": n for n in (1, 2, 9, 10, 11, 30)}, "calm": 5000, None: 40}
+    rows = {b: [(b, 3 * i, 2.0 if b == "calm" else rnd.choice((0.0, 1.5, 2.0, 3.0, 3.1, 5.0, None)), rnd.choice(("fast", "slow", None)), rnd.choice(("none", "slap", "bond", None)) if b != "calm" or i % 1700 == 0 else "slap") for i in range(n)] for b, n in sizes.items()}
+    want = set()
+    for b, own in rows.items():
+        found, start = [], 0
+        for i in range(1, len(own)):
+            (_, _, x0, pace0, _), (_, _, x, pace, sub), old = own[i - 1], own[i], own[start][4]
+            gap = None if None in (x0, x) else round(abs(x - x0), 6)
+            turned = None not in (pace, pace0) and pace != pace0
+            if (gap is not None and (gap > 3 or (turned and gap > 1.5))) or (None not in (sub, old) and "none" not in (sub, old) and sub != old and i - 1 - start > 5):
+                found.append((start + 1, i, old))
+                start = i
+        found.append((start + 1, len(own), own[start][4]))
+        if len(own) >= 10:
+            want |= {(b, k + 1, *phase, min(5, len(found)) / 5) for k, phase in enumerate(found)}
+    got = sequence.phases(spark.createDataFrame([r for own in rows.values() for r in own], "book string, ch_num long, pleasure_intensity double, pace string, dominant_sub string").repartition(7))
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == ["book", "phase", "start_ch", "end_ch", "dominant_sub", "completeness"]
+    found = got.collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
 def test_readability_is_rounded_as_in_sql(spark):
     """Ties of the third digit fall as the SQL's own order of its sums and products has them."""
     row = chapter_counts(spark.read.parquet(f"{SF}/documents.parquet").limit(1))
