@@ -1,4 +1,4 @@
-"""Style of texts: fingerprints of style, layers of machine prose, flavour. Narrow passes of built-in functions; only layers that count characters shuffle, and then counts."""
+"""Style of texts: fingerprints of style, layers of machine prose, flavour. Narrow passes of built-in functions, n-grams in Arrow batches; only layers that count characters shuffle, and then counts."""
 
 from __future__ import annotations
 
@@ -213,14 +213,14 @@ def gradient_validation(steps: DataFrame, error: str, by: str, order: Sequence[s
 
 #: Bytes of runs of letters whose n-grams a worker counts at once, at some 80 bytes of memory each.
 GRAM_BYTES = 1 << 20
-#: Repeated keys that are broadcast.
-FEW_KEYS = 500_000
+#: Repeated keys that are broadcast, and rows of one key that are counted together.
+FEW_KEYS, ROWS_TOGETHER = 500_000, 32
 
 
 def top_ngrams(docs: DataFrame, sizes: Sequence[int] = (2, 3, 4), letters: str = "[a-zà-ÿ]", most: int = 20, least: int = 2, skip: Sequence[str] = (), key: str = "doc_id", text: str = "text", lower: bool = True) -> DataFrame:
-    """(key, gram, n, place): the most frequent n-grams inside runs of letters of each text. A text is counted where it is read, and its first n-grams alone leave its task; only the counts of keys that several rows have are shuffled."""
+    """(key, gram, n, place): the most frequent n-grams inside runs of letters of each text. A text is counted where it is read, and its first n-grams alone leave its task. Texts of keys that several rows have meet to be counted together; where these are very many, the counts of each ROWS_TOGETHER of them are summed up."""
     side = F.coalesce(text, F.lit(""))
-    runs = docs.select(key, F.regexp_extract_all(F.lower(side) if lower else side, F.lit(f"({letters}+)"), 1).alias("#runs"))
+    runs = lambda t: F.regexp_extract_all(F.lower(t) if lower else t, F.lit(f"({letters}+)"), 1)
 
     def counts(rows: DataFrame, **limits) -> DataFrame:
         make = functools.partial(frequent_grams, sizes=tuple(sizes), **limits)
@@ -228,12 +228,16 @@ def top_ngrams(docs: DataFrame, sizes: Sequence[int] = (2, 3, 4), letters: str =
         return rows.mapInArrow(functools.partial(in_slices, make=make, size=GRAM_BYTES), schema)
 
     own = {"least": least, "skip": tuple(skip), "most": most}
-    repeated = docs.groupBy(F.col(key).alias("#key")).agg(F.count("*").alias("#rows")).where(F.col("#rows") > 1).select("#key")
+    repeated = docs.groupBy(F.col(key).alias("#key")).agg(F.count("*").alias("#rows")).where(F.col("#rows") > 1)
     found = repeated.limit(FEW_KEYS + 1).count()
     if not found:
-        return counts(runs, **own)
+        return counts(docs.select(key, runs(side)), **own)
     repeated = F.broadcast(repeated) if found <= FEW_KEYS else repeated
-    met = F.col(key).eqNullSafe(F.col("#key"))
-    n = counts(runs.join(repeated, met, "left_semi")).groupBy(key, "gram").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & ~F.col("gram").isin([*skip, ""]))
-    shared = n.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "gram")).cast("long")).where(F.col("place") <= most)
-    return counts(runs.join(repeated, met, "left_anti"), **own).unionByName(shared)
+    met, parts = F.col(key).eqNullSafe(F.col("#key")), F.ceil(F.col("#rows") / ROWS_TOGETHER)
+    alone = docs.join(repeated, met, "left_anti").select(key, runs(side))
+    texts = docs.select(key, side.alias("#text"), F.monotonically_increasing_id().alias("#row")).join(repeated, met)
+    shared = texts.groupBy(key, parts.alias("#parts"), (F.col("#row") % parts).alias("#part")).agg(F.collect_list("#text").alias("#texts"))
+    together = lambda condition: shared.where(condition).select(key, F.flatten(F.transform("#texts", runs)))
+    n = counts(together(F.col("#parts") > 1)).groupBy(key, "gram").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & ~F.col("gram").isin([*skip, ""]))
+    summed = n.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "gram")).cast("long")).where(F.col("place") <= most)
+    return counts(alone, **own).unionByName(counts(together(F.col("#parts") == 1), **own)).unionByName(summed)

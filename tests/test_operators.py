@@ -72,11 +72,13 @@ def test_texts_stay_out_of_shuffles(spark):
     assert "Exchange" not in plan(counts) and "text" not in counts.columns and plan(chapter_metrics(counts)).count("FileScan") == 1
 
 
-def test_ngrams_are_counted_where_texts_are_read(spark):
-    """No shuffle where keys are distinct; rows that share a key, or have none, count together, in whatever slices they come."""
+@pytest.mark.parametrize("few", [500_000, 1])
+def test_ngrams_are_counted_where_texts_are_read(spark, monkeypatch, few):
+    """No shuffle where keys are distinct; rows that share a key, or have none, count together, however many they are and whether their keys are broadcast or joined."""
+    monkeypatch.setattr(style, "FEW_KEYS", few)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert "Exchange" not in style.top_ngrams(docs)._jdf.queryExecution().executedPlan().toString()
-    texts = [(1, "abab é̀éé abcd"), (2, "Aa aaa\naa"), (1, "ab zz zz"), (None, "xyxyxy"), (None, "xy th the"), (3, None), (4, "a b c"), (5, "cd" * 3000), (6, "".join(chr(0xE0 + i % 31) for i in range(700)))]
+    texts = [(1, "abab é̀éé abcd"), (2, "Aa aaa\naa"), (1, "ab zz zz"), (None, "xyxyxy"), (None, "xy th the"), (3, None), (4, "a b c"), (5, "cd" * 3000), (6, "".join(chr(0xE0 + i % 31) for i in range(700))), *[(7, f"ab{'cdef'[i % 4] * (i % 5)} zz") for i in range(100)]]
     want = set()
     for key in {k for k, _ in texts}:
         runs = [w for k, t in texts if k == key for w in re.findall("[a-zà-ÿ]+", (t or "").lower())]
